@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import matroska, mixing, quality, sentencepiece_codec, toxicity
+from . import bottomk, matroska, mixing, quality, sentencepiece_codec, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+        "op3_bottomk_dedup": bottomk.op3_bottomk_dedup,
         "op4_toxicity_lexicon": toxicity.op4_toxicity_lexicon,
         "op7_quality_discriminant": quality.op7_quality_discriminant,
         "op9_subset_sum_mix": mixing.op9_subset_sum_mix,

@@ -157,45 +157,54 @@ def evidence(text: str | None, hits: _Hits, window: int = 5) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    terms: frozenset
-    harmless: frozenset
+    terms: frozenset  # matched as they are
+    spelled: frozenset  # the terms of which misspellings are looked for
+    harmless: frozenset  # look-alikes that clean texts use
     weights: np.ndarray = field(default_factory=lambda: np.array([-3.0, 2, 1, 0, 0, 4, 0]))  # first the constant
 
     def hits(self) -> _Hits:
-        return _Hits(Trie(sorted(self.terms)), self.terms, self.harmless)
+        return _Hits(Trie(sorted(self.spelled)), self.terms, self.harmless)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -700, 700)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 20_000, min_share: float = 0.1, odds: float = 20.0, max_terms: int = 500, mod: int = 5) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 20_000, min_share: float = 0.003, odds: float = 20.0, max_terms: int = 2000, mod: int = 5) -> ToxicityModel:
     """Learns terms, harmless look-alikes and weights from at most about max_rows labelled rows outside the held-out fold.
 
-    A word joins the lexicon when min_share of the toxic texts hold it and its odds against clean texts are at least
-    odds. A look-alike that more clean than toxic texts hold is harmless. Empty tables leave the seed terms and default weights.
+    A word joins the lexicon when min_share of the toxic texts (and at least four) hold it, its odds against clean
+    texts are at least odds, and most texts that hold it differ: near copies, which share their smallest word hash,
+    count little. Misspellings are looked for of seed terms, and of learned ones whose look-alikes in the sample are
+    mostly toxic. A look-alike that more clean than toxic texts hold is harmless. Empty tables leave the seed terms and
+    default weights.
     """
     sample = documents.select("doc_id", "text").join(F.broadcast(training_labels(labels, label, max_rows, mod)), "doc_id").select("text", "label")
     sample = stored(sample, "toxic-sample")
     totals = dict.fromkeys((0, 1), 0) | {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    toxic, clean = F.sum("label"), F.sum(1 - F.col("label"))
-    words = (
-        sample.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)[^\p{L}]+"))).alias("word"))
+    bags = sample.select("label", F.array_distinct(F.split(F.lower("text"), r"(?U)[^\p{L}]+")).alias("bag"))
+    words = stored(
+        bags.select("label", F.array_min(F.transform("bag", lambda w: F.xxhash64(w))).alias("make"), F.explode("bag").alias("word"))
         .where(F.length("word").between(4, 24))
         .groupBy("word")
-        .agg(toxic.alias("toxic"), clean.alias("clean"))
+        .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"), F.count_distinct(F.when(F.col("label") == 1, F.col("make"))).alias("makes")),
+        "toxic-words",
     )
     ratio = ((F.col("toxic") + 0.5) / (totals[1] + 1)) / ((F.col("clean") + 0.5) / (totals[0] + 1))
-    learned = words.where((F.col("toxic") >= max(5, min_share * totals[1])) & (ratio >= odds)).orderBy(F.desc("toxic"), "word").limit(max_terms)
-    terms = frozenset(SEED_TERMS) | {r.word for r in learned.collect()}
+    enough = (F.col("makes") >= max(4, min_share * totals[1])) & (F.col("makes") >= 0.6 * F.col("toxic"))
+    learned = {r.word for r in words.where(enough & (ratio >= odds)).orderBy(F.desc("toxic"), "word").limit(max_terms).collect()}
+    terms = frozenset(SEED_TERMS) | learned
 
     def look_alikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = ToxicityModel(terms, frozenset()).hits()
+        trie = Trie(sorted(terms))
         for batch in batches:
-            yield batch.filter(pa.array([hits.look(w) == 2 for w in batch.column(0).to_pylist()], pa.bool_()))
-
-    common = words.where((F.col("clean") >= 1) & (F.col("clean") >= F.col("toxic"))).select("word")
-    harmless = frozenset(r.word for r in common.mapInArrow(look_alikes, "word string").collect())
-    model = ToxicityModel(terms, harmless)
+            found = [None if w in terms else trie.search(w) for w in batch.column(0).to_pylist()]
+            near = batch.append_column("term", pa.array([f and f[0] for f in found], pa.string()))
+            yield near.filter(pc.is_valid(near.column("term")))
+
+    alike = stored(words.select("word", "toxic", "clean").mapInArrow(look_alikes, "word string, toxic long, clean long, term string"), "toxic-alike")
+    harmless = frozenset(r.word for r in alike.where((F.col("clean") >= 1) & (F.col("clean") >= F.col("toxic"))).select("word").collect())
+    good = {r.term for r in alike.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t > c").collect()}
+    model = ToxicityModel(terms, frozenset(SEED_TERMS) | good, harmless)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = model.hits()
