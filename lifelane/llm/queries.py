@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bottomk, matroska, mixing, quality, sentencepiece_codec, toxicity
+from . import bottomk, matroska, mixing, ngram_lm, quality, sentencepiece_codec, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
         "op3_bottomk_dedup": bottomk.op3_bottomk_dedup,
         "op4_toxicity_lexicon": toxicity.op4_toxicity_lexicon,
+        "op6_backoff_automaton": ngram_lm.op6_backoff_automaton,
         "op7_quality_discriminant": quality.op7_quality_discriminant,
         "op9_subset_sum_mix": mixing.op9_subset_sum_mix,
         "op10_matroska": matroska.op10_matroska,
