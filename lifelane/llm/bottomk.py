@@ -245,3 +245,17 @@ def keep_one(documents: DataFrame, *, width: int = 5, num: int = 80, den: int =
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     single = documents.join(found, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
     return single.unionByName(documents.where("doc_id IS NULL")).select(*documents.columns)
+
+
+#: All pairs by shared shingles; exact, for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS v FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT doc_id, n AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept FROM r JOIN n ON n.doc_id = r.id GROUP BY doc_id, n
+"""
