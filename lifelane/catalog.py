@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "cohort_initiation"
+from .queries import cleaning, histories
+
+FLAGSHIP = "interval_collapse"
+_TOPICS = (cleaning, histories)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for topic in _TOPICS for name, f in topic.query.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for topic in _TOPICS for name, s in topic.query.sql.items()}
