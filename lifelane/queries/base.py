@@ -80,5 +80,6 @@ PRED = """pred AS (SELECT event_id % 5 AS split, user_id, event_id, event_type,
 
 
 def r(c, digits: int = 4):
-    """A rounded double, for comparison."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """A double rounded for comparison the way SQL engines on binary floats do it: scaled, halves away from zero."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.signum(x) * F.floor(F.abs(x) * 10.0**digits + 0.5) / 10.0**digits

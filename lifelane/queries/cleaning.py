@@ -39,7 +39,7 @@ def sink_roundtrip(spark, d):
     """Writes a dealt-out parquet table and reads it back, beside the warehouse where all executors reach it."""
     path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lifelane_sink_{abs(hash(d))}"
     back = io.write_table(io.table(spark, d, "orders").select("o_custkey", "o_totalprice"), path, 8, "o_custkey")
-    return back.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
+    return back.groupBy("o_custkey").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("amount"))
 
 
 @query("scan_reference_csv")
@@ -72,7 +72,7 @@ _RANGES = [("ECONOMY", 1000.0, 40000.0), ("PROMO", 20000.0, 60000.0), ("SMALL",
 SELECT expo.code, count(*) AS n, round(sum(dose), 2) AS total FROM expo LEFT JOIN lim USING (code) WHERE lo IS NULL OR coalesce(dose BETWEEN lo AND hi, false) GROUP BY expo.code""")
 def code_range_filter(spark, d):
     limits = spark.createDataFrame(_RANGES, "code string, lo double, hi double")
-    return ops.in_code_range(exposures(spark, d), "code", "dose", limits).groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum("dose"), 2).alias("total"))
+    return ops.in_code_range(exposures(spark, d), "code", "dose", limits).groupBy("code").agg(F.count("*").alias("n"), r(F.sum("dose"), 2).alias("total"))
 
 
 @query("outlier_quantile_filter", """WITH q AS (SELECT quantile_cont(value, 0.001) AS lo, quantile_cont(value, 0.999) AS hi FROM events)
@@ -119,7 +119,7 @@ def drop_sparse_columns(spark, d):
     columns = ["view", "signup", "error", "purchase", "click"]
     left = ops.drop_sparse(wide, columns).columns
     shares = wide.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
-    return shares.unpivot([], columns, "c", "share").select("c", F.round("share", 6).alias("share"), (~F.col("c").isin(left)).alias("dropped"))
+    return shares.unpivot([], columns, "c", "share").select("c", r("share", 6).alias("share"), (~F.col("c").isin(left)).alias("dropped"))
 
 
 @query("pairwise_sparsity", f"""WITH {_WIDE}, long AS (SELECT user_id, h, c, v FROM wide UNPIVOT (v FOR c IN (view, signup, error, purchase, click)))
@@ -207,4 +207,4 @@ def topk_rows(spark, d):
 def union_cohorts(spark, d):
     rows = measures(spark, d)
     both = rows.where("event_type = 'view'").withColumn("cohort", F.lit("on")).unionByName(rows.where("event_type <> 'view'").withColumn("cohort", F.lit("off")))
-    return both.groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return both.groupBy("cohort").agg(F.count("*").alias("n"), r(F.avg("value"), 6).alias("mean"))

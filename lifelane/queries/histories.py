@@ -80,7 +80,7 @@ SELECT k, code, min(s) AS s, max(e) AS e, {_DAYS}::DOUBLE AS days, round(avg(dos
 CASE WHEN bool_or(rf = 'A') AND bool_or(rf <> 'A') THEN 'both' WHEN bool_or(rf = 'A') THEN 'administration' WHEN bool_or(rf <> 'A') THEN 'prescription' ELSE 'unknown' END AS source FROM isl GROUP BY k, code, island""")
 def interval_collapse_dose(spark, d):
     hand = (F.col("rf") == "A").cast("int")
-    aggs = {"mean_dose": F.round(F.avg("dose"), 6), "any_administered": F.max(hand), "administrations": F.sum(hand), "_p": F.max(1 - hand)}
+    aggs = {"mean_dose": r(F.avg("dose"), 6), "any_administered": F.max(hand), "administrations": F.sum(hand), "_p": F.max(1 - hand)}
     rows = intervals.collapse(exposures(spark, d).drop("oe"), ["k", "code"], "s", "e", aggs=aggs)
     return rows.withColumn("source", intervals.provenance(F.col("any_administered") == 1, F.col("_p") == 1)).drop("_p")
 
@@ -89,7 +89,7 @@ def interval_collapse_dose(spark, d):
 SELECT k, code, min(s) AS s, round(sum(dose * w) / sum(w), 6) AS by_duration, round(avg(dose), 6) AS by_rows FROM x GROUP BY k, code, island""")
 def weighted_dose(spark, d):
     span = (F.col("_e") - F.col("_s")) / float(DAY)
-    aggs = {"by_duration": F.round(intervals.weighted_mean(F.col("dose"), span), 6), "by_rows": F.round(F.avg("dose"), 6)}
+    aggs = {"by_duration": r(intervals.weighted_mean(F.col("dose"), span), 6), "by_rows": r(F.avg("dose"), 6)}
     return intervals.collapse(exposures(spark, d).drop("oe"), ["k", "code"], "s", "e", aggs=aggs).select("k", "code", "s", "by_duration", "by_rows")
 
 
@@ -152,7 +152,7 @@ q AS (SELECT user_id, h, coalesce(sum(n) OVER b, 0)::BIGINT AS tests_before, coa
 SELECT *, round(abnormal_before / nullif(tests_before, 0), 6) AS abnormal_share FROM q""")
 def history_lab(spark, d):
     rows = history.test_history(flags(spark, d).withColumn("h", F.date_trunc("hour", "ts").cast("timestamp_ntz")), "user_id", "h", "abnormal")
-    return rows.withColumn("abnormal_share", F.round("abnormal_share", 6))
+    return rows.withColumn("abnormal_share", r("abnormal_share", 6))
 
 
 @query("history_stays", f"""WITH {STAYS}, x AS (SELECT *, floor((epoch_us(e) - epoch_us(s)) / 86400000000.0)::BIGINT AS stay_days FROM stays)
@@ -170,7 +170,7 @@ def history_event_count(spark, d):
 SELECT event_id, hm AS height_median, round(value * 1000 * 0.001 / pow(hm * 0.01, 2), 6) AS mass_index FROM h JOIN m USING (user_id) WHERE hm BETWEEN 100 AND 220""")
 def median_normalised_index(spark, d):
     rows = measures(spark, d).withColumn("cm", (90 + (F.col("event_id") % 17) * 2 + F.col("user_id") % 140).cast("double")).withColumn("g", F.col("value") * 1000)
-    return series.index_by_median(rows, "user_id", "cm", "g").select("event_id", "height_median", F.round("mass_index", 6).alias("mass_index"))
+    return series.index_by_median(rows, "user_id", "cm", "g").select("event_id", "height_median", r("mass_index", 6).alias("mass_index"))
 
 
 _W = "WINDOW w AS (PARTITION BY user_id ORDER BY ts)"
