@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import cleaning, histories
+from .queries import cleaning, coding, cohorts, histories, summaries
 
-FLAGSHIP = "interval_collapse"
-_TOPICS = (cleaning, histories)
+FLAGSHIP = "cohort_initiation"
+_TOPICS = (cleaning, histories, coding, cohorts, summaries)
 
 
 def queries() -> dict:

@@ -70,7 +70,7 @@ def rolled_up(c, width: int = 4, sep: str = ",") -> Column:
 def binned(c, cuts: list[float], labels: list[str], right: bool = True) -> Column:
     """The label of the interval between two cuts that holds the value, closed on its right or left; outside: null."""
     out = None
-    for lo, hi, label in zip(cuts, cuts[1:], labels, strict=True):
+    for lo, hi, label in zip(cuts[:-1], cuts[1:], labels, strict=True):
         inside = ((col(c) > lo) & (col(c) <= hi)) if right else ((col(c) >= lo) & (col(c) < hi))
         out = F.when(inside, F.lit(label)) if out is None else out.when(inside, F.lit(label))
     return out
