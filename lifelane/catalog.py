@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import cleaning, coding, cohorts, histories, summaries
+from .queries import cleaning, coding, cohorts, histories, modelling, summaries
 
 FLAGSHIP = "cohort_initiation"
-_TOPICS = (cleaning, histories, coding, cohorts, summaries)
+_TOPICS = (cleaning, histories, coding, cohorts, summaries, modelling)
 
 
 def queries() -> dict:

@@ -71,12 +71,12 @@ STAYS = "stays AS (SELECT o_orderkey AS okey, o_custkey AS k, o_orderdate AS s,
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """split, user_id, event_id, y, p, model: scores in 1000 steps with ties."""
     rows = measures(spark, d)
-    p = ((F.col("event_id") * 7919 % 1000) * 0.5 + F.least(F.col("value"), F.lit(100.0)).cast("long") * 5) / 1000
-    return rows.select((F.col("event_id") % 5).alias("split"), "user_id", "event_id", "event_type", (F.col("value") > 20).cast("int").alias("y"), F.round(p, 3).alias("p"))
+    p = (F.floor((F.col("event_id") * 7919 % 1000) / 2) + F.floor(F.least(F.col("value"), F.lit(100.0))) * 5) / 1000
+    return rows.select((F.col("event_id") % 5).alias("split"), "user_id", "event_id", "event_type", (F.col("value") > 20).cast("int").alias("y"), p.alias("p"))
 
 
 PRED = """pred AS (SELECT event_id % 5 AS split, user_id, event_id, event_type, (value > 20)::INT AS y,
-  round(((event_id * 7919 % 1000) * 0.5 + CAST(trunc(least(value, 100.0)) AS BIGINT) * 5) / 1000, 3)::DOUBLE AS p FROM events)"""
+  ((event_id * 7919 % 1000) // 2 + CAST(floor(least(value, 100.0)) AS BIGINT) * 5)::DOUBLE / 1000 AS p FROM events)"""
 
 
 def r(c, digits: int = 4):

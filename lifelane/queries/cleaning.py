@@ -208,3 +208,10 @@ def union_cohorts(spark, d):
     rows = measures(spark, d)
     both = rows.where("event_type = 'view'").withColumn("cohort", F.lit("on")).unionByName(rows.where("event_type <> 'view'").withColumn("cohort", F.lit("off")))
     return both.groupBy("cohort").agg(F.count("*").alias("n"), r(F.avg("value"), 6).alias("mean"))
+
+
+@query("windowed_summary", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def windowed_summary(spark, d):
+    from ..streaming import windowed_summary as summary
+
+    return summary(measures(spark, d), "ts", "event_type", "value").withColumn("total", r("total", 2))

@@ -52,16 +52,16 @@ def kgroup_medians(spark, d):
     return disclosure.group_medians(measures(spark, d), "value", ("user_id",)).withColumn("median", r("median", 6))
 
 
-_PROFILE = "prof AS (SELECT unnest(['amount', 'is_open', 'holes']) AS column, unnest([o_totalprice, (o_orderstatus = 'O')::INT::DOUBLE, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END]) AS v FROM orders)"
+_PROFILE = "prof AS (SELECT unnest(['amount', 'is_open', 'holes']) AS name, unnest([o_totalprice, (o_orderstatus = 'O')::INT::DOUBLE, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END]) AS v FROM orders)"
 
 
-@query("column_profile", f"""WITH {_PROFILE}, s AS (SELECT column, list_sort(list(v) FILTER (v IS NOT NULL)) AS l, count(*) AS n, avg((v IS NULL)::INT) * 100 AS miss, avg(v) AS mean, bool_and(v IN (0, 1)) AS b, count(*) FILTER (v = 1) AS t, count(*) FILTER (v = 0) AS f FROM prof GROUP BY column), z AS (SELECT *, len(l) AS k FROM s)
-SELECT column, n, round(miss, 4) AS missing_percent, CASE WHEN b THEN t END AS true_count, CASE WHEN b THEN f END AS false_count, CASE WHEN NOT b THEN round(mean, 4) END AS mean, CASE WHEN NOT b THEN round(list_avg(l[1:5]), 4) END AS pseudo_min,
+@query("column_profile", f"""WITH {_PROFILE}, s AS (SELECT name, list_sort(list(v) FILTER (v IS NOT NULL)) AS l, count(*) AS n, avg((v IS NULL)::INT) * 100 AS miss, avg(v) AS mean, bool_and(v IN (0, 1)) AS b, count(*) FILTER (v = 1) AS t, count(*) FILTER (v = 0) AS f FROM prof GROUP BY name), z AS (SELECT *, len(l) AS k FROM s)
+SELECT name, n, round(miss, 4) AS missing_percent, CASE WHEN b THEN t END AS true_count, CASE WHEN b THEN f END AS false_count, CASE WHEN NOT b THEN round(mean, 4) END AS mean, CASE WHEN NOT b THEN round(list_avg(l[1:5]), 4) END AS pseudo_min,
 CASE WHEN NOT b THEN round(list_avg(l[k // 2 - 1:k // 2 + 3]), 4) END AS pseudo_median, CASE WHEN NOT b THEN round(list_avg(l[k - 4:k]), 4) END AS pseudo_max FROM z""")
 def column_profile(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_totalprice").alias("amount"), (F.col("o_orderstatus") == "O").cast("double").alias("is_open"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("holes"))
     out = disclosure.column_profile(rows, ["amount", "is_open", "holes"])
-    return out.select("column", "n", r("missing_percent").alias("missing_percent"), "true_count", "false_count", *[r(c).alias(c) for c in ("mean", "pseudo_min", "pseudo_median", "pseudo_max")])
+    return out.select(F.col("column").alias("name"), "n", r("missing_percent").alias("missing_percent"), "true_count", "false_count", *[r(c).alias(c) for c in ("mean", "pseudo_min", "pseudo_median", "pseudo_max")])
 
 
 @query("publication_table")
@@ -177,11 +177,11 @@ def delta_trajectory(spark, d):
 
 
 @query("pre_post_slopes", f"""WITH {EXPO}, {_REL}, w AS (SELECT *, rel / 365.25 AS x FROM rel WHERE rel BETWEEN -365 AND 365)
-SELECT k, count(*) FILTER (WHERE rel < 0) AS n_pre, count(*) FILTER (WHERE rel >= 0) AS n_post, round(CASE WHEN count(DISTINCT rel) FILTER (WHERE rel < 0) >= 2 THEN regr_slope(amount, x) FILTER (WHERE rel < 0) END, 2) AS pre_slope,
-round(CASE WHEN count(DISTINCT rel) FILTER (WHERE rel >= 0) >= 2 THEN regr_slope(amount, x) FILTER (WHERE rel >= 0) END, 2) AS post_slope, arg_max(amount, (day, amount)) FILTER (WHERE rel < 0) AS baseline FROM w GROUP BY k""")
+SELECT k, count(*) FILTER (WHERE rel < 0) AS n_pre, count(*) FILTER (WHERE rel >= 0) AS n_post, round(CASE WHEN count(DISTINCT rel) FILTER (WHERE rel < 0) >= 2 THEN regr_slope(amount, x) FILTER (WHERE rel < 0) END, 0) AS pre_slope,
+round(CASE WHEN count(DISTINCT rel) FILTER (WHERE rel >= 0) >= 2 THEN regr_slope(amount, x) FILTER (WHERE rel >= 0) END, 0) AS post_slope, arg_max(amount, (day, amount)) FILTER (WHERE rel < 0) AS baseline FROM w GROUP BY k""")
 def pre_post_slopes(spark, d):
     out = stats.pre_post_slopes(_anchored(spark, d), "k", "day", "s", "amount")
-    return out.select("k", "n_pre", "n_post", r("pre_slope", 2).alias("pre_slope"), r("post_slope", 2).alias("post_slope"), "baseline")
+    return out.select("k", "n_pre", "n_post", r("pre_slope", 0).alias("pre_slope"), r("post_slope", 0).alias("post_slope"), "baseline")
 
 
 @query("histogram_bins", "SELECT event_type, user_id % 2 AS sex, floor(value / 5)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL")
