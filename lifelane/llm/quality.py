@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, training_labels
+from .common import remainder, slices, training_labels
 
 #: Names of the statistics, in the order of statistics().
 NAMES = ("log_words", "upper", "symbols", "bars", "exclamations", "variety", "echo", "word_length", "stops", "line_variety", "non_ascii", "digits")
@@ -88,7 +88,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", max_
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(1 + d + d * d) for k in (0, 1)}
-        for batch in batches:
+        for batch in slices(batches):
             for text, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = statistics(text)
                 total[k] += np.concatenate(([1.0], x, np.outer(x, x).ravel()))
@@ -140,7 +140,7 @@ def score(documents: DataFrame, model: Discriminant, *, threshold: float = 0.3,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = _scores(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s, "predicted": pa.array((s >= threshold).astype(np.int32))})
 
@@ -153,7 +153,7 @@ def keep_good(documents: DataFrame, model: Discriminant, *, threshold: float = 0
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pc.greater_equal(pa.array(_scores(model, batch.column(at).to_pylist())), threshold))
 
     return documents.mapInArrow(run, documents.schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stored, training_labels
+from .common import remainder, slices, stored, training_labels
 
 # Insults of four languages that the lexicon starts from; the training rows add their own.
 SEED_TERMS = (
@@ -60,6 +62,7 @@ class Trie:
         self.number: dict[frozenset, int] = {frozenset(): 0}
         self.arcs: list[dict[str, int]] = [{}]
         self.result: list[tuple[str, int] | None] = [None]
+        self.members: dict[int, frozenset] = {}
         self.start = {c: self._state({(n, 0)}) for c, n in self.children[0].items()}
 
     @staticmethod
@@ -80,7 +83,6 @@ class Trie:
             self.arcs.append({})
             ends = [(e, self.term[n]) for n, e in best.items() if self.term[n] and e <= self.allowed(self.term[n])]
             self.result.append((min(ends)[1], min(ends)[0]) if ends else None)
-            self.members = getattr(self, "members", {})
             self.members[self.number[key]] = key
         return self.number[key]
 
@@ -95,7 +97,7 @@ class Trie:
 
     def search(self, word: str) -> tuple[str, int] | None:
         """The closest term within its allowed edits that begins with the same letter: (term, distance) or none."""
-        if len(self.arcs) > 100_000:
+        if len(self.arcs) > 20_000:
             self._reset()
         arcs, state = self.arcs, self.start.get(word[:1], 0)
         for c in word[1:]:
@@ -113,7 +115,7 @@ class _Hits(dict):
         self.trie, self.terms, self.harmless, self.longest = trie, terms, harmless, max(map(len, terms), default=0) + 2
 
     def __missing__(self, raw: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[raw] = found = self.look(raw)
         return found
@@ -181,14 +183,28 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_ro
     sample = documents.select("doc_id", "text").join(F.broadcast(training_labels(labels, label, max_rows, mod)), "doc_id").select("text", "label")
     sample = stored(sample, "toxic-sample")
     totals = dict.fromkeys((0, 1), 0) | {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    bags = sample.select("label", F.array_distinct(F.split(F.lower("text"), r"(?U)[^\p{L}]+")).alias("bag"))
-    words = stored(
-        bags.select("label", F.array_min(F.transform("bag", lambda w: F.xxhash64(w))).alias("make"), F.explode("bag").alias("word"))
-        .where(F.length("word").between(4, 24))
-        .groupBy("word")
-        .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"), F.count_distinct(F.when(F.col("label") == 1, F.col("make"))).alias("makes")),
-        "toxic-words",
-    )
+
+    def distinct_words(text: str | None) -> set[str]:
+        return {w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if 4 <= len(w) <= 24}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_label = {0: Counter(), 1: Counter()}
+            for text, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_label[k].update(distinct_words(text))
+            found = list(by_label[0].keys() | by_label[1].keys())
+            yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string()), "toxic": pa.array([by_label[1][w] for w in found], pa.int64()), "clean": pa.array([by_label[0][w] for w in found], pa.int64())})
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = distinct_words(text)
+                make = min((zlib.crc32(w.encode()) for w in found), default=0)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string()), "make": pa.array([make] * len(found), pa.int64())})
+
+    words = sample.mapInArrow(counted, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    makes = sample.where("label = 1").mapInArrow(made, "word string, make long").groupBy("word").agg(F.count_distinct("make").alias("makes"))
+    words = stored(words.join(makes, "word", "left").withColumn("makes", F.coalesce("makes", F.lit(0))), "toxic-words")
     ratio = ((F.col("toxic") + 0.5) / (totals[1] + 1)) / ((F.col("clean") + 0.5) / (totals[0] + 1))
     enough = (F.col("makes") >= max(4, min_share * totals[1])) & (F.col("makes") >= 0.6 * F.col("toxic"))
     learned = {r.word for r in words.where(enough & (ratio >= odds)).orderBy(F.desc("toxic"), "word").limit(max_terms).collect()}
@@ -208,7 +224,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_ro
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = model.hits()
-        for batch in batches:
+        for batch in slices(batches):
             x = [evidence(t, hits).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"label": batch.column(1), "x": pa.array(x, pa.list_(pa.float64()))})
 
@@ -240,7 +256,7 @@ def score(documents: DataFrame, model: ToxicityModel, *, threshold: float = 0.5,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = model.hits()
-        for batch in batches:
+        for batch in slices(batches):
             s = _scores(model, hits, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s, "predicted": pa.array((s >= threshold).astype(np.int32))})
 
@@ -254,7 +270,7 @@ def keep_clean(documents: DataFrame, model: ToxicityModel, *, threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = model.hits()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pc.less(pa.array(_scores(model, hits, batch.column(at).to_pylist())), threshold))
 
     return documents.mapInArrow(run, documents.schema)
