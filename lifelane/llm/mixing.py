@@ -165,6 +165,6 @@ def op9_subset_sum_mix(spark, sf_dir: str) -> DataFrame:
 
 def mix(documents: DataFrame) -> DataFrame:
     """The mixed corpus: each row of documents as often as the plan takes it, with the columns of documents."""
-    names = documents.columns
-    taken = plan(sized(documents)).where("times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*names)
+    rows = sized(documents.select(F.struct("*").alias("_row"), "doc_id", "source", "text")).drop("text")
+    taken = plan(rows).where("times > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select("_row.*")
