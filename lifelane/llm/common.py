@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -41,6 +42,19 @@ def slices(batches, rows: int = 512):
             yield batch.slice(lo, rows)
 
 
+def worker_cache(name, make):
+    """What a Python worker keeps from task to task under a name, made when it is missing.
+
+    A worker keeps one such thing only: asking for another lets the last one go, so the operators of a long session
+    don't add up in the executors' memory.
+    """
+    kept = sys.__dict__.setdefault("_lifelane_kept", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = make()
+    return kept[name]
+
+
 def remainder(doc_id, mod: int):
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, training_labels
+from .common import remainder, slices, training_labels, worker_cache
 
 #: Names of the statistics, in the order of statistics().
 NAMES = ("log_words", "upper", "symbols", "bars", "exclamations", "variety", "echo", "word_length", "stops", "line_variety", "non_ascii", "digits")
@@ -130,6 +130,7 @@ def _covariance(moments: np.ndarray) -> np.ndarray:
 
 
 def _scores(model: Discriminant, texts: list[str | None]) -> np.ndarray:
+    worker_cache("", dict)  # lets go what other operators kept
     return model.score(np.array([statistics(t) for t in texts])) if texts else np.zeros(0)
 
 
