@@ -10,14 +10,16 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_cache
+
 SPACE = "▁"
 
 
@@ -55,7 +57,9 @@ class Codec:
         lone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.runs = re.compile(f"[{lone}]+|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+")
         self.apart: dict[str, dict[str, bool]] = {}
-        self.known: dict[str, list[int]] = {}
+        self.pairs = 0
+        self.raw_array = pa.array(self.raw, pa.binary())
+        self.packed = _Runs(self)
 
     def _merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-ranked neighbours merge first, the leftmost of equals."""
@@ -73,8 +77,10 @@ class Codec:
         return parts
 
     def _may_follow(self, left: str, right: str) -> bool:
-        if len(self.apart) > 40_000:
+        self.pairs += 1
+        if self.pairs > 400_000:
             self.apart.clear()
+            self.pairs = 0
         found = self.apart.setdefault(left, {})[right] = self._merged(left + right) == [left, right]
         return found
 
@@ -136,13 +142,38 @@ class Codec:
             yield from self._ids(piece)
 
     def _short(self, run: str) -> list[int]:
-        """stream() for a run that is all there and short."""
-        last: list = ["", *[None] * len(run)]
-        for at in range(len(run)):
-            self._extend(run, last, at, "")
+        """stream() for a run that is all there and short: the same steps without a window."""
+        n = len(run)
+        last: list = ["", *[None] * n]
+        root, apart = self.root, self.apart
+        for at in range(n):
+            left = last[at]
+            if left is None:
+                continue
+            good = apart.get(left) if left else None
+            node = root
+            for end in range(at, n):
+                node = node.get(run[end])
+                if node is None:
+                    if end == at:
+                        self._extend(run, last, at, "")  # a sign of no piece
+                    break
+                piece = node.get("")
+                if piece is None:
+                    if end > at:
+                        continue
+                    piece = run[at]
+                if left:
+                    fits = good.get(piece) if good is not None else None
+                    if fits is None:
+                        fits = self._may_follow(left, piece)
+                        good = apart.get(left)
+                    if not fits:
+                        continue
+                last[end + 1] = piece
         ids = self.ids
         out: list[int] = []
-        for piece in self._trace(last, len(run)):
+        for piece in self._trace(last, n):
             i = ids.get(piece)
             out += [i] if i is not None else self._ids(piece)
         return out
@@ -169,41 +200,73 @@ class Codec:
             return [i]
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
-    def encode(self, text: str) -> list[int]:
+    def pack(self, text: str) -> bytes:
+        """The ids of a whole text as 32-bit integers."""
         if not text:
-            return []
-        out: list[int] = []
-        known = self.known
-        for run in self.runs.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(run)
-            if ids is None:
-                if len(run) > 32:
-                    ids = list(self.stream([run]))
-                else:
-                    ids = self._short(run)
-                    if len(known) > 400_000:
-                        known.clear()
-                    known[run] = ids
-            out += ids
-        return out
+            return b""
+        return b"".join(map(self.packed.__getitem__, self.runs.findall(SPACE + text.replace(" ", SPACE))))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.pack(text), np.int32).tolist()
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+        return _plain(b"".join(map(self.raw.__getitem__, ids)))
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        packed = [None if t is None else self.pack(t) for t in texts]
+        ends = np.cumsum([0, *(len(p or b"") // 4 for p in packed)])
+        offsets = pa.array(ends, pa.int32(), mask=np.array([*(p is None for p in packed), False]))
+        return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32)))
+
+    def decode_all(self, ids: pa.ListArray) -> list[str | None]:
+        """The texts of many lists of ids: their pieces are gathered into one buffer and cut at the lists' ends."""
+        values = ids.flatten()
+        pieces = self.raw_array.take(values)
+        at = np.frombuffer(pieces.buffers()[1], np.int32, len(values) + 1) if len(values) else np.zeros(1, np.int32)
+        data = pieces.buffers()[2].to_pybytes() if len(values) else b""
+        ends = np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())])
+        valid = ids.is_valid().to_pylist()
+        return [_plain(data[at[a] : at[b]]) if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)]
+
+
+def _plain(raw: bytes) -> str:
+    text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:] if text[:1] == " " else text
+
+
+class _Runs(dict):
+    """Run -> its packed ids. What two generations of MOST runs did not use is forgotten."""
+
+    MOST = 250_000
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.old = codec, {}
+
+    def __missing__(self, run: str) -> bytes:
+        packed = self.old.get(run)
+        if packed is None:
+            ids = self.codec._short(run) if len(run) <= 32 else list(self.codec.stream([run]))
+            packed = np.array(ids, np.int32).tobytes()
+        if len(run) <= 32:
+            if len(self) >= self.MOST:
+                self.old = {}  # freed before the copy is made
+                self.old.update(self)
+                self.clear()
+            self[run] = packed
+        return packed
 
 
 def _codec(path: str, name: str) -> Codec:
     """The codec of a path that this worker can open; a worker keeps it, with what it knows, for its next tasks."""
-    kept = sys.__dict__.setdefault("_lifelane_codecs", {})
-    if path not in kept:
-        here = path
-        if not os.path.exists(path):
-            from pyspark import SparkFiles
 
-            here = SparkFiles.get(name)
-        kept[path] = Codec(here)
-    return kept[path]
+    def opened() -> Codec:
+        if os.path.exists(path):
+            return Codec(path)
+        from pyspark import SparkFiles
+
+        return Codec(SparkFiles.get(name))
+
+    return worker_cache(("codec", path), opened)
 
 
 def encode(documents: DataFrame, model: str | None = None, *, text: str = "text") -> DataFrame:
@@ -220,10 +283,9 @@ def encode(documents: DataFrame, model: str | None = None, *, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, os.path.basename(path))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = [None if t is None else codec.encode(t) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*kept, "ids"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, codec.encode_all(part.column(at).to_pylist())], names=[*kept, "ids"])
 
     return rows.mapInArrow(run, schema)
 
@@ -238,10 +300,9 @@ def decode(encoded: DataFrame, model: str | None = None, *, ids: str = "ids", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, os.path.basename(path))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [None if x is None else codec.decode(x) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, out])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode_all(part.column(at)), pa.string())], names=[*kept, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
