@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored, worker_cache
 
 K = 48  # retained values of a sketch
 HOT = 32  # inverted lists up to this long compare all their pairs
@@ -41,21 +40,21 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
 def _word_hashes() -> dict:
-    return sys.__dict__.setdefault("_lifelane_words", _Words())
+    return worker_cache("shingle words", _Words)
 
 
 def sketches(documents: DataFrame, width: int, k: int = K) -> DataFrame:
     """doc_id, n_shingles, set_hash (128 bits, as text) and sketch (the k smallest hashes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -73,7 +72,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """id, elements (the whole set as bytes) of the wanted documents, read again from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "elements": pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
@@ -81,27 +80,40 @@ def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, elements binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have den * intersection >= num * union.
+def _against(pairs: DataFrame, sets: DataFrame, num: int, den: int, apart: bool = False) -> DataFrame:
+    """a, b, na, nb, common and linked (den * intersection >= num * union) of pairs, from their whole sets.
 
-    a is the side that may occur in very many pairs: its set is copied once for each block of such pairs.
+    a is the side that may occur in very many pairs: its set is copied once for each block of such pairs. With
+    apart, also the elements that only one of them has; those of a are marked, so that they differ from b's.
     """
     block = 512
     blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    left = blocks.join(sets.withColumnRenamed("id", "a").withColumnRenamed("elements", "of_a"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(sets.withColumnRenamed("id", "b").withColumnRenamed("elements", "of_b"), "b")
+    left = blocks.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = pairs.select("a", "b").join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    right = right.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
     both = right.select("a", "block", "b", "of_b").join(left.select("a", "block", "of_a"), ["a", "block"])
+    schema = "a long, b long, na long, nb long, common long, linked boolean" + ", apart array<long>" * apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
+        for batch in slices(batches):
+            out = {"na": [], "nb": [], "common": [], "linked": []}
+            only = []
             for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(den * common >= num * (len(x) + len(y) - common) and common > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+                inside = np.isin(y, x, assume_unique=True)
+                common = int(inside.sum())
+                out["na"].append(len(x))
+                out["nb"].append(len(y))
+                out["common"].append(common)
+                out["linked"].append(common > 0 and den * common >= num * (len(x) + len(y) - common))
+                if apart:
+                    only.append(np.concatenate((y[~inside], x[~np.isin(x, y, assume_unique=True)] ^ np.uint64(0x5DEECE66D))).view(np.int64))
+            data = {"a": batch.column("a"), "b": batch.column("b")} | {c: pa.array(v, pa.bool_() if c == "linked" else pa.int64()) for c, v in out.items()}
+            if apart:
+                data["apart"] = pa.array(only, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(data)
+
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, schema)
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame, least: float, k: int) -> DataFrame:
@@ -164,54 +176,67 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
     b = short.select("v", F.col("id").alias("b"), F.col("n_shingles").alias("nb"))
     direct = a.join(b, "v").where((F.col("a") < F.col("b")) & near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
-    # Long lists compare each member with the list's most central one first; what that leaves apart goes on below.
-    long_ = stored(lists.where(F.col("n") > hot).select("v", "id", "n_shingles", "pivot"), "long")
-    star = long_.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stored(_estimate(direct.unionByName(star).distinct(), reps, least, k), "pairs")
+    pairs = stored(_estimate(direct, reps, least, k), "pairs")
+    edges = _confirm(documents, pairs, width, num, den)
 
-    sets = None
+    # Long lists compare each member with the list's most central one first.
+    star = lists.where((F.col("n") > hot) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = stored(star, "stars")
+    if not star.isEmpty():
+        edges = edges.unionByName(_around_pivots(documents, star, width, num, den))
+    return reps, edges
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stored(_sets(documents, wanted, width), "sets")
-        return stored(_confirmed(pairs, sets, num, den), "links")
 
-    edges = confirm(pairs)
-    if not long_.isEmpty():
-        edges = _rest_of_long_lists(edges, long_, reps, confirm, least, k, num, den, hot)
-    return reps, edges
+def _confirm(documents: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    found = _against(pairs, stored(_sets(documents, wanted, width), "sets"), num, den)
+    return stored(found.where("linked").select("a", "b"), "links")
 
 
-def _rest_of_long_lists(edges, long_, reps, confirm, least, k, num, den, hot) -> DataFrame:
-    """Links that the pivots of long lists left out, until no list has two members that could still join components.
+def _around_pivots(documents, star, width, num, den) -> DataFrame:
+    """All links within the groups of the star's pairs (pivot a, member b), without meeting all their pairs.
 
-    Each round gives every list, reduced to members of its smaller components, some further pivots that are compared
-    with all members of other components. Lists whose strays are few compare these with all members; so the rounds end,
-    and no pair of different components in one list stays uncompared.
+    Every member's whole set is compared with its pivot's: D, what the two sets do not share, lost by or extra in the
+    member. Members that link to the pivot are of its component. The others, the strays, may still link to any member.
+    With t = num / den and c = (1 - t) / (1 + t), x and y link when |x ^ y| <= c * (|x| + |y|), and x ^ y = D(x) ^ D(y).
+    A stray's D is larger than c * (|y| + n), for a pivot of n elements; so D(x) and D(y) share more than
+    (|D(x)| + c * (n - |x|)) / 2 elements of D(x), about half of them, and if x is no stray, at least
+    |D(y)| - |y| * (1 - t) / t of D(y). As many of the rarest elements as that leaves out, and one more, hold a common
+    one: the lists of those, mostly of elements that few members have, give the candidates, whose whole D settle them.
     """
-    spark = long_.sparkSession
-    while True:
-        parts = _stars(edges, spark) if not edges.isEmpty() else spark.createDataFrame([], "id long, component long")
-        members = long_.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        per = members.groupBy("v", "component").agg(F.count("*").alias("c"), F.min("id").alias("first"))
-        main = per.groupBy("v").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("m.component").alias("main"))
-        if main.isEmpty():
-            return edges
-        members = stored(members.join(main, "v"), "members")
-        strays = members.where("component <> main")
-        # The pairs of strays with members of other components; near-copies have met already, so these are few, and
-        # the sketches' sizes and estimates drop most of them before any set is read.
-        a = strays.select("v", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-        b = members.select("v", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), "main")
-        ahead = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-        near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-        pairs = a.join(b, "v").where((F.col("ca") != F.col("cb")) & ahead & near).select("a", "b").distinct()
-        pairs = stored(_estimate(pairs, reps, least, k), "pairs")
-        if pairs.isEmpty():
-            return edges
-        more = confirm(pairs)
-        return edges.unionByName(more)
+    t = num / den
+    c = (1 - t) / (1 + t)
+    wanted = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
+    sets = stored(_sets(documents, wanted, width), "sets")
+    found = stored(_against(star, sets, num, den, apart=True), "around")
+    edges = found.where("linked").select("a", "b")
+    lost, extra = F.col("na") - F.col("common"), F.col("nb") - F.col("common")
+    rows = found.select(F.col("a").alias("p"), F.col("b").alias("id"), "linked", F.col("nb").alias("n"), (lost + extra).alias("d"), (lost * (1 + c) + extra * (1 - c)).alias("two"), "apart")
+    # Shared by more than two / 2 for a partner that is a stray; y's side against a partner that is none.
+    half = F.col("d") - F.floor(F.col("two") / 2 - 1e-9)
+    rows = rows.withColumns({"half": half, "most": F.least(F.col("d"), F.floor(F.col("n") * (1 - t) / t + 1e-9) + 1)})
+    elements = rows.select("p", "id", "linked", F.explode("apart").alias("v"))
+    often = elements.groupBy("p", "v").agg(F.count("*").alias("df"), F.count_if(~F.col("linked")).alias("strays")).where("df > 1 AND strays > 0")
+    per = elements.join(often, ["p", "v"]).groupBy("p", "id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    rows = rows.drop("apart").join(per, ["p", "id"])
+
+    rows = rows.withColumn("held", F.transform("vs", lambda e: e["v"])).withColumn("alone", F.col("d") - F.size("vs")).drop("vs")
+
+    def first(length):
+        # Elements that nobody shares come first in the order and take their places.
+        return F.slice("held", F.lit(1), F.greatest(length - F.col("alone"), F.lit(0)).cast("int"))
+
+    x = rows.select("p", F.col("id").alias("x"), F.col("linked").alias("kx"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("held").alias("hx"), F.explode(first(F.col("half"))).alias("v"))
+    y = rows.where("NOT linked").select("p", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("held").alias("hy"), (F.col("half") - F.col("alone")).alias("own"), F.posexplode(first(F.greatest("most", "half"))).alias("at", "v"))
+    # The join itself settles a pair: its sets differ in dx + dy - 2 * |D(x) & D(y)| elements.
+    apart = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("hx", "hy"))
+    total = F.col("nx") + F.col("ny")
+    near = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+    reach = F.abs(F.col("dx") - F.col("dy")) <= c * total + 1e-9
+    once = F.when(F.col("kx"), F.lit(True)).otherwise((F.col("x") < F.col("y")) & (F.col("at") < F.col("own")))
+    linked = stored(x, "members").join(stored(y, "strays"), ["p", "v"]).where(once & near & reach & (den * (total - apart) >= num * (total + apart)) & (apart < total))
+    more = linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return edges.unionByName(stored(more, "links"))
 
 
 def components(documents: DataFrame, *, width: int = 3, num: int = 85, den: int = 100, k: int = K, hot: int = HOT) -> DataFrame:
@@ -224,13 +249,14 @@ def components(documents: DataFrame, *, width: int = 3, num: int = 85, den: int
     """
     found = stored(sketches(documents, width, k), "sketches")
     reps, edges = links(documents, found, width=width, num=num, den=den, k=k, hot=hot)
+    edges = edges.distinct()
     parts = _stars(edges, documents.sparkSession)
     degree = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     # Stars join representatives, which are the smallest ids of their sets, so the smallest of them is the component's.
     of_set = reps.join(parts, "id", "left").join(degree, "id", "left").select("n_shingles", "set_hash", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = found.select("doc_id", "n_shingles", "set_hash").join(of_set, ["n_shingles", "set_hash"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op3_bottomk_dedup(spark, sf_dir: str) -> DataFrame:

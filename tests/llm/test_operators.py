@@ -152,7 +152,7 @@ def test_near_copies_on_edge_rows(docs, none):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 5, 6, 7, 8, 9, 10, 12]
 
 
-@pytest.mark.parametrize("hot", [6, 32])
+@pytest.mark.parametrize("hot", [3, 8, 32])
 def test_large_groups_of_near_copies(spark, hot):
     rng = random.Random(5)
     rows, base = [], [f"w{i}" for i in range(80)]
