@@ -34,8 +34,11 @@ def test_pipeline_stages(spark):
     assert sum(i in ids["toxicity"] for i in good) >= 0.95 * len(good)
     want = brute_components([(r.doc_id, r.text) for r in kept["toxicity"]], 5, 80, 100)
     assert ids["near_dedup"] == {i for i, (_, c) in want.items() if c == i}
-    total = sum(len(words(r.text)) for r in kept["near_dedup"])
-    assert abs(sum(len(words(r.text)) for r in kept["mixture"]) - total) <= 20 * 20
+    # A source of a few documents can miss its target by up to its longest one.
+    total, longest = sum(len(words(r.text)) for r in kept["near_dedup"]), {}
+    for r in kept["near_dedup"]:
+        longest[r.source] = max(longest.get(r.source, 0), len(words(r.text)))
+    assert abs(sum(len(words(r.text)) for r in kept["mixture"]) - total) <= sum(longest.values())
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
     assert all(r.ids == library.encode(r.text) and r.decoded == r.text for r in kept["sentencepiece"])
     assert corpus_pipeline.run(spark, SF).count() == len(kept["sentencepiece"])
