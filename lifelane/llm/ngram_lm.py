@@ -1,7 +1,8 @@
-"""Language-model scoring: a weighted backoff automaton of smoothed n-grams over exact unigram counts."""
+"""Language-model scoring: a weighted backoff automaton of smoothed n-grams over exact counts of words, pairs and triples."""
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -9,15 +10,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stored, worker_cache
+from .common import remainder, slices, stored, worker_cache
 
 END = 1  # the id of the end token; a word's id is its 64-bit hash
 BLOCK_BYTES = 4_000_000  # text of a block, about
-MIN_SHARE = 1e-5  # n-grams (n > 1) of a smaller share of all training tokens fall back to shorter ones
-WORD_SHARE = 1e-4  # n-grams of words with a smaller share are not counted
+SLICE_BYTES = 8_000_000  # text whose keys make up a slice of the key space, about
+LEAST = 2  # n-grams (n > 1) seen less often in all training texts fall back to shorter ones
 DISCOUNT = 0.75
 
 
@@ -35,40 +37,38 @@ def tokens(text: str | None) -> list[int]:
     return [*map(known.__getitem__, (text or "").encode("utf-8", "replace").lower().split()), END]
 
 
-def _arrays(texts) -> np.ndarray:
-    parts = [tokens(t) for t in texts]
-    return np.array([x for p in parts for x in p], dtype=np.uint64)
-
-
 def _held(documents: DataFrame, mod: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", mod) == 0).alias("held_out"), "text")
 
 
 def in_blocks(documents: DataFrame, mod: int) -> DataFrame:
-    """block, rows: documents dealt over blocks of about BLOCK_BYTES of text by a hash of the id.
+    """block, bytes, rows: documents as they come, in blocks of about BLOCK_BYTES of text.
 
-    rows holds some of a block's (doc_id, held_out, text) as compressed Arrow, so that the one shuffle of the texts is small.
+    rows holds a block's (doc_id, held_out, text) as compressed Arrow. Written once, so that every step sees the same blocks.
     """
-    size = documents.select(F.sum(F.octet_length("text")).alias("n")).collect()[0].n or 0
-    blocks = max(8, math.ceil(size / BLOCK_BYTES))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            of = batch.column("block").to_numpy()
-            order = np.argsort(of, kind="stable")
-            cuts = np.nonzero(np.diff(of[order]))[0] + 1
-            rows = batch.select(["doc_id", "held_out", "text"])
-            names, packed = [], []
-            for at in np.split(order, cuts) if len(of) else []:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
-                    writer.write_batch(rows.take(pa.array(at)))
-                names.append(of[at[0]])
-                packed.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_pydict({"block": pa.array(names, pa.int32()), "rows": pa.array(packed, pa.binary())})
-
-    rows = _held(documents, mod).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    return rows.mapInArrow(pack, "block int, rows binary")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+        task, made = TaskContext.get().partitionId(), 0
+
+        def block(parts: list, size: int) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=options) as writer:
+                for part in parts:
+                    writer.write_batch(part)
+            return pa.RecordBatch.from_pydict({"block": pa.array([(task << 32) + made], pa.int64()), "bytes": pa.array([size], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        parts, held = [], 0
+        for batch in slices(batches, 256):
+            parts.append(batch)
+            held += sum(len(t.as_buffer()) for t in batch.column("text") if t.is_valid)
+            if held >= BLOCK_BYTES:
+                yield block(parts, held)
+                parts, held, made = [], 0, made + 1
+        if parts:
+            yield block(parts, held)
+
+    return stored(_held(documents, mod).mapInArrow(pack, "block long, bytes long, rows binary"), "blocks")
 
 
 def _unpacked(rows: bytes) -> tuple[list, list, list]:
@@ -76,22 +76,179 @@ def _unpacked(rows: bytes) -> tuple[list, list, list]:
     return tuple(table.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))
 
 
-def unigrams(blocks: DataFrame) -> DataFrame:
-    """block, w, n: the distinct words of each block, held-out texts too, with their counts in its training texts."""
+def _pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array, like bytes of all values together; sorted keys as their differences."""
+    kind = values.dtype.str[1:].encode()
+    if kind == b"u8":
+        values = np.diff(values, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+    return kind + len(values).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(data[:2].decode()), int.from_bytes(data[2:6], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = pa.decompress(data[6:], n * kind.itemsize, codec="zstd", asbytes=True)
+    values = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
+    return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the least signed type that holds them."""
+    return values.astype(np.min_scalar_type(-int(values.max(initial=0)) - 1))
+
+
+def _joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        k = (a ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        k = (k ^ (k >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return k ^ (k >> np.uint64(29))
+
+
+class Grams:
+    """The words, pairs and triples of a block's texts: keys are their sorted distinct 64-bit hashes, the lowest two bits
+    of which are the length; of[n - 1] has the place in keys of the n-gram that ends at each token, or -1."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        parts = [_unpacked(r) for r in rows]
+        self.docs, self.held = [i for p in parts for i in p[0]], [h for p in parts for h in p[1]]
+        ids = [tokens(t) for p in parts for t in p[2]]
+        self.sizes = np.array([len(i) for i in ids], dtype=np.int64)
+        x = np.array([w for i in ids for w in i], dtype=np.uint64)
+        del parts, ids
+        at = np.arange(len(x)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        two, three = np.nonzero(at >= 1)[0], np.nonzero(at >= 2)[0]
+        pair = np.zeros(len(x), np.uint64)
+        pair[two] = _joined(x[two - 1], x[two], 2)
+        triple = _joined(pair[three - 1], x[three], 3)
+        tag = lambda k, n: (k & ~np.uint64(3)) | np.uint64(n)
+        self.keys, place = np.unique(np.concatenate([tag(x, 1), tag(pair[two], 2), tag(triple, 3)]), return_inverse=True)
+        train = np.repeat(~np.array(self.held, dtype=bool), self.sizes)
+        self.n = np.bincount(place, weights=np.concatenate([train, train[two], train[three]]), minlength=len(self.keys)).astype(np.int64)
+        self.of = [place[: len(x)], np.full(len(x), -1), np.full(len(x), -1)]
+        self.of[1][two] = place[len(x) : len(x) + len(two)]
+        self.of[2][three] = place[len(x) + len(two) :]
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of the equal ranges of the key space ends in sorted keys."""
+    return np.append(np.searchsorted(keys, np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)), len(keys))
+
+
+def _sliced(parts: int, keys: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
+    """(slice, first, end, packed keys, packed values ...) of each range of keys that has any."""
+    ends = _cuts(keys, parts)
+    for s, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        yield (s, _pack(keys[lo:hi]), *[_pack(m[lo:hi]) for m in more])
+
+
+def totals(blocks: DataFrame, parts: int) -> DataFrame:
+    """block, slice, answer, tokens, words: for each block, what its keys of a slice amount to over all training texts.
+
+    An answer has twice the count for each key, and one more in the one block that owns the key. tokens and words are
+    the training tokens and distinct words of a slice, once. A block names a key once, so no key makes a slice large.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                g = Grams([rows])
+                s, k, n = zip(*_sliced(parts, g.keys, _small(g.n)), strict=True)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(s), pa.int64()), "slice": pa.array(s, pa.int32()), "keys": pa.array(k, pa.binary()), "n": pa.array(n, pa.binary())})
+
+    def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        keys = [_unpack(k) for k in pdf["keys"]]
+        n = np.concatenate([_unpack(n).astype(np.int64) for n in pdf["n"]])
+        found, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.bincount(place, weights=n, minlength=len(found)).astype(np.int64)
+        out = 2 * total[place]
+        out[first] += 1
+        words = total[(found & np.uint64(3)) == 1]
+        once = lambda v: [int(v)] + [0] * (len(keys) - 1)
+        packed = [_pack(_small(a)) for a in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
+        return pd.DataFrame({"block": pdf["block"].to_numpy(), "slice": np.int32(key[0]), "answer": packed, "tokens": once(words.sum()), "words": once((words > 0).sum())})
+
+    asked = blocks.mapInArrow(ask, "block long, slice int, keys binary, n binary")
+    return asked.groupBy("slice").applyInPandas(answer, "block long, slice int, answer binary, tokens long, words long")
+
+
+def walked(blocks: DataFrame, totals: DataFrame, parts: int, total: int, distinct: int, least: float, frequent: float) -> DataFrame:
+    """Walks each block's texts through the states that they need, as far as is known without the failure arcs' weights.
+
+    Rows with a slice ask for the weights of contexts (keys) and give what this block's own n-grams add to contexts' sums
+    (own, p, low: probabilities of the followers, and what these would get from the shorter context). One row without a
+    slice per block has its texts' figures and, in turn, which of all contexts asked for each text fails from.
+    """
+    scale = total + 0.1 * (distinct + 1)
+
+    def run(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        g = Grams(list(texts["rows"]))
+        got = np.concatenate([_unpack(a).astype(np.int64) for a in answers.sort_values("slice")["answer"]])
+        c, owned = got >> 1, (got & 1).astype(bool)
+        one, two, three = g.of
+        last = lambda v, none: np.concatenate(([none], v[:-1]))
+        before, pair_before = last(one, 0), last(two, -1)  # of the context; the first token of a text has none
+        often = c[one] >= frequent
+        ok2 = (two >= 0) & (c[two] >= least) & often & last(often, False)
+        ok3 = (three >= 0) & (c[three] >= least) & ok2 & last(ok2, False)
+        p1 = (c[one] + 0.1) / scale
+        p2 = np.where(ok2, (c[two] - DISCOUNT) / np.maximum(c[before], 1), 1.0)
+        p3 = np.where(ok3, (c[three] - DISCOUNT) / np.maximum(c[pair_before], 1), 1.0)
+        base = np.log10(p1)
+        sure = np.where(ok3, np.log10(p3), np.where(ok2, np.log10(p2), base))
+        # Failure arcs: from a pair that is a state, and on from the word where it has no arc either.
+        from_pair = np.where(~ok3 & (three >= 0) & last(ok2, False), pair_before, -1)
+        from_word = np.where(~ok2 & (two >= 0) & last(often, False), before, -1)
+        both = np.stack([from_pair, from_word], axis=1)
+        need, which = np.unique(both[both >= 0], return_inverse=True)
+        fails = np.add.reduceat((both >= 0).sum(axis=1), np.cumsum(g.sizes) - g.sizes)
+
+        def mine(ok, gram):  # one place of each n-gram that this block owns
+            at = np.nonzero(ok)[0]
+            at = at[owned[gram[at]]]
+            return at[np.unique(gram[at], return_index=True)[1]]
+
+        m2, m3 = mine(ok2, two), mine(ok3, three)
+        own, place = np.unique(np.concatenate([before[m2], pair_before[m3]]), return_inverse=True)
+        sums = [np.bincount(place, weights=np.concatenate(v), minlength=len(own)) for v in ([p2[m2], p3[m3]], [p1[m2], p2[m3]])]
+        asks = list(_sliced(parts, g.keys[need]))
+        gives = list(_sliced(parts, g.keys[own], *sums))
+        rows = [(key[0], s, k, *give[1:], None) for (s, k), give in zip(asks, gives, strict=True)]
+        edges = np.cumsum(g.sizes)[:-1]
+        add = lambda v: [math.fsum(x.tolist()) for x in np.split(v, edges)]
+        docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(g.docs, pa.int64()), "held_out": pa.array(g.held, pa.bool_()), "n_tokens": g.sizes, "n_known": np.add.reduceat((c[one] > 0).astype(np.int64), np.cumsum(g.sizes) - g.sizes), "base_score": pa.array(add(base)), "sure": pa.array(add(sure)), "fails": fails.astype(np.int64)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema) as writer:
+            writer.write_batch(docs)
+        rows.append((key[0], None, _pack(_small(which)), None, None, None, sink.getvalue().to_pybytes()))
+        out = pd.DataFrame(rows, columns=["block", "slice", "keys", "own", "p", "low", "docs"])
+        out["slice"] = out["slice"].astype("Int32")
+        return out
+
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(run, "block long, slice int, keys binary, own binary, p binary, low binary, docs binary")
+
+
+def weights(asked: DataFrame) -> DataFrame:
+    """block, slice, answer: log10 weights of the failure arcs of the contexts asked for; 0 where one is no state."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        words, counts = [], []
-        for rows in pdf["rows"]:
-            _, held, texts = _unpacked(rows)
-            w, n = np.unique(_arrays(t for t, h in zip(texts, held, strict=True) if not h), return_counts=True)
-            rest = np.unique(_arrays(t for t, h in zip(texts, held, strict=True) if h))
-            words += [w, rest]
-            counts += [n, np.zeros(len(rest), dtype=np.int64)]
-        w, at = np.unique(np.concatenate(words), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate(counts), minlength=len(w)).astype(np.int64)
-        return pd.DataFrame({"block": np.int32(key[0]), "w": w.view(np.int64), "n": n})
+        pdf = pdf.sort_values("block")
+        own, place = np.unique(np.concatenate([_unpack(k) for k in pdf["own"]]), return_inverse=True)
+        p, low = (np.bincount(place, weights=np.concatenate([_unpack(v) for v in pdf[name]]), minlength=len(own)) for name in ("p", "low"))
+        # A last context of weight 0 stands for all that are no states.
+        weight = np.append(np.log10((1 - p).clip(1e-12) / (1 - low).clip(1e-12)), 0.0)
 
-    return blocks.groupBy("block").applyInPandas(run, "block int, w long, n long")
+        def of(keys: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(own, keys)
+            hit = at < len(own)
+            hit[hit] = own[at[hit]] == keys[hit]
+            return weight[np.where(hit, at, len(own))]
+
+        return pd.DataFrame({"block": pdf["block"].to_numpy(), "slice": np.int32(key[0]), "answer": [_pack(of(_unpack(k))) for k in pdf["keys"]]})
+
+    return asked.groupBy("slice").applyInPandas(run, "block long, slice int, answer binary")
 
 
 class Counts:
@@ -108,41 +265,8 @@ class Counts:
         return np.where(self.w[at] == w, self.c[at], 0)
 
 
-def ngrams(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """order, a, b, c, n: training bigrams (c: 0) and trigrams of frequent words, counted over all training texts."""
-    frequent = np.sort(frequent)
-
-    def count(x: np.ndarray, ends: np.ndarray):
-        if not len(frequent):
-            return
-        at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
-        code = np.where(frequent[at] == x, at, -1).astype(np.int64)
-        base = len(frequent) + 1
-        first = np.concatenate(([True], ends[:-1]))  # a text begins here
-        two = (code[:-1] >= 0) & (code[1:] >= 0) & ~first[1:]
-        yield 2, np.unique(code[:-1][two] * base + code[1:][two], return_counts=True)
-        if len(x) > 2:
-            three = two[:-1] & two[1:]
-            yield 3, np.unique((code[:-2][three] * base + code[1:-1][three]) * base + code[2:][three], return_counts=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = len(frequent) + 1
-        for batch in batches:
-            texts = [t for t, h in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True) if not h]
-            x = _arrays(texts)
-            if not len(x):
-                continue
-            for order, (keys, n) in count(x, x == END):
-                k = [keys // base, keys % base] if order == 2 else [keys // base**2, keys // base % base, keys % base]
-                ids = [frequent[i].view(np.int64) for i in k]
-                yield pa.RecordBatch.from_pydict({"ord": pa.array(np.full(len(keys), order, np.int32)), "a": ids[0], "b": ids[1], "c": ids[2] if order == 3 else np.zeros(len(keys), np.int64), "n": n.astype(np.int64)})
-
-    found = rows.select("held_out", "text").mapInArrow(run, "ord int, a long, b long, c long, n long")
-    return found.groupBy("ord", "a", "b", "c").agg(F.sum("n").alias("n"))
-
-
 class Automaton:
-    """States are contexts: 0 the empty one, then words, then pairs of words. An arc leads on by a word with its log10
+    """The plain version in one piece, for texts of any few states. States are contexts: 0 the empty one, then words, then pairs of words. An arc leads on by a word with its log10
     probability; where a state has none, its failure arc leads to the shorter context at a weight.
 
     A bigram's probability is (count - DISCOUNT) / count of its context; what discounts and pruning leave of a context,
@@ -211,46 +335,48 @@ class Automaton:
         return total
 
 
+def _let_go(df: DataFrame) -> None:
+    """Gives the shuffles that led to a written table to Spark's cleaner: once a later query has run, the driver's
+    garbage collection finds them unused."""
+    df.select("block").limit(1).collect()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(documents: DataFrame, *, mod: int = 10, min_share: float = MIN_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
+def score(documents: DataFrame, *, mod: int = 10, least: int = LEAST, min_share: float = 0.0, word_share: float = 0.0) -> DataFrame:
     """Scores every row by a model of those whose id's crc32 is no multiple of mod.
 
-    Unigram counts are exact and are joined to the blocks of texts that use them. N-grams of two and three words that have
-    word_share each and min_share together, of all training tokens, become an automaton that is sent to all tasks: there are at most
-    1 / min_share of each order, whatever the input's size. Null and empty texts are the end token alone; rows are
-    scored one by one, so repeated ids stay apart. Extra columns are ignored. No training text: all counts are 0.
+    All words, pairs and triples are counted exactly; those of two and three words seen least times or more are arcs of
+    the automaton (see Automaton), of any words and at every size. min_share and word_share, shares of all training
+    tokens that n-grams and their words must have, are off unless asked for. Blocks of texts ask slices of the key space
+    for the counts, then for the failure arcs' weights, of what they hold, so no task holds more than its block's states.
+    Null and empty texts are the end token alone; rows are scored one by one, so repeated ids stay apart. Extra columns
+    are ignored. No training text: all counts are 0.
     """
     blocks = in_blocks(documents, mod)
-    per_block = stored(unigrams(blocks), "words")
-    counts = stored(per_block.groupBy("w").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
-    facts = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()[0]
-    total, distinct = facts.n or 0, facts.v
-    least = max(2.0, min_share * total)
-    top = counts.where(F.col("c") >= max(2.0, word_share * total)).toPandas()  # at most 1 / word_share rows
-    frequent = Counts(top["w"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64))
-    grams = ngrams(_held(documents, mod), frequent.w).where(F.col("n") >= least).toPandas()  # as many for each order
-    automaton = Automaton(grams, frequent, total, distinct)
-    sent = documents.sparkSession.sparkContext.broadcast((automaton.arcs, automaton.fail, automaton.single))
-    known = per_block.select("block", "w").join(counts, "w").select("block", "w", "c")
-
-    def run(key, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        model = Automaton.__new__(Automaton)
-        model.arcs, model.fail, model.single = sent.value
-        scale, unseen = total + 0.1 * (distinct + 1), math.log10(0.1 / (total + 0.1 * (distinct + 1)))
-        low = dict(zip(words["w"].to_numpy(dtype=np.int64).view(np.uint64).tolist(), np.log10((words["c"].to_numpy() + 0.1) / scale).tolist(), strict=True))
-        out = []
-        for doc, held, text in (row for rows in texts["rows"] for row in zip(*_unpacked(rows), strict=True)):
-            ids = tokens(text)
-            found = [low.get(w) for w in ids]
-            base = [unseen if x is None else x for x in found]
-            out.append((doc, held, len(ids), len(ids) - found.count(None), total, math.fsum(base), model.log10(ids, base)))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
-
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(run, OUT)
+    parts = max(8, math.ceil((blocks.agg(F.sum("bytes").alias("n")).collect()[0].n or 0) / SLICE_BYTES))
+    answers = stored(totals(blocks, parts), "totals")
+    _let_go(answers)
+    facts = answers.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).collect()[0]
+    total, distinct = facts.n or 0, facts.v or 0
+    walk = walked(blocks.select("block", "rows"), answers.select("block", "slice", "answer"), parts, total, distinct, max(2.0, least, min_share * total), max(1.0, word_share * total))
+    walk = stored(walk, "walked")
+    _let_go(walk)
+    found = weights(walk.where("slice IS NOT NULL").select("block", "slice", "keys", "own", "p", "low"))
+
+    def run(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        weight = np.concatenate([_unpack(a) for a in answers.sort_values("slice")["answer"]])
+        back = weight[_unpack(texts["keys"].iloc[0])]
+        docs = pa.ipc.open_stream(texts["docs"].iloc[0]).read_all().to_pydict()
+        failed = [math.fsum(x.tolist()) for x in np.split(back, np.cumsum(docs.pop("fails"))[:-1])]
+        sure = docs.pop("sure")
+        frame = pd.DataFrame({**docs, "doc_id": pd.array(docs["doc_id"], dtype="Int64"), "train_tokens": total, "score": [a + b for a, b in zip(sure, failed, strict=True)]})
+        return frame[[c.split()[0] for c in OUT.split(", ")]]
+
+    return walk.where("slice IS NULL").select("block", "keys", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, OUT)
 
 
 def op6_backoff_automaton(spark, sf_dir: str) -> DataFrame:

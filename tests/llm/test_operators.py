@@ -264,6 +264,28 @@ def test_language_model(docs, none):
     assert ngram_lm.score(none).count() == 0
 
 
+def test_language_model_keeps_all_repeated_ngrams(spark):
+    import pandas as pd
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(200)) for _ in range(200)] + ["rare phrase of few"] * 3
+    texts += [t[: len(t) // 2] for t in texts[:60]]
+    rows = [(i, t) for i, t in enumerate(texts, 1)]
+    ids = {i: ngram_lm.tokens(t) for i, t in rows}
+    train = [x for i, x in ids.items() if not held_out(i, 10)]
+    uni = Counter(w for x in train for w in x)
+    grams = [Counter(g for x in train for g in zip(*[x[k:] for k in range(n)])) for n in (2, 3)]
+    kept = [(n, *g, *[0] * (3 - n), c) for n, counted in zip((2, 3), grams) for g, c in counted.items() if c >= 2]
+    signed = np.array([[x - (1 << 64) if x >= 1 << 63 else x for x in r] for r in kept], dtype=np.int64)
+    counts = ngram_lm.Counts(np.array(list(uni), np.uint64), np.array(list(uni.values())))
+    model = ngram_lm.Automaton(pd.DataFrame(signed, columns=["ord", "a", "b", "c", "n"]), counts, sum(uni.values()), len(uni))
+    scale = sum(uni.values()) + 0.1 * (len(uni) + 1)
+    out = {r.doc_id: r.score for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for i, x in ids.items():
+        assert abs(out[i] - model.log10(x, [math.log10((uni[w] + 0.1) / scale) for w in x])) < 1e-6
+
+
 def test_automaton_states_sum_to_one():
     import pandas as pd
 
