@@ -31,9 +31,21 @@ ADDRESS = frozenset("you your you're youre u are du dich dir dein ihr tu toi vou
 # Signs that stand for letters.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 _EDGE = "\"'“”„«»‘’.,;:!?()[]{}<>*_~-|#%&…"
+_RUN = re.compile(r"(.)\1\1+")
 _OPEN, _CLOSE = "\"“„«‘'", "\"”“»’'"
 
 
+def _thinned(word: str, n: int) -> Iterator[str]:
+    """word with up to n letters left out; a form can come twice."""
+    yield word
+    if n:
+        for i in range(len(word)):
+            one = word[:i] + word[i + 1 :]
+            yield one
+            if n > 1:
+                yield from [one[:j] + one[j + 1 :] for j in range(i, len(one))]
+
+
 class Trie:
     """A lexicon trie intersected with the Levenshtein automata of its terms.
 
@@ -55,7 +67,14 @@ class Trie:
                     self.most.append(0)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], self.allowed(term))
+            self.most[0] = max(self.most[0], self.allowed(term))
             self.term[node] = term
+        self.thinned = frozenset(v for t in self.term if t for v in _thinned(t, self.allowed(t)))
+        self.depth: dict[int, int] = {}  # by length of a word: how many of its letters edits can add or change
+        for t in filter(None, self.term):
+            k = self.allowed(t)
+            for n in range(len(t) - k, len(t) + k + 1):
+                self.depth[n] = max(self.depth.get(n, 0), k - max(0, len(t) - n))
         self._reset()
 
     def _reset(self) -> None:
@@ -64,6 +83,7 @@ class Trie:
         self.result: list[tuple[str, int] | None] = [None]
         self.members: dict[int, frozenset] = {}
         self.start = {c: self._state({(n, 0)}) for c, n in self.children[0].items()}
+        self.root = self._state({(0, 0)})
 
     @staticmethod
     def allowed(term: str) -> int:
@@ -99,8 +119,23 @@ class Trie:
         """The closest term within its allowed edits that begins with the same letter: (term, distance) or none."""
         if len(self.arcs) > 20_000:
             self._reset()
-        arcs, state = self.arcs, self.start.get(word[:1], 0)
-        for c in word[1:]:
+        return self._walk(self.start.get(word[:1], 0), word[1:])
+
+    def nearest(self, word: str) -> tuple[str, int] | None:
+        """The closest term within its allowed edits, wherever in the word they are: (term, distance) or none.
+
+        A word within n edits of a term equals it once up to n letters of each are left out; only such words are walked.
+        """
+        depth = self.depth.get(len(word))
+        if depth is None or self.thinned.isdisjoint(_thinned(word, depth)):
+            return None
+        if len(self.arcs) > 20_000:
+            self._reset()
+        return self._walk(self.root, word)
+
+    def _walk(self, state: int, word: str) -> tuple[str, int] | None:
+        arcs = self.arcs
+        for c in word:
             if not state:
                 return None
             following = arcs[state].get(c)
@@ -113,6 +148,7 @@ class _Hits(dict):
 
     def __init__(self, trie: Trie, terms: frozenset, harmless: frozenset) -> None:
         self.trie, self.terms, self.harmless, self.longest = trie, terms, harmless, max(map(len, terms), default=0) + 2
+        self.shortest = min((len(t) - trie.allowed(t) for t in trie.term if t), default=0)
 
     def __missing__(self, raw: str) -> int:
         if len(self) > 200_000:
@@ -124,14 +160,18 @@ class _Hits(dict):
         word = raw.strip(_EDGE)
         if word in self.terms:
             return 1
-        if not 4 < len(word) <= self.longest or word in self.harmless:
+        if word in self.harmless:
             return 0
-        if word.isalpha():
-            return 2 if self.trie.search(word) else 0
-        plain = re.sub(r"(.)\1\1+", r"\1", re.sub(r"[^\w]|_", "", word.translate(_LEET)))
-        if plain in self.terms:
+        if len(word) <= self.longest and word.isalpha() and self.misspelled(word):
             return 2
-        return 2 if plain not in self.harmless and self.trie.search(plain) else 0
+        plain = word if word.isalpha() else re.sub(r"[^\w]|_", "", word.translate(_LEET))
+        for run in {plain, _RUN.sub(r"\1\1", plain), _RUN.sub(r"\1", plain)}:
+            if run != word and (run in self.terms or self.misspelled(run)):
+                return 2
+        return 0
+
+    def misspelled(self, word: str) -> bool:
+        return self.shortest <= len(word) <= self.longest and word not in self.harmless and self.trie.nearest(word) is not None
 
 
 #: exact abusive, misspelled abusive, quoted hits, hits by word, any abusive hit, addressed hits
@@ -213,7 +253,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_ro
     def look_alikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(sorted(terms))
         for batch in batches:
-            found = [None if w in terms else trie.search(w) for w in batch.column(0).to_pylist()]
+            found = [None if w in terms else trie.nearest(w) for w in batch.column(0).to_pylist()]
             near = batch.append_column("term", pa.array([f and f[0] for f in found], pa.string()))
             yield near.filter(pc.is_valid(near.column("term")))
 

@@ -202,6 +202,33 @@ def test_lexicon_automaton_equals_edit_distance():
         assert trie.search(w) == ((near[0][1], near[0][0]) if near else None)
 
 
+def test_misspellings_anywhere_in_a_word():
+    terms = sorted(set(toxicity.SEED_TERMS))
+    trie = toxicity.Trie(terms)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(1500):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w) + 1) if rng.random() < 0.6 else 0
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "e", "o", "x"])
+        w = "".join(w)
+        near = sorted((d, t) for t in terms if (d := distance(w, t)) <= trie.allowed(t))
+        assert trie.nearest(w) == ((near[0][1], near[0][0]) if near else None)
+    hits = toxicity.ToxicityModel(frozenset(terms), frozenset(terms), frozenset({"lown"})).hits()
+    assert all(hits[w] == 2 for w in "xdiot *diot tupid sasshole idot moro idiooooot stuuuupid id10t".split())
+    assert all(hits[w] == 0 for w in "lown nice day tree".split()) and hits["idiot!"] == 1
+
+
 def test_quotation_counts_apart_from_abuse():
     model = toxicity.ToxicityModel(frozenset(toxicity.SEED_TERMS), frozenset(toxicity.SEED_TERMS), frozenset())
     hits = model.hits()
