@@ -95,18 +95,39 @@ def page_of(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
+def _digested(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and digest, the payload's SHA-1."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"))
+
+
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, refers_to of the pages whose payload, of least_bytes or more, a page with a smaller id has too."""
-    html = F.coalesce("html", F.lit(""))
-    narrow = pages.where(F.col("page_id").isNotNull() & (F.octet_length(html) >= least_bytes)).select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("digest"))
+    """page_id, digest, refers_to of the payloads, of least_bytes or more, that a page with a smaller id has too.
+
+    Rows are known by page and digest, so of rows that share an id only those with the repeated payload are revisits.
+    Payloads of over a thousandth of all rows, a thousand at most, are joined by broadcast, the others by a shuffle.
+    """
+    whole = _digested(pages)
+    narrow = whole.where(F.col("page_id").isNotNull() & (F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes)).select("page_id", "digest")
     narrow = stored(narrow.distinct(), "digests")
-    first = stored(narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    return narrow.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
+    first = stored(narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "first")
+    hot = F.broadcast(first.where(F.col("n") > max(1000, narrow.count() // 1000)).select("digest", F.col("refers_to").alias("hot")))
+    marked = narrow.join(hot, "digest", "left")
+    found = marked.where("hot IS NOT NULL").select("page_id", "digest", F.col("hot").alias("refers_to"))
+    rest = marked.where("hot IS NULL").select("page_id", "digest").join(first.select("digest", "refers_to"), "digest").select("page_id", "digest", "refers_to")
+    return found.unionByName(rest).where("page_id <> refers_to")
 
 
 def train_dictionary(pages: DataFrame, *, pages_read: int = 200, sample_chars: int = 8192, size: int = 16384) -> bytes:
-    """A dictionary from the first sample_chars characters of the pages_read pages with the lowest hashes; b"" if these are too few."""
-    sample = pages.where("html <> ''").select(F.substring("html", 1, sample_chars).alias("h"), F.xxhash64("page_id").alias("x")).orderBy("x", "h").limit(pages_read).collect()
+    """A dictionary from the first sample_chars characters of the pages_read pages with the lowest hashes; b"" if these are too few.
+
+    A threshold of the hash, set by the number of pages, leaves about four times pages_read pages before any are ranked,
+    so what tasks send to the driver doesn't grow with the table.
+    """
+    some = pages.where("html <> ''")
+    share = min(1.0, 4 * pages_read / max(1, some.count()))
+    x = F.xxhash64("page_id", "html")
+    some = some.where(F.pmod(x, F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = some.select(F.substring("html", 1, sample_chars).alias("h"), x.alias("x")).orderBy("x", "h").limit(pages_read).collect()
     texts = [r.h.encode("utf-8", "replace") for r in sample]
     parts = [t[i : i + 1024] for t in texts for i in range(0, len(t), 1024)]
     try:
@@ -118,10 +139,11 @@ def train_dictionary(pages: DataFrame, *, pages_read: int = 200, sample_chars: i
 def write_archives(pages: DataFrame, *, least_bytes: int = 0, archive_bytes: int = 8_000_000, level: int = 3) -> DataFrame:
     """archive (a name) and content (the bytes of a .warc.zst file): one record for each row of pages.
 
-    Null html is an empty payload, a null url is left out. A row without page_id is a response always.
+    Null html is an empty payload, a null url is left out. A row without page_id is a response always, and so are all
+    rows of one page_id with one payload if no smaller id has it. Extra columns are ignored.
     """
     dictionary = train_dictionary(pages)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(revisits(pages, least_bytes), "page_id", "left")
+    rows = _digested(pages).join(revisits(pages, least_bytes), ["page_id", "digest"], "left").drop("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = b""
@@ -160,7 +182,8 @@ def save(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             names, contents = (batch.column(c).to_pylist() for c in ("archive", "content"))
             for name, content in zip(names, contents, strict=True):
-                with to.open_output_stream(f"{path}/{name}") as f:  # a rerun writes the same file again
+                # The frames are compressed already; a rerun writes the same file again.
+                with to.open_output_stream(f"{path}/{name}", compression=None) as f:
                     f.write(content)
             yield pa.RecordBatch.from_pydict({"archive": names, "bytes": pa.array(map(len, contents), pa.int64())})
 
@@ -211,7 +234,10 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
 
 
 def op8_warc_zstd(spark, sf_dir: str) -> DataFrame:
-    """Archives are written to a table in the shared folder and read back from there."""
+    """Archives are written to a table in the shared folder and read back from there.
+
+    One row per row of pages: null html counts as empty, repeated rows and ids are archived each, extra columns are ignored.
+    """
     from .common import table
 
     return read_archives(stored(write_archives(table(spark, sf_dir, "pages")), "archives")).drop("url")
