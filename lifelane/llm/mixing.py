@@ -87,13 +87,13 @@ def counts_median(counts: list[tuple[int, int]]) -> int:
 
 
 def pick(rows: DataFrame, keys: list[str], want: DataFrame, seed: int, buckets: int = 256) -> DataFrame:
-    """The rows of each key group with the lowest seeded hashes, as many as want (keys, n) says: exactly that many.
+    """The rows of each key group with the lowest seeded hashes of doc_id and _key, as many as want (keys, n) says: exactly that many.
 
     Groups are split into buckets of the hash: buckets below the cut are taken whole, those above not at all, and only
     the one that holds the cut is ranked, so that no task sorts a whole hot group.
     """
     names = rows.columns
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_key")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     order = Window.partitionBy(*keys).orderBy("_bucket")
     sums = (
         rows.groupBy(*keys, "_bucket")
@@ -121,17 +121,21 @@ NO_SOURCE = "\x00null"
 
 
 def plan(rows: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
-    """rows (doc_id, source, size, any other columns) with source_size, target and times, the copies the mix takes.
+    """rows (doc_id, source, size, any other columns) with source_size, target, times (the copies the mix takes) and _key.
 
     Sources in order of their code points, null last, take the weights in turn. Each takes whole rounds of all its
-    documents, at most MAX_REPEATS, then a seeded choice by length for the rest of its target. One row for each source
-    passes through the driver; lengths are fitted by one task for each source, documents are chosen on the executors.
+    documents, at most MAX_REPEATS, then a seeded choice by length for the rest of its target. Documents without words
+    (null and empty texts) are never taken: times is 0. Ties are broken by a hash of the whole row (_key), so that
+    reruns agree; of rows that are equal throughout it doesn't matter which is taken. rows is written once, so what
+    it computes is computed once. One row for each source passes through the driver; lengths are fitted by one task
+    for each source, documents are chosen on the executors.
     """
     from .common import stored
 
-    rows = rows.withColumn("_source", F.coalesce("source", F.lit(NO_SOURCE)))
-    lengths = stored(rows.groupBy("_source", "size").agg(F.count("*").alias("n")), "lengths")
-    totals = sorted(((r._source == NO_SOURCE, r._source.encode(), r.total), r._source) for r in lengths.groupBy("_source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect())
+    rows = stored(rows.withColumn("_source", F.coalesce("source", F.lit(NO_SOURCE))).withColumn("_key", F.xxhash64(*rows.columns)), "sized")
+    lengths = stored(rows.where("size > 0").groupBy("_source", "size").agg(F.count("*").alias("n")), "lengths")
+    sums = rows.groupBy("_source").agg(F.sum("size").alias("total")).collect()
+    totals = sorted(((r._source == NO_SOURCE, r._source.encode(), r.total), r._source) for r in sums)
     found = targets([k[2] for k, _ in totals], [weights[i % len(weights)] for i in range(len(totals))])
     goal = {name: (k[2], t) for (k, name), t in zip(totals, found, strict=True)}
 
@@ -142,14 +146,16 @@ def plan(rows: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, seed: int = 7
         return pd.DataFrame({"_source": pdf["_source"].iloc[0], "size": list(chosen), "n": list(chosen.values())}).astype({"size": "int64", "n": "int64"})
 
     want = stored(lengths.groupBy("_source").applyInPandas(fitted, "_source string, size long, n long"), "chosen")
-    extra = pick(rows.select("doc_id", "_source", "size").where("size > 0"), ["_source", "size"], want, seed)
-    extra = extra.groupBy("doc_id", "_source", "size").agg(F.count("*").alias("_n"))
+    row = ["doc_id", "_source", "size", "_key"]
+    extra = pick(rows.select(*row).where("size > 0"), ["_source", "size"], want, seed)
+    extra = extra.groupBy(*row).agg(F.count("*").alias("_n"))
     facts = rows.sparkSession.createDataFrame([(s, t, float(g), rounds(t, g)) for s, (t, g) in goal.items()], "_source string, source_size long, target double, _rounds int")
-    # Repeated rows of one id and length share its hash: the first of them take what was chosen.
-    again = F.row_number().over(Window.partitionBy("doc_id", "_source", "size").orderBy(F.lit(1)))
-    keys = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("doc_id", "_source", "size")]
+    # Of equal rows the first ones take what was chosen.
+    again = F.row_number().over(Window.partitionBy(*row).orderBy("_key"))
+    keys = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in row]
     out = rows.withColumn("_again", again).alias("a").join(extra.alias("b"), _all(keys), "left").select("a.*", F.coalesce("b._n", F.lit(0)).alias("_n"))
-    return out.join(F.broadcast(facts), "_source").withColumn("times", F.col("_rounds") + (F.col("_again") <= F.col("_n")).cast("int")).drop("_source", "_again", "_n", "_rounds")
+    times = F.when(F.col("size") > 0, F.col("_rounds") + (F.col("_again") <= F.col("_n")).cast("int")).otherwise(0)
+    return out.join(F.broadcast(facts), "_source").withColumn("times", times).drop("_source", "_again", "_n", "_rounds")
 
 
 def rounds(total: int, target: float) -> int:
@@ -157,6 +163,7 @@ def rounds(total: int, target: float) -> int:
 
 
 def op9_subset_sum_mix(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of each row of documents; null ids and repeated rows keep a row each, other columns are ignored."""
     from .common import table
 
     rows = sized(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size")
@@ -164,7 +171,19 @@ def op9_subset_sum_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of documents as often as the plan takes it, with the columns of documents."""
-    rows = sized(documents.select(F.struct("*").alias("_row"), "doc_id", "source", "text")).drop("text")
-    taken = plan(rows).where("times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select("_row.*")
+    """The mixed corpus: each row of documents as often as the plan takes it, with the columns of documents.
+
+    The plan is made of narrow rows; the texts are shuffled once, to meet it. See plan() for empty texts, ties and
+    repeated rows.
+    """
+    row = F.xxhash64(*documents.columns)
+    taken = plan(sized(documents.select("doc_id", "source", "text", row.alias("_row"))).drop("text")).where("times > 0")
+    taken = taken.groupBy("doc_id", "_row").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
+    # Equal rows share what they take: each the same, and the first ones one more each.
+    again = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_row")) - 1
+    rows = documents.withColumn("_id", F.col("doc_id")).withColumn("_row", row).withColumn("_again", again)
+    same = F.col("r._id").eqNullSafe(F.col("t.doc_id")) & (F.col("r._row") == F.col("t._row"))
+    both = rows.alias("r").join(taken.alias("t"), same).select(*[F.col(f"r.`{c}`") for c in documents.columns], "r._again", "t._times", "t._rows")
+    times = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_again") < F.col("_times") % F.col("_rows")).cast("int")
+    both = both.withColumn("_copies", times.cast("int")).where("_copies > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*documents.columns)
