@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 # Element ids of the Matroska format.
 EBML, EBML_DOCTYPE = 0x1A45DFA3, 0x4282
-SEGMENT, INFO, TIMESTAMP_SCALE, TRACKS, TRACK_ENTRY = 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE
+SEGMENT, INFO, TIMESTAMP_SCALE, TRACKS, TRACK_ENTRY, DEFAULT_DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE, 0x23E383
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-#: Elements that hold elements.
-_MASTERS = frozenset((EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS))
+#: Elements that hold elements, but for those that parse() takes apart itself.
+_MASTERS = frozenset((EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, CUE_POINT))
 
 FRAME = 576  # samples in a packet: 72 ms at RATE
 RATE = 8000
@@ -29,7 +29,7 @@ RATE = 8000
 @dataclass(frozen=True)
 class Packet:
     track: int
-    timestamp: int  # in units of the segment's timestamp scale
+    timestamp_ns: int | None  # None: a later frame of a lace, in a file that says no duration
     keyframe: bool
     offset: int
     size: int
@@ -74,8 +74,12 @@ def _unknown_end(data: bytes, at: int, end: int) -> int:
     return end
 
 
-def block_packets(data: bytes, at: int, end: int, base: int, keyframe: bool | None) -> list[Packet]:
-    """The packets of one block: no lacing, Xiph, fixed-size or EBML lacing."""
+def block_packets(data: bytes, at: int, end: int, base: int, keyframe: bool | None = None, *, scale: int = 1_000_000, durations: dict[int, int] | None = None, duration: int | None = None) -> list[Packet]:
+    """The packets of one block: no lacing, Xiph, fixed-size or EBML lacing.
+
+    Frame i of a lace begins i frame durations after the block: durations has them by track, in nanoseconds, else they
+    are equal parts of duration, the block's own in units of scale. keyframe: None for a simple block, which has a flag.
+    """
     track, at = vint(data, at)
     (relative,) = struct.unpack_from(">h", data, at)
     flags = data[at + 2]
@@ -83,7 +87,7 @@ def block_packets(data: bytes, at: int, end: int, base: int, keyframe: bool | No
     key = bool(flags & 0x80) if keyframe is None else keyframe
     lacing = flags >> 1 & 3
     if not lacing:
-        return [Packet(track, base + relative, key, at, end - at)]
+        return [Packet(track, (base + relative) * scale, key, at, end - at)]
     n = data[at] + 1
     at += 1
     sizes: list[int] = []
@@ -107,8 +111,10 @@ def block_packets(data: bytes, at: int, end: int, base: int, keyframe: bool | No
     if min(sizes) < 0:
         raise ValueError("a lace is longer than its block")
     out = []
-    for size in sizes:
-        out.append(Packet(track, base + relative, key, at, size))
+    each = (durations or {}).get(track) or (duration * scale / n if duration is not None else None)
+    for i, size in enumerate(sizes):
+        late = 0 if not i else None if each is None else round(i * each)
+        out.append(Packet(track, None if late is None else (base + relative) * scale + late, key, at, size))
         at += size
     return out
 
@@ -118,25 +124,42 @@ def parse(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict[s
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
     facts = {"scale": 1_000_000, "tracks": 0, "clusters": 0}
+    durations: dict[int, int] = {}  # of a frame, by track
+
+    def number(start: int, stop: int) -> int:
+        return int.from_bytes(data[start:stop], "big")
+
+    def group(start: int, stop: int, base: int) -> None:
+        """A block with its duration, which may follow it; one that refers to other blocks is no keyframe."""
+        inner = list(elements(data, start, stop))
+        duration = next((number(a, b) for i, a, b in inner if i == BLOCK_DURATION), None)
+        alone = all(i != REFERENCE_BLOCK for i, _, _ in inner)
+        for i, a, b in inner:
+            if i == BLOCK:
+                packets.extend(block_packets(data, a, b, base, alone, scale=facts["scale"], durations=durations, duration=duration))
 
     def walk(at: int, end: int, base: int, origin: int) -> None:
         cue_time = cue_track = 0
         for ident, start, stop in elements(data, at, end):
             if ident == TIMESTAMP_SCALE:
-                facts["scale"] = int.from_bytes(data[start:stop], "big")
+                facts["scale"] = number(start, stop)
             elif ident == TIMESTAMP:
-                base = int.from_bytes(data[start:stop], "big")
+                base = number(start, stop)
             elif ident == SIMPLE_BLOCK:
-                packets.extend(block_packets(data, start, stop, base, None))
-            elif ident == BLOCK:
-                packets.extend(block_packets(data, start, stop, base, True))
+                packets.extend(block_packets(data, start, stop, base, scale=facts["scale"], durations=durations))
+            elif ident == BLOCK_GROUP:
+                group(start, stop, base)
+            elif ident == TRACK_ENTRY:
+                facts["tracks"] += 1
+                found = {i: number(a, b) for i, a, b in elements(data, start, stop) if i in (TRACK_NUMBER, DEFAULT_DURATION)}
+                if DEFAULT_DURATION in found:
+                    durations[found.get(TRACK_NUMBER, 0)] = found[DEFAULT_DURATION]
             elif ident == CUE_TIME:
-                cue_time = int.from_bytes(data[start:stop], "big")
+                cue_time = number(start, stop)
             elif ident == CUE_POSITIONS:
-                found = {i: int.from_bytes(data[a:b], "big") for i, a, b in elements(data, start, stop)}
+                found = {i: number(a, b) for i, a, b in elements(data, start, stop)}
                 cues.append((cue_time, found.get(CUE_TRACK, cue_track), origin + found.get(CUE_CLUSTER, 0)))
             elif ident in _MASTERS:
-                facts["tracks"] += ident == TRACK_ENTRY
                 facts["clusters"] += ident == CLUSTER
                 walk(start, stop, base, start if ident == SEGMENT else origin)
 
@@ -165,6 +188,7 @@ _LEAD = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000)) + _element(
         _uint(TRACK_NUMBER, 1)
         + _uint(TRACK_UID, 1)
         + _uint(TRACK_TYPE, 2)
+        + _uint(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE)
         + _element(CODEC_ID, b"A_PCM/INT/LIT")
         + _element(AUDIO, _element(SAMPLING, struct.pack(">d", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8)),
     ),
@@ -228,7 +252,8 @@ PACKETS = "track int, timestamp_ns long, keyframe boolean, byte_offset long, byt
 def packet_table(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
     """One row for each packet of each file: key, packet number, track, time and byte range in the file.
 
-    A null file has no packets; a broken one raises.
+    Times are null only for later frames of laces whose file gives no duration. A null file has no packets; a broken
+    one raises.
     """
     schema = f"{key} {media.schema[key].dataType.simpleString()}, packet long, {PACKETS}"
 
@@ -236,13 +261,13 @@ def packet_table(media: DataFrame, column: str = "media", key: str = "doc_id") -
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
                 if data.is_valid:
-                    found, _, facts = parse(data.as_py())
+                    found, _, _ = parse(data.as_py())
                     yield pa.RecordBatch.from_pydict(
                         {
                             key: pa.array([name.as_py()] * len(found), batch.column(0).type),
                             "packet": pa.array(range(len(found)), pa.int64()),
                             "track": pa.array([p.track for p in found], pa.int32()),
-                            "timestamp_ns": pa.array([p.timestamp * facts["scale"] for p in found], pa.int64()),
+                            "timestamp_ns": pa.array([p.timestamp_ns for p in found], pa.int64()),
                             "keyframe": pa.array([p.keyframe for p in found], pa.bool_()),
                             "byte_offset": pa.array([p.offset for p in found], pa.int64()),
                             "byte_size": pa.array([p.size for p in found], pa.int64()),
@@ -273,6 +298,10 @@ def digest(media: DataFrame) -> DataFrame:
 
 
 def op10_matroska(spark, sf_dir: str) -> DataFrame:
-    from .common import table
+    """The files are stored as a table in the shared folder, then read back and described, one row for each document.
+
+    Null and empty texts are a packet of padding; repeated rows and ids are stored each, extra columns are ignored.
+    """
+    from .common import stored, table
 
-    return digest(store_texts(table(spark, sf_dir, "documents")))
+    return digest(stored(store_texts(table(spark, sf_dir, "documents")), "media"))
