@@ -84,85 +84,30 @@ class Codec:
         found = self.apart.setdefault(left, {})[right] = self._merged(left + right) == [left, right]
         return found
 
-    def _extend(self, window: str, last: list, at: int, before: str) -> None:
-        """Takes the path that ends at `at` on over every piece that begins there; last has an entry per position."""
-        left = last[at] if at else before
-        if left is None:
-            return
-        apart = self.apart.get(left) if left else None
-        node = self.root
-        for end in range(at, len(window)):
-            node = node.get(window[end])
-            if node is None:
-                if end > at:
-                    return
-                node, piece = {}, window[at]  # a sign of no piece stands for itself
-            else:
-                piece = node.get("")
-                if piece is None:
-                    if end > at:
-                        continue
-                    piece = window[at]
-            if left:
-                good = apart.get(piece) if apart is not None else None
-                if good is None:
-                    good = self._may_follow(left, piece)
-                    apart = self.apart.get(left)
-                if not good:
-                    continue
-            last[end + 1] = piece
-
-    def stream(self, chunks) -> Iterator[int]:
-        """Ids of a text that comes in chunks of any size; spaces must already be SPACE.
+    def _advance(self, window: str, last: list, lo: int, hi: int) -> None:
+        """Takes the paths that end at positions lo to hi - 1 on over every piece that begins there.
 
-        window holds the characters since the last commit, last[i] the piece that ends the surviving path to position
-        i. Paths to the first `done` positions are final; paths go on only from the last `longest` of them. Where all
-        of these lead back to one boundary, what lies before it is settled, is committed and leaves the window.
+        last has for each position the piece that ends the surviving path to it, or None; at 0 the last committed piece.
         """
-        window, last, before, done = "", [""], "", 0  # before: the last committed piece
-        longest = self.longest
-        for chunk in chunks:
-            for lo in range(0, len(chunk), longest):
-                part = chunk[lo : lo + longest]
-                window += part
-                last += [None] * len(part)
-                while done + longest <= len(window):
-                    self._extend(window, last, done, before)
-                    done += 1
-                if done >= 2 * longest and (at := self._converged(last, done)):
-                    settled = self._trace(last, at)
-                    for piece in settled:
-                        yield from self._ids(piece)
-                    before = settled[-1]
-                    window, last, done = window[at:], [before, *last[at + 1 :]], done - at
-        while done < len(window):
-            self._extend(window, last, done, before)
-            done += 1
-        for piece in self._trace(last, len(window)):
-            yield from self._ids(piece)
-
-    def _short(self, run: str) -> list[int]:
-        """stream() for a run that is all there and short: the same steps without a window."""
-        n = len(run)
-        last: list = ["", *[None] * n]
-        root, apart = self.root, self.apart
-        for at in range(n):
+        root, apart, n = self.root, self.apart, len(window)
+        for at in range(lo, hi):
             left = last[at]
             if left is None:
                 continue
             good = apart.get(left) if left else None
             node = root
             for end in range(at, n):
-                node = node.get(run[end])
+                node = node.get(window[end])
                 if node is None:
-                    if end == at:
-                        self._extend(run, last, at, "")  # a sign of no piece
-                    break
-                piece = node.get("")
-                if piece is None:
                     if end > at:
-                        continue
-                    piece = run[at]
+                        break
+                    node, piece = {}, window[at]  # a sign of no piece stands for itself
+                else:
+                    piece = node.get("")
+                    if piece is None:
+                        if end > at:
+                            continue
+                        piece = window[at]
                 if left:
                     fits = good.get(piece) if good is not None else None
                     if fits is None:
@@ -171,12 +116,33 @@ class Codec:
                     if not fits:
                         continue
                 last[end + 1] = piece
-        ids = self.ids
-        out: list[int] = []
-        for piece in self._trace(last, n):
-            i = ids.get(piece)
-            out += [i] if i is not None else self._ids(piece)
-        return out
+
+    def commits(self, chunks) -> Iterator[bytes]:
+        """Packed ids of a text that comes in chunks of any size, as they are settled; spaces must already be SPACE.
+
+        What is not settled yet lies in a window (see _Window). Paths converge at the latest where a run ends, as no
+        piece lies across such a place: the window begins anew there. Runs settled before come from a cache.
+        """
+        window, tail = _Window(self), ""
+        for chunk in chunks:
+            if not chunk:
+                continue
+            goes_on = self.runs.match(tail + chunk).end() - len(tail)
+            yield window.feed(chunk[:goes_on])
+            if goes_on < len(chunk):
+                yield window.close()
+                runs = self.runs.findall(chunk, goes_on)
+                last = runs.pop()
+                yield from map(self.packed.__getitem__, runs)
+                window = _Window(self)
+                yield window.feed(last)
+            tail = chunk[-1]
+        yield window.close()
+
+    def stream(self, chunks) -> Iterator[int]:
+        """The ids of commits()."""
+        for packed in self.commits(chunks):
+            yield from np.frombuffer(packed, np.int32).tolist()
 
     def _converged(self, last: list, done: int) -> int:
         """The last boundary that the surviving paths share; 0: none. Paths may end up to a piece beyond done."""
@@ -200,11 +166,16 @@ class Codec:
             return [i]
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
+    def _packed(self, pieces: list[str]) -> bytes:
+        ids, out = self.ids, []
+        for piece in pieces:
+            i = ids.get(piece)
+            out += [i] if i is not None else self._ids(piece)
+        return np.array(out, np.int32).tobytes()
+
     def pack(self, text: str) -> bytes:
         """The ids of a whole text as 32-bit integers."""
-        if not text:
-            return b""
-        return b"".join(map(self.packed.__getitem__, self.runs.findall(SPACE + text.replace(" ", SPACE))))
+        return b"".join(self.commits([SPACE + text.replace(" ", SPACE)])) if text else b""
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.pack(text), np.int32).tolist()
@@ -234,10 +205,50 @@ def _plain(raw: bytes) -> str:
     return text[1:] if text[:1] == " " else text
 
 
+class _Window:
+    """The surviving paths over the text since the last commit.
+
+    Positions before `done` are final; paths go on only from the last `longest` of them, as no piece is longer. Where
+    all of these lead back to one boundary, what lies before it is settled, is committed and leaves the window.
+    """
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.text, self.last, self.done, self.fresh = codec, "", [""], 0, True
+
+    def feed(self, text: str) -> bytes:
+        """Takes more text; the packed ids that it settles."""
+        codec, longest, out = self.codec, self.codec.longest, []
+        for lo in range(0, len(text), longest):
+            part = text[lo : lo + longest]
+            self.text += part
+            self.last += [None] * len(part)
+            ready = len(self.text) - longest + 1
+            if self.fresh and len(self.text) <= _Runs.LONGEST or ready <= self.done:
+                continue
+            codec._advance(self.text, self.last, self.done, ready)
+            self.done = ready
+            if ready >= 2 * longest and (at := codec._converged(self.last, ready)):
+                settled = codec._trace(self.last, at)
+                out.append(codec._packed(settled))
+                self.text, self.last, self.done, self.fresh = self.text[at:], [settled[-1], *self.last[at + 1 :]], ready - at, False
+        return b"".join(out)
+
+    def close(self) -> bytes:
+        """The packed ids of what is left, at the end of a run; what was not begun may be in the cache."""
+        if not self.text:
+            return b""
+        return self.codec.packed[self.text] if self.fresh and not self.done else self.settle()
+
+    def settle(self) -> bytes:
+        self.codec._advance(self.text, self.last, self.done, len(self.text))
+        return self.codec._packed(self.codec._trace(self.last, len(self.text)))
+
+
 class _Runs(dict):
-    """Run -> its packed ids. What two generations of MOST runs did not use is forgotten."""
+    """Run -> its packed ids. Runs of more than LONGEST signs aren't kept, and others are forgotten once two generations of MOST runs did not use them."""
 
     MOST = 250_000
+    LONGEST = 32
 
     def __init__(self, codec: Codec) -> None:
         self.codec, self.old = codec, {}
@@ -245,9 +256,9 @@ class _Runs(dict):
     def __missing__(self, run: str) -> bytes:
         packed = self.old.get(run)
         if packed is None:
-            ids = self.codec._short(run) if len(run) <= 32 else list(self.codec.stream([run]))
-            packed = np.array(ids, np.int32).tobytes()
-        if len(run) <= 32:
+            window = _Window(self.codec)
+            packed = window.feed(run) + window.settle()
+        if len(run) <= self.LONGEST:
             if len(self) >= self.MOST:
                 self.old = {}  # freed before the copy is made
                 self.old.update(self)
