@@ -43,37 +43,119 @@ _APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-KNOWN = [
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+#: Whole texts.
+TEXTS = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT),
+    ("MIT", "The MIT License\n\n" + _MIT),
     ("ISC", _ISC + _ISC_END),
     ("ISC", "ISC License\n\n" + _ISC + _ISC_END),
+    ("ISC", "The ISC License\n\n" + _ISC + _ISC_END),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_END),
     ("BSD-2-Clause", _BSD_1 + _BSD_END),
     ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_1 + _BSD_END),
     ("BSD-3-Clause", _BSD_1 + _BSD_3 + _BSD_END),
     ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_1 + _BSD_3 + _BSD_END),
     ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", _BOOST),
     ("Apache-2.0", _APACHE_HEADER),
-    # One-line notices.
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Licensed under CC0 1.0."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 ]
+# Names that notices give to licences, by their SPDX identifiers.
+NAMES = {
+    "MIT": ["MIT", "MIT License"],
+    "ISC": ["ISC License"],
+    "0BSD": ["Zero-Clause BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-clause BSD License", "New BSD License"],
+    "BSD": ["BSD License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GPL v2", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GPL v3", "GPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0"],
+    "Unlicense": ["Unlicense"],
+    "BSL-1.0": ["Boost Software License, version 1.0"],
+    "Zlib": ["zlib License"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0"],
+}
+# How notices begin; the suffixes of identifiers of the GNU licences.
+VERBS = ("Licensed", "Released", "Distributed", "Made available", "This work is licensed", "This software is licensed", "This project is licensed", "This file is licensed")
+GNU = ("", "-only", "-or-later")
+
+
+def notices() -> list[tuple[str, str]]:
+    """(licence, text) of one-line notices: each way to begin with each name, and the SPDX tags."""
+    out = [(k, f"{verb} under {the}{name}") for k, names in NAMES.items() for name in names for verb in VERBS for the in ("", "the ")]
+    tags = [(k, k + suffix) for k in NAMES for suffix in (GNU if "GPL" in k else GNU[:1])]
+    return out + [(k, f"SPDX-License-Identifier: {tag}") for k, tag in tags]
+
+
+KNOWN = [*TEXTS, *notices()]
+# SHA-256 of canonical forms of published texts too long to state here, whole and up to the end of their
+# terms (without the advice on how to apply them). They belong to the rules below; digest_of() makes them.
+DIGESTS: dict[str, str] = {
+    "d5cce59894f81f475c7e70e66609ed533403884a070fc8cf7cbe6eb6a3a89395": "Apache-2.0",
+    "9d31076cc73e5bfc1b2ba9c264a0d64117a19d93b1cb765cfb8c56769d850380": "Apache-2.0",
+    "924e4c51183826e3676a8c3059bda7f0b3e543979f20bfd65aa90bdcd8f867e3": "Apache-2.0",
+    "08b5ae7fb88d3c5f8ffbf5d82741879a9a9f91f18ca3419506b64e03454d6b32": "Artistic-1.0",
+    "e8daa50c96df2ade9d116da144a66a3e46944a78c9ae7c49064074817a5d8988": "BSD-3-Clause",
+    "b096badc0168abbd7a6496f3097d3b3e33b5d3d54dbc0990a1eb8341c549c075": "CC0-1.0",
+    "d98cfcb202860aae95d5403bfa950318c37036295febc70f670b77815dc77daf": "GFDL-1.2",
+    "b0d4c9a0a002ffe6e3c5510ed6324a5adeba037842173d64472cf0147bd38366": "GFDL-1.2",
+    "54910ea1c2f6620f77848db8ad1a71e9d2c3f58d5ada1d7948a671620df787ec": "GFDL-1.3",
+    "62455780ffa1820468cdab078e51f51c46ba0c4e1d3b9b28b948e110ecaa3c58": "GFDL-1.3",
+    "86d00b1724a6958a45cc6c207a477fbe576706219f68101624d0d4972fc2e3f7": "GPL-1.0",
+    "fd518a911b95e7cf4bdec79d7d22fa05b9d26edd66e908adc1ca8b47f72d0847": "GPL-1.0",
+    "35a9c73c0167f352d66b93013a4cfc77e144b24cc53779a03cdac5a1d00e4856": "GPL-1.0",
+    "04d91ed06029f7d68de9e2d71dd93b20c3090cee95513e270d7a5f20bca994f8": "GPL-2.0",
+    "a1c0b3e8d9dce63bd6ddfd85d710d7ca4f375b145bcc19d9718685ceb082a8d5": "GPL-2.0",
+    "2a8699ed46a67d8d45ec9d4eafae1b815efd14b42aeaf8ffe19ab6d10cc0648e": "GPL-2.0",
+    "2a5efb694ea2bfd0636169e4ab07f04f0f83e95ab11d803b003cf7dfc6de375e": "GPL-3.0",
+    "3fd038b72db3c0f91c2cfdffad248c84aa7f4588c90d80ab7e5cc3e4111e1583": "GPL-3.0",
+    "56da6eb8f7e8cda7abc65f64914a4287b4bb2fda9ec0882180115c31ff4a5b0e": "GPL-3.0",
+    "a93ff8b289456df241b7246015155227af586805c65ae078b37ada76a1bb0cee": "LGPL-2.0",
+    "2daf4048e90838b0bbd4703555df22f0caafbc63d93990f7d27f9bda421dcab8": "LGPL-2.0",
+    "2657501b8de8872f768ac8972ae7ebd34b85a767bb27f127430aecdd112777eb": "LGPL-2.0",
+    "2f94a9829117f7a4941e7d583cbc0b4781b9c9b8cf4ad442c7efacff1d4ca929": "LGPL-2.1",
+    "c8fbf2e9c3180729524f66f3c26b17ca0bc700c9434041daea6d769cc18fa52a": "LGPL-2.1",
+    "3d96763ece841bf1a50b2525345de82a4c009fc708bbbc56f213cecb80fc33b8": "LGPL-2.1",
+    "f9971a40b39b55b23a81e443f25bde5afd88dcddc5a97e859f3e234c6409bb34": "LGPL-3.0",
+    "f134986ddf23a12113dc1552eb9f4af0bd22dbca29e57c2fe5f26aacfce88c35": "MPL-1.1",
+    "1e6ee7e490a746e8af6b273608ab6ba2b583fe5e5dfd602110ef461a033a67e1": "MPL-1.1",
+    "3dee806607251996191ef1039e34bf8c46820c81895cb78b307fc47a56411e16": "MPL-2.0",
+    "b58b1f2d0a727dbb624abaf06f7a3f58d2563452d79e59e13b8f4884d1429548": "MPL-2.0",
+}
 # Fixed values: (pattern, replacement) in turn; the same rules for known and scanned texts, so over-eager ones do no harm.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*"
+#: A line that states a copyright: the word must be followed by a sign, a year or a place-holder, as licences use it too.
+_STATED = r"(^|\n)[ \t#*/;-]*(copyright( \(c\)| ©| [\[<0-9])|\(c\)|©)"
 RULES = [
+    (_STATED + r"[^\n]*?\. *(licens|licenc|released|distributed|made available|permission|redistribution|this |spdx)", "$1$4"),  # what follows it stays
+    (_STATED + r"[^\n]*", "$1"),
+    (r"all rights reserved", ""),
     (r"[^\p{L}\p{N}]+", " "),
     (r"licenc", "licens"),
     (r"is(e|ed|es|ing|er|ers|ation|ations)( |$)", "iz$1$2"),
@@ -88,20 +170,23 @@ RULES = [
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines and punctuation, with one spelling of words that have several."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "$1")
+    """Lower case, without copyright statements and punctuation, with one spelling of words that have several."""
+    out = F.lower(F.coalesce(text, F.lit("")))
     for pattern, to in RULES:
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)
 
 
-def known_digests(spark, known=KNOWN) -> DataFrame:
-    """digest, licence: one row for each canonical form, the first name of several."""
+def known_digests(spark, known=None, digests=None) -> DataFrame:
+    """digest, licence: one row for each canonical form of known (name, text), the first name of several, and for digests."""
+    known = KNOWN if known is None else known
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(known)], "i int, licence string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min_by("licence", "i").alias("licence"))
+    rows = rows.select("i", "licence", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    more = spark.createDataFrame([(len(known) + i, name, d) for i, (d, name) in enumerate((DIGESTS if digests is None else digests).items())], "i int, licence string, digest string")
+    return rows.unionByName(more).groupBy("digest").agg(F.min_by("licence", "i").alias("licence"))
 
 
-def scan(documents: DataFrame, known=KNOWN) -> DataFrame:
+def scan(documents: DataFrame, known=None) -> DataFrame:
     """doc_id, text_digest, licence, notices, n_notices of every row.
 
     licence: the known licence that the whole text is, or null. notices: the distinct licences, sorted and joined by
@@ -118,21 +203,22 @@ def scan(documents: DataFrame, known=KNOWN) -> DataFrame:
 
 
 def op5_licence_digests(spark, sf_dir: str) -> DataFrame:
+    """scan() of documents: one row for each of its rows, repeated and null ids and null texts too."""
     from .common import table
 
     return scan(table(spark, sf_dir, "documents"))
 
 
-def _canonical(text: str) -> str:
-    """canonical() for the known texts, which are ASCII, for the SQL below."""
-    out = re.sub(COPYRIGHT_LINE, r"\1", text.lower())
+def digest_of(text: str) -> str:
+    """The digest of an ASCII text's canonical form, as canonical() makes it."""
+    out = text.lower()
     for pattern, to in RULES:
         out = re.sub(pattern.replace(r"\p{L}\p{N}", "a-z0-9"), re.sub(r"\$(\d)", r"\\\1", to), out)
-    return out.strip(" ")
+    return hashlib.sha256(out.strip(" ").encode()).hexdigest()
 
 
 def _sql(column: str) -> str:
-    out = f"regexp_replace(lower(coalesce({column}, '')), '{COPYRIGHT_LINE}', '\\1', 'g')"
+    out = f"lower(coalesce({column}, ''))"
     for pattern, to in RULES:
         out = f"regexp_replace({out}, '{pattern}', '{re.sub(r'\$(\d)', r'\\\1', to)}', 'g')"
     return f"sha256(trim({out}))"
@@ -141,8 +227,8 @@ def _sql(column: str) -> str:
 def op5_sql() -> str:
     rows: dict[str, str] = {}
     for name, text in KNOWN:
-        rows.setdefault(hashlib.sha256(_canonical(text).encode()).hexdigest(), name)
-    values = ", ".join(f"('{d}', '{n}')" for d, n in rows.items())
+        rows.setdefault(digest_of(text), name)
+    values = ", ".join(f"('{d}', '{n}')" for d, n in (DIGESTS | rows).items())
     return f"""
 WITH known(digest, licence) AS (VALUES {values}),
 whole AS (SELECT doc_id, {_sql('text')} AS digest FROM documents),
