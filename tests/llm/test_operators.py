@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import struct
+import textwrap
 import zlib
 from collections import Counter
 
@@ -96,10 +98,11 @@ def test_stream_takes_chunks_of_any_size():
 
 
 def test_signatures_and_likeness(docs, none, spark):
-    got = {r.doc_id: r for r in spotsigs.classes(docs.where("doc_id IS NOT NULL")).collect()}
+    anchors = "the on a with of and over".split()
+    got = {r.doc_id: r for r in spotsigs.classes(docs.where("doc_id IS NOT NULL"), anchors).collect()}
     assert got[1].signatures == got[2].signatures and got[2].class_id == 1
     assert got[4].signatures == [] and got[6].n_signatures == 0
-    pairs = [(r.a, r.b) for r in spotsigs.near_pairs(docs.where("doc_id IS NOT NULL"), 0.8).collect()]
+    pairs = [(r.a, r.b) for r in spotsigs.near_pairs(docs, 0.8, anchors).collect()]
     sets = {i: set(r.signatures) for i, r in got.items() if r.class_id == i and r.signatures}
     want = sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     assert sorted(pairs) == want and (1, 3) in want
@@ -109,13 +112,36 @@ def test_signatures_and_likeness(docs, none, spark):
     assert spotsigs.with_next(none)[0].count() == 0
 
 
-def test_next_over_many_ranges(spark):
-    ids = [i * i for i in range(300)]
+@pytest.mark.parametrize("ids", [[i * i for i in range(300)], [*range(200), 1 << 62, (1 << 62) + 1], [-(1 << 62), *range(50)], [7]])
+def test_next_over_many_ranges(spark, ids):
     rows, _ = spotsigs.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"))
     got = {r.doc_id: r.next_text for r in rows.where("copy = 0").collect()}
     assert got == {i: str(ids[k - 1]) for k, i in enumerate(ids)}
 
 
+def test_next_among_null_ids(spark):
+    rows, _ = spotsigs.with_next(spark.createDataFrame([(None, str(i)) for i in range(100)] + [(1, "one")], "doc_id long, text string"))
+    got = {r.text: r.next_text for r in rows.where("copy = 0").collect()}
+    at, seen = "one", []
+    for _ in range(101):
+        seen.append(at)
+        at = got[at]
+    assert at == "one" and len(set(seen)) == 101
+
+
+def test_fingerprints_by_hand(spark):
+    rows = [(1, "The cat of Rome sat on the red mat"), (2, "the cat of Rome sat on the red mat!"), (3, None), (4, ""), (4, ""), (None, "the of on"), (5, "the of on cat")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, signatures string")
+    assert spotsigs.common_words(docs, 3) == ["of", "on", "the"] and spotsigs.common_words(docs.where("false")) == []
+    chains = ["the cat rome sat", "of rome sat red", "the red mat"]
+    want = sorted(hashlib.md5(c.encode()).hexdigest()[:16] for c in chains)
+    got = [r.s for r in docs.select(spotsigs.signatures(F.col("text"), ["of", "on", "the"]).alias("s")).collect()]
+    assert got == [want, want, [], [], [], [], [hashlib.md5(b"on cat").hexdigest()[:16]]]
+    sets = spark.createDataFrame([(["a"], ["a"] + [f"{i}" for i in range(10)], 0.0), (["a"], ["a"] + [f"{i}" for i in range(9)], 0.1), ([], [], 1.0), ([], ["a"], 0.0)], "a array<string>, b array<string>, want double")
+    for r in sets.select("want", spotsigs.jaccard(F.col("a"), F.col("b"), 0.1).alias("got"), spotsigs.jaccard(F.col("b"), F.col("a"), 0.1).alias("back")).collect():
+        assert r.got == r.back and abs(r.got - r.want) < 1e-12
+
+
 # 3
 
 
@@ -271,10 +297,33 @@ def test_licences(spark, docs, none):
     assert got[1][0] == "MIT" and got[2][0] is None and got[3] == (None, "CC-BY-NC-4.0,MIT", 2)
     assert got[4] == got[5] == (None, "", 0)
     known = {r.digest for r in licences.known_digests(spark).collect()}
-    assert known == {hashlib.sha256(licences._canonical(t).encode()).hexdigest() for _, t in licences.KNOWN}
+    assert known == {licences.digest_of(t) for _, t in licences.KNOWN} | licences.DIGESTS.keys() and licences.digest_of("") not in known
     assert licences.scan(docs).count() == len(ROWS) and licences.scan(none).count() == 0
 
 
+def test_licences_as_people_publish_them(spark):
+    named = dict(reversed([(n, t) for n, t in licences.TEXTS]))
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n\n"))
+    rows = [
+        ("BSD-3-Clause", "Copyright (c) 2019, The Authors\nAll rights reserved.\n\n" + wrap(named["BSD-3-Clause"], 72)),
+        ("BSD-3-Clause", "/* Copyright 1999-2020 A B.\n * Copyright (C) 2021 C D. All rights reserved. */\n" + wrap(named["BSD-3-Clause"], 60).lower()),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright <YEAR> <COPYRIGHT HOLDER>\n\n" + wrap(named["BSD-2-Clause"], 50)),
+        ("MIT", "MIT License\n\nCopyright © 2021 X\nAll rights reserved.\n\n" + wrap(named["MIT"], 66)),
+        ("MIT", "Copyright (c) 2020 John Q. Public. Licensed under the MIT License."),
+        ("Unlicense", wrap(named["Unlicense"], 70)),
+        ("BSL-1.0", wrap(named["BSL-1.0"], 70)),
+        ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+        ("AGPL-3.0", "This project is licensed under the GNU Affero General Public Licence, version 3."),
+        (None, "Copyright holders may not be liable."),
+    ]
+    for root, dirs, files in os.walk("/usr/share/common-licenses"):  # where the system has them
+        names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+        rows += [(names[f], open(os.path.join(root, f)).read()) for f in files if f in names]
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(texts).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(rows)}
+
+
 # 6
 
 
@@ -353,6 +402,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages, least_bytes=5)).where("record_type = 'revisit'").count() == 0
 
 
+def test_no_payload_is_lost_where_ids_repeat(spark):
+    rows = [(1, "u", "A", 0), (3, "u", "A", 1), (3, "u", "BBB", 2), (3, "u", "BBB", 2), (4, "u", "BBB", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload) for r in warc.read_archives(warc.write_archives(pages), payloads=True).collect()]
+    assert sorted(got, key=str) == sorted([(1, "response", None, b"A"), (3, "revisit", 1, None), (3, "response", None, b"BBB"), (3, "response", None, b"BBB"), (4, "revisit", 3, None)], key=str)
+
+
+def test_payloads_of_many_pages_are_joined_apart(spark):
+    rows = [(i, "u", "common" if i % 2 else f"{i % 10}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.refers_to) for r in warc.revisits(pages).collect()}
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    assert got == {(i, first[h]) for i, _, h in rows if i != first[h]}
+
+
 def test_broken_archives_raise():
     good = warc.record(1, "u", b"abc", None)
     assert warc.parse(good)[0]["WARC-Type"] == "response"
@@ -412,6 +478,15 @@ def test_mixture(docs, none):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.times for r in out if r.size) and mixing.mix(none).count() == 0
 
 
+def test_mixture_takes_the_same_of_tied_rows(spark):
+    rows = [(1, f"{w} {w}", "a") for w in "pqrstu"] + [(None, "x y", "a")] * 3 + [(2, "z z z z z z z", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(str, mixing.mix(d).collect())) for d in (docs, docs.repartition(7)))
+    assert one == two and len(one) > 5
+    taken = Counter(eval(r.replace("Row", "dict"))["text"] for r in one)
+    assert sum(len(t.split()) * n for t, n in taken.items()) <= 25 and max(taken.values()) <= 9
+
+
 # 10
 
 
@@ -422,15 +497,28 @@ def test_lacing_by_hand():
     fixed = head + b"\x04\x01" + b"aabb"
     plain = head + b"\x80" + b"xyz"
     for data, sizes in ((xiph, [256, 2, 3]), (ebml, [3, 5, 1]), (fixed, [2, 2]), (plain, [3])):
-        found = matroska.block_packets(data, 0, len(data), 10, None)
-        assert [p.size for p in found] == sizes and {p.timestamp for p in found} == {15}
+        found = matroska.block_packets(data, 0, len(data), 10, durations={1: 7_000_000})
+        assert [p.size for p in found] == sizes and [p.timestamp_ns for p in found] == [15_000_000 + 7_000_000 * i for i in range(len(sizes))]
+        shared = matroska.block_packets(data, 0, len(data), 10, duration=len(sizes))
+        assert [p.timestamp_ns for p in shared] == [15_000_000 + 1_000_000 * i for i in range(len(sizes))]
+        assert [p.timestamp_ns for p in matroska.block_packets(data, 0, len(data), 10)] == [15_000_000] + [None] * (len(sizes) - 1)
         assert b"".join(data[p.offset : p.offset + p.size] for p in found) == data[-sum(sizes) :]
     with pytest.raises(ValueError):
-        matroska.block_packets(head + b"\x04\x01" + b"aab", 0, 8, 0, None)
+        matroska.block_packets(head + b"\x04\x01" + b"aab", 0, 8, 0)
     with pytest.raises(ValueError):
         matroska.vint(b"\x40", 0)
 
 
+def test_block_groups_have_durations_and_references():
+    block = matroska._element(matroska.BLOCK, b"\x81\x00\x00\x04\x01aabb")
+    one = matroska._element(matroska.BLOCK_GROUP, block + matroska._uint(matroska.BLOCK_DURATION, 8))
+    two = matroska._element(matroska.BLOCK_GROUP, matroska._element(matroska.REFERENCE_BLOCK, b"\xf8") + block)
+    data = matroska._element(matroska.SEGMENT, matroska._element(matroska.CLUSTER, matroska._uint(matroska.TIMESTAMP, 3) + one + two))
+    found, _, facts = matroska.parse(data)
+    assert [p.timestamp_ns for p in found] == [3_000_000, 7_000_000, 3_000_000, None] and [p.keyframe for p in found] == [True, True, False, False]
+    assert facts["clusters"] == 1 and facts["tracks"] == 0
+
+
 def test_media_round_trip(docs, none):
     out = matroska.digest(matroska.store_texts(docs)).collect()
     assert len(out) == len(ROWS)
@@ -439,8 +527,11 @@ def test_media_round_trip(docs, none):
         data = matroska.payload(t)
         assert (r.n_bytes, r.payload_bytes) == (len((t or "").encode()), len(data)) and len(data) % 576 == 0 and data
         assert r.payload_sha256 == hashlib.sha256(data).hexdigest() and r.tail_crc32 == zlib.crc32(data[-32:])
+        # The feature by hand: packets, mean, root mean square, crossings of the middle.
+        crossings = sum((a >= 128) != (b >= 128) for a, b in itertools.pairwise(data))
+        assert r.feature == f"{len(data) // 576}:{sum(data) / len(data):.4f}:{math.sqrt(sum(b * b for b in data) / len(data)):.4f}:{crossings}"
     packets = matroska.packet_table(matroska.store_texts(docs)).where("doc_id = 8").orderBy("packet").collect()
-    assert [p.timestamp_ns for p in packets][:3] == [0, 0, 0] or packets[0].timestamp_ns == 0
+    assert [p.timestamp_ns for p in packets] == [72_000_000 * i for i in range(len(packets))] and len(packets) > 8 and all(p.keyframe for p in packets)
     assert sum(p.byte_size for p in packets) == len(matroska.payload(text(8, 4000)))
     _, cues, facts = matroska.parse(matroska.mux(matroska.payload("x" * 400_000)))
     assert len(cues) == facts["clusters"] > 1 and facts["tracks"] == 1
