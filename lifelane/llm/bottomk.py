@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .common import slices, stored, worker_cache
 
 K = 48  # retained values of a sketch
-HOT = 32  # inverted lists up to this long compare all their pairs
+HOT = 32  # members that an inverted list may have for all its open pairs to be made; longer ones are settled around centers
 MARGIN = 0.30  # how far below the threshold an estimate may lie: over five standard errors of K values
+BLOCK = 256  # members of a group that share a copy of what they are compared with
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -51,7 +52,10 @@ def _word_hashes() -> dict:
 
 
 def sketches(documents: DataFrame, width: int, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, set_hash (128 bits, as text) and sketch (the k smallest hashes) of every row."""
+    """doc_id, n_shingles, set_hash (128 bits, as text) and sketch (the k smallest hashes) of every row.
+
+    A sketch's values are moved by 2**63, so that their order as signed numbers is that of the hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -61,7 +65,7 @@ def sketches(documents: DataFrame, width: int, k: int = K) -> DataFrame:
                     "doc_id": batch.column("doc_id"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "set_hash": pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string()),
-                    "sketch": pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    "sketch": pa.array([(s[:k] ^ np.uint64(1 << 63)).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 }
             )
 
@@ -69,68 +73,49 @@ def sketches(documents: DataFrame, width: int, k: int = K) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, elements (the whole set as bytes) of the wanted documents, read again from their texts."""
+    """id, elements (the whole set) of the wanted documents, read again from their texts; each text of a repeated id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "elements": pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())})
+            sets = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "elements": pa.array(sets, pa.list_(pa.int64()))})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    # Rows that share an id (which documents forbids) would multiply; the first by text stands for them.
-    return rows.mapInArrow(run, "id long, elements binary")
+    return stored(rows.mapInArrow(run, "id long, elements array<long>"), "sets")
 
 
-def _against(pairs: DataFrame, sets: DataFrame, num: int, den: int, apart: bool = False) -> DataFrame:
-    """a, b, na, nb, common and linked (den * intersection >= num * union) of pairs, from their whole sets.
+def _beside(sets: DataFrame, members: DataFrame, group: str, shown: DataFrame) -> DataFrame:
+    """members (group, id, any more columns) with their elements and the array `shown` of their group.
 
-    a is the side that may occur in very many pairs: its set is copied once for each block of such pairs. With
-    apart, also the elements that only one of them has; those of a are marked, so that they differ from b's.
+    A group's array is copied once for each BLOCK of its members; their sets are shuffled to it, in blocks too.
     """
-    block = 512
-    blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    left = blocks.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = pairs.select("a", "b").join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    right = right.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
-    both = right.select("a", "block", "b", "of_b").join(left.select("a", "block", "of_a"), ["a", "block"])
-    schema = "a long, b long, na long, nb long, common long, linked boolean" + ", apart array<long>" * apart
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    left = sizes.join(shown, group).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    right = members.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    return right.join(sets, "id").join(left, [group, "_block"]).drop("_block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = {"na": [], "nb": [], "common": [], "linked": []}
-            only = []
-            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                inside = np.isin(y, x, assume_unique=True)
-                common = int(inside.sum())
-                out["na"].append(len(x))
-                out["nb"].append(len(y))
-                out["common"].append(common)
-                out["linked"].append(common > 0 and den * common >= num * (len(x) + len(y) - common))
-                if apart:
-                    only.append(np.concatenate((y[~inside], x[~np.isin(x, y, assume_unique=True)] ^ np.uint64(0x5DEECE66D))).view(np.int64))
-            data = {"a": batch.column("a"), "b": batch.column("b")} | {c: pa.array(v, pa.bool_() if c == "linked" else pa.int64()) for c, v in out.items()}
-            if apart:
-                data["apart"] = pa.array(only, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(data)
-
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, schema)
+
+def _confirm(documents: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link: den * intersection >= num * union. a may occur in very many pairs."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _sets(documents, wanted, width)
+    both = _beside(sets, pairs.select("a", F.col("b").alias("id")), "a", sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")))
+    common = F.size(F.array_intersect("elements", "of_a"))
+    total = F.size("elements") + F.size("of_a")
+    linked = both.withColumn("common", common).where((F.col("common") > 0) & ((den + num) * F.col("common") >= num * total))
+    return stored(linked.select("a", F.col("id").alias("b")), "links")
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame, least: float, k: int) -> DataFrame:
     """Pairs whose union sketch, the k smallest of both, holds at least the share `least` of common values."""
     left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned)), 1, k)
-    shared = F.size(F.array_intersect(F.col("union"), F.transform(F.array_intersect("sa", "sb"), _unsigned)))
-    return pairs.join(left, "a").join(right, "b").withColumn("union", union).where(shared >= least * F.size("union")).select("a", "b")
-
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
+    shared = F.size(F.array_intersect(F.col("union"), F.array_intersect("sa", "sb")))
+    return stored(pairs.join(left, "a").join(right, "b").withColumn("union", union).where(shared >= least * F.size("union")).select("a", "b"), "pairs")
 
-def _unsigned(x):
-    """A signed hash moved so that its order is that of the unsigned one."""
-    return x.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
 
-
-def _stars(edges: DataFrame, spark) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of the edges (a, b) reaches, by large-star and small-star rounds."""
     pairs = stored(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "star")
     while True:
@@ -146,17 +131,20 @@ def _stars(edges: DataFrame, spark) -> DataFrame:
             return pairs.select(F.col("x").alias("id"), F.col("y").alias("component"))
 
 
-def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den: int, k: int = K, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(representatives, links) of the distinct sets in found, the rows of sketches(). See components()."""
-    least = num / den - MARGIN
-    reps = stored(found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")).select("id", "n_shingles", "set_hash", "sketch"), "reps")
+def _alike(x: str, y: str, num: int, den: int):
+    """Whether two sizes are near enough for their sets to link."""
+    return den * F.least(x, y) >= num * F.greatest(x, y)
+
 
-    # Inverted lists of values that two sketches or more retain. Of s values two linked sketches share s // 2 at least,
-    # so the s - s // 2 + 1 rarest of each hold a common one: passages that very many documents share drop out.
+def _lists(reps: DataFrame) -> DataFrame:
+    """v, id, n_shingles, n, pivot, n_pivot: the inverted lists of retained values, with their length and most central member.
+
+    Of s values two linked sketches share s // 2 at least, so the s - s // 2 + 1 rarest of each hold a common one:
+    passages that very many documents share drop out.
+    """
     values = reps.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(often, "v")
-    per_rep = shared.groupBy("id").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    per_rep = values.join(often, "v").groupBy("id").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # Values without a partner come first in the order, and take their places of the prefix.
     left = F.greatest(F.col("s") - F.greatest(F.floor(F.col("s") / 2), F.lit(1)) + 1 - (F.col("s") - F.size("vs")), F.lit(0)).cast("int")
     central = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
@@ -166,107 +154,128 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
         .join(reps.select("id", "n_shingles"), "id")
     )
     lists = stored(lists, "lists")
-    sizes = lists.groupBy("v").agg(F.count("*").alias("n"), F.max(F.struct("weight", -F.col("id"))).alias("top")).where("n > 1")
-    sizes = sizes.select("v", "n", (-F.col("top.col2")).alias("pivot"))
-    lists = stored(lists.join(sizes, "v"), "lists")
+    sizes = lists.groupBy("v").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n_shingles")).alias("top")).where("n > 1")
+    return stored(lists.drop("weight").join(sizes.select("v", "n", (-F.col("top.minus")).alias("pivot"), F.col("top.n_shingles").alias("n_pivot")), "v"), "lists")
 
-    near = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
-    short = lists.where(F.col("n") <= hot)
-    a = short.select("v", F.col("id").alias("a"), F.col("n_shingles").alias("na"))
-    b = short.select("v", F.col("id").alias("b"), F.col("n_shingles").alias("nb"))
-    direct = a.join(b, "v").where((F.col("a") < F.col("b")) & near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
-    pairs = stored(_estimate(direct, reps, least, k), "pairs")
-    edges = _confirm(documents, pairs, width, num, den)
-
-    # Long lists compare each member with the list's most central one first.
-    star = lists.where((F.col("n") > hot) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = stored(star, "stars")
-    if not star.isEmpty():
-        edges = edges.unionByName(_around_pivots(documents, star, width, num, den))
-    return reps, edges
-
-
-def _confirm(documents: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    found = _against(pairs, stored(_sets(documents, wanted, width), "sets"), num, den)
-    return stored(found.where("linked").select("a", "b"), "links")
-
-
-def _around_pivots(documents, star, width, num, den) -> DataFrame:
-    """All links within the groups of the star's pairs (pivot a, member b), without meeting all their pairs.
+def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den: int, k: int = K, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(representatives, edges) of the distinct sets in found, the rows of sketches(): the edges join what links join.
 
-    Every member's whole set is compared with its pivot's: D, what the two sets do not share, lost by or extra in the
-    member. Members that link to the pivot are of its component. The others, the strays, may still link to any member.
-    With t = num / den and c = (1 - t) / (1 + t), x and y link when |x ^ y| <= c * (|x| + |y|), and x ^ y = D(x) ^ D(y).
-    A stray's D is larger than c * (|y| + n), for a pivot of n elements; so D(x) and D(y) share more than
-    (|D(x)| + c * (n - |x|)) / 2 elements of D(x), about half of them, and if x is no stray, at least
-    |D(y)| - |y| * (1 - t) / t of D(y). As many of the rarest elements as that leaves out, and one more, hold a common
-    one: the lists of those, mostly of elements that few members have, give the candidates, whose whole D settle them.
+    Each list's members meet its most central one first. Only lists whose members are of several components then are
+    open: short ones make their pairs of different components, long ones go to _around_centers(), as often as that
+    leaves long lists. All candidates pass the estimate and are confirmed on whole sets.
+    """
+    least = num / den - MARGIN
+    reps = stored(found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")).where("id IS NOT NULL").select("id", "n_shingles", "set_hash", "sketch"), "reps")
+    lists = _lists(reps)
+    star = lists.where((F.col("id") != F.col("pivot")) & _alike("n_shingles", "n_pivot", num, den)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    edges = _confirm(documents, _estimate(star, reps, least, k), width, num, den)
+    parts = _stars(edges)
+
+    def open_(rows: DataFrame, key: list[str]) -> DataFrame:
+        """Rows, with their component c, of the keys that have several."""
+        rows = rows.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        return rows.join(rows.groupBy(*key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*key), key)
+
+    lists = stored(open_(lists, ["v"]), "open")
+    short = lists.where(F.col("n") <= hot)
+    x = short.select("v", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"))
+    y = short.select("v", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
+    pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb", num, den)).select("a", "b")
+    groups = stored(lists.where(F.col("n") > hot).select(F.col("pivot").alias("g"), "id").distinct(), "groups")
+    turn = 0
+    while not groups.isEmpty():
+        sure, more, rest = _around_centers(documents, groups, width, num, den, hot, turn)
+        edges, pairs, turn = edges.unionByName(sure), pairs.unionByName(more), turn + 1
+        if rest.isEmpty():
+            break
+        parts = _stars(edges)
+        groups = stored(open_(rest, ["g"]).select("g", "id"), "groups")
+    return reps, edges.unionByName(_confirm(documents, _estimate(pairs.distinct(), reps, least, k), width, num, den))
+
+
+def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: int, den: int, hot: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sure links, candidate pairs, groups still to be settled) of groups (g, id), without meeting all their pairs.
+
+    A group's center is what most of a sample of its members hold; any center gives right results. D(x) is what x and
+    the center do not share. With q = den + num and r = den - num, x and y link when q * |x ^ y| <= r * (|x| + |y|), and
+    x ^ y = D(x) ^ D(y). Let E(x) = q * |D(x)| - r * |x|, and z the member of the least E. Where E(x) + E(z) <= 0, x
+    links to z for sure: these are the core. For any others, x outside and y anywhere, |D(x) & D(y)| must be at least
+    (E(x) + E(y)) / 2q, so at least (E(x) + E(z)) / 2q > 0, and, if y is of the core, (E(y) - E(z)) / 2q. As many of the
+    rarest elements of each D as that leaves out, and one more, hold a common one: their lists give the candidates.
+    No element of D is held by most of the group, so longer lists are smaller groups, to be settled around centers of
+    their own. Lists of one most central member go together for some turns.
     """
-    t = num / den
-    c = (1 - t) / (1 + t)
-    wanted = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    sets = stored(_sets(documents, wanted, width), "sets")
-    found = stored(_against(star, sets, num, den, apart=True), "around")
-    edges = found.where("linked").select("a", "b")
-    lost, extra = F.col("na") - F.col("common"), F.col("nb") - F.col("common")
-    rows = found.select(F.col("a").alias("p"), F.col("b").alias("id"), "linked", F.col("nb").alias("n"), (lost + extra).alias("d"), (lost * (1 + c) + extra * (1 - c)).alias("two"), "apart")
-    # Shared by more than two / 2 for a partner that is a stray; y's side against a partner that is none.
-    half = F.col("d") - F.floor(F.col("two") / 2 - 1e-9)
-    rows = rows.withColumns({"half": half, "most": F.least(F.col("d"), F.floor(F.col("n") * (1 - t) / t + 1e-9) + 1)})
-    elements = rows.select("p", "id", "linked", F.explode("apart").alias("v"))
-    often = elements.groupBy("p", "v").agg(F.count("*").alias("df"), F.count_if(~F.col("linked")).alias("strays")).where("df > 1 AND strays > 0")
-    per = elements.join(often, ["p", "v"]).groupBy("p", "id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    rows = rows.drop("apart").join(per, ["p", "id"])
-
-    rows = rows.withColumn("held", F.transform("vs", lambda e: e["v"])).withColumn("alone", F.col("d") - F.size("vs")).drop("vs")
-
-    def first(length):
-        # Elements that nobody shares come first in the order and take their places.
-        return F.slice("held", F.lit(1), F.greatest(length - F.col("alone"), F.lit(0)).cast("int"))
-
-    x = rows.select("p", F.col("id").alias("x"), F.col("linked").alias("kx"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("held").alias("hx"), F.explode(first(F.col("half"))).alias("v"))
-    y = rows.where("NOT linked").select("p", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("held").alias("hy"), (F.col("half") - F.col("alone")).alias("own"), F.posexplode(first(F.greatest("most", "half"))).alias("at", "v"))
-    # The join itself settles a pair: its sets differ in dx + dy - 2 * |D(x) & D(y)| elements.
-    apart = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("hx", "hy"))
-    total = F.col("nx") + F.col("ny")
-    near = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    reach = F.abs(F.col("dx") - F.col("dy")) <= c * total + 1e-9
-    once = F.when(F.col("kx"), F.lit(True)).otherwise((F.col("x") < F.col("y")) & (F.col("at") < F.col("own")))
-    linked = stored(x, "members").join(stored(y, "strays"), ["p", "v"]).where(once & near & reach & (den * (total - apart) >= num * (total + apart)) & (apart < total))
-    more = linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return edges.unionByName(stored(more, "links"))
+    q, r = den + num, den - num
+    sets = _sets(documents, groups.select("id").distinct(), width)
+    sizes = groups.groupBy("g").agg(F.count("*").alias("members"))
+    sample = stored(groups.join(sizes, "g").where(F.pmod(F.xxhash64("g", "id", F.lit(turn)), F.col("members")) < 48).select("g", "id"), "sample")
+    held = sample.join(sets, "id").select("g", F.explode("elements").alias("v")).groupBy("g", "v").agg(F.count("*").alias("n"))
+    center = held.join(sample.groupBy("g").agg(F.count("*").alias("of")), "g").where("2 * n > of").groupBy("g").agg(F.collect_list("v").alias("center"))
+    center = stored(sizes.join(center, "g", "left").select("g", F.coalesce("center", F.array().cast("array<long>")).alias("center")), "centers")
+
+    both = _beside(sets, groups, "g", center)
+    # What a member lacks is told from what it has besides by a complement.
+    apart = F.concat(F.array_except("elements", "center"), F.transform(F.array_except("center", "elements"), lambda v: F.bitwise_not(v)))
+    found = both.select("g", "id", F.size("elements").cast("long").alias("n"), apart.alias("apart")).withColumn("d", F.size("apart").cast("long"))
+    found = stored(found.withColumn("e", q * F.col("d") - r * F.col("n")), "apart")
+    least = found.groupBy("g").agg(F.min(F.struct("e", "id")).alias("z"), F.max("e").alias("most"))
+    rows = found.join(least.select("g", F.col("z.e").alias("ez"), F.col("z.id").alias("z"), "most"), "g").withColumn("core", F.col("e") + F.col("ez") <= 0)
+    sure = stored(rows.where(F.col("core") & (F.col("id") != F.col("z"))).select(F.col("z").alias("a"), F.col("id").alias("b")), "sure")
+
+    rows = rows.where(F.col("most") + F.col("ez") > 0)  # of groups with members outside the core
+    need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.when(F.col("core"), -F.col("ez")).otherwise(F.col("ez"))) / (2 * q)))
+    rows = rows.withColumn("prefix", F.col("d") - need + 1).drop("e", "ez", "z", "most")
+    elements = rows.select("g", "id", "core", F.explode("apart").alias("v"))
+    often = elements.groupBy("g", "v").agg(F.count("*").alias("df"), F.count_if(~F.col("core")).alias("outside")).where("df > 1 AND outside > 0").drop("outside")
+    per = elements.join(often, ["g", "v"]).groupBy("g", "id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    per = rows.drop("apart").join(per, ["g", "id"])
+    # Elements that nobody shares come first in the order and take their places.
+    own = F.greatest(F.col("prefix") - (F.col("d") - F.size("vs")), F.lit(0)).cast("int")
+    central = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
+    lists = stored(per.select("g", "id", "n", "core", central.alias("weight"), F.explode(F.slice("vs", F.lit(1), own)).alias("x")).select("g", F.col("x.v").alias("v"), "id", "n", "core", "weight"), "lists")
+    counts = lists.groupBy("g", "v").agg(F.count("*").alias("members"), F.count_if(~F.col("core")).alias("outside"), F.max(F.struct("weight", "id")).alias("top")).where("members > 1 AND outside > 0")
+    lists = stored(lists.drop("weight").join(counts.select("g", "v", "members", F.col("top.id").alias("top")), ["g", "v"]), "lists")
+    short = lists.where(F.col("members") <= hot)
+    x = short.where("NOT core").select("g", "v", F.col("id").alias("x"), F.col("n").alias("nx"))
+    y = short.select("g", "v", F.col("id").alias("y"), F.col("n").alias("ny"), "core")
+    once = (F.col("core") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))
+    pairs = stored(x.join(y, ["g", "v"]).where(once & _alike("nx", "ny", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    key = F.xxhash64("g", "top" if turn < 3 else "v")
+    return sure, pairs, stored(lists.where(F.col("members") > hot).select(key.alias("g"), "id").distinct(), "groups")
 
 
 def components(documents: DataFrame, *, width: int = 3, num: int = 85, den: int = 100, k: int = K, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_links (with other sets) of every row of documents.
+    """doc_id, n_shingles, component_id and kept of every row of documents.
 
     Documents are linked when den * |intersection| >= num * |union| of their sets of width-word shingles. Equal sets
     collapse into their smallest id first; sketches find candidates between the others, whole sets confirm them. Texts
-    without words, and null texts, are linked with nothing. Rows with equal ids count as one document's copies; a null
-    id keeps its row, with itself as component. Extra columns are ignored.
+    without words, and null texts, are linked with nothing. Rows with equal ids count as one document, which links by
+    any of its texts; a null id keeps its row, with its own null, or the id of an equal set, as component. Extra
+    columns are ignored.
     """
     found = stored(sketches(documents, width, k), "sketches")
     reps, edges = links(documents, found, width=width, num=num, den=den, k=k, hot=hot)
-    edges = edges.distinct()
-    parts = _stars(edges, documents.sparkSession)
-    degree = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    parts = _stars(edges)
     # Stars join representatives, which are the smallest ids of their sets, so the smallest of them is the component's.
-    of_set = reps.join(parts, "id", "left").join(degree, "id", "left").select("n_shingles", "set_hash", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_set = reps.join(parts, "id", "left").select("n_shingles", "set_hash", F.coalesce("component", "id").alias("component"))
     rows = found.select("doc_id", "n_shingles", "set_hash").join(of_set, ["n_shingles", "set_hash"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op3_bottomk_dedup(spark, sf_dir: str) -> DataFrame:
+    """components() of documents at three words and 85 %: one row for each of its rows, null texts and repeated ids too."""
     from .common import table
 
-    return components(table(spark, sf_dir, "documents")).drop("n_links")
+    return components(table(spark, sf_dir, "documents"))
 
 
 def keep_one(documents: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """documents without the near copies: of each component the row with the smallest id stays."""
+    """documents without the near copies: of each component the row with the smallest id stays.
+
+    Of rows that share that id one stays, chosen by a hash of the text. Rows without an id, and texts without words, all stay.
+    """
     found = components(documents, width=width, num=num, den=den).where("kept").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     single = documents.join(found, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")

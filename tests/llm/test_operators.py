@@ -196,11 +196,23 @@ def test_large_groups_of_near_copies(spark, hot):
         rows.append((i, " ".join(w)))
     shared = " ".join(f"p{i}" for i in range(30))
     rows += [(100 + i, f"{shared} " + " ".join(f"u{i}_{k}" for k in range(25 + i % 7))) for i in range(25)]  # a common passage
+    rows += [(200 + i, " ".join(base[:70]) + " " + " ".join(f"t{i}_{k}" for k in range(9 + i % 5))) for i in range(20)]  # a passage that is nearly all of the text
+    for g in range(6):  # groups of near copies that share that passage, far from each other
+        rows += [(300 + 10 * g + i, " ".join(base[:66]) + " " + " ".join(f"s{g}_{k}" for k in range(12)) + f" e{i}" * (i % 3)) for i in range(8)]
     out = bottomk.components(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
     want = brute_components(rows, 3, 85, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
 
 
+def test_near_copies_of_repeated_ids(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = [(5, a), (5, b), (7, a + " end"), (3, b + " end"), (9, b), (None, a), (None, "alone here now"), (11, None), (11, "")]
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in bottomk.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("5", "3", False), ("5", "3", False), ("7", "3", False), ("3", "3", True), ("9", "3", False), ("None", "3", False), ("None", "None", True), ("11", "11", True), ("11", "11", True)])
+    kept = bottomk.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["11", "3", "None", "None"]
+
+
 # 4 and 7
 
 
