@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
@@ -32,7 +31,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lifelane-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote, once nothing will read them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches, rows: int = 512):
@@ -42,17 +50,20 @@ def slices(batches, rows: int = 512):
             yield batch.slice(lo, rows)
 
 
+_kept: dict = {}  # of a Python worker
+
+
 def worker_cache(name, make):
-    """What a Python worker keeps from task to task under a name, made when it is missing.
+    """What a Python worker keeps from task to task under a name, made when it is missing; one such thing at a time."""
+    if name not in _kept:
+        let_go()
+        _kept[name] = make()
+    return _kept[name]
 
-    A worker keeps one such thing only: asking for another lets the last one go, so the operators of a long session
-    don't add up in the executors' memory.
-    """
-    kept = sys.__dict__.setdefault("_lifelane_kept", {})
-    if name not in kept:
-        kept.clear()
-        kept[name] = make()
-    return kept[name]
+
+def let_go() -> None:
+    """Frees what another operator's tasks left in this worker, so the operators of a long session don't add up."""
+    _kept.clear()
 
 
 def remainder(doc_id, mod: int):

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, stored, worker_cache
+from .common import drop, let_go, remainder, slices, stored
 
 END = 1  # the id of the end token; a word's id is its 64-bit hash
 BLOCK_BYTES = 4_000_000  # text of a block, about
@@ -24,6 +24,8 @@ DISCOUNT = 0.75
 
 
 class _Words(dict):
+    """Word -> its id; a block has its own, emptied when it holds too many."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
@@ -31,9 +33,8 @@ class _Words(dict):
         return h
 
 
-def tokens(text: str | None) -> list[int]:
+def tokens(text: str | None, known: _Words) -> list[int]:
     """Ids of the words [^\\x20\\x09-\\x0D]+ of a whole text with A-Z lower-cased, then the end; null text: the end."""
-    known = worker_cache("model words", _Words)
     return [*map(known.__getitem__, (text or "").encode("utf-8", "replace").lower().split()), END]
 
 
@@ -111,9 +112,11 @@ class Grams:
     of which are the length; of[n - 1] has the place in keys of the n-gram that ends at each token, or -1."""
 
     def __init__(self, rows: list[bytes]) -> None:
+        let_go()
         parts = [_unpacked(r) for r in rows]
         self.docs, self.held = [i for p in parts for i in p[0]], [h for p in parts for h in p[1]]
-        ids = [tokens(t) for p in parts for t in p[2]]
+        known = _Words()
+        ids = [tokens(t, known) for p in parts for t in p[2]]
         self.sizes = np.array([len(i) for i in ids], dtype=np.int64)
         x = np.array([w for i in ids for w in i], dtype=np.uint64)
         del parts, ids
@@ -364,6 +367,7 @@ def score(documents: DataFrame, *, mod: int = 10, least: int = LEAST, min_share:
     total, distinct = facts.n or 0, facts.v or 0
     walk = walked(blocks.select("block", "rows"), answers.select("block", "slice", "answer"), parts, total, distinct, max(2.0, least, min_share * total), max(1.0, word_share * total))
     walk = stored(walk, "walked")
+    drop(blocks, answers)
     _let_go(walk)
     found = weights(walk.where("slice IS NOT NULL").select("block", "slice", "keys", "own", "p", "low"))
 
