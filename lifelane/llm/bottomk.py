@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, worker_cache
+from .common import drop, let_go, slices, stored
 
 K = 48  # retained values of a sketch
 HOT = 32  # members that an inverted list may have for all its open pairs to be made; longer ones are settled around centers
@@ -18,7 +18,17 @@ MARGIN = 0.30  # how far below the threshold an estimate may lie: over five stan
 BLOCK = 256  # members of a group that share a copy of what they are compared with
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
+class _Words(dict):
+    """Word -> its hash; a task has its own, emptied when it holds too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def shingles(text: str | None, width: int, known: _Words) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a whole text.
 
     A-Z are lower-cased, words are [^\\x20\\x09-\\x0D]+. Fewer words than width make one shingle; no words make none.
@@ -26,7 +36,6 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    known = _word_hashes()
     ids = np.array([known[w] for w in words], dtype=np.uint64)
     n = max(1, len(ids) - width + 1)
     h = np.zeros(n, dtype=np.uint64)
@@ -39,18 +48,6 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def _word_hashes() -> dict:
-    return worker_cache("shingle words", _Words)
-
-
 def sketches(documents: DataFrame, width: int, k: int = K) -> DataFrame:
     """doc_id, n_shingles, set_hash (128 bits, as text) and sketch (the k smallest hashes) of every row.
 
@@ -58,8 +55,10 @@ def sketches(documents: DataFrame, width: int, k: int = K) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        let_go()
         for batch in slices(batches):
-            sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, width, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -76,8 +75,10 @@ def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """id, elements (the whole set) of the wanted documents, read again from their texts; each text of a repeated id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        let_go()
         for batch in slices(batches):
-            sets = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, width, known).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "elements": pa.array(sets, pa.list_(pa.int64()))})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
@@ -96,14 +97,19 @@ def _beside(sets: DataFrame, members: DataFrame, group: str, shown: DataFrame) -
 
 
 def _confirm(documents: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link: den * intersection >= num * union. a may occur in very many pairs."""
+    """The pairs (a, b), a stored table, whose whole sets link: den * intersection >= num * union.
+
+    a may occur in very many pairs. The table of pairs is dropped.
+    """
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = _sets(documents, wanted, width)
     both = _beside(sets, pairs.select("a", F.col("b").alias("id")), "a", sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")))
     common = F.size(F.array_intersect("elements", "of_a"))
     total = F.size("elements") + F.size("of_a")
     linked = both.withColumn("common", common).where((F.col("common") > 0) & ((den + num) * F.col("common") >= num * total))
-    return stored(linked.select("a", F.col("id").alias("b")), "links")
+    linked = stored(linked.select("a", F.col("id").alias("b")), "links")
+    drop(sets, pairs)
+    return linked
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame, least: float, k: int) -> DataFrame:
@@ -126,6 +132,7 @@ def _stars(edges: DataFrame) -> DataFrame:
         small = large.join(low, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y")).distinct()
         new = stored(small, "star")
         change = new.join(pairs, ["x", "y"], "left_anti").limit(1).count() + pairs.join(new, ["x", "y"], "left_anti").limit(1).count()
+        drop(pairs)
         pairs = new
         if not change:
             return pairs.select(F.col("x").alias("id"), F.col("y").alias("component"))
@@ -155,7 +162,9 @@ def _lists(reps: DataFrame) -> DataFrame:
     )
     lists = stored(lists, "lists")
     sizes = lists.groupBy("v").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n_shingles")).alias("top")).where("n > 1")
-    return stored(lists.drop("weight").join(sizes.select("v", "n", (-F.col("top.minus")).alias("pivot"), F.col("top.n_shingles").alias("n_pivot")), "v"), "lists")
+    out = stored(lists.drop("weight").join(sizes.select("v", "n", (-F.col("top.minus")).alias("pivot"), F.col("top.n_shingles").alias("n_pivot")), "v"), "lists")
+    drop(lists)
+    return out
 
 
 def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den: int, k: int = K, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -177,20 +186,25 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
         rows = rows.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         return rows.join(rows.groupBy(*key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*key), key)
 
-    lists = stored(open_(lists, ["v"]), "open")
+    closed, lists = lists, stored(open_(lists, ["v"]), "open")
+    drop(closed)
     short = lists.where(F.col("n") <= hot)
     x = short.select("v", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"))
     y = short.select("v", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
     pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb", num, den)).select("a", "b")
+    pairs = stored(pairs.distinct(), "candidates")
     groups = stored(lists.where(F.col("n") > hot).select(F.col("pivot").alias("g"), "id").distinct(), "groups")
+    drop(lists)
     turn = 0
     while not groups.isEmpty():
         sure, more, rest = _around_centers(documents, groups, width, num, den, hot, turn)
+        drop(groups)
         edges, pairs, turn = edges.unionByName(sure), pairs.unionByName(more), turn + 1
         if rest.isEmpty():
             break
         parts = _stars(edges)
         groups = stored(open_(rest, ["g"]).select("g", "id"), "groups")
+        drop(rest)
     return reps, edges.unionByName(_confirm(documents, _estimate(pairs.distinct(), reps, least, k), width, num, den))
 
 
@@ -235,14 +249,17 @@ def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: in
     central = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
     lists = stored(per.select("g", "id", "n", "core", central.alias("weight"), F.explode(F.slice("vs", F.lit(1), own)).alias("x")).select("g", F.col("x.v").alias("v"), "id", "n", "core", "weight"), "lists")
     counts = lists.groupBy("g", "v").agg(F.count("*").alias("members"), F.count_if(~F.col("core")).alias("outside"), F.max(F.struct("weight", "id")).alias("top")).where("members > 1 AND outside > 0")
-    lists = stored(lists.drop("weight").join(counts.select("g", "v", "members", F.col("top.id").alias("top")), ["g", "v"]), "lists")
+    every, lists = lists, stored(lists.drop("weight").join(counts.select("g", "v", "members", F.col("top.id").alias("top")), ["g", "v"]), "lists")
+    drop(every)
     short = lists.where(F.col("members") <= hot)
     x = short.where("NOT core").select("g", "v", F.col("id").alias("x"), F.col("n").alias("nx"))
     y = short.select("g", "v", F.col("id").alias("y"), F.col("n").alias("ny"), "core")
     once = (F.col("core") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))
     pairs = stored(x.join(y, ["g", "v"]).where(once & _alike("nx", "ny", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
     key = F.xxhash64("g", "top" if turn < 3 else "v")
-    return sure, pairs, stored(lists.where(F.col("members") > hot).select(key.alias("g"), "id").distinct(), "groups")
+    rest = stored(lists.where(F.col("members") > hot).select(key.alias("g"), "id").distinct(), "groups")
+    drop(sets, sample, center, found, lists)
+    return sure, pairs, rest
 
 
 def components(documents: DataFrame, *, width: int = 3, num: int = 85, den: int = 100, k: int = K, hot: int = HOT) -> DataFrame:

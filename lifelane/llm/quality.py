@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, training_labels, worker_cache
+from .common import let_go, remainder, slices, training_labels
 
 #: Names of the statistics, in the order of statistics().
 NAMES = ("log_words", "upper", "symbols", "bars", "exclamations", "variety", "echo", "word_length", "stops", "line_variety", "non_ascii", "digits")
@@ -130,7 +130,7 @@ def _covariance(moments: np.ndarray) -> np.ndarray:
 
 
 def _scores(model: Discriminant, texts: list[str | None]) -> np.ndarray:
-    worker_cache("", dict)  # lets go what other operators kept
+    let_go()
     return model.score(np.array([statistics(t) for t in texts])) if texts else np.zeros(0)
 
 
@@ -161,7 +161,7 @@ def keep_good(documents: DataFrame, model: Discriminant, *, threshold: float = 0
 
 
 def op7_quality_discriminant(spark, sf_dir: str) -> DataFrame:
-    from .common import table
+    from .common import let_go, table
 
     documents = table(spark, sf_dir, "documents")
     return score(documents, fit(documents, table(spark, sf_dir, "labels")))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, stored, training_labels, worker_cache
+from .common import let_go, remainder, slices, stored, training_labels
 
 # Insults of four languages that the lexicon starts from; the training rows add their own.
 SEED_TERMS = (
@@ -288,7 +288,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
 
 
 def _scores(model: ToxicityModel, hits: _Hits, texts: list[str | None]) -> np.ndarray:
-    worker_cache("", dict)  # lets go what other operators kept
+    let_go()
     return model.score(np.array([evidence(t, hits) for t in texts])) if texts else np.zeros(0)
 
 
@@ -318,7 +318,7 @@ def keep_clean(documents: DataFrame, model: ToxicityModel, *, threshold: float =
 
 
 def op4_toxicity_lexicon(spark, sf_dir: str) -> DataFrame:
-    from .common import table
+    from .common import let_go, table
 
     documents = table(spark, sf_dir, "documents")
     return score(documents, fit(documents, table(spark, sf_dir, "labels")))

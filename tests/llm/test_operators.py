@@ -345,7 +345,9 @@ def test_language_model(docs, none):
     train = Counter(w for i, t, *_ in ROWS if not held_out(i, 10) for w in [*words(t), None])
     n, v = sum(train.values()), len(train)
     base = {i: math.fsum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words(t), None]) for i, t, *_ in ROWS}
+    tokens = {i: [*words(t), None] for i, t, *_ in ROWS}
     for r in out:
+        assert (r.n_tokens, r.n_known) == (len(tokens[r.doc_id]), sum(train[w] > 0 for w in tokens[r.doc_id]))
         assert r.train_tokens == n and abs(r.base_score - base[r.doc_id]) < 1e-9 and r.held_out == held_out(r.doc_id, 10)
     empty = {r.doc_id: r for r in out}
     assert empty[4].n_tokens == empty[5].n_tokens == 1 and empty[4].score == empty[5].score
@@ -360,7 +362,8 @@ def test_language_model_keeps_all_repeated_ngrams(spark):
     texts = [" ".join(rng.choice(vocabulary) for _ in range(200)) for _ in range(200)] + ["rare phrase of few"] * 3
     texts += [t[: len(t) // 2] for t in texts[:60]]
     rows = [(i, t) for i, t in enumerate(texts, 1)]
-    ids = {i: ngram_lm.tokens(t) for i, t in rows}
+    known = ngram_lm._Words()
+    ids = {i: ngram_lm.tokens(t, known) for i, t in rows}
     train = [x for i, x in ids.items() if not held_out(i, 10)]
     uni = Counter(w for x in train for w in x)
     grams = [Counter(g for x in train for g in zip(*[x[k:] for k in range(n)])) for n in (2, 3)]
