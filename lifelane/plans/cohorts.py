@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import coding
 from ..functions.times import DAY, days
-from ..operators import cleaning, encoding, series
-from ..operators.asof import asof
+from ..operators import cleaning, encoding, history, series
+from ..operators.asof import Source, asof, asof_many
 
 
 def without_columns(df: DataFrame, names=(), prefixes=(), suffixes=()) -> DataFrame:
@@ -15,48 +16,80 @@ def without_columns(df: DataFrame, names=(), prefixes=(), suffixes=()) -> DataFr
     return df.drop(*gone)
 
 
-def initiation(exposures: DataFrame, series_: DataFrame, codes: DataFrame, labs: DataFrame, stays: DataFrame, *, tests: list[str], baseline_days: int = 90, target_days: int = 180, wash_out_days: int = 30, rise: float = 1.05, top: int = 10) -> DataFrame:
-    """First exposure of each key with its baseline, later target, codes, labs and stay.
+def known_at(codes: DataFrame | None, labs: DataFrame | None, stays: DataFrame | None, tests: list[str]) -> list[Source]:
+    """Sources of what is known at an instant: the last codes, each test's last flag (1 to 3), the tests up to then, the last stay.
 
-    exposures: k, id, s. series_: k, day, amount, tie. codes: k, s, codes. labs: k, h, test, flag, tie. stays: k, s, e, tie.
+    codes: k, s, codes. labs: k, h, test, flag, tie. stays: k, s, e, tie.
+    """
+    out = []
+    if codes is not None:
+        out.append(Source(codes, "s", ["codes"], ties=["codes"]))
+    if labs is not None:
+        flag = coding.recode("flag", coding.FLAG_ORDER)
+        out.append(Source(labs, "h", {f"lab_{t}": F.when(F.col("test") == t, flag) for t in tests}, ties=["tie"], each=True))
+        past = history.test_history(labs.withColumn("abnormal", flag != 2), "k", "h", "abnormal")
+        out.append(Source(past, "h", ["tests_before", "abnormal_before", "days_since_previous", "abnormal_share"]))
+    if stays is not None:
+        out.append(Source(stays, "s", {"stay_s": F.col("s"), "stay_e": F.col("e")}, ties=["tie"]))
+    return out
+
+
+def initiation(exposures: DataFrame, series_: DataFrame, codes: DataFrame, labs: DataFrame, stays: DataFrame, *, tests: list[str], baseline_days: int = 90, target_days: int = 180, wash_out_days: int = 30, rise: float = 1.05) -> DataFrame:
+    """First exposure of each key with its baseline, later target, codes, labs, past tests and stay.
+
+    exposures: k, id, s. series_: k, day, amount, tie. For the others see known_at().
     baseline: the last measurement up to baseline_days before the start. target: the first one after it, within
     target_days; if that lies less than wash_out_days away the exposure is dropped, a later one doesn't replace it.
-    rose: target >= rise * baseline. One action finds the commonest codes.
+    rose: target >= rise * baseline. inside: whether the last stay had not ended at the start. All tables meet in one
+    shuffle by key; see refined() for the columns that models take.
     """
-    micros = DAY
-    rows = asof(exposures, series_.select("k", "day", "amount", "tie"), by="k", left_ts="s", right_ts="day", take=["amount"], tolerance=baseline_days * micros, ties=["tie"], prefix="baseline_")
-    rows = rows.where("baseline_amount IS NOT NULL")
-    rows = asof(rows, series_.select("k", "day", "amount", "tie"), by="k", left_ts="s", right_ts="day", take=["amount"], direction="forward", exact=False, tolerance=target_days * micros, ties=["tie"], prefix="target_", gap="away")
-    rows = rows.where(F.col("target_amount").isNotNull() & (F.col("away") >= wash_out_days * micros))
-    exposed = exposures.select("k").distinct()
-    code = codes.join(exposed, "k", "left_semi")
-    rows = asof(rows, code.select("k", F.col("s").alias("cs"), "codes"), by="k", left_ts="s", right_ts="cs", take=["codes"], ties=["codes"])
-    wide = encoding.pivot_last(labs.join(exposed, "k", "left_semi"), ["k", "h"], "test", "flag", F.struct("tie"), tests, "lab_")
-    names = [f"lab_{t}" for t in tests]
-    wide = series.filled_forward(wide, "k", "h", names)
-    rows = asof(rows, wide, by="k", left_ts="s", right_ts="h", take=names)
-    rows = asof(rows, stays.select("k", F.col("s").alias("stay_s"), F.col("e").alias("stay_e"), "tie"), by="k", left_ts="s", right_ts="stay_s", take=["stay_s", "stay_e"], ties=["tie"])
+    before = Source(series_, "day", {"baseline_amount": F.col("amount")}, tolerance=baseline_days * DAY, ties=["tie"])
+    after = Source(series_, "day", {"target_amount": F.col("amount")}, direction="forward", exact=False, tolerance=target_days * DAY, ties=["tie"], gap="away")
+    rows = asof_many(exposures, by="k", left_ts="s", sources=[before, after, *known_at(codes, labs, stays, tests)], keyed=True)
+    rows = rows.where(F.col("baseline_amount").isNotNull() & F.col("target_amount").isNotNull() & (F.col("away") >= wash_out_days * DAY))
     rows = rows.withColumn("inside", F.coalesce(F.col("s") <= F.col("stay_e"), F.lit(False)))
     first = cleaning.first_per_key(rows, "k", [F.asc("s"), F.asc("id")])
-    first = first.withColumn("rose", F.col("target_amount") >= rise * F.col("baseline_amount"))
-    common = [r.code for r in encoding.top_codes(codes, "codes", top).collect()]
-    hot = encoding.multi_hot(first, "codes", common, "code_")
-    return hot.drop("stay_s", "stay_e", "away")
+    return first.withColumn("rose", F.col("target_amount") >= rise * F.col("baseline_amount")).drop("stay_s", "stay_e", "away")
+
 
+def refined(rows: DataFrame, *, codes: str = "codes", width: int = 4, top: int = 200, sparse: tuple[str, ...] = ("lab_",), most_missing: float = 0.5, categories: tuple[str, ...] = (), target: str = "rose", unused: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """A cohort as models take it.
 
-def on_treatment(exposures: DataFrame, series_: DataFrame, *, wash_out_days: int = 30, rise: float = 0.05, censored_as_negative: bool = False) -> DataFrame:
+    Columns that begin with a sparse prefix go if more than most_missing of them is null; 'None' becomes null, truth
+    values and their words 1 and 0; categories get a 0/1 column for each level; codes, cut to width, get one for each of
+    the top commonest of the cohort; columns of 0 and 1 become bytes. target comes last; unused columns and those with
+    the suffixes are dropped. Three bounded queries find the columns, levels and codes.
+    """
+    doubtful = [c for c in rows.columns if c.startswith(sparse)]
+    rows = encoding.retyped(cleaning.drop_sparse(rows, doubtful, most_missing) if doubtful else rows)
+    for c in categories:
+        rows = encoding.one_hot(rows, c, encoding.levels(rows, c), f"{c}_").drop(c)
+    rows = rows.withColumn("_short", coding.rolled_up(codes, width))
+    common = [r.code for r in encoding.top_codes(rows, "_short", top).collect()]
+    rows = encoding.multi_hot(rows, "_short", common, "code_").drop("_short", codes)
+    rows = without_columns(rows.withColumn("target", F.col(target).cast("byte")), names=(target, *unused), suffixes=suffixes)
+    two = set(cleaning.binary_columns(rows))
+    return rows.select(*[F.col(f"`{c}`").cast("byte").alias(c) if c in two else F.col(f"`{c}`") for c in rows.columns])
+
+
+def on_treatment(exposures: DataFrame, series_: DataFrame, *, wash_out_days: int = 30, rise: float = 0.05, censored_as_negative: bool = False, codes: DataFrame | None = None, labs: DataFrame | None = None, stays: DataFrame | None = None, tests: list[str] | None = None, first_only: bool = False) -> DataFrame:
     """Per exposure (k, id, s, e): its first measurement after the start, if at least wash_out_days later and not past the end.
 
     target: whether the measurement after that one is higher by `rise`; without one it is null and the row dropped, or
-    0 if censored_as_negative.
+    0 if censored_as_negative. codes, labs and stays, if given (see known_at()), are those known at the measurement;
+    inside: whether the last stay had not ended by then. first_only keeps each key's earliest measurement.
     """
     steps = series.steps(series_, "k", "day", "amount", "tie", rise)
     steps = steps.select("k", "day", "amount", "tie", "share_to_next", F.when(F.col("days_to_next").isNotNull(), F.col("rises_next").cast("int")).alias("target"))
     rows = asof(exposures, steps, by="k", left_ts="s", right_ts="day", take=["day", "amount", "tie", "target"], direction="forward", exact=False, ties=["tie"], gap="away")
-    rows = rows.where((F.col("away") >= wash_out_days * DAY) & (F.col("e").isNull() | (F.col("day") <= F.col("e"))))
-    if censored_as_negative:
-        return rows.withColumn("target", F.coalesce("target", F.lit(0))).drop("away")
-    return rows.where("target IS NOT NULL").drop("away")
+    rows = rows.where((F.col("away") >= wash_out_days * DAY) & (F.col("e").isNull() | (F.col("day") <= F.col("e")))).drop("away")
+    rows = rows.withColumn("target", F.coalesce("target", F.lit(0))) if censored_as_negative else rows.where("target IS NOT NULL")
+    sources = known_at(codes, labs, stays, tests or [])
+    if sources:
+        rows = asof_many(rows, by="k", left_ts="day", sources=sources, keyed=True)
+    if stays is not None:
+        rows = rows.withColumn("inside", F.coalesce(F.col("day") <= F.col("stay_e"), F.lit(False))).drop("stay_s", "stay_e")
+    return cleaning.first_per_key(rows, "k", [F.asc("day"), F.asc("tie"), F.asc("s"), F.asc("id")]) if first_only else rows
 
 
 def subcohorts(series_: DataFrame, exposures: DataFrame, *, before_days: int = 100, limit: float = 0.6, while_on: bool = False) -> DataFrame:

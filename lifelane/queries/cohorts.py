@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series
 from ..plans import cohorts
+from ..sources.io import table
 from . import Registry
 from .base import EXPO, SPEND, STAYS, exposures, r, spending, stays
 
@@ -24,8 +25,11 @@ def _parts(spark, d):
 
 
 _INDEX = "idx AS (SELECT k, okey AS id, min(s) AS s, max(e) AS e FROM expo WHERE code = 'PROMO' GROUP BY ALL)"
-_FLAG = "CASE WHEN dose > 50000 THEN 'Høj' ELSE 'Normal' END"
+_FLAG = "CASE WHEN dose > 50000 THEN 3 ELSE 2 END"
 _TIE = "okey * 10000000 + pk * 10 + ln"
+_PAST = """per AS (SELECT k, s AS h, count(*) AS n, sum((dose > 50000)::INT) AS a FROM expo GROUP BY ALL),
+past AS (SELECT *, abnormal_before / nullif(tests_before, 0) AS abnormal_share FROM (SELECT k, h, coalesce(sum(n) OVER b, 0)::BIGINT AS tests_before, coalesce(sum(a) OVER b, 0)::BIGINT AS abnormal_before,
+ floor((epoch_us(h) - epoch_us(lag(h) OVER (PARTITION BY k ORDER BY h))) / 86400000000.0)::BIGINT AS days_since_previous FROM per WINDOW b AS (PARTITION BY k ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
 
 _INITIATION = f"""WITH {EXPO}, {SPEND}, {STAYS}, {_INDEX},
 b AS (SELECT i.*, m.amount AS baseline_amount FROM idx i JOIN spend m ON m.k = i.k AND m.day <= i.s QUALIFY row_number() OVER (PARTITION BY i.k, i.id ORDER BY m.day DESC, m.o_orderkey DESC) = 1 AND {_DAYS("i.s", "m.day")} <= 90),
@@ -34,26 +38,51 @@ f AS (SELECT k, id, s, e, baseline_amount, target_amount FROM t QUALIFY row_numb
 cl AS (SELECT k, s AS cs, string_agg(DISTINCT brand, ',' ORDER BY brand) AS codes FROM expo GROUP BY ALL),
 c AS (SELECT f.*, cl.codes FROM f LEFT JOIN cl ON cl.k = f.k AND cl.cs <= f.s QUALIFY row_number() OVER (PARTITION BY f.k ORDER BY cl.cs DESC) = 1),
 l AS (SELECT c.k, {", ".join(f"arg_max({_FLAG.replace('dose', 'x.dose')}, (x.s, {_TIE})) FILTER (x.rf = '{t}') AS lab_{t}" for t in _TESTS)} FROM c LEFT JOIN expo x ON x.k = c.k AND x.s <= c.s GROUP BY c.k),
-st AS (SELECT c.k, z.s AS zs, z.e AS ze FROM c LEFT JOIN stays z ON z.k = c.k AND z.s <= c.s QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY z.s DESC, z.okey DESC) = 1)
-SELECT c.k, c.id, c.s, c.e, baseline_amount, target_amount, codes, {", ".join(f"lab_{t}" for t in _TESTS)}, coalesce(c.s <= st.ze, false) AS inside, target_amount >= 1.05 * baseline_amount AS rose"""
+{_PAST},
+h AS (SELECT c.k, p.* EXCLUDE (k, h) FROM c LEFT JOIN past p ON p.k = c.k AND p.h <= c.s QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY p.h DESC) = 1),
+st AS (SELECT c.k, z.s AS zs, z.e AS ze FROM c LEFT JOIN stays z ON z.k = c.k AND z.s <= c.s QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY z.s DESC, z.okey DESC) = 1),
+whole AS (SELECT c.k, c.id, c.s, c.e, baseline_amount, target_amount, codes, {", ".join(f"lab_{t}" for t in _TESTS)}, tests_before, abnormal_before, days_since_previous, round(abnormal_share, 6) AS abnormal_share, coalesce(c.s <= st.ze, false) AS inside, target_amount >= 1.05 * baseline_amount AS rose
+ FROM c JOIN l USING (k) JOIN h USING (k) JOIN st USING (k))"""
 
 
-@query("cohort_initiation", _INITIATION + " FROM c JOIN l USING (k) JOIN st USING (k)")
+@query("cohort_initiation", _INITIATION + " SELECT * FROM whole")
 def cohort_initiation(spark, d):
-    rows = cohorts.initiation(*_parts(spark, d), tests=_TESTS)
-    return rows.drop(*[c for c in rows.columns if c.startswith("code_")])
+    return cohorts.initiation(*_parts(spark, d), tests=_TESTS).withColumn("abnormal_share", r("abnormal_share", 6))
+
+
+_SHORT = "short AS (SELECT DISTINCT k, substr(trim(x), 1, 8) AS code FROM (SELECT k, unnest(string_split(codes, ',')) AS x FROM whole)), tops AS (SELECT code FROM short GROUP BY code ORDER BY count(*) DESC, code LIMIT {top})"
 
 
-@query("cohort_initiation_codes")
+@query("cohort_initiation_codes", _INITIATION + f""", {_SHORT.format(top=5)} SELECT code, count(*) AS n, (SELECT count(*) FROM whole) AS cohort FROM short JOIN tops USING (code) GROUP BY code""")
 def cohort_initiation_codes(spark, d):
-    """The cohort with a 0/1 column for each of the commonest codes, counted over the cohort."""
+    """The commonest codes of the cohort, counted over the cohort's own rows, with how many of it have them."""
     rows = cohorts.initiation(*_parts(spark, d), tests=_TESTS)
-    hot = [c for c in rows.columns if c.startswith("code_")]
-    return rows.agg(F.count("*").alias("n"), *[F.sum(f"`{c}`").alias(c.replace("#", "_")) for c in hot])
+    out = cohorts.refined(rows, width=8, top=5)
+    hot = [c for c in out.columns if c.startswith("code_")]
+    sums = out.agg(F.count("*").alias("cohort"), *[F.sum(f"`{c}`").alias(c) for c in hot])
+    return sums.unpivot(["cohort"], hot, "code", "n").select(F.substr("code", F.lit(6)).alias("code"), "n", "cohort")
+
+
+_PLAIN = ["baseline_amount", "tests_before", "abnormal_before", "days_since_previous", "abnormal_share"]
+_LONG = " UNION ALL ".join(f"SELECT k, '{c}' AS name, {c}::DOUBLE AS value FROM whole" for c in _PLAIN)
+_LONG += "".join(f" UNION ALL SELECT k, 'lab_{t}', lab_{t}::DOUBLE FROM whole WHERE (SELECT avg((lab_{t} IS NULL)::INT) FROM whole) <= 0.5" for t in _TESTS)
+_LONG += " UNION ALL SELECT k, 'inside', inside::INT::DOUBLE FROM whole UNION ALL SELECT k, 'target', rose::INT::DOUBLE FROM whole"
+_LONG += " UNION ALL SELECT k, 'segment_' || lower(c_mktsegment), (c_mktsegment = own)::INT::DOUBLE FROM (SELECT k, c.c_mktsegment AS own, z.c_mktsegment FROM whole JOIN customer c ON c_custkey = k, (SELECT DISTINCT c_mktsegment FROM customer JOIN whole ON k = c_custkey) z)"
+_LONG += " UNION ALL SELECT w.k, 'code_' || t.code, (s.code IS NOT NULL)::INT::DOUBLE FROM whole w CROSS JOIN tops t LEFT JOIN short s ON s.k = w.k AND s.code = t.code"
+
+
+@query("cohort_initiation_final", _INITIATION + f", {_SHORT.format(top=200)} SELECT * FROM ({_LONG}) WHERE value IS NOT NULL")
+def cohort_initiation_final(spark, d):
+    """The cohort as models take it, one row for each key and column: sparse tests gone, values retyped, categories and codes as 0/1."""
+    who = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lower("c_mktsegment").alias("segment"))
+    rows = cohorts.initiation(*_parts(spark, d), tests=_TESTS).withColumn("abnormal_share", r("abnormal_share", 6)).join(who, "k")
+    out = cohorts.refined(rows, width=8, categories=("segment",), unused=("id", "s", "e"), suffixes=("_amount_next", "target_amount"))
+    names = [c for c in out.columns if c != "k"]
+    return out.select("k", *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).unpivot(["k"], [f"`{c}`" for c in names], "name", "value").where("value IS NOT NULL").withColumn("name", F.replace("name", F.lit("`"), F.lit("")))
 
 
 _STEPPED = f"stepped AS (SELECT *, lead(amount) OVER w - amount AS ch, {_DAYS('lead(day) OVER w', 'day')} AS gap FROM spend WINDOW w AS (PARTITION BY k ORDER BY day, o_orderkey))"
-_ON = f"""WITH {EXPO}, {SPEND}, {_INDEX}, {_STEPPED},
+_ON = f"""WITH {EXPO}, {SPEND}, {STAYS}, {_INDEX}, {_STEPPED}, {_PAST},
 m AS (SELECT i.*, n.day, n.amount, n.o_orderkey AS tie, CASE WHEN n.gap IS NOT NULL THEN coalesce(n.ch / nullif(n.amount, 0) >= 0.05, false)::INT END AS target FROM idx i JOIN stepped n ON n.k = i.k AND n.day > i.s QUALIFY row_number() OVER (PARTITION BY i.k, i.id ORDER BY n.day, n.o_orderkey) = 1)"""
 
 
@@ -69,6 +98,20 @@ def cohort_on_treatment_censored(spark, d):
     return cohorts.on_treatment(index, money, wash_out_days=10, censored_as_negative=True)
 
 
+@query("cohort_on_treatment_known", f"""{_ON}, c0 AS (SELECT * FROM m WHERE {_DAYS('day', 's')} >= 10 AND day <= e AND target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY day, tie, s, id) = 1),
+cl AS (SELECT k, s AS cs, string_agg(DISTINCT brand, ',' ORDER BY brand) AS codes FROM expo GROUP BY ALL),
+c AS (SELECT c0.*, cl.codes FROM c0 LEFT JOIN cl ON cl.k = c0.k AND cl.cs <= c0.day QUALIFY row_number() OVER (PARTITION BY c0.k ORDER BY cl.cs DESC) = 1),
+l AS (SELECT c.k, {", ".join(f"arg_max({_FLAG.replace('dose', 'x.dose')}, (x.s, {_TIE})) FILTER (x.rf = '{t}') AS lab_{t}" for t in _TESTS)} FROM c LEFT JOIN expo x ON x.k = c.k AND x.s <= c.day GROUP BY c.k),
+h AS (SELECT c.k, p.* EXCLUDE (k, h) FROM c LEFT JOIN past p ON p.k = c.k AND p.h <= c.day QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY p.h DESC) = 1),
+st AS (SELECT c.k, z.e AS ze FROM c LEFT JOIN stays z ON z.k = c.k AND z.s <= c.day QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY z.s DESC, z.okey DESC) = 1)
+SELECT c.*, {", ".join(f"lab_{t}" for t in _TESTS)}, tests_before, abnormal_before, days_since_previous, round(abnormal_share, 6) AS abnormal_share, coalesce(c.day <= st.ze, false) AS inside FROM c JOIN l USING (k) JOIN h USING (k) JOIN st USING (k)""")
+def cohort_on_treatment_known(spark, d):
+    """Each key's first measurement on treatment, with the codes, tests and stay known at it."""
+    index, money, codes, labs, stays_ = _parts(spark, d)
+    rows = cohorts.on_treatment(index, money, wash_out_days=10, codes=codes, labs=labs, stays=stays_, tests=_TESTS, first_only=True)
+    return rows.withColumn("abnormal_share", r("abnormal_share", 6))
+
+
 def _first_exposures(spark, d):
     return exposures(spark, d).where("code = 'PROMO' AND dose > 60000").groupBy("k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 
