@@ -8,32 +8,54 @@ from pyspark.sql import functions as F
 from ..functions.times import floor_days, micros
 
 
-def code_history(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclusive: bool, past_inclusive: bool, exclude_own: bool) -> DataFrame:
-    """df with active_codes and past_codes (sorted, joined by commas), n_active, n_past and times_before.
+#: Stands for the end of an interval without one.
+OPEN = (1 << 63) - 1
+
+
+def codes_at(rows: DataFrame, key: str, code: str) -> DataFrame:
+    """key, _s, _known: for each instant of a key, each code that has begun by then with its first and last start and latest end.
+
+    rows have _s and _e, in microseconds. Every (key, code) keeps three running figures, however long its history; an
+    instant gets a row for each of the key's codes, which are then gathered. So a task holds no history, and even one
+    key is dealt over tasks by its codes.
+    """
+    instants = rows.select(key, "_s").distinct()
+    asked = instants.join(rows.select(key, code).distinct(), key).select(key, code, "_s", F.lit(True).alias("_ask"))
+    events = rows.select(key, code, "_s", F.coalesce("_e", F.lit(OPEN)).alias("_e"), F.lit(False).alias("_ask"))
+    w = Window.partitionBy(key, code).orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
+    begun = F.when(~F.col("_ask"), F.col("_s"))
+    both = asked.unionByName(events, allowMissingColumns=True).withColumns({"_first": F.min(begun).over(w), "_last": F.max(begun).over(w), "_until": F.max("_e").over(w)})
+    both = both.where(F.col("_ask") & F.col("_first").isNotNull())
+    known = F.struct(F.col(code).alias("c"), F.col("_first").alias("first"), F.col("_last").alias("last"), F.col("_until").alias("until"))
+    return both.groupBy(key, "_s").agg(F.sort_array(F.collect_list(known)).alias("_known"))
+
+
+def code_history(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclusive: bool, past_inclusive: bool, exclude_own: bool, prefixes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """df with active_codes and past_codes (sorted, joined by commas), n_active, n_past, times_before and a flag for each of prefixes.
 
     At a row's start t: active are codes that start at t, or started before and have no end or end after t (at t too,
     if end_inclusive), without the row's own code if exclude_own; past are codes that started before t (or at t, if
-    past_inclusive); times_before counts rows of the row's own code that started before t. Rows without start or code
-    are dropped. A key's history is gathered by one running window.
+    past_inclusive); times_before counts rows of the row's own code that started before t. A flag tells whether an
+    active code begins with one of its prefixes. Rows without key, start or code are dropped.
     """
-    rows = df.where(F.col(start).isNotNull() & F.col(code).isNotNull()).withColumns({"_s": micros(start), "_e": micros(end)})
-    w = Window.partitionBy(key).orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_set(F.struct(F.col(code).alias("c"), F.col("_s").alias("s"), F.col("_e").alias("e"))).over(w)
+    rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(code).isNotNull()).withColumns({"_s": micros(start), "_e": micros(end)})
     own = Window.partitionBy(key, code).orderBy("_s").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("times_before", F.count("*").over(own)).withColumn("_seen", seen)
+    known = codes_at(rows, key, code)
+    rows = rows.withColumn("times_before", F.count("*").over(own)).join(known, [key, "_s"]).select(*df.columns, "times_before", "_s", "_known")
     t = F.col("_s")
-
-    def going(x):
-        alive = x["e"].isNull() | ((x["e"] >= t) if end_inclusive else (x["e"] > t))
-        return (x["s"] == t) | alive
-
-    codes = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda x: x["c"])))
-    active = codes(F.filter("_seen", going))
+    codes = lambda keep: F.transform(F.filter("_known", keep), lambda x: x["c"])
+    active = codes(lambda x: (x["last"] == t) | ((x["until"] >= t) if end_inclusive else (x["until"] > t)))
     if exclude_own:
         active = F.array_except(active, F.array(code))
-    past = codes(F.filter("_seen", lambda x: x["s"] <= t if past_inclusive else x["s"] < t))
+    past = codes(lambda x: F.lit(True) if past_inclusive else x["first"] < t)
     rows = rows.withColumns({"_active": active, "_past": past})
-    return rows.withColumns({"active_codes": F.array_join("_active", ","), "n_active": F.size("_active").cast("long"), "past_codes": F.array_join("_past", ","), "n_past": F.size("_past").cast("long")}).drop("_active", "_past", "_seen", "_s", "_e")
+
+    def begins(own: tuple[str, ...]):
+        return F.exists("_active", lambda c: F.coalesce(*[F.when(c.startswith(x), True) for x in own], F.lit(False)))
+
+    flags = {name: begins(own) for name, own in (prefixes or {}).items()}
+    out = {"active_codes": F.array_join("_active", ","), "n_active": F.size("_active").cast("long"), "past_codes": F.array_join("_past", ","), "n_past": F.size("_past").cast("long")}
+    return rows.withColumns(out | flags).drop("_active", "_past", "_known", "_s")
 
 
 def count_before(df: DataFrame, key: str, ts: str, conditions: dict[str, Column]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, instant, micros
+from .history import codes_at
 
 HOURS_48 = 2 * DAY
 
@@ -46,12 +47,13 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = HOU
     return rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def collapse(df: DataFrame, keys: list[str], start: str, end: str, *, gap: int = HOURS_48, aggs: dict[str, Column] | None = None) -> DataFrame:
-    """One row per island of keys: its start, end, days and the given aggregates. Duplicate rows count once.
+def collapse(df: DataFrame, keys: list[str], start: str, end: str, *, gap: int = HOURS_48, aggs: dict[str, Column] | None = None, distinct: bool = True) -> DataFrame:
+    """One row per island of keys: its start, end, days and the given aggregates.
 
+    distinct: duplicate rows count once; that takes a shuffle of whole rows, so say False where no aggregate minds them.
     days: 1 where the island is shorter than a day but not empty, the span in days else; null for open islands.
     """
-    rows = islands(df.dropDuplicates(), keys, start, end, gap)
+    rows = islands(df.dropDuplicates() if distinct else df, keys, start, end, gap)
     out = rows.groupBy(*keys, "island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), *[a.alias(k) for k, a in (aggs or {}).items()])
     span = (F.col("_e") - F.col("_s")) / float(DAY)
     return out.select(*keys, instant("_s").alias(start), instant("_e").alias(end), F.when((span > 0) & (span < 1), F.lit(1.0)).otherwise(span).alias("days"), *(aggs or {}))
@@ -69,12 +71,9 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 def overlapping_codes(df: DataFrame, key: str, code: str, start: str, end: str, ident: str) -> DataFrame:
     """key, ident, codes: the other codes of intervals of the key that run, or end, after this one's start and began before it or with it.
 
-    No self-join on inequalities: the codes that began up to a start are gathered by a running window.
+    No self-join on inequalities: see history.codes_at(). Rows without key, start or code are dropped.
     """
-    w = Window.partitionBy(key).orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumns({"_s": micros(start), "_e": micros(end)})
-    seen = F.collect_list(F.struct(F.col(code).alias("c"), F.col("_e").alias("e"))).over(w)
-    rows = rows.withColumn("_seen", seen)
-    active = F.transform(F.filter("_seen", lambda x: x["e"].isNull() | (x["e"] >= F.col("_s"))), lambda x: x["c"])
-    codes = F.array_sort(F.array_except(F.array_distinct(active), F.array(code)))
-    return rows.select(key, ident, F.array_join(codes, ",").alias("codes"))
+    rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(code).isNotNull()).select(key, ident, code, micros(start).alias("_s"), micros(end).alias("_e"))
+    rows = rows.join(codes_at(rows, key, code), [key, "_s"])
+    active = F.transform(F.filter("_known", lambda x: x["until"] >= F.col("_s")), lambda x: x["c"])
+    return rows.select(key, ident, F.array_join(F.array_except(active, F.array(code)), ",").alias("codes"))
