@@ -34,6 +34,12 @@ def average_precision(df: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     return c.groupBy(*group).agg(F.sum(F.try_divide("pos", "positives") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
 
 
+def precision_recall(df: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """The points of the precision-recall curve by threshold, with the share of positives as baseline."""
+    c = curve(df, group)
+    return c.select(*group, "threshold", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", "positives").alias("recall"), F.try_divide(F.col("positives"), F.col("positives") + F.col("negatives")).alias("prevalence"))
+
+
 def best_f1(df: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """The threshold of the largest F1, the smallest of equals."""
     f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("positives"))
@@ -93,6 +99,27 @@ def mean_roc(df: DataFrame, split: str, group: tuple[str, ...] = (), points: int
     return rows.groupBy(*group, "i").agg(F.avg("v").alias("tpr"), F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi")).withColumn("fpr", F.col("i") / last).drop("i")
 
 
+def chosen(df: DataFrame, names: dict[str, str], keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """The columns of keep and the metrics of names, under their new names; a metric that df lacks raises, and so do two of one name."""
+    if missing := [c for c in [*keep, *names] if c not in df.columns]:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    if len({*keep, *names.values()}) < len(keep) + len(names):
+        raise ValueError(f"names are given twice: {', '.join(names.values())}")
+    return df.select(*keep, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+
+
+def over_splits(df: DataFrame, model: str, metrics: list[str]) -> DataFrame:
+    """model and, for each metric, its mean over splits and its 2.5 and 97.5 percentiles (<metric>_mean, _lo, _hi)."""
+    q = lambda c: f"`{c}`"
+    return df.groupBy(model).agg(*[a for m in metrics for a in (F.avg(q(m)).alias(f"{m}_mean"), F.percentile(q(m), 0.025).alias(f"{m}_lo"), F.percentile(q(m), 0.975).alias(f"{m}_hi"))])
+
+
+def compact(df: DataFrame, model: str, metrics: list[str], digits: int = 3) -> DataFrame:
+    """over_splits() as one text for each metric: mean (low–high)."""
+    text = lambda c: F.round(f"`{c}`", digits).cast("string")
+    return df.select(model, *[F.concat(text(f"{m}_mean"), F.lit(" ("), text(f"{m}_lo"), F.lit("–"), text(f"{m}_hi"), F.lit(")")).alias(m) for m in metrics])
+
+
 def class_weights(df: DataFrame, y: str) -> DataFrame:
     n = F.count("*")
     return df.groupBy(y).agg(n.alias("n")).withColumn("weight", F.sum("n").over(Window.partitionBy(F.lit(1))) / (2 * F.col("n")))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ranks
+from ..functions import ranks, student
 from ..functions.times import DAY, floor_days, micros
 
 
@@ -36,7 +36,7 @@ def normal_p(z: str) -> Column:
 
 
 def welch(df: DataFrame, value: str, first: Column, pooled: bool = False) -> DataFrame:
-    """One row: sizes, means, t, degrees of freedom and the standard error of the difference."""
+    """One row: sizes, means, their difference with standard error and 95 % interval (lo, hi), t, degrees of freedom and p."""
     one, two = F.when(first, F.col(value)), F.when(~first, F.col(value))
     m = df.agg(F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("mean1"), F.avg(two).alias("mean2"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v2"))
     a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
@@ -45,7 +45,9 @@ def welch(df: DataFrame, value: str, first: Column, pooled: bool = False) -> Dat
         se, df_ = F.sqrt(v * (1 / F.col("n1") + 1 / F.col("n2"))), (F.col("n1") + F.col("n2") - 2).cast("double")
     else:
         se, df_ = F.sqrt(a + b), (a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))
-    return m.select("n1", "n2", "mean1", "mean2", (F.col("mean1") - F.col("mean2")).alias("difference"), se.alias("standard_error"), ((F.col("mean1") - F.col("mean2")) / se).alias("t"), df_.alias("df"))
+    out = m.select("n1", "n2", "mean1", "mean2", (F.col("mean1") - F.col("mean2")).alias("difference"), se.alias("standard_error"), F.try_divide(F.col("mean1") - F.col("mean2"), se).alias("t"), df_.alias("df"))
+    reach = student.critical(0.05, F.col("df")) * F.col("standard_error")
+    return out.withColumns({"p": student.p_value(F.col("t"), F.col("df")), "lo": F.col("difference") - reach, "hi": F.col("difference") + reach})
 
 
 def compare_groups(df: DataFrame, value: str, first: Column, alpha_limit: float = 5.99) -> DataFrame:
@@ -53,12 +55,15 @@ def compare_groups(df: DataFrame, value: str, first: Column, alpha_limit: float
 
     A group looks normal if its Jarque-Bera statistic is below alpha_limit (chi-square, 5 %).
     """
-    g = df.withColumn("_g", F.when(first, "first").otherwise("second")).groupBy("_g").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile_approx(value, 0.5).alias("median"), F.skewness(value).alias("s"), F.kurtosis(value).alias("k"))
+    rows = df.withColumn("_g", F.when(first, "first").otherwise("second"))
+    g = rows.groupBy("_g").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.skewness(value).alias("s"), F.kurtosis(value).alias("k"))
+    g = g.join(ranks.quantiles(rows, value, {"median": 0.5}, ("_g",)), "_g", "left")
     g = g.withColumn("jb", F.col("n") / 6 * (F.col("s") * F.col("s") + F.col("k") * F.col("k") / 4))
     normal = g.agg((F.max("jb") < alpha_limit).alias("normal"))
-    t = welch(df, value, first).select(F.col("t").alias("welch_t"), "df")
-    u = mann_whitney(df, value, first).select("u", "z", "p")
-    return g.drop("s", "k").crossJoin(normal).crossJoin(t).crossJoin(u).withColumn("test", F.when(F.col("normal"), "welch").otherwise("mann_whitney")).withColumnRenamed("_g", "grp")
+    t = welch(df, value, first).select(F.col("t").alias("welch_t"), "df", F.col("p").alias("welch_p"), "lo", "hi")
+    u = mann_whitney(df, value, first).select("u", "z", F.col("p").alias("rank_p"))
+    out = g.drop("s", "k").crossJoin(normal).crossJoin(t).crossJoin(u)  # one-row tables
+    return out.withColumns({"test": F.when(F.col("normal"), "welch").otherwise("mann_whitney"), "p": F.when(F.col("normal"), F.col("welch_p")).otherwise(F.col("rank_p"))}).drop("welch_p", "rank_p").withColumnRenamed("_g", "grp")
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -81,18 +86,17 @@ def standard_differences(df: DataFrame, value: str, binary: str, first: Column)
 
 def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """feature, rho, n: rank correlation of each column with target over the rows that have both."""
-    long = df.select(target, *columns).unpivot([target], columns, "feature", "v").where(F.col("v").isNotNull() & F.col(target).isNotNull())
-    both = ranks.mid_ranks(ranks.mid_ranks(long, "v", ("feature",)), target, ("feature",))
-    return both.groupBy("feature").agg(F.corr("v_rank", f"{target}_rank").alias("rho"), F.count("*").alias("n"))
+    long = df.select(target, *columns).unpivot([target], columns, "feature", "v")
+    return ranks.rank_correlation(long, "v", target, ("feature",))
 
 
 def spearman_pairs(df: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
-    """a, b, rho, n of every pair of columns over the rows that have both; rho is null below least rows."""
+    """a, b, rho, n, p of every pair of columns over the rows that have both; rho and p are null below least rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("e")).select("e.*").where("x IS NOT NULL AND y IS NOT NULL")
-    both = ranks.mid_ranks(ranks.mid_ranks(long, "x", ("pair",)), "y", ("pair",))
-    out = both.groupBy("pair").agg(F.corr("x_rank", "y_rank").alias("rho"), F.count("*").alias("n"))
-    return out.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), F.when(F.col("n") >= least, F.col("rho")).alias("rho"), "n")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("e")).select("e.*")
+    out = ranks.rank_correlation(long, "x", "y", ("pair",)).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
+    t = F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))).when(F.col("rho").isNotNull(), F.lit(float("inf")))
+    return out.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "rho", "n", student.p_value(t, F.col("n") - 2).alias("p"))
 
 
 def loess(df: DataFrame, x: str, y: str, share: float = 0.3) -> DataFrame:
@@ -126,7 +130,8 @@ def delta_trajectory(df: DataFrame, key: str, ts: str, anchor: str, value: str,
     base = F.max_by(F.when(F.col("_rel") < 0, F.col(value)), F.when(F.col("_rel") < 0, F.struct(ts, value))).over(Window.partitionBy(key))
     rows = rows.withColumn("_d", F.col(value) - base).where("_d IS NOT NULL").withColumn("bin_center", F.floor(F.col("_rel") / 30) + 0.5)
     per = rows.groupBy(key, "bin_center").agg(F.percentile("_d", 0.5).alias("_d"))
-    out = per.groupBy("bin_center").agg(F.percentile("_d", 0.5).alias("median"), F.percentile("_d", 0.25).alias("q1"), F.percentile("_d", 0.75).alias("q3"), F.count("*").alias("n_keys")).where(F.col("n_keys") >= least)
+    sizes = per.groupBy("bin_center").agg(F.count("_d").alias("n_keys"))
+    out = ranks.quantiles(per, "_d", {"median": 0.5, "q1": 0.25, "q3": 0.75}, ("bin_center",)).join(sizes, "bin_center").where(F.col("n_keys") >= least)
     w = Window.orderBy("bin_center")  # at most 2 * max_days / 30 rows
     step = (F.col("bin_center") - F.lag("bin_center").over(w)) * (F.abs("median") + F.abs(F.lag("median").over(w))) / 2
     return out.withColumn("_s", F.coalesce(step, F.lit(0.0))).withColumn("area", F.sum("_s").over(w)).drop("_s")

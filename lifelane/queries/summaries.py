@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ranks
-from ..operators import disclosure, stats
+from ..operators import disclosure, evaluation, stats
 from ..sources.io import table
 from . import Registry
 from .base import EXPO, exposures, measures, r
@@ -19,19 +19,16 @@ def group_quantiles(spark, d):
     return rows.select("event_type", *[r(c, 6).alias(c) for c in ("q1", "q2", "q3")])
 
 
-_SORTED = "x AS (SELECT user_id, list_sort(list(value)) AS v FROM events WHERE user_id < 100 OR event_id % 40 = 0 GROUP BY user_id)"
+#: A person's days of the week are groups of very different sizes, some below five.
+_SORTED = "x AS (SELECT user_id, dayofweek(ts) AS day, list_sort(list(value)) AS v FROM events GROUP BY ALL)"
 
 
-def _uneven(spark, d):
-    """Groups of very different sizes, some below five."""
-    return measures(spark, d).where("user_id < 100 OR event_id % 40 = 0")
-
-
-@query("pseudo_minmedmax", f"""WITH {_SORTED}, y AS (SELECT user_id, v, len(v) AS n, greatest(len(v) // 2 - 2, 0) AS m FROM x)
-SELECT user_id, CASE WHEN n >= 5 THEN round(list_avg(v[1:5]), 6) END AS pseudo_min, CASE WHEN n >= 5 THEN round(list_avg(v[m + 1:m + 5]), 6) END AS pseudo_median, CASE WHEN n >= 5 THEN round(list_avg(v[n - 4:n]), 6) END AS pseudo_max FROM y""")
+@query("pseudo_minmedmax", f"""WITH {_SORTED}, y AS (SELECT user_id, day, v, len(v) AS n, greatest(len(v) // 2 - 2, 0) AS m FROM x)
+SELECT user_id, day, CASE WHEN n >= 5 THEN round(list_avg(v[1:5]), 6) END AS pseudo_min, CASE WHEN n >= 5 THEN round(list_avg(v[m + 1:m + 5]), 6) END AS pseudo_median, CASE WHEN n >= 5 THEN round(list_avg(v[n - 4:n]), 6) END AS pseudo_max FROM y""")
 def pseudo_minmedmax(spark, d):
-    rows = disclosure.pseudo_extremes(_uneven(spark, d), "value", ("user_id",))
-    return rows.select("user_id", *[r(c, 6).alias(c) for c in ("pseudo_min", "pseudo_median", "pseudo_max")])
+    rows = measures(spark, d).withColumn("day", (F.dayofweek("ts") - 1).cast("long"))
+    rows = disclosure.pseudo_extremes(rows, "value", ("user_id", "day"))
+    return rows.select("user_id", "day", *[r(c, 6).alias(c) for c in ("pseudo_min", "pseudo_median", "pseudo_max")])
 
 
 @query("pseudo_quantile", """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q FROM events GROUP BY 1),
@@ -64,15 +61,18 @@ def column_profile(spark, d):
     return out.select(F.col("column").alias("name"), "n", r("missing_percent").alias("missing_percent"), "true_count", "false_count", *[r(c).alias(c) for c in ("mean", "pseudo_min", "pseudo_median", "pseudo_max")])
 
 
-@query("publication_table")
+@query("publication_table", f"""WITH c AS (SELECT CASE WHEN event_type = 'view' THEN 'on' ELSE 'off' END AS cohort, value FROM events), b AS (SELECT cohort, avg(value) AS m, stddev_samp(value) AS sd, avg((value IS NULL)::INT) AS missing FROM c GROUP BY 1),
+q AS (SELECT b.*, k1.v AS q1, k2.v AS q2, k3.v AS q3 FROM b {" ".join(f"JOIN (SELECT cohort, avg(value) AS v FROM (SELECT c.*, row_number() OVER (PARTITION BY cohort ORDER BY abs(value - q), value) AS i FROM c JOIN (SELECT cohort, quantile_cont(value, {share}) AS q FROM c GROUP BY 1) USING (cohort)) WHERE i <= 5 GROUP BY 1) k{i} USING (cohort)" for i, share in ((1, 0.25), (2, 0.5), (3, 0.75)))}),
+rk AS (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rk FROM c), u AS (SELECT count(*) FILTER (WHERE cohort = 'on') AS n1, count(*) AS n, sum(rk) FILTER (WHERE cohort = 'on') AS s FROM rk)
+SELECT cohort, printf('%.2f (%.2f)', m, sd) AS mean_sd, printf('%.2f [%.2f; %.2f]', q2, q1, q3) AS median_iqr, printf('%.1f %%', missing * 100) AS missing, round(abs(1 - 2 * (s - n1 * (n1 + 1) / 2) / (n1 * (n - n1))), 6) AS effect FROM q, u""")
 def publication_table(spark, d):
-    """Two cohorts side by side: mean (SD), safe median [quartiles], missing share, rank test."""
+    """Two cohorts side by side: mean (SD), safe median [quartiles], missing share, size of the effect."""
     rows = measures(spark, d).withColumn("cohort", F.when(F.col("event_type") == "view", "on").otherwise("off"))
     base = rows.groupBy("cohort").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"), F.avg(F.col("value").isNull().cast("double")).alias("missing"))
     parts = [disclosure.pseudo_quantile(rows, "value", q, ("cohort",)).withColumnRenamed("pseudo_quantile", n) for n, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
     for p in parts:
         base = base.join(p, "cohort")
-    test = stats.mann_whitney(rows, "value", F.col("cohort") == "on").select("p", F.abs("rank_biserial").alias("effect"))
+    test = stats.mann_whitney(rows, "value", F.col("cohort") == "on").select(r(F.abs("rank_biserial"), 6).alias("effect"))
     text = base.select("cohort", F.format_string("%.2f (%.2f)", "m", "sd").alias("mean_sd"), F.format_string("%.2f [%.2f; %.2f]", "q2", "q1", "q3").alias("median_iqr"), F.format_string("%.1f %%", F.col("missing") * 100).alias("missing"))
     return text.crossJoin(test)
 
@@ -98,9 +98,27 @@ def welch_t(spark, d):
     return out.select("n1", "n2", r("difference", 6).alias("difference"), r("t", 6).alias("t"), r("df").alias("df"))
 
 
-@query("two_group_compare")
+#: Simpson's rule over the density of Student's t from 0 to |t|.
+_TAIL = """(SELECT 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * pow(1 + pow(i * abs({t}) / 4000, 2) / {df}, -({df} + 1) / 2)) * abs({t}) / 12000 FROM range(0, 4001) r(i))"""
+_T = "t AS (SELECT n1, n2, a - b AS d, sqrt(v / n1 + w / n2) AS se, (a - b) / sqrt(v / n1 + w / n2) AS t, pow(v / n1 + w / n2, 2) / (pow(v / n1, 2) / (n1 - 1) + pow(w / n2, 2) / (n2 - 1)) AS df FROM m)"
+
+
+@query("welch_p", f"WITH {_M}, {_T}, z AS (SELECT *, 1.959963984540054 AS z FROM t), q AS (SELECT *, z + (pow(z, 3) + z) / (4 * df) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df) AS c FROM z) SELECT round({_TAIL.format(t='t', df='df')}, 6) AS p, round(d - c * se, 4) AS lo, round(d + c * se, 4) AS hi FROM q")
+def welch_p(spark, d):
+    """p and the 95 % interval of the difference; the SQL integrates the density and expands the quantile."""
+    return stats.welch(measures(spark, d), "value", F.col("event_type") == "view").select(r("p", 6).alias("p"), r("lo").alias("lo"), r("hi").alias("hi"))
+
+
+_RANKED = "rk AS (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rk FROM events)"
+
+
+@query("two_group_compare", f"""WITH {_M}, {_T}, {_RANKED}, g AS (SELECT CASE WHEN event_type = 'view' THEN 'first' ELSE 'second' END AS grp, value FROM events), mm AS (SELECT grp, avg(value) AS mu FROM g GROUP BY 1),
+s AS (SELECT grp, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, median(value) AS median, avg(pow(value - mu, 3)) / pow(avg(pow(value - mu, 2)), 1.5) AS sk, avg(pow(value - mu, 4)) / pow(avg(pow(value - mu, 2)), 2) - 3 AS ku FROM g JOIN mm USING (grp) GROUP BY 1),
+j AS (SELECT *, n / 6 * (sk * sk + ku * ku / 4) AS jb FROM s), u AS (SELECT sum(rk) - count(*) * (count(*) + 1) / 2 AS u FROM rk WHERE event_type = 'view')
+SELECT grp, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(median, 4) AS median, round(jb, 3) AS jb, (SELECT max(jb) < 5.99 FROM j) AS normal, CASE WHEN (SELECT max(jb) < 5.99 FROM j) THEN 'welch' ELSE 'mann_whitney' END AS test, round(t, 4) AS welch_t, round(df, 3) AS df, round(u, 2) AS u FROM j, t, u""")
 def two_group_compare(spark, d):
-    return stats.compare_groups(measures(spark, d), "value", F.col("event_type") == "view")
+    out = stats.compare_groups(measures(spark, d), "value", F.col("event_type") == "view")
+    return out.select("grp", "n", r("mean").alias("mean"), r("sd").alias("sd"), r("median").alias("median"), r("jb", 3).alias("jb"), "normal", "test", r("welch_t").alias("welch_t"), r("df", 3).alias("df"), r("u", 2).alias("u"))
 
 
 @query("wilcoxon_paired", """WITH p AS (SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'view'), 2) - round(avg(value) FILTER (WHERE event_type = 'click'), 2) AS d FROM events GROUP BY 1), q AS (SELECT round(abs(d), 2) AS m, d > 0 AS up FROM p WHERE d <> 0),
@@ -140,13 +158,18 @@ def spearman_top(spark, d):
 
 @query("spearman_pairwise", _ranked([(a, b) for i, a in enumerate(_LI) for b in _LI[i + 1 :]]))
 def spearman_pairwise(spark, d):
-    return stats.spearman_pairs(_numbers(spark, d), _LI).withColumn("rho", r("rho", 6))
+    return stats.spearman_pairs(_numbers(spark, d), _LI).withColumn("rho", r("rho", 6)).drop("p")
+
+
+@query("spearman_p", f"SELECT a, b, round({_TAIL.format(t='(rho * sqrt((n - 2) / (1 - rho * rho)))', df='(n - 2)::DOUBLE')}, 6) AS p FROM ({_ranked([(a, b) for i, a in enumerate(_LI) for b in _LI[i + 1 :]]).replace('round(corr(x, y), 6)', 'corr(x, y)')})")
+def spearman_p(spark, d):
+    return stats.spearman_pairs(_numbers(spark, d), _LI).select("a", "b", r("p", 6).alias("p"))
 
 
 @query("spearman_matrix", _ranked([(a, b) for i, a in enumerate(_LI) for b in _LI[i + 1 :]]).replace("CASE WHEN l_linenumber <> 3 THEN l_discount END", "CASE WHEN l_linenumber <> 3 THEN l_discount ELSE 0 END"))
 def spearman_matrix(spark, d):
     """Nulls count as 0 in the full matrix."""
-    return stats.spearman_pairs(_numbers(spark, d).na.fill(0.0), _LI).withColumn("rho", r("rho", 6))
+    return stats.spearman_pairs(_numbers(spark, d).na.fill(0.0), _LI).withColumn("rho", r("rho", 6)).drop("p")
 
 
 @query("loess_trend", """WITH m AS (SELECT l_quantity::INT AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1), p AS (SELECT a.x AS x0, b.x, b.y, abs(b.x - a.x)::DOUBLE AS d, row_number() OVER (PARTITION BY a.x ORDER BY abs(b.x - a.x), b.x) AS r, greatest(ceil(count(*) OVER (PARTITION BY a.x) * 0.3), 2) AS k FROM m a, m b),
@@ -200,3 +223,10 @@ def metric_ci_summary(spark, d):
     per = measures(spark, d).groupBy(F.col("event_type").alias("model"), (F.col("event_id") % 5).alias("split")).agg(F.avg("value").alias("m"))
     out = per.groupBy("model").agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     return out.select("model", r("mean", 6).alias("mean"), r("lo", 6).alias("lo"), r("hi", 6).alias("hi"))
+
+
+@query("metric_ci_compact", "SELECT event_type AS model, concat(round(avg(m), 3), ' (', round(quantile_cont(m, 0.025), 3), '–', round(quantile_cont(m, 0.975), 3), ')') AS \"Mean value\" FROM (SELECT event_type, event_id % 5 AS split, avg(value) AS m FROM events GROUP BY ALL) GROUP BY 1")
+def metric_ci_compact(spark, d):
+    """The same as one text for each metric, under the metric's shown name."""
+    per = measures(spark, d).groupBy(F.col("event_type").alias("model"), (F.col("event_id") % 5).alias("split")).agg(F.avg("value").alias("m"))
+    return evaluation.compact(evaluation.over_splits(evaluation.chosen(per, {"m": "Mean value"}, ["model"]), "model", ["Mean value"]), "model", ["Mean value"])
