@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..functions import coding
@@ -37,15 +39,24 @@ def clean_missing_markers(spark, d):
 @query("sink_roundtrip", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY o_custkey")
 def sink_roundtrip(spark, d):
     """Writes a dealt-out parquet table and reads it back, beside the warehouse where all executors reach it."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lifelane_sink_{abs(hash(d))}"
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lifelane_sink_{zlib.crc32(d.encode())}"
     back = io.write_table(io.table(spark, d, "orders").select("o_custkey", "o_totalprice"), path, 8, "o_custkey")
     return back.groupBy("o_custkey").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("amount"))
 
 
-@query("scan_reference_csv")
+@query("sink_results", "SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 2) AS mean, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'a;b, \"c\"' END AS note FROM orders GROUP BY 1")
+def sink_results(spark, d):
+    """A small result table as CSV, read back as it was written: quotes, separators and nulls."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lifelane_results_{zlib.crc32(d.encode())}"
+    rows = io.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), r(F.avg("o_totalprice"), 2).alias("mean"))
+    io.write_results(rows.withColumn("note", F.when(F.col("priority") != "5-LOW", 'a;b, "c"')), path)
+    return spark.read.schema("priority string, n long, mean double, note string").option("header", True).option("escape", '"').csv(path)
+
+
+@query("scan_reference_csv", "WITH g AS (SELECT p_type, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS codes FROM part GROUP BY 1) SELECT p_type, unnest(string_split(codes, ', ')) AS code FROM g")
 def scan_reference_csv(spark, d):
     """Writes brand groups as semicolon CSV and reads them back as a code reference."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lifelane_codes_{abs(hash(d))}"
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lifelane_codes_{zlib.crc32(d.encode())}"
     groups = io.table(spark, d, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ", ").alias("codes"))
     groups.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
     return io.grouped_codes(io.code_reference(spark, path, "p_type string, codes string"), "codes")

@@ -175,7 +175,10 @@ def fuzzy_lookup_join(spark, d):
     return matching.best_reference(texts, "text", ref, "ref_text", "ref_id", 85.0).withColumn("score", r("score", 6))
 
 
-@query("code_completion")
+@query("code_completion", f"""WITH {_REF}, x AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' (DF200)' ELSE substr(p_name, 1, 3) || substr(p_name, 5) END AS text FROM part),
+t AS (SELECT DISTINCT text FROM x WHERE text NOT LIKE '%(DF200)'), s AS (SELECT text, ref_id, (1 - levenshtein(text, ref_text)::DOUBLE / greatest(length(text), length(ref_text))) * 100 AS score FROM t, ref),
+best AS (SELECT text, ref_id FROM s WHERE score >= 85 QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, ref_id) = 1)
+SELECT p_partkey, CASE WHEN x.text LIKE '%(DF200)' THEN 'DF200' ELSE 'R' || ref_id END AS code FROM x LEFT JOIN best USING (text)""")
 def code_completion(spark, d):
     """The code of a description: one embedded in it, else that of the best-matching reference text."""
     part = table(spark, d, "part")
@@ -186,6 +189,30 @@ def code_completion(spark, d):
     return rows.join(best, "text", "left").select("p_partkey", F.coalesce("code", F.concat(F.lit("R"), "ref_id")).alias("code"))
 
 
+@query("any_of_flag", "SELECT o_orderkey, (o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT AS pressing FROM orders")
+def any_of_flag(spark, d):
+    rows = encoding.one_hot(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"], "p_")
+    return encoding.any_of(rows, ["p_1-URGENT", "p_2-HIGH"], "pressing").select("o_orderkey", "pressing")
+
+
+@query("retyped_columns", "SELECT event_id, nullif(event_type, 'view') AS kind, CASE WHEN event_id % 3 = 0 THEN NULL WHEN value > 20 THEN 1 ELSE 0 END AS big, (user_id % 2 = 0)::INT AS even FROM events")
+def retyped_columns(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.replace("event_type", F.lit("view"), F.lit("None")).alias("kind"), F.when(F.col("event_id") % 3 == 0, "None").when(F.col("value") > 20, "True").otherwise("False").alias("big"), (F.col("user_id") % 2 == 0).alias("even"))
+    return encoding.retyped(rows)
+
+
+_SHOWN = {"p": "Priority", "p_5": "Fifth", "status": "Status"}
+
+
+@query("shown_names", """WITH n AS (SELECT DISTINCT 'p_' || o_orderpriority AS name FROM orders UNION SELECT DISTINCT 'status_' || o_orderstatus FROM orders UNION SELECT unnest(['status', 'p', 'p_5', 'other_x']))
+SELECT name, CASE WHEN name = 'status' THEN 'Status' WHEN name = 'p' THEN 'Priority' WHEN name = 'p_5' THEN 'Fifth' WHEN starts_with(name, 'p_') THEN 'Priority: ' || substr(name, 3) WHEN starts_with(name, 'status_') THEN 'Status: ' || substr(name, 8) ELSE name END AS shown FROM n""")
+def shown_names(spark, d):
+    orders = table(spark, d, "orders")
+    more = orders.select(F.explode(F.array(*map(F.lit, ("status", "p", "p_5", "other_x")))).alias("name"))
+    names = orders.select(F.concat(F.lit("p_"), "o_orderpriority").alias("name")).union(orders.select(F.concat(F.lit("status_"), "o_orderstatus"))).union(more).distinct()
+    return encoding.with_shown_names(names, "name", _SHOWN)
+
+
 @query("group_basic", f"WITH {EXPO} SELECT code, count(*) AS n, round(avg(dose), 4) AS mean, min(dose) AS lo, max(dose) AS hi, round(sum(dose), 2) AS total, bool_or(rf = 'A') AS any_a FROM expo GROUP BY code")
 def group_basic(spark, d):
     return exposures(spark, d).groupBy("code").agg(F.count("*").alias("n"), r(F.avg("dose")).alias("mean"), F.min("dose").alias("lo"), F.max("dose").alias("hi"), r(F.sum("dose"), 2).alias("total"), F.bool_or(F.col("rf") == "A").alias("any_a"))

@@ -35,8 +35,8 @@ def write_table(df: DataFrame, path: str, partitions: int | None = None, key: st
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """Small result tables as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Small result tables as CSV with a header; quotes within a cell are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def grouped_codes(df: DataFrame, codes: str, sep: str = ", ") -> DataFrame:

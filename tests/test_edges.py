@@ -160,3 +160,54 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("w")) == key(windowed_summary(rows, "t", "g", "v"))
+
+
+def test_students_t():
+    from lifelane.functions import student
+
+    for t, df, p in ((2.228138852, 10, 0.05), (12.7062047362, 1, 0.05), (1.9599639845, 1e9, 0.05), (0.0, 5, 1.0), (3.169272667, 10, 0.01)):
+        assert abs(student.two_sided(t, df) - p) < 1e-7 and abs(student.two_sided(-t, df) - p) < 1e-7
+    assert abs(student.upper(0.05, 10) - 2.228138852) < 1e-7
+    assert student.two_sided(None, 3) is None and student.two_sided(1.0, 0) is None and student.two_sided(float("inf"), 3) == 0.0
+
+
+def test_tables_that_are_missing(spark, tmp_path):
+    from lifelane.sources import io
+
+    assert io.table_or_none(spark, f"{tmp_path}/nothing") is None
+    spark.range(2).write.parquet(f"{tmp_path}/some")
+    assert io.table_or_none(spark, f"{tmp_path}/some").count() == 2
+
+
+def test_levels_and_labels(spark):
+    import pytest
+
+    from lifelane.operators import encoding, evaluation, modelling
+
+    rows = spark.createDataFrame([("b", "Yes", True), ("a", "No", False), (None, None, None)], "c string, y string, z boolean")
+    assert encoding.levels(rows, "c") == ["a", "b"]
+    with pytest.raises(ValueError):
+        encoding.levels(rows, "c", most=1)
+    assert [r.y for r in modelling.binary_label(rows, "y").collect()] == [1, 0, None]
+    assert [r.z for r in modelling.binary_label(rows, "z").collect()] == [1, 0, None]
+    with pytest.raises(ValueError):
+        modelling.binary_label(rows, "c")
+    with pytest.raises(ValueError):
+        evaluation.chosen(rows, {"nothing": "Shown"})
+    assert encoding.prettified("p_x", {"p": "P"}) == "P: x" and encoding.prettified("q", {"p": "P"}) == "q"
+    flagged = encoding.any_of(spark.createDataFrame([(1, 0), (0, None), (None, None)], "a int, b int"), ["a", "b"], "any")
+    assert [r["any"] for r in flagged.collect()] == [1, 0, 0]
+
+
+def test_sources_meet_in_one_join(spark):
+    from pyspark.sql import functions as F
+
+    from lifelane.operators.asof import Source, asof_many
+
+    left = spark.createDataFrame([("k", 10), ("k", 20), (None, 10), ("z", 5), ("k", None)], "k string, n int").withColumn("t", F.timestamp_seconds("n"))
+    a = spark.createDataFrame([("k", 10, 1), ("k", 10, 2), ("k", 15, None), (None, 1, 9)], "k string, n int, v int").select("k", F.timestamp_seconds("n").alias("at"), "v")
+    b = a.withColumn("at", F.timestamp_seconds(F.unix_micros("at") / 1_000_000 + 10))
+    sources = [Source(a, "at", ["v"], ties=["v"]), Source(a, "at", {"w": F.col("v")}, exact=False, each=True, ties=["v"]), Source(b, "at", ["v"], direction="forward", exact=False, prefix="next_", gap="away", ties=["v"])]
+    got = {(r.k, r.n): (r.v, r.w, r.next_v, r.away) for r in asof_many(left, by="k", left_ts="t", sources=sources).collect()}
+    assert got == {("k", 10): (2, None, 1, 10_000_000), ("k", 20): (None, 2, None, 5_000_000), (None, 10): (None,) * 4, ("z", 5): (None,) * 4, ("k", None): (None,) * 4}
+    assert asof_many(left, by="k", left_ts="t", sources=sources, keyed=True).count() == 3
