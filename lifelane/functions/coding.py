@@ -24,6 +24,7 @@ SMOKING = {
     "Udsat for passiv rygning - aldrig været ryger": "Passive",
     "Ryger, aktuel status ukendt": "Frequently",
 }
+# Codes of the sexes and the order of flags.
 SEX = {"Mand": 0, "Kvinde": 1}
 FLAG_ORDER = {"Lav": 1, "Normal": 2, "Høj": 3}
 TRUE, FALSE = ("true", "t", "yes", "ja", "1"), ("false", "f", "no", "nej", "0")
@@ -49,15 +50,20 @@ def normal_code(c) -> Column:
     return F.when(~code.isin("", "NAN", "NONE", "NULL", "NA", "<NA>"), code)
 
 
+# How codes look in descriptions, and the short form of one.
+EMBEDDED = r"\bD[A-Z]{1,3}[0-9]{1,6}[A-Z]{0,3}\b"
+SHORT = r"^([A-Za-z]{2}[0-9]{2})"
+
+
 def embedded_code(c) -> Column:
     """The first D + 1-3 letters + 1-6 digits + 0-3 letters of a description; brackets and dashes separate."""
     spaced = F.regexp_replace(col(c), r"[()\[\]{}\-–]", " ")
-    found = F.regexp_extract(spaced, r"\bD[A-Z]{1,3}[0-9]{1,6}[A-Z]{0,3}\b", 0)
+    found = F.regexp_extract(spaced, EMBEDDED, 0)
     return F.when(found != "", found)
 
 
 def short_code(c) -> Column:
-    found = F.regexp_extract(col(c), r"^([A-Za-z]{2}[0-9]{2})", 1)
+    found = F.regexp_extract(col(c), SHORT, 1)
     return F.when(found != "", found)
 
 

@@ -9,6 +9,7 @@ from .times import col
 
 # Danish number words; "to" and "ti" are numbers before a counted noun only.
 NUMBERS = {"nul": 0, "en": 1, "én": 1, "et": 1, "tre": 3, "fire": 4, "fem": 5, "seks": 6, "syv": 7, "otte": 8, "ni": 9, "elleve": 11, "tolv": 12, "tretten": 13, "fjorten": 14, "femten": 15, "seksten": 16, "sytten": 17, "atten": 18, "nitten": 19, "tyve": 20}
+# What is counted, periods, units, days of the week, times of day and the days of a unit.
 COUNTED = "gang|gange|tablet|tabletter|kapsel|kapsler|time|timer|dag|dage|uge|uger|måned|måneder|år"
 PERIODS = {"daily": "dagligt|daglig|om dagen", "weekly": "ugentligt|om ugen", "monthly": "månedligt|om måneden", "yearly": "årligt|om året"}
 UNITS = {"hour(s)": "timer?", "day(s)": "dage?", "week(s)": "uger?", "month(s)": "måned(?:er)?", "year(s)": "år"}

@@ -52,8 +52,8 @@ def of_age(df: DataFrame, ts: str, born: str, lo: float = 18, hi: float = 120) -
 
 
 def in_code_range(df: DataFrame, code: str, value: str, ranges: DataFrame) -> DataFrame:
-    """ranges: (code, lo, hi), small. Rows of a code in it must lie in its range, a null value fails; others pass."""
-    bounds = F.broadcast(ranges.select(F.col("code").alias("_code"), "lo", "hi"))
+    """ranges: (code, lo, hi). Rows of a code in it must lie in its range, a null value fails; others pass."""
+    bounds = ranges.select(F.col("code").alias("_code"), "lo", "hi")
     rows = df.join(bounds, F.col(code) == F.col("_code"), "left")
     return rows.where(F.col("lo").isNull() | F.coalesce(F.col(value).between(F.col("lo"), F.col("hi")), F.lit(False))).drop("_code", "lo", "hi")
 

@@ -99,12 +99,14 @@ def spearman_pairs(df: DataFrame, columns: list[str], least: int = 3) -> DataFra
     return out.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "rho", "n", student.p_value(t, F.col("n") - 2).alias("p"))
 
 
-def loess(df: DataFrame, x: str, y: str, share: float = 0.3) -> DataFrame:
+def loess(df: DataFrame, x: str, y: str, share: float = 0.3, most: int = 2000) -> DataFrame:
     """x, fit: locally linear fit at each x over the means per x, by tricube weights of the nearest share of points.
 
-    x has few values (ages): its means are one small table, joined with itself.
+    x has few values (ages): its means are one small table, joined with itself. More than most values raise.
     """
     means = df.groupBy(x).agg(F.avg(y).alias("y")).where("y IS NOT NULL").withColumnRenamed(x, "x")
+    if df.where(F.col(y).isNotNull()).select(x).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"{x} has more than {most} values")
     pairs = means.select(F.col("x").alias("x0")).crossJoin(means).withColumn("d", F.abs(F.col("x") - F.col("x0")).cast("double"))
     w = Window.partitionBy("x0").orderBy("d", "x")
     pairs = pairs.withColumn("r", F.row_number().over(w)).withColumn("k", F.greatest(F.ceil(F.count("*").over(Window.partitionBy("x0")) * share), F.lit(2)))
