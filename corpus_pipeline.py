@@ -9,27 +9,41 @@ from lifelane.llm.common import stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier (fitted on labelled rows of docs) rejects."""
+    """Drops the documents that the quality classifier (fitted on labelled rows of docs) rejects.
+
+    Null and empty texts are scored as empty; repeated rows are judged each; without labels the score is the prior's,
+    one half, and all rows stay.
+    """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that score as toxic."""
+    """Drops the documents that score as toxic.
+
+    Null and empty texts have no evidence and stay; repeated rows are judged each; without labels the seed terms and
+    default weights decide.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its five-word shingles stays: the smallest id."""
+    """One document of each group that shares 0.8 or more of its five-word shingles stays: the smallest id.
+
+    Of rows of one id one stays. Texts without words, null ones too, are nobody's copies. Rows without an id all stay.
+    """
     return bottomk.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents until each source has its share of words."""
+    """Repeats or drops documents until each source has its share of words.
+
+    Texts without words are not taken. Ties are broken by a hash of the row, so reruns agree; a null source is one too.
+    """
     return mixing.mix(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the piece ids of each text, and the text that they decode to."""
+    """Adds the piece ids of each text, and the text that they decode to; null texts have null in both, repeated rows each."""
     return sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
 
 
@@ -46,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents in turn, each written and read again for the next; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
