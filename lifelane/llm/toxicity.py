@@ -211,14 +211,15 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -700, 700)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 20_000, min_share: float = 0.003, odds: float = 20.0, max_terms: int = 2000, mod: int = 5) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 20_000, min_share: float = 0.003, odds: float = 20.0, mod: int = 5) -> ToxicityModel:
     """Learns terms, harmless look-alikes and weights from at most about max_rows labelled rows outside the held-out fold.
 
     A word joins the lexicon when min_share of the toxic texts (and at least four) hold it, its odds against clean
     texts are at least odds, and most texts that hold it differ: near copies, which share their smallest word hash,
     count little. Misspellings are looked for of seed terms, and of learned ones whose look-alikes in the sample are
-    mostly toxic. A look-alike that more clean than toxic texts hold is harmless. Empty tables leave the seed terms and
-    default weights.
+    mostly toxic. A look-alike that more clean than toxic texts hold is harmless. As a learned term is in min_share of
+    the toxic texts, the sample's texts bound how many there are. Repeated documents count each; null texts count as
+    empty. Empty tables, and labels of one kind only, leave the seed terms and default weights.
     """
     sample = documents.select("doc_id", "text").join(F.broadcast(training_labels(labels, label, max_rows, mod)), "doc_id").select("text", "label")
     sample = stored(sample, "toxic-sample")
@@ -247,7 +248,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_ro
     words = stored(words.join(makes, "word", "left").withColumn("makes", F.coalesce("makes", F.lit(0))), "toxic-words")
     ratio = ((F.col("toxic") + 0.5) / (totals[1] + 1)) / ((F.col("clean") + 0.5) / (totals[0] + 1))
     enough = (F.col("makes") >= max(4, min_share * totals[1])) & (F.col("makes") >= 0.6 * F.col("toxic"))
-    learned = {r.word for r in words.where(enough & (ratio >= odds)).orderBy(F.desc("toxic"), "word").limit(max_terms).collect()}
+    learned = {r.word for r in words.where(enough & (ratio >= odds)).select("word").collect()}
     terms = frozenset(SEED_TERMS) | learned
 
     def look_alikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +307,7 @@ def score(documents: DataFrame, model: ToxicityModel, *, threshold: float = 0.5,
 
 
 def keep_clean(documents: DataFrame, model: ToxicityModel, *, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents, all columns kept, that score below threshold."""
+    """The rows of documents, all columns kept, that score below threshold. Null texts score as empty, repeated rows each."""
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,6 +319,7 @@ def keep_clean(documents: DataFrame, model: ToxicityModel, *, threshold: float =
 
 
 def op4_toxicity_lexicon(spark, sf_dir: str) -> DataFrame:
+    """score() of documents by a model of their labelled rows: a row for each of theirs, null ids and texts and repeated rows too."""
     from .common import let_go, table
 
     documents = table(spark, sf_dir, "documents")
