@@ -56,9 +56,19 @@ def fit_counts(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
             more = min(c - taken[n], (left - small // 2) // n)
             taken[n] += more
             left -= more * n
-    # Sums above what may be given back and taken again are never needed; a few short documents are given back first.
-    items = sorted((n, c - taken[n]) for n, c in counts if c > taken[n] and n <= left)
-    mask = (1 << left + 1) - 1
+    for n, k in knapsack([(n, c - taken[n]) for n, c in counts], left).items():
+        taken[n] += k
+    return {n: k for n, k in taken.items() if k}
+
+
+def knapsack(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
+    """How many of each length, at most as many as there are, for the largest total up to budget.
+
+    A bit set holds the sums that are reachable with the lengths so far, shortest first; counts are taken in powers of
+    two. It ends once the budget itself is reached, and the lengths are read off backwards.
+    """
+    items = sorted((n, c) for n, c in items if c > 0 and n <= budget)
+    mask = (1 << budget + 1) - 1
     reach, before = 1, []
     for n, c in items:
         before.append(reach)
@@ -67,14 +77,14 @@ def fit_counts(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
             k = min(size, c)
             reach |= reach << n * k & mask
             c, size = c - k, size * 2
-        if reach >> left & 1:
+        if reach >> budget & 1:
             break
-    at = reach.bit_length() - 1
+    at, out = reach.bit_length() - 1, {}
     for (n, _), old in zip(reversed(items[: len(before)]), reversed(before), strict=True):
         while not old >> at & 1:
-            taken[n] += 1
+            out[n] = out.get(n, 0) + 1
             at -= n
-    return {n: k for n, k in taken.items() if k}
+    return out
 
 
 def counts_median(counts: list[tuple[int, int]]) -> int:

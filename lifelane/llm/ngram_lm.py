@@ -340,7 +340,8 @@ class Automaton:
 
 def _let_go(df: DataFrame) -> None:
     """Gives the shuffles that led to a written table to Spark's cleaner: once a later query has run, the driver's
-    garbage collection finds them unused."""
+    garbage collection finds them unused.
+    """
     df.select("block").limit(1).collect()
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
@@ -384,6 +385,7 @@ def score(documents: DataFrame, *, mod: int = 10, least: int = LEAST, min_share:
 
 
 def op6_backoff_automaton(spark, sf_dir: str) -> DataFrame:
+    """score() of documents: one row for each of theirs, null ids and texts and repeated rows too."""
     from .common import table
 
     return score(table(spark, sf_dir, "documents"))

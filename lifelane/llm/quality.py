@@ -82,7 +82,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", max_
 
     The covariance of a class is (1 - shrinkage) * S + shrinkage * (diagonal of the pooled S) plus a small ridge.
     Moments are summed on the executors; the driver gets one number for each class and moment. A class without rows
-    takes the pooled moments, so empty tables give scores of the prior.
+    takes the pooled moments, so empty tables give scores of the prior. Repeated documents count each, null texts as empty.
     """
     d = len(NAMES)
 
@@ -150,7 +150,7 @@ def score(documents: DataFrame, model: Discriminant, *, threshold: float = 0.3,
 
 
 def keep_good(documents: DataFrame, model: Discriminant, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of documents, all columns kept, that score at least threshold."""
+    """The rows of documents, all columns kept, that score at least threshold. Null texts score as empty, repeated rows each."""
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +161,7 @@ def keep_good(documents: DataFrame, model: Discriminant, *, threshold: float = 0
 
 
 def op7_quality_discriminant(spark, sf_dir: str) -> DataFrame:
+    """score() of documents by a model of their labelled rows: a row for each of theirs, null ids and texts and repeated rows too."""
     from .common import let_go, table
 
     documents = table(spark, sf_dir, "documents")

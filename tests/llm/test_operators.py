@@ -299,6 +299,52 @@ def test_held_out_accuracy(spark, name, column, least):
     assert r.n > 40 and r.a >= least
 
 
+def test_toxic_scores_by_hand(docs, labels):
+    """Each text's evidence with every misspelling found by plain edit distance, without the trie."""
+    model = toxicity.fit(docs, labels)
+    allowed = lambda t: 0 if len(t) < 5 else 1 if len(t) < 8 else 2
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: min(left + 1, old[j] + 1, old[j - 1] + (x != b[j - 1])), initial=i)) if (old := row) else row
+        return row[-1]
+
+    class Plain(dict):
+        def __missing__(self, raw):
+            word = raw.strip(toxicity._EDGE)
+            plain = word if word.isalpha() else "".join(c for c in word.translate(toxicity._LEET) if c.isalnum())
+            forms = {word} | {f for f in (plain, toxicity._RUN.sub(r"\1\1", plain), toxicity._RUN.sub(r"\1", plain))}
+            near = lambda w: w.isalpha() and w not in model.harmless and any(distance(w, t) <= allowed(t) for t in model.spelled)
+            self[raw] = 1 if word in model.terms else 0 if word in model.harmless else 2 if any((f != word and f in model.terms) or near(f) for f in forms if f) else 0
+            return self[raw]
+
+    want = {i: float(model.score(toxicity.evidence(t, Plain())[None, :])[0]) for i, t, *_ in ROWS}
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-12 and r.predicted == (r.score >= 0.5) and r.held_out == held_out(r.doc_id, 5)
+
+
+def test_discriminant_by_hand(spark):
+    """Log-densities of the two shrunk normal distributions, by solving instead of by factors."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 80))) + ("!!! $$ |" * (i % 4)), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.fit(docs, marks)
+    x = {i: quality.statistics(t) for i, t, _ in rows}
+    sets = [np.array([x[i] for i, _, y in rows if y == k and not held_out(i, 5)]) for k in (0, 1)]
+    pooled = np.cov(np.concatenate(sets).T, bias=True)
+    logs = {}
+    for k in (0, 1):
+        cov = 0.9 * np.cov(sets[k].T, bias=True) + 0.1 * np.diag(np.diag(pooled)) + 1e-4 * np.eye(len(quality.NAMES))
+        mean = sets[k].mean(axis=0)
+        prior = math.log((len(sets[k]) + 1) / (len(sets[0]) + len(sets[1]) + 2))
+        logs[k] = {i: prior - np.linalg.slogdet(cov)[1] / 2 - (v - mean) @ np.linalg.solve(cov, v - mean) / 2 for i, v in x.items()}
+    for r in quality.score(docs, model).collect():
+        odds = logs[1][r.doc_id] - logs[0][r.doc_id]
+        assert abs(r.score - 1 / (1 + math.exp(-min(max(odds, -700), 700)))) < 1e-6
+
+
 # 5
 
 
@@ -473,6 +519,17 @@ def test_knapsack_reaches_what_subsets_reach():
         assert got <= budget and budget - got <= max(n for n, _ in counts)
 
 
+def test_knapsack_finds_the_best_subset():
+    rng = random.Random(6)
+    for _ in range(300):
+        items = [(n, rng.randint(1, 3)) for n in rng.sample(range(1, 40), rng.randint(1, 5))]
+        budget = rng.randint(0, 90)
+        taken = mixing.knapsack(items, budget)
+        assert all(0 < k <= dict(items)[n] for n, k in taken.items())
+        every = {sum(n * k for (n, _), k in zip(items, ks)) for ks in itertools.product(*[range(c + 1) for _, c in items])}
+        assert sum(n * k for n, k in taken.items()) == max(t for t in every if t <= budget)
+
+
 def test_mixture(docs, none):
     rows = mixing.sized(docs).select("doc_id", "source", "size")
     out = mixing.plan(rows).collect()
