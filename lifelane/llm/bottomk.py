@@ -15,6 +15,7 @@ from .common import drop, let_go, slices, stored
 K = 48  # retained values of a sketch
 HOT = 32  # members that an inverted list may have for all its open pairs to be made; longer ones are settled around centers
 MARGIN = 0.30  # how far below the threshold an estimate may lie: over five standard errors of K values
+LONG = 512  # members that a list of differences may have for its open pairs to be made; longer ones are groups of their own
 BLOCK = 256  # members of a group that share a copy of what they are compared with
 
 
@@ -167,12 +168,12 @@ def _lists(reps: DataFrame) -> DataFrame:
     return out
 
 
-def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den: int, k: int = K, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den: int, k: int = K, hot: int = HOT, most: int = LONG) -> tuple[DataFrame, DataFrame]:
     """(representatives, edges) of the distinct sets in found, the rows of sketches(): the edges join what links join.
 
     Each list's members meet its most central one first. Only lists whose members are of several components then are
-    open: short ones make their pairs of different components, long ones go to _around_centers(), as often as that
-    leaves long lists. All candidates pass the estimate and are confirmed on whole sets.
+    open: short ones (up to hot) make their pairs of different components, long ones go to _around_centers(), as often as
+    that leaves lists of more than most. All candidates pass the estimate and are confirmed on whole sets.
     """
     least = num / den - MARGIN
     reps = stored(found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")).where("id IS NOT NULL").select("id", "n_shingles", "set_hash", "sketch"), "reps")
@@ -197,18 +198,20 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
     drop(lists)
     turn = 0
     while not groups.isEmpty():
-        sure, more, rest = _around_centers(documents, groups, width, num, den, hot, turn)
+        sure, more, rest = _around_centers(documents, groups, width, num, den, most, turn)
         drop(groups)
         edges, pairs, turn = edges.unionByName(sure), pairs.unionByName(more), turn + 1
+        parts = _stars(edges)
         if rest.isEmpty():
             break
-        parts = _stars(edges)
         groups = stored(open_(rest, ["g"]).select("g", "id"), "groups")
         drop(rest)
-    return reps, edges.unionByName(_confirm(documents, _estimate(pairs.distinct(), reps, least, k), width, num, den))
+    of = lambda side: parts.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    pairs = pairs.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return reps, edges.unionByName(_confirm(documents, _estimate(pairs, reps, least, k), width, num, den))
 
 
-def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: int, den: int, hot: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: int, den: int, most: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sure links, candidate pairs, groups still to be settled) of groups (g, id), without meeting all their pairs.
 
     A group's center is what most of a sample of its members hold; any center gives right results. D(x) is what x and
@@ -217,8 +220,8 @@ def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: in
     links to z for sure: these are the core. For any others, x outside and y anywhere, |D(x) & D(y)| must be at least
     (E(x) + E(y)) / 2q, so at least (E(x) + E(z)) / 2q > 0, and, if y is of the core, (E(y) - E(z)) / 2q. As many of the
     rarest elements of each D as that leaves out, and one more, hold a common one: their lists give the candidates.
-    No element of D is held by most of the group, so longer lists are smaller groups, to be settled around centers of
-    their own. Lists of one most central member go together for some turns.
+    No element of D is held by most of the group, so lists of more than `most` members are smaller groups, to be settled
+    around centers of their own; of lists with the same members one is.
     """
     q, r = den + num, den - num
     sets = _sets(documents, groups.select("id").distinct(), width)
@@ -246,23 +249,26 @@ def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: in
     per = rows.drop("apart").join(per, ["g", "id"])
     # Elements that nobody shares come first in the order and take their places.
     own = F.greatest(F.col("prefix") - (F.col("d") - F.size("vs")), F.lit(0)).cast("int")
-    central = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
-    lists = stored(per.select("g", "id", "n", "core", central.alias("weight"), F.explode(F.slice("vs", F.lit(1), own)).alias("x")).select("g", F.col("x.v").alias("v"), "id", "n", "core", "weight"), "lists")
-    counts = lists.groupBy("g", "v").agg(F.count("*").alias("members"), F.count_if(~F.col("core")).alias("outside"), F.max(F.struct("weight", "id")).alias("top")).where("members > 1 AND outside > 0")
-    every, lists = lists, stored(lists.drop("weight").join(counts.select("g", "v", "members", F.col("top.id").alias("top")), ["g", "v"]), "lists")
+    lists = stored(per.select("g", "id", "n", "d", "core", F.explode(F.slice("vs", F.lit(1), own)).alias("x")).select("g", F.col("x.v").alias("v"), "id", "n", "d", "core"), "lists")
+    counts = lists.groupBy("g", "v").agg(F.count("*").alias("members"), F.count_if(~F.col("core")).alias("outside"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_sum")).where("members > 1 AND outside > 0")
+    # Of long lists with the same members one is enough.
+    one = F.when(F.col("members") <= most, F.col("v")).otherwise(F.lit(0))
+    counts = counts.groupBy("g", "members", "_sum", one.alias("_one")).agg(F.min("v").alias("v")).select("g", "v", "members")
+    every, lists = lists, stored(lists.join(counts, ["g", "v"]), "lists")
     drop(every)
-    short = lists.where(F.col("members") <= hot)
-    x = short.where("NOT core").select("g", "v", F.col("id").alias("x"), F.col("n").alias("nx"))
-    y = short.select("g", "v", F.col("id").alias("y"), F.col("n").alias("ny"), "core")
+    short = lists.where(F.col("members") <= most)
+    x = short.where("NOT core").select("g", "v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
+    y = short.select("g", "v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), "core")
+    # What two sets don't share is at least the difference of what each does not share with the center.
+    reach = q * F.abs(F.col("dx") - F.col("dy")) <= r * (F.col("nx") + F.col("ny"))
     once = (F.col("core") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))
-    pairs = stored(x.join(y, ["g", "v"]).where(once & _alike("nx", "ny", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
-    key = F.xxhash64("g", "top" if turn < 3 else "v")
-    rest = stored(lists.where(F.col("members") > hot).select(key.alias("g"), "id").distinct(), "groups")
+    pairs = stored(x.join(y, ["g", "v"]).where(once & reach & _alike("nx", "ny", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    rest = stored(lists.where(F.col("members") > most).select(F.xxhash64("g", "v").alias("g"), "id").distinct(), "groups")
     drop(sets, sample, center, found, lists)
     return sure, pairs, rest
 
 
-def components(documents: DataFrame, *, width: int = 3, num: int = 85, den: int = 100, k: int = K, hot: int = HOT) -> DataFrame:
+def components(documents: DataFrame, *, width: int = 3, num: int = 85, den: int = 100, k: int = K, hot: int = HOT, most: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents.
 
     Documents are linked when den * |intersection| >= num * |union| of their sets of width-word shingles. Equal sets
@@ -272,7 +278,7 @@ def components(documents: DataFrame, *, width: int = 3, num: int = 85, den: int
     columns are ignored.
     """
     found = stored(sketches(documents, width, k), "sketches")
-    reps, edges = links(documents, found, width=width, num=num, den=den, k=k, hot=hot)
+    reps, edges = links(documents, found, width=width, num=num, den=den, k=k, hot=hot, most=most)
     parts = _stars(edges)
     # Stars join representatives, which are the smallest ids of their sets, so the smallest of them is the component's.
     of_set = reps.join(parts, "id", "left").select("n_shingles", "set_hash", F.coalesce("component", "id").alias("component"))

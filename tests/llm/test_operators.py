@@ -199,7 +199,7 @@ def test_large_groups_of_near_copies(spark, hot):
     rows += [(200 + i, " ".join(base[:70]) + " " + " ".join(f"t{i}_{k}" for k in range(9 + i % 5))) for i in range(20)]  # a passage that is nearly all of the text
     for g in range(6):  # groups of near copies that share that passage, far from each other
         rows += [(300 + 10 * g + i, " ".join(base[:66]) + " " + " ".join(f"s{g}_{k}" for k in range(12)) + f" e{i}" * (i % 3)) for i in range(8)]
-    out = bottomk.components(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    out = bottomk.components(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, most=hot).collect()
     want = brute_components(rows, 3, 85, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
 
