@@ -40,19 +40,22 @@ def value_counts(df: DataFrame, value: str, group: tuple[str, ...] = (), sums: d
     return rows.alias("r").join(per.alias("p"), same).select(*out)
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: tuple[str, ...] = ()) -> DataFrame:
-    """Exact quantiles, linear between neighbours, as columns named by the keys of shares; one row per group."""
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: tuple[str, ...] = (), size: str | None = None) -> DataFrame:
+    """Exact quantiles, linear between neighbours, as columns named by the keys of shares; one row per group.
+
+    size: a name for the number of values of the group.
+    """
     ranked = value_counts(df, value, group)
     at = {k: q * (F.col("total") - 1) for k, q in shares.items()}
 
     def nth(position):
         return F.max(F.when((F.col("below") <= position) & (position < F.col("below") + F.col("n")), F.col(value).cast("double")))
 
-    aggs = []
+    aggs = [F.max("total").alias(size)] if size else []
     for k, p in at.items():
         aggs += [nth(F.floor(p)).alias(f"_{k}_lo"), nth(F.ceil(p)).alias(f"_{k}_hi"), F.first(p - F.floor(p)).alias(f"_{k}_w")]
     wide = ranked.groupBy(*group).agg(*aggs)
-    return wide.select(*group, *[(F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_w")).alias(k) for k in shares])
+    return wide.select(*group, *([size] if size else []), *[(F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_w")).alias(k) for k in shares])
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, group: tuple[str, ...]) -> DataFrame:

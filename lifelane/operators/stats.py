@@ -132,8 +132,7 @@ def delta_trajectory(df: DataFrame, key: str, ts: str, anchor: str, value: str,
     base = F.max_by(F.when(F.col("_rel") < 0, F.col(value)), F.when(F.col("_rel") < 0, F.struct(ts, value))).over(Window.partitionBy(key))
     rows = rows.withColumn("_d", F.col(value) - base).where("_d IS NOT NULL").withColumn("bin_center", F.floor(F.col("_rel") / 30) + 0.5)
     per = rows.groupBy(key, "bin_center").agg(F.percentile("_d", 0.5).alias("_d"))
-    sizes = per.groupBy("bin_center").agg(F.count("_d").alias("n_keys"))
-    out = ranks.quantiles(per, "_d", {"median": 0.5, "q1": 0.25, "q3": 0.75}, ("bin_center",)).join(sizes, "bin_center").where(F.col("n_keys") >= least)
+    out = ranks.quantiles(per, "_d", {"median": 0.5, "q1": 0.25, "q3": 0.75}, ("bin_center",), size="n_keys").where(F.col("n_keys") >= least)
     w = Window.orderBy("bin_center")  # at most 2 * max_days / 30 rows
     step = (F.col("bin_center") - F.lag("bin_center").over(w)) * (F.abs("median") + F.abs(F.lag("median").over(w))) / 2
     return out.withColumn("_s", F.coalesce(step, F.lit(0.0))).withColumn("area", F.sum("_s").over(w)).drop("_s")

@@ -203,8 +203,9 @@ def ml_oof_scores(spark, d):
     return out.groupBy("y").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("scored"), F.bool_and(F.col("p").between(0, 1)).alias("within"))
 
 
-@query("ml_pipeline_roundtrip")
+@query("ml_pipeline_roundtrip", f"WITH {_TRAIN} SELECT y, count(*) AS n FROM rows_ GROUP BY y")
 def ml_pipeline_roundtrip(spark, d):
+    """The fitted preparation is saved, loaded and applied to all rows: none is lost."""
     prep, train, test = _prepared(spark, d)
     path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lifelane_model_{zlib.crc32(d.encode())}"
     modelling.save(prep, path)
