@@ -122,9 +122,15 @@ def _estimate(pairs: DataFrame, reps: DataFrame, least: float, k: int) -> DataFr
     return stored(pairs.join(left, "a").join(right, "b").withColumn("union", union).where(shared >= least * F.size("union")).select("a", "b"), "pairs")
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each id of the edges (a, b) reaches, by large-star and small-star rounds."""
-    pairs = stored(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "star")
+def _stars(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, component): the smallest id that each id of the edges (a, b) reaches, by large-star and small-star rounds.
+
+    known: components of some of the edges, which then need not be found again.
+    """
+    start = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    if known is not None:
+        start = start.unionByName(known.select(F.col("id").alias("x"), F.col("component").alias("y")))
+    pairs, seen = stored(start.distinct(), "star"), None
     while True:
         both = pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
@@ -132,11 +138,13 @@ def _stars(edges: DataFrame) -> DataFrame:
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y")).distinct()
         new = stored(small, "star")
-        change = new.join(pairs, ["x", "y"], "left_anti").limit(1).count() + pairs.join(new, ["x", "y"], "left_anti").limit(1).count()
         drop(pairs)
         pairs = new
-        if not change:
+        # The rounds end when the pairs stay the same: as many, with the same sum of hashes.
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).collect()[0]
+        if now == seen:
             return pairs.select(F.col("x").alias("id"), F.col("y").alias("component"))
+        seen = now
 
 
 def _alike(x: str, y: str, num: int, den: int):
@@ -169,7 +177,7 @@ def _lists(reps: DataFrame) -> DataFrame:
 
 
 def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den: int, k: int = K, hot: int = HOT, most: int = LONG) -> tuple[DataFrame, DataFrame]:
-    """(representatives, edges) of the distinct sets in found, the rows of sketches(): the edges join what links join.
+    """(representatives, components) of the distinct sets in found, the rows of sketches(); an id in no component is its own.
 
     Each list's members meet its most central one first. Only lists whose members are of several components then are
     open: short ones (up to hot) make their pairs of different components, long ones go to _around_centers(), as often as
@@ -200,15 +208,15 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
     while not groups.isEmpty():
         sure, more, rest = _around_centers(documents, groups, width, num, den, most, turn)
         drop(groups)
-        edges, pairs, turn = edges.unionByName(sure), pairs.unionByName(more), turn + 1
-        parts = _stars(edges)
+        pairs, turn = pairs.unionByName(more), turn + 1
+        parts = _stars(sure, parts)
         if rest.isEmpty():
             break
         groups = stored(open_(rest, ["g"]).select("g", "id"), "groups")
         drop(rest)
     of = lambda side: parts.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     pairs = pairs.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return reps, edges.unionByName(_confirm(documents, _estimate(pairs, reps, least, k), width, num, den))
+    return reps, _stars(_confirm(documents, _estimate(pairs, reps, least, k), width, num, den), parts)
 
 
 def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: int, den: int, most: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -278,8 +286,7 @@ def components(documents: DataFrame, *, width: int = 3, num: int = 85, den: int
     columns are ignored.
     """
     found = stored(sketches(documents, width, k), "sketches")
-    reps, edges = links(documents, found, width=width, num=num, den=den, k=k, hot=hot, most=most)
-    parts = _stars(edges)
+    reps, parts = links(documents, found, width=width, num=num, den=den, k=k, hot=hot, most=most)
     # Stars join representatives, which are the smallest ids of their sets, so the smallest of them is the component's.
     of_set = reps.join(parts, "id", "left").select("n_shingles", "set_hash", F.coalesce("component", "id").alias("component"))
     rows = found.select("doc_id", "n_shingles", "set_hash").join(of_set, ["n_shingles", "set_hash"], "left")
