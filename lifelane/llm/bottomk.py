@@ -15,8 +15,9 @@ from .common import drop, let_go, slices, stored
 K = 48  # retained values of a sketch
 HOT = 32  # members that an inverted list may have for all its open pairs to be made; longer ones are settled around centers
 MARGIN = 0.30  # how far below the threshold an estimate may lie: over five standard errors of K values
-LONG = 512  # members that a list of differences may have for its open pairs to be made; longer ones are groups of their own
+LONG = 128  # members that a list of differences may have for its open pairs to be made; longer ones are groups of their own
 BLOCK = 256  # members of a group that share a copy of what they are compared with
+MARKS = 1 << 24  # bits that tell texts that nobody wants from others before these are shuffled: 2 MB, however many ids
 
 
 class _Words(dict):
@@ -73,7 +74,11 @@ def sketches(documents: DataFrame, width: int, k: int = K) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, elements (the whole set) of the wanted documents, read again from their texts; each text of a repeated id."""
+    """id, elements (the whole set) of the wanted documents, read again from their texts; each text of a repeated id.
+
+    A bit set of the wanted ids' hashes, of fixed size and so broadcast, keeps most other texts out of the shuffle that
+    finds the wanted ones; where very many are wanted it lets more pass, and the join decides all the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -82,7 +87,10 @@ def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t, width, known).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "elements": pa.array(sets, pa.list_(pa.int64()))})
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    words = wanted.select(F.shiftright(mark, 6).alias("_word"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(id), 64) AS INT))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("_word", F.shiftright(mark, 6))
+    rows = rows.join(F.broadcast(words), "_word").where(F.getbit("_bits", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")) == 1).select("id", "text").join(wanted, "id", "left_semi")
     return stored(rows.mapInArrow(run, "id long, elements array<long>"), "sets")
 
 
@@ -202,7 +210,7 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
     y = short.select("v", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
     pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb", num, den)).select("a", "b")
     pairs = stored(pairs.distinct(), "candidates")
-    groups = stored(lists.where(F.col("n") > hot).select(F.col("pivot").alias("g"), "id").distinct(), "groups")
+    groups = stored(lists.where(F.col("n") > hot).select(F.col("pivot").alias("g"), "id", "c").distinct(), "groups")
     drop(lists)
     turn = 0
     while not groups.isEmpty():
@@ -212,7 +220,7 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
         parts = _stars(sure, parts)
         if rest.isEmpty():
             break
-        groups = stored(open_(rest, ["g"]).select("g", "id"), "groups")
+        groups = stored(open_(rest, ["g"]).select("g", "id", "c"), "groups")
         drop(rest)
     of = lambda side: parts.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     pairs = pairs.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
@@ -220,7 +228,9 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
 
 
 def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: int, den: int, most: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sure links, candidate pairs, groups still to be settled) of groups (g, id), without meeting all their pairs.
+    """(sure links, candidate pairs, groups still to be settled) of groups (g, id, its component c), without meeting all their pairs.
+
+    Pairs of one component are not made.
 
     A group's center is what most of a sample of its members hold; any center gives right results. D(x) is what x and
     the center do not share. With q = den + num and r = den - num, x and y link when q * |x ^ y| <= r * (|x| + |y|), and
@@ -242,7 +252,7 @@ def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: in
     both = _beside(sets, groups, "g", center)
     # What a member lacks is told from what it has besides by a complement.
     apart = F.concat(F.array_except("elements", "center"), F.transform(F.array_except("center", "elements"), lambda v: F.bitwise_not(v)))
-    found = both.select("g", "id", F.size("elements").cast("long").alias("n"), apart.alias("apart")).withColumn("d", F.size("apart").cast("long"))
+    found = both.select("g", "id", "c", F.size("elements").cast("long").alias("n"), apart.alias("apart")).withColumn("d", F.size("apart").cast("long"))
     found = stored(found.withColumn("e", q * F.col("d") - r * F.col("n")), "apart")
     least = found.groupBy("g").agg(F.min(F.struct("e", "id")).alias("z"), F.max("e").alias("most"))
     rows = found.join(least.select("g", F.col("z.e").alias("ez"), F.col("z.id").alias("z"), "most"), "g").withColumn("core", F.col("e") + F.col("ez") <= 0)
@@ -257,7 +267,7 @@ def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: in
     per = rows.drop("apart").join(per, ["g", "id"])
     # Elements that nobody shares come first in the order and take their places.
     own = F.greatest(F.col("prefix") - (F.col("d") - F.size("vs")), F.lit(0)).cast("int")
-    lists = stored(per.select("g", "id", "n", "d", "core", F.explode(F.slice("vs", F.lit(1), own)).alias("x")).select("g", F.col("x.v").alias("v"), "id", "n", "d", "core"), "lists")
+    lists = stored(per.select("g", "id", "c", "n", "d", "core", F.explode(F.slice("vs", F.lit(1), own)).alias("x")).select("g", F.col("x.v").alias("v"), "id", "c", "n", "d", "core"), "lists")
     counts = lists.groupBy("g", "v").agg(F.count("*").alias("members"), F.count_if(~F.col("core")).alias("outside"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_sum")).where("members > 1 AND outside > 0")
     # Of long lists with the same members one is enough.
     one = F.when(F.col("members") <= most, F.col("v")).otherwise(F.lit(0))
@@ -265,11 +275,11 @@ def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: in
     every, lists = lists, stored(lists.join(counts, ["g", "v"]), "lists")
     drop(every)
     short = lists.where(F.col("members") <= most)
-    x = short.where("NOT core").select("g", "v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-    y = short.select("g", "v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), "core")
+    x = short.where("NOT core").select("g", "v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("c").alias("cx"))
+    y = short.select("g", "v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"), "core")
     # What two sets don't share is at least the difference of what each does not share with the center.
     reach = q * F.abs(F.col("dx") - F.col("dy")) <= r * (F.col("nx") + F.col("ny"))
-    once = (F.col("core") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))
+    once = (F.col("cx") != F.col("cy")) & ((F.col("core") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y")))
     pairs = stored(x.join(y, ["g", "v"]).where(once & reach & _alike("nx", "ny", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
     rest = stored(lists.where(F.col("members") > most).select(F.xxhash64("g", "v").alias("g"), "id").distinct(), "groups")
     drop(sets, sample, center, found, lists)
