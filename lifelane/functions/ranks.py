@@ -72,9 +72,3 @@ def rank_correlation(df: DataFrame, x: str, y: str, group: tuple[str, ...]) -> D
     n = F.col("n").cast("double")
     spread = (n * F.col("_aa") - F.col("_a") * F.col("_a")) * (n * F.col("_bb") - F.col("_b") * F.col("_b"))
     return s.select(*group, F.try_divide(n * F.col("_ab") - F.col("_a") * F.col("_b"), F.sqrt(spread)).alias("rho"), "n")
-
-
-def mid_ranks(df: DataFrame, value: str, group: tuple[str, ...] = ()) -> DataFrame:
-    """df with <value>_rank: 1-based ranks, ties sharing their mean; null for null values."""
-    ranks = value_counts(df, value, group).select(*group, value, (F.col("below") + (F.col("n") + 1) / 2).alias(f"{value}_rank"))
-    return df.join(ranks, [*group, value], "left")
