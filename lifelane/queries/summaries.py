@@ -193,10 +193,11 @@ _REL = "rel AS (SELECT o_custkey AS k, o_orderdate AS day, o_totalprice AS amoun
 p AS (SELECT k, floor(rel / 30.0) + 0.5 AS bin_center, median(amount - base) AS d FROM w JOIN b USING (k) GROUP BY ALL),
 t AS (SELECT bin_center, median(d) AS median, quantile_cont(d, 0.25) AS q1, quantile_cont(d, 0.75) AS q3, count(*) AS n_keys FROM p GROUP BY 1 HAVING count(*) >= 10),
 a AS (SELECT *, coalesce((bin_center - lag(bin_center) OVER o) * (abs(median) + abs(lag(median) OVER o)) / 2, 0) AS st FROM t WINDOW o AS (ORDER BY bin_center))
-SELECT bin_center, round(median, 4) AS median, round(q1, 4) AS q1, round(q3, 4) AS q3, n_keys, round(sum(st) OVER (ORDER BY bin_center), 3) AS area FROM a""")
+SELECT bin_center, round(median, 5) AS median, round(q1, 5) AS q1, round(q3, 5) AS q3, n_keys, round(sum(st) OVER (ORDER BY bin_center), 3) AS area FROM a""")
 def delta_trajectory(spark, d):
     out = stats.delta_trajectory(_anchored(spark, d), "k", "day", "s", "amount")
-    return out.select("bin_center", r("median").alias("median"), r("q1").alias("q1"), r("q3").alias("q3"), "n_keys", r("area", 3).alias("area"))
+    # Quarters of half cents have five digits.
+    return out.select("bin_center", r("median", 5).alias("median"), r("q1", 5).alias("q1"), r("q3", 5).alias("q3"), "n_keys", r("area", 3).alias("area"))
 
 
 @query("pre_post_slopes", f"""WITH {EXPO}, {_REL}, w AS (SELECT *, rel / 365.25 AS x FROM rel WHERE rel BETWEEN -365 AND 365)
