@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,10 @@ def worker_cache(name, make):
 
 def let_go() -> None:
     """Frees what another operator's tasks left in this worker, so the operators of a long session don't add up."""
-    _kept.clear()
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def remainder(doc_id, mod: int):
