@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bottomk, licences, matroska, mixing, ngram_lm, quality, sentencepiece_codec, spotsigs, toxicity, warc
+from . import bottomk, divergence, exact_exchange, licences, matroska, mixing, ngram_lm, quality, repair, sentencepiece_codec, spotsigs, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,12 @@ def queries() -> dict:
         "op8_warc_zstd": warc.op8_warc_zstd,
         "op9_subset_sum_mix": mixing.op9_subset_sum_mix,
         "op10_matroska": matroska.op10_matroska,
+        "op11_agenda_repair": repair.op11_agenda_repair,
+        "op12_count_bitmaps": divergence.op12_count_bitmaps,
+        "op13_golomb_exchange": exact_exchange.op13_golomb_exchange,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query; the others are tested against brute force, round trips or held-out rows."""
-    return {"op2_spotsigs": spotsigs.OP2_SQL, "op3_bottomk_dedup": bottomk.OP3_SQL, "op5_licence_digests": licences.op5_sql(), "op8_warc_zstd": warc.OP8_SQL}
+    return {"op2_spotsigs": spotsigs.OP2_SQL, "op3_bottomk_dedup": bottomk.OP3_SQL, "op5_licence_digests": licences.op5_sql(), "op8_warc_zstd": warc.OP8_SQL, "op12_count_bitmaps": divergence.OP12_SQL, "op13_golomb_exchange": exact_exchange.OP13_SQL}
