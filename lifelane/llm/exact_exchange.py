@@ -61,7 +61,7 @@ def suspected(rows: RDD, total: int, owners: int) -> RDD:
     again. Empty messages are not sent: there are never more messages than rows, and a text that a third of all rows
     share is one fingerprint a partition.
     """
-    width = min(63, max(1, total).bit_length() + SPARE_BITS)
+    width = min(63, max(1, max(1, total).bit_length() + SPARE_BITS))
     span = 1 << width
     bounds = [-(-span * j // owners) for j in range(owners + 1)]
 
