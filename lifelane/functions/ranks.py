@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_counts(df: DataFrame, value: str, group: tuple[str, ...] = (), sums: dict | None = None, buckets: int = 32, weight: str | None = None) -> DataFrame:
+def value_counts(df: DataFrame, value: str, group: tuple[str, ...] = (), sums: dict | None = None, buckets: int = 32, weight: str | None = None, place: Column | None = None) -> DataFrame:
     """One row per (group, value): n, below (rows of the group with smaller values), total; null values are left out.
 
     sums: further aggregates by name; each also gets <name>_below, its sum over smaller values, and <name>_total.
-    weight: a column that says how many rows a row stands for. Values are dealt over buckets by approximate quantiles,
+    weight: a column that says how many rows a row stands for. place: the value as a double that is never out of order,
+    where it is no number itself. Values are dealt over buckets by approximate quantiles,
     one small row that is broadcast; sums run within a bucket, and the buckets' totals, a few rows for each group, are
     added. Ties come for free, as a value is one row. Nothing runs before the result is asked for.
     """
     held = df.where(F.col(value).isNotNull())
     counts = held.groupBy(*group, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"), *[a.alias(k) for k, a in (sums or {}).items()])
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = held.agg(F.percentile_approx(F.col(value).cast("double"), shares, 1000).alias("_cuts"))
+    at = F.col(value).cast("double") if place is None else place
+    cuts = held.agg(F.percentile_approx(at, shares, 1000).alias("_cuts"))
     counts = counts.crossJoin(F.broadcast(cuts))
-    bucket = F.size(F.filter(F.array_distinct("_cuts"), lambda e: e < F.col(value).cast("double")))
+    bucket = F.size(F.filter(F.array_distinct("_cuts"), lambda e: e < at))
     names = ["n", *(sums or {})]
     inner = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     rows = counts.withColumn("_b", bucket).drop("_cuts")

@@ -51,6 +51,29 @@ def confusion(df: DataFrame, group: tuple[str, ...] = (), threshold: float | Col
     return df.groupBy(*group).agg(F.count_if(hit & yes).alias("tp"), F.count_if(hit & ~yes).alias("fp"), F.count_if(~hit & yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"))
 
 
+def figures(df: DataFrame, group: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
+    """A confusion() at threshold with auc, average_precision, and the best F1 (f1_best) with its threshold (best_threshold), from one curve."""
+    c = curve(df, group)
+    hit = F.col("threshold") >= threshold
+    beaten = F.col("pos") * (F.col("negatives") - F.col("fp") + F.col("neg") / 2)
+    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("positives"))
+    miss = F.col("pos") * (F.col("threshold") - 1) * (F.col("threshold") - 1) + F.col("neg") * F.col("threshold") * F.col("threshold")
+    out = c.withColumn("_f1", f1).groupBy(*group).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"),
+        (F.sum(miss) / F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
+        F.sum(beaten).alias("_s"),
+        F.max("positives").alias("positives"),
+        F.max("negatives").alias("negatives"),
+        F.sum(F.try_divide("pos", "positives") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"),
+        F.max_by("threshold", F.struct("_f1", -F.col("threshold"))).alias("best_threshold"),
+        F.max("_f1").alias("f1_best"),
+    )
+    return out.withColumn("auc", F.try_divide("_s", F.col("positives").cast("double") * F.col("negatives"))).drop("_s")
+
+
 def rates(c: DataFrame) -> DataFrame:
     d = F.try_divide
     return c.withColumns({"sensitivity": d(F.col("tp"), F.col("tp") + F.col("fn")), "specificity": d(F.col("tn"), F.col("tn") + F.col("fp")), "ppv": d(F.col("tp"), F.col("tp") + F.col("fp")), "npv": d(F.col("tn"), F.col("tn") + F.col("fn"))})

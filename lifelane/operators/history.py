@@ -2,32 +2,198 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.times import floor_days, micros
 
 
 #: Stands for the end of an interval without one.
 OPEN = (1 << 63) - 1
+#: A key of more rows is swept in blocks of about so many, each by its own task.
+BLOCK = 1_000_000
+
 
+class Sweep:
+    """What is known of a key as its intervals start and end: its active codes, in order, and those that began before.
 
-def codes_at(rows: DataFrame, key: str, code: str) -> DataFrame:
-    """key, _s, _known: for each instant of a key, each code that has begun by then with its first and last start and latest end.
+    Starts come in order of time. An end is an entry of a heap, looked at once time has passed it, so an instant costs
+    what changes at it; the state is a few figures for each code, however many instants there are. inclusive: an
+    interval that ends at an instant is active at it. starting: what starts at an instant is active at it whatever its
+    end.
+    """
 
-    rows have _s and _e, in microseconds. Every (key, code) keeps three running figures, however long its history; an
-    instant gets a row for each of the key's codes, which are then gathered. So a task holds no history, and even one
-    key is dealt over tasks by its codes.
+    def __init__(self, inclusive: bool, starting: bool, prefixes: dict[str, tuple[str, ...]]):
+        self.inclusive, self.starting, self.prefixes = inclusive, starting, prefixes
+        self.first, self.last, self.until, self.rows = {}, {}, {}, {}
+        self.active, self.past, self.began, self.ends, self.short = [], [], "", [], []
+        self.flagged = dict.fromkeys(prefixes, 0)
+
+    def carry(self, code: str, first: int, last: int, until: int, rows: int) -> None:
+        """A code's figures from before the first instant."""
+        self.first[code], self.last[code], self.until[code], self.rows[code] = first, last, until, rows
+        insort(self.past, code)
+        self._open(code, until)
+
+    def _open(self, code: str, until: int) -> None:
+        at = bisect_left(self.active, code)
+        if at == len(self.active) or self.active[at] != code:
+            self.active.insert(at, code)
+            for name, own in self.prefixes.items():
+                self.flagged[name] += code.startswith(own)
+        if until < OPEN:
+            heappush(self.ends, (until, code))
+
+    def _close(self, code: str) -> None:
+        del self.active[bisect_left(self.active, code)]
+        for name, own in self.prefixes.items():
+            self.flagged[name] -= code.startswith(own)
+
+    def at(self, t: int, starts: list[tuple[str, int]], past_inclusive: bool) -> tuple[list[str], str, int, dict[str, int]]:
+        """Active codes, those begun before (joined, and their number), and how often each of starts began before t.
+
+        starts: (code, end) of the intervals that start at t. The list of active codes is the sweep's own.
+        """
+        times = {code: self.rows.get(code, 0) for code, _ in starts}
+        if not past_inclusive:
+            before = self._joined(), len(self.past)
+        for entry in self.short:
+            heappush(self.ends, entry)
+        self.short = []
+        for code, end in starts:
+            if code not in self.first:
+                self.first[code] = t
+                insort(self.past, code)
+                self.began = ""
+            self.last[code] = t
+            self.rows[code] = self.rows.get(code, 0) + 1
+            self.until[code] = max(end, self.until.get(code, end))
+            self._open(code, self.until[code])
+        while self.ends and (self.ends[0][0] < t or (self.ends[0][0] == t and not self.inclusive)):
+            end, code = heappop(self.ends)
+            if self.until[code] != end or self._absent(code):
+                continue  # a longer interval has taken its place
+            if self.starting and self.last[code] == t:
+                self.short.append((end, code))
+            else:
+                self._close(code)
+        if past_inclusive:
+            before = self._joined(), len(self.past)
+        return self.active, *before, times
+
+    def _absent(self, code: str) -> bool:
+        at = bisect_left(self.active, code)
+        return at == len(self.active) or self.active[at] != code
+
+    def _joined(self) -> str:
+        if not self.began:
+            self.began = ",".join(self.past)
+        return self.began
+
+
+def carried(rows: DataFrame, key: str, code: str) -> DataFrame:
+    """For each block of a key and each code that began in an earlier one, its figures up to there.
+
+    Rows of a block are summed first, so what is joined is a few figures for each block and code, never rows.
     """
-    instants = rows.select(key, "_s").distinct()
-    asked = instants.join(rows.select(key, code).distinct(), key).select(key, code, "_s", F.lit(True).alias("_ask"))
-    events = rows.select(key, code, "_s", F.coalesce("_e", F.lit(OPEN)).alias("_e"), F.lit(False).alias("_ask"))
-    w = Window.partitionBy(key, code).orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
-    begun = F.when(~F.col("_ask"), F.col("_s"))
-    both = asked.unionByName(events, allowMissingColumns=True).withColumns({"_first": F.min(begun).over(w), "_last": F.max(begun).over(w), "_until": F.max("_e").over(w)})
-    both = both.where(F.col("_ask") & F.col("_first").isNotNull())
-    known = F.struct(F.col(code).alias("c"), F.col("_first").alias("first"), F.col("_last").alias("last"), F.col("_until").alias("until"))
-    return both.groupBy(key, "_s").agg(F.sort_array(F.collect_list(known)).alias("_known"))
+    end = F.coalesce("_e", F.lit(OPEN))
+    per = rows.groupBy(key, "_block", code).agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"), F.max(end).alias("_until"), F.count("*").alias("_rows"), F.max("_blocks").alias("_blocks"))
+    later = per.where(F.col("_block") < F.col("_blocks")).withColumn("_block", F.explode(F.sequence(F.col("_block") + 1, F.col("_blocks"))))
+    return later.groupBy(key, "_block", code).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_until").alias("_until"), F.sum("_rows").alias("_rows"))
+
+
+def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with _block and _blocks (the last one): 0, or for keys of more than size rows the place of _s among its quantiles."""
+    long = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
+    # At most one key in size rows: a short list.
+    found = long.collect()
+    if not found:
+        return rows.withColumns({"_block": F.lit(0), "_blocks": F.lit(0)})
+    most = max(-(-r._n // size) for r in found)
+    cuts = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(r[0],) for r in found], long.select(key).schema)), key, "left_semi").groupBy(key).agg(F.array_distinct(F.percentile_approx("_s", [i / most for i in range(1, most)], 10_000)).alias("_cuts"))
+    both = rows.join(F.broadcast(cuts), key, "left")
+    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_s"))), F.lit(0))
+    return both.withColumns({"_block": block, "_blocks": F.coalesce(F.size("_cuts"), F.lit(0))}).drop("_cuts")
+
+
+SWEPT = "_active string, _n_active long, _past string, _n_past long, _times long"
+
+
+def swept(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclusive: bool, past_inclusive: bool, exclude_own: bool, starting: bool = True, prefixes: dict[str, tuple[str, ...]] | None = None, block: int | None = None) -> DataFrame:
+    """df with SWEPT and a truth value for each of prefixes: one shuffle by key, one sweep through each key's starts.
+
+    A task holds a Sweep and the rows of one instant. A key of more than `block` rows is dealt over tasks by time; what
+    its earlier blocks leave behind is sent ahead of each block's rows.
+    """
+    flags = prefixes or {}
+    rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(code).isNotNull()).withColumns({"_s": micros(start), "_e": micros(end)})
+    rows = in_blocks(rows, key, BLOCK if block is None else block)
+    stream = rows.drop("_blocks").withColumns({"_kind": F.lit(1), "_first": F.lit(None).cast("long"), "_last": F.lit(None).cast("long"), "_until": F.lit(None).cast("long"), "_rows": F.lit(None).cast("long")})
+    stream = stream.unionByName(carried(rows.where(F.col("_blocks") > 0), key, code).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    stream = stream.repartition(key, "_block").sortWithinPartitions(key, "_block", "_kind", "_s")
+    names = df.columns
+    own = names.index(code)
+    places = {c: stream.columns.index(c) for c in (key, "_block", "_kind", "_s", "_e", "_first", "_last", "_until", "_rows")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sweep, rest = None, None, None
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal now, sweep
+            columns = {c: table.column(i).to_pylist() for c, i in places.items()}
+            codes, kinds, at, out, keep = table.column(own).to_pylist(), columns["_kind"], columns["_s"], [], []
+            n, i = table.num_rows, 0
+            while i < n:
+                here = (columns[key][i], columns["_block"][i])
+                if here != now:
+                    now, sweep = here, Sweep(end_inclusive, starting, flags)
+                if kinds[i] == 0:
+                    sweep.carry(codes[i], columns["_first"][i], columns["_last"][i], columns["_until"][i], columns["_rows"][i])
+                    i += 1
+                    continue
+                j = i
+                while j < n and at[j] == at[i] and (columns[key][j], columns["_block"][j]) == here:
+                    j += 1
+                starts = [(codes[r], OPEN if columns["_e"][r] is None else columns["_e"][r]) for r in range(i, j)]
+                active, past, n_past, times = sweep.at(at[i], starts, past_inclusive)
+                known = set(active) if exclude_own else ()
+                joined = ",".join(active)
+                for r in range(i, j):
+                    c = codes[r]
+                    mine = c in known
+                    text = ",".join(a for a in active if a != c) if mine else joined
+                    out.append((text, len(active) - mine, past, n_past, times[c], *[sweep.flagged[f] - (mine and c.startswith(p)) > 0 for f, p in flags.items()]))
+                    keep.append(r)
+                i = j
+            if keep:
+                kept = table.take(pa.array(keep)).select(range(len(names)))
+                types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.bool_() for _ in flags]]
+                new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                fields = [*kept.schema, *[pa.field(f.split()[0], t) for f, t in zip([*SWEPT.split(", "), *flags], types, strict=True)]]
+                yield from pa.Table.from_arrays([*kept.columns, *new], schema=pa.schema(fields)).combine_chunks().to_batches()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            # The last instant may go on in the next batch.
+            last, cut = table.slice(table.num_rows - 1, 1), table.num_rows - 1
+            same = [last.column(places[c])[0].as_py() for c in (key, "_block", "_kind", "_s")]
+            while cut > 0 and [table.column(places[c])[cut - 1].as_py() for c in (key, "_block", "_kind", "_s")] == same:
+                cut -= 1
+            rest = table.slice(cut)
+            if cut:
+                yield from done(table.slice(0, cut))
+        if rest is not None:
+            yield from done(rest)
+
+    schema = T.StructType([*df.schema, *T.StructType.fromDDL(SWEPT), *[T.StructField(f, T.BooleanType()) for f in flags]])
+    return stream.mapInArrow(run, schema)
 
 
 def code_history(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclusive: bool, past_inclusive: bool, exclude_own: bool, prefixes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -36,26 +202,11 @@ def code_history(df: DataFrame, key: str, code: str, start: str, end: str, *, en
     At a row's start t: active are codes that start at t, or started before and have no end or end after t (at t too,
     if end_inclusive), without the row's own code if exclude_own; past are codes that started before t (or at t, if
     past_inclusive); times_before counts rows of the row's own code that started before t. A flag tells whether an
-    active code begins with one of its prefixes. Rows without key, start or code are dropped.
+    active code begins with one of its prefixes. Rows without key, start or code are dropped. See swept() for long keys.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(code).isNotNull()).withColumns({"_s": micros(start), "_e": micros(end)})
-    own = Window.partitionBy(key, code).orderBy("_s").rangeBetween(Window.unboundedPreceding, -1)
-    known = codes_at(rows, key, code)
-    rows = rows.withColumn("times_before", F.count("*").over(own)).join(known, [key, "_s"]).select(*df.columns, "times_before", "_s", "_known")
-    t = F.col("_s")
-    codes = lambda keep: F.transform(F.filter("_known", keep), lambda x: x["c"])
-    active = codes(lambda x: (x["last"] == t) | ((x["until"] >= t) if end_inclusive else (x["until"] > t)))
-    if exclude_own:
-        active = F.array_except(active, F.array(code))
-    past = codes(lambda x: F.lit(True) if past_inclusive else x["first"] < t)
-    rows = rows.withColumns({"_active": active, "_past": past})
-
-    def begins(own: tuple[str, ...]):
-        return F.exists("_active", lambda c: F.coalesce(*[F.when(c.startswith(x), True) for x in own], F.lit(False)))
-
-    flags = {name: begins(own) for name, own in (prefixes or {}).items()}
-    out = {"active_codes": F.array_join("_active", ","), "n_active": F.size("_active").cast("long"), "past_codes": F.array_join("_past", ","), "n_past": F.size("_past").cast("long")}
-    return rows.withColumns(out | flags).drop("_active", "_past", "_known", "_s")
+    rows = swept(df, key, code, start, end, end_inclusive=end_inclusive, past_inclusive=past_inclusive, exclude_own=exclude_own, prefixes=prefixes)
+    out = {"active_codes": F.col("_active"), "n_active": F.col("_n_active"), "past_codes": F.col("_past"), "n_past": F.col("_n_past")}
+    return rows.select(*df.columns, F.col("_times").alias("times_before"), *[c.alias(n) for n, c in out.items()], *(prefixes or {}))
 
 
 def count_before(df: DataFrame, key: str, ts: str, conditions: dict[str, Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, instant, micros
-from .history import codes_at
+from .history import swept
 
 HOURS_48 = 2 * DAY
 
@@ -71,9 +71,7 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 def overlapping_codes(df: DataFrame, key: str, code: str, start: str, end: str, ident: str) -> DataFrame:
     """key, ident, codes: the other codes of intervals of the key that run, or end, after this one's start and began before it or with it.
 
-    No self-join on inequalities: see history.codes_at(). Rows without key, start or code are dropped.
+    No self-join on inequalities: see history.swept(). Rows without key, start or code are dropped.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(code).isNotNull()).select(key, ident, code, micros(start).alias("_s"), micros(end).alias("_e"))
-    rows = rows.join(codes_at(rows, key, code), [key, "_s"])
-    active = F.transform(F.filter("_known", lambda x: x["until"] >= F.col("_s")), lambda x: x["c"])
-    return rows.select(key, ident, F.array_join(F.array_except(active, F.array(code)), ",").alias("codes"))
+    rows = swept(df.select(key, ident, code, start, end), key, code, start, end, end_inclusive=True, past_inclusive=False, exclude_own=True, starting=False)
+    return rows.select(key, ident, F.col("_active").alias("codes"))

@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks, student
 from ..functions.times import DAY, floor_days, micros
+from ..sources.io import written
 
 
-def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
-    """One row: n1, n2, u (of the rows where first holds), z with tie correction, p (normal), rank_biserial."""
+def mann_whitney(df: DataFrame, value: str, first: Column, group: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each group: n1, n2, u (of the rows where first holds), z with tie correction, p (normal), rank_biserial."""
     rows = df.where(F.col(value).isNotNull()).withColumn("_f", F.coalesce(first, F.lit(False)).cast("long"))
-    r = ranks.value_counts(rows, value, sums={"f": F.sum("_f")})
+    r = ranks.value_counts(rows, value, group, {"f": F.sum("_f")})
     mid = F.col("below") + (F.col("n") + 1) / 2
-    sums = r.agg(F.sum(F.col("f") * mid).alias("r1"), F.sum("f").alias("n1"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double").alias("t"))
+    sums = r.groupBy(*group).agg(F.sum(F.col("f") * mid).alias("r1"), F.sum("f").alias("n1"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double").alias("t"))
     sums = sums.withColumn("n2", F.col("n") - F.col("n1")).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     product = F.col("n1").cast("double") * F.col("n2")
     spread = F.sqrt(product / 12 * (F.col("n") + 1 - F.col("t") / (F.col("n") * (F.col("n") - 1).cast("double"))))
     out = sums.withColumn("z", F.try_divide(F.col("u") - product / 2, spread))
-    return out.select("n1", "n2", "u", "z", normal_p("z").alias("p"), (1 - F.try_divide(2 * F.col("u"), product)).alias("rank_biserial"))
+    return out.select(*group, "n1", "n2", "u", "z", normal_p("z").alias("p"), (1 - F.try_divide(2 * F.col("u"), product)).alias("rank_biserial"))
 
 
 def normal_p(z: str) -> Column:
@@ -118,6 +119,48 @@ def loess(df: DataFrame, x: str, y: str, share: float = 0.3, most: int = 2000) -
     return s.select(F.col("x0").alias("x"), F.coalesce(fit, F.col("sy") / F.col("s")).alias("fit"))
 
 
+def lowess(df: DataFrame, x: str, y: str, group: tuple[str, ...] = (), share: float = 2 / 3, passes: int = 3, most: int = 2000) -> DataFrame:
+    """group, x, y (the mean at x), fit: the robust locally weighted line through the means per x, for each group (cohort).
+
+    Each fit takes the share of the points nearest to x, by tricube weights; each of `passes` more fits weighs points by
+    the bisquare of their residual over six median residuals as well, so that outliers lose their pull. x has few values
+    (ages): a group's means are one small table, joined with itself. A group of more than most values raises. Means
+    and residual weights are written between the passes, so that no pass computes an earlier one again.
+    """
+    point = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*group, F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("y"))
+    means = written(point.withColumn("rw", F.lit(1.0)), "lowess")
+    if means.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).count():
+        raise ValueError(f"{x} has more than {most} values")
+    for left in range(passes, -1, -1):
+        fitted = _local_fit(means, group, share)
+        if not left:
+            break
+        fitted = fitted.withColumn("r", F.abs(F.col("y") - F.col("fit")))
+        middle = ranks.quantiles(fitted, "r", {"m": 0.5}, group)
+        both = fitted.join(middle, [*group]) if group else fitted.crossJoin(middle)  # one row
+        u = F.when(F.col("m") == 0, F.when(F.col("r") > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.try_divide(F.col("r"), 6 * F.col("m")), F.lit(1.0)))
+        means = written(both.select(*group, "x", "y", F.pow(1 - u * u, F.lit(2)).alias("rw")), "lowess")
+    return fitted.select(*group, "x", "y", "fit")
+
+
+def _local_fit(means: DataFrame, group: tuple[str, ...], share: float) -> DataFrame:
+    """means (group, x, y, rw) with fit."""
+    own = means.select(*group, F.col("x").alias("x0"), F.col("y").alias("y0"))
+    pairs = (own.join(means, [*group]) if group else own.crossJoin(means)).withColumn("d", F.abs(F.col("x") - F.col("x0")))
+    at = Window.partitionBy(*group, "x0")
+    # Rounding must not lose a point where share of the points is a whole number.
+    nearest = F.greatest(F.floor(F.count("*").over(at) * share + 1e-10), F.lit(2))
+    near = pairs.withColumns({"i": F.row_number().over(at.orderBy("d", "x")), "k": nearest}).where("i <= k").withColumn("h", F.max("d").over(at))
+    u = F.try_divide("d", "h")
+    tricube = F.when(u <= 0.001, 1.0).when(u <= 0.999, F.pow(1 - F.pow(u, F.lit(3)), F.lit(3))).when(F.col("h") == 0, 1.0).otherwise(0.0)
+    near = near.withColumn("w", tricube * F.col("rw")).withColumn("c", F.col("x") - F.col("x0"))
+    w, c, v = F.col("w"), F.col("c"), F.col("y")
+    s = near.groupBy(*group, "x0", "y0").agg(F.sum(w).alias("s"), F.sum(w * c).alias("sx"), F.sum(w * v).alias("sy"), F.sum(w * c * c).alias("xx"), F.sum(w * c * v).alias("xy"))
+    det = F.col("s") * F.col("xx") - F.col("sx") * F.col("sx")
+    line = F.when(det > 1e-12, (F.col("xx") * F.col("sy") - F.col("sx") * F.col("xy")) / det).otherwise(F.col("sy") / F.col("s"))
+    return s.select(*group, F.col("x0").alias("x"), F.col("y0").alias("y"), F.when(F.col("s") > 1e-12, line).otherwise(F.col("y0")).alias("fit"))
+
+
 def _relative(df: DataFrame, ts: str, anchor: str, offset_days: int) -> DataFrame:
     return df.withColumn("_rel", floor_days(F.col(ts), F.col(anchor)) if not offset_days else F.floor((micros(ts) - micros(anchor) - offset_days * DAY) / float(DAY)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import coding
 from ..operators import evaluation, modelling, series
 from ..plans import experiment
-from ..sources.io import table
+from ..sources.io import scratch, table
 from . import Registry
 from .base import PRED, predictions, r, spending
 
@@ -118,7 +118,7 @@ def _prepared(spark, d):
     parts = evaluation.stratified_keys(rows, "k", "o_orderkey", "y", 0.2, 7)
     both = rows.join(parts, "k")
     train = both.where("NOT test")
-    prep = modelling.preparation(TYPES).fit(train)
+    prep = modelling.fit_preparation(train, TYPES)
     ready = modelling.folded(modelling.weighted(prep.transform(train)), "k", k=3)
     return prep, ready, prep.transform(both.where("test"))
 
@@ -235,8 +235,44 @@ def sampled_attribution(spark, d):
     return modelling.sampled_attribution(model, pick(test, 10), pick(train, 5), "o_orderkey")
 
 
-@query("ml_experiment")
+@query("tree_attribution", f"WITH {_TRAIN} SELECT model, count(*) AS n, 13::BIGINT AS features, true AS adds_up FROM rows_ JOIN part USING (k), (SELECT unnest(['forest', 'boosted']) AS model) WHERE test GROUP BY model")
+def tree_attribution(spark, d):
+    """For every test row and both kinds of trees, whether its attributions add up to its probability less the background's mean."""
+    _, train, test = _prepared(spark, d)
+    train, out = train.cache(), None
+    background = train.select(vector_to_array("features").alias("_x"), "features").orderBy(F.xxhash64("_x"), "_x").limit(100)
+    for name in ("forest", "boosted"):
+        estimator, grid = modelling.models(**SMALL)[name]
+        model = estimator.fit(train, grid[0])
+        sums = modelling.tree_attribution(model, test, train, ["o_orderkey"], scratch(spark, "trees")).groupBy("o_orderkey").agg(F.sum("value").alias("v"), F.count("*").alias("features"))
+        mean = modelling.with_probability(model, background).agg(F.avg("p").alias("mean"))
+        both = sums.join(modelling.with_probability(model, test).select("o_orderkey", "p"), "o_orderkey").crossJoin(F.broadcast(mean))  # one row
+        one = both.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.max("features").alias("features"), F.bool_and(F.abs(F.col("v") - F.col("p") + F.col("mean")) < 1e-9).alias("adds_up"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SPLITS = """own AS (SELECT i AS split, k, arg_min(y, md5((7 + i) || ':' || k || ':' || o_orderkey)) AS yy, md5((7 + i) || ':' || k) AS h FROM rows_, range(5) s(i) GROUP BY i, k),
+part AS (SELECT split, k, row_number() OVER (PARTITION BY split, yy ORDER BY h, k) <= ceil(0.2 * count(*) OVER (PARTITION BY split, yy)) AS test FROM own)"""
+
+
+@query("ml_experiment", f"""WITH {_TRAIN.split("own AS")[0].rstrip().rstrip(",")}, {_SPLITS}, t AS (SELECT split, count(*) AS n, sum(y)::BIGINT AS positives FROM rows_ JOIN part USING (k) WHERE test GROUP BY split)
+SELECT model, split::INT AS split, 'done' AS state, n, positives, n AS scored, n * 13 AS attributed, true AS learnt, true AS consistent FROM t, (SELECT unnest(['logistic', 'boosted', 'boosted_slow', 'forest']) AS model)""")
 def ml_experiment(spark, d):
-    """The logistic model on two splits with two folds each."""
-    models = {"logistic": modelling.models(**SMALL)["logistic"]}
-    return experiment.repeated(training_rows(spark, d).cache(), "k", "o_orderkey", TYPES, models, splits=2, folds=2)[0]
+    """Every model on five splits, through the ledger: what each unit left behind, and whether its figures follow from its predictions.
+
+    Of each grid the first point, on two folds; few rounds.
+    """
+    models = {name: (estimator, grid[:1]) for name, (estimator, grid) in modelling.models(rounds=3, steps=20).items()}
+    rows = training_rows(spark, d).cache()
+    try:
+        ledger = experiment.run(spark, {"orders": experiment.Table(rows, "k", "o_orderkey", TYPES)}, models, scratch(spark, "experiment"), folds=2, keep_models=False)
+    finally:
+        rows.unpersist()
+    by = ["model", "split"]
+    scores = ledger.read("predictions").groupBy(*by).agg(F.count("*").alias("scored"), F.count_if((F.col("predicted") == 1) & (F.col("y") == 1)).alias("hits"), F.count_if(F.col("predicted") == 1).alias("found"))
+    values = ledger.read("attributions").groupBy(*by).agg(F.count("*").alias("attributed"))
+    figures = ledger.read("metrics")
+    counted = (F.col("tp") == F.col("hits")) & (F.col("tp") + F.col("fp") == F.col("found")) & F.col("threshold").between(0, 1)
+    out = ledger.read("units").select(*by, "state").join(figures, by).join(scores, by).join(values, by)
+    return out.select("model", F.col("split").cast("int").alias("split"), "state", (F.col("positives") + F.col("negatives")).alias("n"), "positives", "scored", "attributed", (F.col("auc") > 0.55).alias("learnt"), counted.alias("consistent"))

@@ -61,6 +61,74 @@ def column_profile(spark, d):
     return out.select(F.col("column").alias("name"), "n", r("missing_percent").alias("missing_percent"), "true_count", "false_count", *[r(c).alias(c) for c in ("mean", "pseudo_min", "pseudo_median", "pseudo_max")])
 
 
+_MIXED = """mix AS (SELECT o_orderkey, o_totalprice, (o_orderstatus = 'O') AS is_open, (o_orderstatus = 'F')::INT AS is_final, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS seen, o_orderdate::DATE AS day, o_totalprice::DECIMAL(12,2) AS exact, o_orderpriority AS pri,
+  CASE WHEN o_orderkey % 4 = 0 THEN o_custkey::VARCHAR WHEN o_orderkey % 4 = 1 THEN 'none' END AS said FROM orders)"""
+_NUMBERS = {"o_orderkey": ("number", "o_orderkey::DOUBLE"), "o_totalprice": ("number", "o_totalprice"), "exact": ("exact", "exact::DOUBLE"), "pri": ("text", "NULL::DOUBLE"), "said": ("text", "TRY_CAST(said AS DOUBLE)")}
+_NONE = "NULL::BIGINT AS true_count, NULL::BIGINT AS false_count, NULL::DOUBLE AS true_percent, NULL::DOUBLE AS false_percent"
+_NO_AT = ", ".join(f"NULL::TIMESTAMP AS {c}" for c in ("mean_at", "first_at", "middle_at", "last_at"))
+_ends = lambda l: f"round(list_avg({l}[1:5]), 4) AS pseudo_min, round(list_avg({l}[len({l}) // 2 - 1:len({l}) // 2 + 3]), 4) AS pseudo_median, round(list_avg({l}[-5:]), 4) AS pseudo_max"  # noqa: E731, E741
+_at = lambda l: f"make_timestamp((list_sum({l}) // len({l}))::BIGINT)"  # noqa: E731, E741
+_PROFILES = [
+    *[f"SELECT '{c}' AS name, '{k}' AS kind, count(*) AS n, round(avg(({c} IS NULL)::INT) * 100, 4) AS missing_percent, {_NONE}, round(avg({v}), 4) AS mean, {_ends(f'(list({v} ORDER BY {v}) FILTER ({v} IS NOT NULL))')}, {_NO_AT} FROM mix" for c, (k, v) in _NUMBERS.items()],
+    *[f"SELECT '{c}', '{k}', count(*), 0, count(*) FILTER ({c}::INT = 1), count(*) FILTER ({c}::INT = 0), round(avg({c}::INT) * 100, 4), round(avg(1 - {c}::INT) * 100, 4), NULL, NULL, NULL, NULL, {_NO_AT} FROM mix" for c, k in (("is_open", "truth"), ("is_final", "number"))],
+    *[f"SELECT '{c}', 'instant', any_value(n), any_value(m), {_NONE}, NULL, NULL, NULL, NULL, {_at('l')}, {_at('l[1:5]')}, {_at('l[len(l) // 2 - 1:len(l) // 2 + 3]')}, {_at('l[-5:]')} FROM (SELECT count(*) AS n, round(avg(({c} IS NULL)::INT) * 100, 4) AS m, list(epoch_us({c}) ORDER BY {c}) FILTER ({c} IS NOT NULL) AS l FROM mix) GROUP BY l" for c in ("seen", "day")],
+]
+
+
+@query("column_profile_mixed", f"WITH {_MIXED} " + " UNION ALL ".join(_PROFILES))
+def column_profile_mixed(spark, d):
+    """Numbers, decimals, truth values, instants, dates and texts in one profile."""
+    o = table(spark, d, "orders")
+    said = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey").cast("string")).when(F.col("o_orderkey") % 4 == 1, "none")
+    rows = o.select("o_orderkey", "o_totalprice", (F.col("o_orderstatus") == "O").alias("is_open"), (F.col("o_orderstatus") == "F").cast("int").alias("is_final"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("seen"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(12,2)").alias("exact"), F.col("o_orderpriority").alias("pri"), said.alias("said"))
+    out = disclosure.column_profile(rows)
+    digits = ["missing_percent", "true_percent", "false_percent", "mean", "pseudo_min", "pseudo_median", "pseudo_max"]
+    return out.withColumnRenamed("column", "name").withColumns({c: r(c) for c in digits})
+
+
+_PUB = {"Amount": "o_totalprice", "Customer": "CASE WHEN o_orderkey % 7 > 0 THEN o_custkey::DOUBLE END"}
+_CO = "co AS (SELECT (o_orderpriority < '3') AS f, " + ", ".join(f"{c} AS v{i}" for i, c in enumerate(_PUB.values())) + " FROM orders)"
+
+
+def _near(i: int, share: float) -> str:
+    return f"(SELECT f, avg(v) AS q FROM (SELECT co.f, v{i} AS v, row_number() OVER (PARTITION BY co.f ORDER BY abs(v{i} - q), v{i}) AS o FROM co JOIN (SELECT f, quantile_cont(v{i}, {share}) AS q FROM co GROUP BY f) t ON t.f = co.f WHERE v{i} IS NOT NULL) WHERE o <= 5 GROUP BY f)"
+
+
+def _published(i: int, label: str) -> str:
+    desc = f"""b{i} AS (SELECT f, count(*) AS n, count(v{i}) AS c, avg(v{i}) AS m, stddev_samp(v{i}) AS sd, list_sort(list(v{i}) FILTER (v{i} IS NOT NULL)) AS l FROM co GROUP BY f),
+t{i} AS (SELECT b{i}.f, n, [printf('%.2f (%.2f)', m, sd), printf('%.2f [%.2f, %.2f]', q2.q, q1.q, q3.q), printf('%.2f–%.2f', list_avg(l[1:5]), list_avg(l[-5:])), printf('~%d (%.1f%%)', (round_even((n - c) / 5.0, 0) * 5)::BIGINT, (n - c) * 100.0 / n)] AS txt
+  FROM b{i} JOIN {_near(i, 0.25)} q1 ON q1.f = b{i}.f JOIN {_near(i, 0.5)} q2 ON q2.f = b{i}.f JOIN {_near(i, 0.75)} q3 ON q3.f = b{i}.f),
+k{i} AS (SELECT f, rank() OVER (ORDER BY v{i}) + (count(*) OVER (PARTITION BY v{i}) - 1) / 2.0 AS rk FROM co WHERE v{i} IS NOT NULL), u{i} AS (SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(rk) FILTER (f) AS s FROM k{i})"""
+    rows = f"""SELECT {i} * 4 + j AS place, '{label}' AS label, ['Mean (SD)', 'Median [IQR]', 'Range', 'Missing n (%)'][j + 1] AS statistic, a.txt[j + 1] AS first, b.txt[j + 1] AS second, CASE WHEN j = 0 THEN printf('%.3f', abs(1 - 2 * (s - n1 * (n1 + 1) / 2) / (n1 * n2))) ELSE '' END AS effect,
+ (round_even(a.n / 5.0, 0) * 5)::BIGINT AS n_first, (round_even(b.n / 5.0, 0) * 5)::BIGINT AS n_second FROM t{i} a JOIN t{i} b ON a.f AND NOT b.f, u{i}, range(4) r(j)"""
+    return desc + "\x00" + rows
+
+
+_BOTH = [_published(i, label).split("\x00") for i, label in enumerate(_PUB)]
+
+
+@query("publication_table_columns", f"WITH {_CO}, {', '.join(a for a, _ in _BOTH)} " + " UNION ALL ".join(b for _, b in _BOTH))
+def publication_table_columns(spark, d):
+    """Several columns of two cohorts: mean, safe median and range, missing share, effect and rounded sizes; p has its own query."""
+    o = table(spark, d, "orders")
+    rows = o.select("o_orderpriority", F.col("o_totalprice").alias("amount"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey").cast("double")).alias("customer"))
+    out = disclosure.publication_table(rows, F.col("o_orderpriority") < "3", {"Amount": "amount", "Customer": "customer"})
+    return out.drop("p").withColumn("place", F.col("place").cast("long"))
+
+
+#: The tail of the normal distribution by Simpson's rule from 0 to |z|.
+_NORMAL = "(SELECT 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(i * abs({z}) / 4000, 2) / 2)) / sqrt(2 * pi()) * abs({z}) / 12000 FROM range(0, 4001) r(i))"
+
+
+@query("rank_test_p", f"""WITH g AS (SELECT o_orderpriority AS grp, o_orderstatus = 'O' AS f, o_totalprice AS v FROM orders), m AS (SELECT grp, f, rank() OVER (PARTITION BY grp ORDER BY v) + (count(*) OVER (PARTITION BY grp, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY grp, v) AS ties FROM g),
+s AS (SELECT grp, sum(rk) FILTER (f) AS r1, count(*) FILTER (f) AS n1, count(*) AS n, sum(ties * ties - 1)::DOUBLE AS t FROM m GROUP BY grp), u AS (SELECT grp, n1, n - n1 AS n2, n, t, r1 - n1 * (n1 + 1) / 2 AS u FROM s),
+z AS (SELECT grp, n1, n2, u, (u - n1 * n2 / 2) / sqrt(n1 * n2 / 12.0 * (n + 1 - t / (n * (n - 1)))) AS z FROM u) SELECT grp, n1, n2, round(u, 2) AS u, round({_NORMAL.format(z='z')}, 5) AS p FROM z""")
+def rank_test_p(spark, d):
+    """The rank test with its p in several groups at once; the SQL integrates the density."""
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), (F.col("o_orderstatus") == "O").alias("f"), F.col("o_totalprice").alias("v"))
+    return stats.mann_whitney(rows, "v", F.col("f"), ("grp",)).select("grp", "n1", "n2", r("u", 2).alias("u"), r("p", 5).alias("p"))
+
+
 @query("publication_table", f"""WITH c AS (SELECT CASE WHEN event_type = 'view' THEN 'on' ELSE 'off' END AS cohort, value FROM events), b AS (SELECT cohort, avg(value) AS m, stddev_samp(value) AS sd, avg((value IS NULL)::INT) AS missing FROM c GROUP BY 1),
 q AS (SELECT b.*, k1.v AS q1, k2.v AS q2, k3.v AS q3 FROM b {" ".join(f"JOIN (SELECT cohort, avg(value) AS v FROM (SELECT c.*, row_number() OVER (PARTITION BY cohort ORDER BY abs(value - q), value) AS i FROM c JOIN (SELECT cohort, quantile_cont(value, {share}) AS q FROM c GROUP BY 1) USING (cohort)) WHERE i <= 5 GROUP BY 1) k{i} USING (cohort)" for i, share in ((1, 0.25), (2, 0.5), (3, 0.75)))}),
 rk AS (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rk FROM c), u AS (SELECT count(*) FILTER (WHERE cohort = 'on') AS n1, count(*) AS n, sum(rk) FILTER (WHERE cohort = 'on') AS s FROM rk)
@@ -180,6 +248,27 @@ def loess_trend(spark, d):
     return stats.loess(rows, "age", "l_extendedprice").withColumn("fit", r("fit"))
 
 
+def _lowess_sql(share: float, passes: int) -> str:
+    """The loop as common tables: m0 the means, f<i> the i-th fit, m<i> the points with the weights of the fit before."""
+    parts = ["m0 AS (SELECT l_linestatus AS grp, CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE l_quantity * 2 END::DOUBLE AS x, avg(l_extendedprice * CASE WHEN l_quantity = 7 THEN 9 ELSE 1 END) AS y, 1.0::DOUBLE AS rw FROM lineitem GROUP BY ALL)"]
+    for i in range(passes + 1):
+        parts.append(f"""p{i} AS (SELECT a.grp, a.x AS x0, a.y AS y0, b.x - a.x AS c, b.y, b.rw, abs(b.x - a.x) AS d, row_number() OVER (PARTITION BY a.grp, a.x ORDER BY abs(b.x - a.x), b.x) AS i, greatest(floor(count(*) OVER (PARTITION BY a.grp, a.x) * {share} + 1e-10), 2) AS k FROM m{i} a JOIN m{i} b ON a.grp = b.grp),
+w{i} AS (SELECT *, d / max(d) OVER (PARTITION BY grp, x0) AS u FROM p{i} WHERE i <= k), v{i} AS (SELECT *, rw * CASE WHEN u <= 0.001 THEN 1 WHEN u <= 0.999 THEN pow(1 - pow(u, 3), 3) ELSE 0 END AS w FROM w{i}),
+s{i} AS (SELECT grp, x0, y0, sum(w) AS s, sum(w * c) AS sx, sum(w * y) AS sy, sum(w * c * c) AS xx, sum(w * c * y) AS xy FROM v{i} GROUP BY ALL), f{i} AS (SELECT grp, x0 AS x, y0 AS y, (xx * sy - sx * xy) / (s * xx - sx * sx) AS fit FROM s{i})""")
+        parts.append(f"m{i + 1} AS (SELECT grp, x, y, pow(1 - pow(least(abs(y - fit) / (6 * median(abs(y - fit)) OVER (PARTITION BY grp)), 1), 2), 2) AS rw FROM f{i})")
+    return f"WITH {', '.join(parts)} SELECT grp, x, round(fit, 4) AS fit FROM f{passes}"
+
+
+@query("lowess_robust", _lowess_sql(0.3, 3))
+def lowess_robust(spark, d):
+    """The robust curve of two cohorts, one point of each an outlier."""
+    l = table(spark, d, "lineitem")  # noqa: E741
+    x = F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.col("l_quantity") * 2).cast("double")
+    y = F.col("l_extendedprice") * F.when(F.col("l_quantity") == 7, 9).otherwise(1)
+    rows = l.select(F.col("l_linestatus").alias("grp"), x.alias("x"), y.alias("y"))
+    return stats.lowess(rows, "x", "y", ("grp",), 0.3).select("grp", "x", r("fit").alias("fit"))
+
+
 def _anchored(spark, d):
     first = exposures(spark, d).where("code = 'PROMO'").groupBy("k").agg(F.min("s").alias("s"))
     money = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("day"), F.col("o_totalprice").alias("amount"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,10 +14,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, or none if its path is missing, so that a job can skip the stage that needs it."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="lifelane-shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/lifelane-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read again: what uses it twice computes it once, also after an executor is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table_or_none(spark: SparkSession | DataFrameReader, path: str) -> DataFrame | None:
+    """The table, or none if its path is missing, so that a job can skip the stage that needs it. spark may be a reader with options."""
     try:
-        return spark.read.parquet(path)
+        return (spark if isinstance(spark, DataFrameReader) else spark.read).parquet(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
