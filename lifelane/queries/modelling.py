@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import zlib
 
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import coding
 from ..operators import evaluation, modelling, series
 from ..plans import experiment
-from ..sources.io import scratch, table
+from ..sources.io import scratch, table, written
 from . import Registry
 from .base import PRED, predictions, r, spending
 
@@ -116,11 +117,11 @@ TYPES = {"numeric": ["amount", "n_before", "days_since", "change_since", "c_acct
 def _prepared(spark, d):
     rows = training_rows(spark, d)
     parts = evaluation.stratified_keys(rows, "k", "o_orderkey", "y", 0.2, 7)
-    both = rows.join(parts, "k")
+    both = written(rows.join(parts, "k"), "rows")
     train = both.where("NOT test")
     prep = modelling.fit_preparation(train, TYPES)
     ready = modelling.folded(modelling.weighted(prep.transform(train)), "k", k=3)
-    return prep, ready, prep.transform(both.where("test"))
+    return prep, written(ready, "train"), prep.transform(both.where("test"))
 
 
 @query("feature_types", "SELECT unnest(['amount', 'n_before', 'days_since', 'change_since', 'c_acctbal', 'is_open', 'c_mktsegment', 'o_orderpriority']) AS column, unnest(['numeric', 'numeric', 'numeric', 'numeric', 'numeric', 'binary', 'category', 'category']) AS kind")
@@ -163,7 +164,7 @@ UNION ALL SELECT 'o_orderpriority_' || m, count(*), round(avg((o_orderpriority =
 def ml_preprocess(spark, d):
     """Means and deviations of the prepared training columns: standardised numbers, 0/1 columns, a column for each level."""
     prep, train, _ = _prepared(spark, d)
-    levels = [(c, i, v) for c in TYPES["category"] for s in prep.stages if s.getOrDefault("outputCol") == f"{c}__i" for i, v in enumerate(s.labels)] if prep else []
+    levels = [(c, i, v) for c in TYPES["category"] for s in prep.stages if isinstance(s, StringIndexerModel) and s.getOutputCol() == f"{c}__i" for i, v in enumerate(s.labels)]
     parts = [("num__s", 0, "amount"), ("num__s", TYPES["numeric"].index("c_acctbal"), "c_acctbal")]
     columns = {name: vector_to_array(c)[i] for c, i, name in parts} | {"is_open": F.col("is_open__b").cast("double")} | {f"{c}_{v}": vector_to_array(f"{c}__h")[i] for c, i, v in levels}
     out = train.select(*[c.alias(n) for n, c in columns.items()]).unpivot([], [f"`{n}`" for n in columns], "feature", "x").groupBy("feature").agg(F.count("*").alias("n"), r(F.avg("x"), 6).alias("mean"), r(F.stddev_samp("x"), 6).alias("sd"))
@@ -179,14 +180,13 @@ def ml_grid_search(spark, d):
     """Each point of the logistic grid with its three figures over three folds."""
     _, train, _ = _prepared(spark, d)
     estimator, grid = modelling.models(**SMALL)["logistic"]
-    return modelling.grid_search(train.cache(), estimator, grid)[2]
+    return modelling.grid_search(train, estimator, grid)[2]
 
 
 @query("ml_train_models")
 def ml_train_models(spark, d):
     """Every model of the set with the first point of its grid, scored on the test keys."""
     _, train, test = _prepared(spark, d)
-    train = train.cache()
     out = None
     for name, (estimator, grid) in modelling.models(**SMALL).items():
         scored = modelling.with_probability(estimator.fit(train, grid[0]), test)
@@ -199,7 +199,7 @@ def ml_train_models(spark, d):
 def ml_oof_scores(spark, d):
     """Every training row has one out-of-fold score, a probability."""
     _, train, _ = _prepared(spark, d)
-    out = modelling.out_of_fold(train.cache(), modelling.models(**SMALL)["logistic"][0])
+    out = modelling.out_of_fold(train, modelling.models(**SMALL)["logistic"][0])
     return out.groupBy("y").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("scored"), F.bool_and(F.col("p").between(0, 1)).alias("within"))
 
 
@@ -217,7 +217,7 @@ def ml_pipeline_roundtrip(spark, d):
 def linear_attribution(spark, d):
     """For every test row, whether its attributions add up to its log-odds less those of the background's mean."""
     _, train, test = _prepared(spark, d)
-    model = modelling.models(**SMALL)["logistic"][0].fit(train.cache())
+    model = modelling.models(**SMALL)["logistic"][0].fit(train)
     sums = modelling.linear_attribution(model, test, train, ["o_orderkey"]).groupBy("o_orderkey").agg(F.sum("value").alias("v"))
     odds = lambda df: model.transform(df).select("*", vector_to_array("rawPrediction")[1].alias("odds"))
     mean = odds(train).agg(F.avg("odds").alias("mean"))
@@ -230,16 +230,16 @@ def sampled_attribution(spark, d):
     """A bounded sample of rows and background by design."""
     _, train, test = _prepared(spark, d)
     estimator, grid = modelling.models(**SMALL)["forest"]
-    model = estimator.fit(train.cache(), grid[0])
+    model = estimator.fit(train, grid[0])
     pick = lambda df, n: df.orderBy(F.xxhash64("o_orderkey")).limit(n)
     return modelling.sampled_attribution(model, pick(test, 10), pick(train, 5), "o_orderkey")
 
 
-@query("tree_attribution", f"WITH {_TRAIN} SELECT model, count(*) AS n, 13::BIGINT AS features, true AS adds_up FROM rows_ JOIN part USING (k), (SELECT unnest(['forest', 'boosted']) AS model) WHERE test GROUP BY model")
+@query("tree_attribution", f"WITH {_TRAIN} SELECT model, count(*) AS n, 16::BIGINT AS features, true AS adds_up FROM rows_ JOIN part USING (k), (SELECT unnest(['forest', 'boosted']) AS model) WHERE test GROUP BY model")
 def tree_attribution(spark, d):
     """For every test row and both kinds of trees, whether its attributions add up to its probability less the background's mean."""
     _, train, test = _prepared(spark, d)
-    train, out = train.cache(), None
+    out = None
     background = train.select(vector_to_array("features").alias("_x"), "features").orderBy(F.xxhash64("_x"), "_x").limit(100)
     for name in ("forest", "boosted"):
         estimator, grid = modelling.models(**SMALL)[name]
@@ -257,18 +257,15 @@ part AS (SELECT split, k, row_number() OVER (PARTITION BY split, yy ORDER BY h,
 
 
 @query("ml_experiment", f"""WITH {_TRAIN.split("own AS")[0].rstrip().rstrip(",")}, {_SPLITS}, t AS (SELECT split, count(*) AS n, sum(y)::BIGINT AS positives FROM rows_ JOIN part USING (k) WHERE test GROUP BY split)
-SELECT model, split::INT AS split, 'done' AS state, n, positives, n AS scored, n * 13 AS attributed, true AS learnt, true AS consistent FROM t, (SELECT unnest(['logistic', 'boosted', 'boosted_slow', 'forest']) AS model)""")
+SELECT model, split::INT AS split, 'done' AS state, n, positives, n AS scored, n * 16 AS attributed, true AS learnt, true AS consistent FROM t, (SELECT unnest(['logistic', 'boosted', 'boosted_slow', 'forest']) AS model)""")
 def ml_experiment(spark, d):
     """Every model on five splits, through the ledger: what each unit left behind, and whether its figures follow from its predictions.
 
     Of each grid the first point, on two folds; few rounds.
     """
-    models = {name: (estimator, grid[:1]) for name, (estimator, grid) in modelling.models(rounds=3, steps=20).items()}
-    rows = training_rows(spark, d).cache()
-    try:
-        ledger = experiment.run(spark, {"orders": experiment.Table(rows, "k", "o_orderkey", TYPES)}, models, scratch(spark, "experiment"), folds=2, keep_models=False)
-    finally:
-        rows.unpersist()
+    models = {name: (estimator, grid[:1]) for name, (estimator, grid) in modelling.models(rounds=2, steps=10).items()}
+    rows = written(training_rows(spark, d), "rows")
+    ledger = experiment.run(spark, {"orders": experiment.Table(rows, "k", "o_orderkey", TYPES)}, models, scratch(spark, "experiment"), folds=2, keep_models=False)
     by = ["model", "split"]
     scores = ledger.read("predictions").groupBy(*by).agg(F.count("*").alias("scored"), F.count_if((F.col("predicted") == 1) & (F.col("y") == 1)).alias("hits"), F.count_if(F.col("predicted") == 1).alias("found"))
     values = ledger.read("attributions").groupBy(*by).agg(F.count("*").alias("attributed"))

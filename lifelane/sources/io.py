@@ -29,7 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: what uses it twice computes it once, also after an executor is lost."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that written() wrote, once nothing will read them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table_or_none(spark: SparkSession | DataFrameReader, path: str) -> DataFrame | None:
