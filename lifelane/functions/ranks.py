@@ -42,21 +42,42 @@ def value_counts(df: DataFrame, value: str, group: tuple[str, ...] = (), sums: d
     return rows.alias("r").join(per.alias("p"), same).select(*out)
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: tuple[str, ...] = (), size: str | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: tuple[str, ...] = (), size: str | None = None, accuracy: int = 10_000) -> DataFrame:
     """Exact quantiles, linear between neighbours, as columns named by the keys of shares; one row per group.
 
-    size: a name for the number of values of the group.
+    Selection by narrowing: one pass brackets each wanted rank by approximate quantiles of its group, whose error is
+    bounded; a second counts what lies below a bracket and keeps the values within it, a few in ten thousand, and only
+    these are sorted. Groups of up to 2 * accuracy values are their own bracket. df is read twice: write what is dear to
+    compute. size: a name for the number of values of the group.
     """
-    ranked = value_counts(df, value, group)
-    at = {k: q * (F.col("total") - 1) for k, q in shares.items()}
+    held = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    slack = 3 / accuracy
+    ends = [max(0.0, min(1.0, q + way * slack)) for q in shares.values() for way in (-1, 1)]
+    brackets = held.groupBy(*group).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_b"))
 
-    def nth(position):
-        return F.max(F.when((F.col("below") <= position) & (position < F.col("below") + F.col("n")), F.col(value).cast("double")))
-
-    aggs = [F.max("total").alias(size)] if size else []
-    for k, p in at.items():
-        aggs += [nth(F.floor(p)).alias(f"_{k}_lo"), nth(F.ceil(p)).alias(f"_{k}_hi"), F.first(p - F.floor(p)).alias(f"_{k}_w")]
-    wide = ranked.groupBy(*group).agg(*aggs)
+    # NaN lies above all else.
+    end = lambda i: F.lit(float("nan" if i % 2 else "-inf")) if ends[i] in (0.0, 1.0) else F.col("_b")[i]
+    brackets = brackets.select(*group, "_n", (F.col("_n") <= 2 * accuracy).alias("_whole"), *[end(i).alias(f"_b{i}") for i in range(len(ends))])
+    if group:
+        same = F.lit(True)
+        for g in group:
+            same &= F.col(f"r.`{g}`").eqNullSafe(F.col(f"b.`{g}`"))
+        rows = held.alias("r").join(brackets.alias("b"), same).select("r.*", "b._n", "b._whole", *[f"b._b{i}" for i in range(len(ends))])
+    else:
+        rows = held.crossJoin(F.broadcast(brackets))  # one row
+    # What lies below a bracket is one row of a task, with no value. Cells of a whole group, -1, are of use to all shares.
+    whole = F.when(F.col("_whole"), F.struct(F.lit(-1).alias("j"), F.col("_v").alias("v")))
+    cell = lambda j: F.when(~F.col("_whole") & (F.col("_v") <= F.col(f"_b{2 * j + 1}")), F.struct(F.lit(j).alias("j"), F.when(F.col("_v") >= F.col(f"_b{2 * j}"), F.col("_v")).alias("v")))
+    cells = rows.select(*group, "_n", F.explode(F.array(whole, *[cell(j) for j in range(len(shares))])).alias("e")).where("e IS NOT NULL")
+    cells = cells.groupBy(*group, F.col("e.j").alias("_j"), F.col("e.v").alias("_v")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    below = Window.partitionBy(*group, "_j").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_below", F.coalesce(F.sum("_c").over(below), F.lit(0)))
+    aggs = [F.max("_n").alias(size)] if size else []
+    for j, (k, q) in enumerate(shares.items()):
+        p = q * (F.col("_n") - 1)
+        nth = lambda position, j=j: F.max(F.when(F.col("_j").isin(j, -1) & (F.col("_below") <= position) & (position < F.col("_below") + F.col("_c")), F.col("_v")))
+        aggs += [nth(F.floor(p)).alias(f"_{k}_lo"), nth(F.ceil(p)).alias(f"_{k}_hi"), F.max(p - F.floor(p)).alias(f"_{k}_w")]
+    wide = cells.groupBy(*group).agg(*aggs)
     return wide.select(*group, *([size] if size else []), *[(F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_w")).alias(k) for k in shares])
 
 
