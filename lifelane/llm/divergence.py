@@ -84,7 +84,11 @@ def chunks(audit: Audit, most: int = 8192) -> DataFrame:
     terms = audit.kept.groupBy("lang", "term").agg(F.max("lang_n").alias("n")).withColumn("band", F.floor(F.log2("n")).cast("int"))
     size = F.greatest(F.lit(64), F.call_function("shiftright", F.lit(most), F.greatest(F.lit(0), F.least(F.lit(20), F.col("band") - 5))))
     buckets = terms.groupBy("lang", "band").agg(F.ceil(F.count("*") / F.max(size)).alias("buckets"))
-    dealt = terms.join(buckets, ["lang", "band"]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int"))
+    # A row for each language and power of two: broadcast where that is few, so that terms aren't dealt by it.
+    buckets = stored(buckets, "buckets")
+    small = F.broadcast(buckets) if buckets.count() <= 100_000 else buckets
+    dealt = terms.join(small, ["lang", "band"]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int"))
+    dealt = dealt.repartition("lang", "band", "bucket")
     place = F.row_number().over(Window.partitionBy("lang", "band", "bucket").orderBy("term")) - 1
     return dealt.select("lang", "term", "band", "bucket", place.alias("id"))
 
