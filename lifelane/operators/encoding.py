@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,18 @@ def multi_hot(df: DataFrame, tokens: str, codes: list[str], prefix: str = "", se
     return df.withColumns({prefix + c: F.array_contains(has, c).cast("int") for c in codes})
 
 
+def multi_hot_vector(df: DataFrame, tokens: str, codes: list[str], out: str, sep: str = ",") -> DataFrame:
+    """df with a sparse 0/1 vector of the codes that a joined list has; the codes' names are the vector's metadata.
+
+    One column however many codes there are, and a row takes as much room as it has codes; models take it as it is, and
+    VectorAssembler keeps the names. Codes that aren't listed don't count, a null list has none.
+    """
+    model = CountVectorizerModel.from_vocabulary(codes, "_tokens", out).setBinary(True)
+    names = {"ml_attr": {"attrs": {"binary": [{"idx": i, "name": c} for i, c in enumerate(codes)]}, "num_attrs": len(codes)}}
+    rows = model.transform(df.withColumn("_tokens", F.split(F.coalesce(tokens, F.lit("")), sep)))
+    return rows.drop("_tokens").withMetadata(out, names)
+
+
 def one_hot(df: DataFrame, column: str, levels: list, prefix: str = "") -> DataFrame:
     """A 0/1 column for each level, none left out; a null is in no level."""
     return df.withColumns({f"{prefix}{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in levels})

@@ -16,14 +16,15 @@ def without_columns(df: DataFrame, names=(), prefixes=(), suffixes=()) -> DataFr
     return df.drop(*gone)
 
 
-def known_at(codes: DataFrame | None, labs: DataFrame | None, stays: DataFrame | None, tests: list[str]) -> list[Source]:
+def known_at(codes: DataFrame | dict[str, DataFrame] | None, labs: DataFrame | None, stays: DataFrame | None, tests: list[str]) -> list[Source]:
     """Sources of what is known at an instant: the last codes, each test's last flag (1 to 3), the tests up to then, the last stay.
 
-    codes: k, s, codes. labs: k, h, test, flag, tie. stays: k, s, e, tie.
+    codes: k, s, codes, or several families of them by the name that their column gets. labs: k, h, test, flag, tie. stays: k, s, e, tie.
     """
     out = []
-    if codes is not None:
-        out.append(Source(codes, "s", ["codes"], ties=["codes"]))
+    families = {} if codes is None else codes if isinstance(codes, dict) else {"codes": codes}
+    for name, rows in families.items():
+        out.append(Source(rows, "s", {name: F.col("codes")}, ties=["codes"]))
     if labs is not None:
         flag = coding.recode("flag", coding.FLAG_ORDER)
         out.append(Source(labs, "h", {f"lab_{t}": F.when(F.col("test") == t, flag) for t in tests}, ties=["tie"], each=True))
@@ -34,7 +35,7 @@ def known_at(codes: DataFrame | None, labs: DataFrame | None, stays: DataFrame |
     return out
 
 
-def initiation(exposures: DataFrame, series_: DataFrame, codes: DataFrame, labs: DataFrame, stays: DataFrame, *, tests: list[str], baseline_days: int = 90, target_days: int = 180, wash_out_days: int = 30, rise: float = 1.05) -> DataFrame:
+def initiation(exposures: DataFrame, series_: DataFrame, codes: DataFrame | dict[str, DataFrame], labs: DataFrame, stays: DataFrame, *, tests: list[str], baseline_days: int = 90, target_days: int = 180, wash_out_days: int = 30, rise: float = 1.05) -> DataFrame:
     """First exposure of each key with its baseline, later target, codes, labs, past tests and stay.
 
     exposures: k, id, s. series_: k, day, amount, tie. For the others see known_at().
@@ -52,27 +53,30 @@ def initiation(exposures: DataFrame, series_: DataFrame, codes: DataFrame, labs:
     return first.withColumn("rose", F.col("target_amount") >= rise * F.col("baseline_amount")).drop("stay_s", "stay_e", "away")
 
 
-def refined(rows: DataFrame, *, codes: str = "codes", width: int = 4, top: int = 200, sparse: tuple[str, ...] = ("lab_",), most_missing: float = 0.5, categories: tuple[str, ...] = (), target: str = "rose", unused: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
+def refined(rows: DataFrame, *, codes: str | dict[str, str] = "codes", width: int = 4, top: int = 200, sparse: tuple[str, ...] = ("lab_",), most_missing: float = 0.5, categories: tuple[str, ...] = (), target: str = "rose", unused: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
     """A cohort as models take it.
 
     Columns that begin with a sparse prefix go if more than most_missing of them is null; 'None' becomes null, truth
     values and their words 1 and 0; categories get a 0/1 column for each level; codes, cut to width, get one for each of
-    the top commonest of the cohort; columns of 0 and 1 become bytes. target comes last; unused columns and those with
+    the top commonest of the cohort (codes: their column, or several columns with the prefix that each family's columns
+    get, every family with a top of its own); columns of 0 and 1 become bytes. target comes last; unused columns and those with
     the suffixes are dropped. Three bounded queries find the columns, levels and codes.
     """
     doubtful = [c for c in rows.columns if c.startswith(sparse)]
     rows = encoding.retyped(cleaning.drop_sparse(rows, doubtful, most_missing) if doubtful else rows)
     for c in categories:
         rows = encoding.one_hot(rows, c, encoding.levels(rows, c), f"{c}_").drop(c)
-    rows = rows.withColumn("_short", coding.rolled_up(codes, width))
-    common = [r.code for r in encoding.top_codes(rows, "_short", top).collect()]
-    rows = encoding.multi_hot(rows, "_short", common, "code_").drop("_short", codes)
-    rows = without_columns(rows.withColumn("target", F.col(target).cast("byte")), names=(target, *unused), suffixes=suffixes)
+    for column, prefix in (codes if isinstance(codes, dict) else {codes: "code_"}).items():
+        rows = rows.withColumn("_short", coding.rolled_up(column, width))
+        common = [r.code for r in encoding.top_codes(rows, "_short", top).collect()]
+        rows = encoding.multi_hot(rows, "_short", common, prefix).drop("_short", column)
+    rows = rows.withColumn("_target", F.col(target).cast("byte"))
+    rows = without_columns(rows, names=(target, *unused), suffixes=suffixes).withColumnRenamed("_target", "target")
     two = set(cleaning.binary_columns(rows))
     return rows.select(*[F.col(f"`{c}`").cast("byte").alias(c) if c in two else F.col(f"`{c}`") for c in rows.columns])
 
 
-def on_treatment(exposures: DataFrame, series_: DataFrame, *, wash_out_days: int = 30, rise: float = 0.05, censored_as_negative: bool = False, codes: DataFrame | None = None, labs: DataFrame | None = None, stays: DataFrame | None = None, tests: list[str] | None = None, first_only: bool = False) -> DataFrame:
+def on_treatment(exposures: DataFrame, series_: DataFrame, *, wash_out_days: int = 30, rise: float = 0.05, censored_as_negative: bool = False, codes: DataFrame | dict[str, DataFrame] | None = None, labs: DataFrame | None = None, stays: DataFrame | None = None, tests: list[str] | None = None, first_only: bool = False) -> DataFrame:
     """Per exposure (k, id, s, e): its first measurement after the start, if at least wash_out_days later and not past the end.
 
     target: whether the measurement after that one is higher by `rise`; without one it is null and the row dropped, or

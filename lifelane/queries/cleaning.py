@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 import zlib
 
 from pyspark.sql import functions as F
@@ -44,6 +45,15 @@ def sink_roundtrip(spark, d):
     return back.groupBy("o_custkey").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("amount"))
 
 
+@query("sink_bucketed", "SELECT c_custkey AS k, c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL")
+def sink_bucketed(spark, d):
+    """Two tables in buckets of one key; the join and the group need no exchange."""
+    name = lambda kind: f"lifelane_{kind}_{zlib.crc32(d.encode())}"
+    orders = io.write_bucketed(io.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_totalprice"), name("orders"), "k", 8)
+    who = io.write_bucketed(io.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment")), name("customers"), "k", 8)
+    return orders.join(who.hint("merge"), "k").groupBy("k", "segment").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("amount"))
+
+
 @query("sink_results", "SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 2) AS mean, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'a;b, \"c\"' END AS note FROM orders GROUP BY 1")
 def sink_results(spark, d):
     """A small result table as CSV, read back as it was written: quotes, separators and nulls."""
@@ -144,6 +154,22 @@ def pairwise_sparsity(spark, d):
     return long.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "n")
 
 
+_KINDS = ["view", "signup", "error", "purchase", "click"]
+_JOINT = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM wide" for i, a in enumerate(_KINDS) for j, b in enumerate(_KINDS) if i <= j)
+_LEAST = "(SELECT median(n) FROM joint WHERE i < j)"
+
+
+@query("pairwise_sparse_drop", f"""WITH {_WIDE}, joint AS ({_JOINT}), own AS (SELECT i, n FROM joint WHERE i = j), pair AS (SELECT a.i AS i, b.i AS j, a.n AS ni, b.n AS nj, joint.n FROM joint JOIN own a ON a.i = joint.i JOIN own b ON b.i = joint.j WHERE joint.i < joint.j),
+bad AS (SELECT DISTINCT CASE WHEN ni <= nj THEN i ELSE j END AS i FROM pair WHERE n < {_LEAST}) SELECT list_extract({_KINDS}, i + 1) AS c, n, (i IN (SELECT i FROM bad) AND i <> 0) AS dropped FROM own""")
+def pairwise_sparse_drop(spark, d):
+    """The columns that go because they share too few rows with another; the first one is protected. The bound is the pairs' median."""
+    wide = _wide(spark, d)
+    n = ops.jointly_present(wide, _KINDS)
+    least = statistics.median(v for (a, b), v in n.items() if a != b)
+    left = ops.drop_sparse_pairs(wide, _KINDS, least, ("view",)).columns
+    return spark.createDataFrame([(c, n[c, c], c not in left) for c in _KINDS], "c string, n long, dropped boolean")
+
+
 @query("numeric_feature_select", f"WITH {_WIDE} SELECT coalesce(view, 0) AS view, coalesce(signup, 0) AS signup, coalesce(purchase, 0) AS purchase, coalesce(click, 0) AS click FROM wide")
 def numeric_feature_select(spark, d):
     return ops.numeric_features(_wide(spark, d), ("err", "user_"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import coding, schedule
-from ..operators import encoding, matching, series
+from ..operators import encoding, matching, modelling, series
 from ..sources.io import table
 from . import Registry
 from .base import EXPO, LABS, exposures, flags, measures, r
@@ -77,6 +78,17 @@ def multihot_codes(spark, d):
     return rows.select("k", *[F.col(f"`Brand#{i}`").alias(f"has_{i}") for i in range(1, 11)])
 
 
+@query("multihot_vector", f"WITH {EXPO}, {_LISTS}, t AS (SELECT k, unnest(string_split(codes, ',')) AS code FROM lists), n AS (SELECT code FROM t GROUP BY code ORDER BY count(*) DESC, code LIMIT 10) SELECT t.k, t.code FROM t SEMI JOIN n USING (code)")
+def multihot_vector(spark, d):
+    """The ten commonest codes as one sparse vector a row, read back by the names in its metadata."""
+    rows = _code_lists(spark, d)
+    top = [r.code for r in encoding.top_codes(rows, "codes", 10).collect()]
+    out = encoding.multi_hot_vector(rows, "codes", top, "hot")
+    names = F.array(*[F.lit(n) for n in modelling.feature_names(out, "hot")])
+    at = out.select("k", F.posexplode(vector_to_array("hot")).alias("i", "x")).where("x = 1")
+    return at.select("k", F.element_at(names, F.col("i") + 1).alias("code"))
+
+
 _SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 

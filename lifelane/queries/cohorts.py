@@ -112,6 +112,63 @@ def cohort_on_treatment_known(spark, d):
     return rows.withColumn("abnormal_share", r("abnormal_share", 6))
 
 
+_TYPES = "ct AS (SELECT k, s AS cs, string_agg(DISTINCT code, ',' ORDER BY code) AS types FROM expo GROUP BY ALL)"
+
+
+def _families(spark, d):
+    """Two families of codes, each known by its own as-of: brands and types."""
+    rows, codes = exposures(spark, d), _parts(spark, d)[2]
+    return {"codes": codes, "types": rows.groupBy("k", "s").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))}
+
+
+def _tops(column: str, family: str, top: int) -> str:
+    return f"""{family}_short AS (SELECT DISTINCT k, substr(trim(x), 1, 8) AS code FROM (SELECT k, unnest(string_split({column}, ',')) AS x FROM whole)), {family}_tops AS (SELECT code FROM {family}_short GROUP BY code ORDER BY count(*) DESC, code LIMIT {top})"""
+
+
+def _hot(family: str, prefix: str) -> str:
+    return f"SELECT w.k, '{prefix}' || t.code AS name, (s.code IS NOT NULL)::INT::DOUBLE AS value FROM whole w CROSS JOIN {family}_tops t LEFT JOIN {family}_short s ON s.k = w.k AND s.code = t.code"
+
+
+def _long(out):
+    names = [c for c in out.columns if c != "k"]
+    long = out.select("k", *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).unpivot(["k"], [f"`{c}`" for c in names], "name", "value")
+    return long.where("value IS NOT NULL").withColumn("name", F.replace("name", F.lit("`"), F.lit("")))
+
+
+_ON_WHOLE = f"""{_ON}, c0 AS (SELECT * FROM m WHERE {_DAYS('day', 's')} >= 10 AND day <= e AND target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY day, tie, s, id) = 1),
+cl AS (SELECT k, s AS cs, string_agg(DISTINCT brand, ',' ORDER BY brand) AS codes FROM expo GROUP BY ALL), {_TYPES},
+c1 AS (SELECT c0.*, cl.codes FROM c0 LEFT JOIN cl ON cl.k = c0.k AND cl.cs <= c0.day QUALIFY row_number() OVER (PARTITION BY c0.k ORDER BY cl.cs DESC) = 1),
+c AS (SELECT c1.*, ct.types FROM c1 LEFT JOIN ct ON ct.k = c1.k AND ct.cs <= c1.day QUALIFY row_number() OVER (PARTITION BY c1.k ORDER BY ct.cs DESC) = 1),
+l AS (SELECT c.k, {", ".join(f"arg_max({_FLAG.replace('dose', 'x.dose')}, (x.s, {_TIE})) FILTER (x.rf = '{t}') AS lab_{t}" for t in _TESTS)} FROM c LEFT JOIN expo x ON x.k = c.k AND x.s <= c.day GROUP BY c.k),
+h AS (SELECT c.k, p.* EXCLUDE (k, h) FROM c LEFT JOIN past p ON p.k = c.k AND p.h <= c.day QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY p.h DESC) = 1),
+st AS (SELECT c.k, z.e AS ze FROM c LEFT JOIN stays z ON z.k = c.k AND z.s <= c.day QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY z.s DESC, z.okey DESC) = 1),
+whole AS (SELECT c.*, {", ".join(f"lab_{t}" for t in _TESTS)}, tests_before, abnormal_before, days_since_previous, round(abnormal_share, 6) AS abnormal_share, coalesce(c.day <= st.ze, false) AS inside FROM c JOIN l USING (k) JOIN h USING (k) JOIN st USING (k))"""
+_ON_LONG = " UNION ALL ".join(f"SELECT k, '{c}' AS name, {c}::DOUBLE AS value FROM whole" for c in ["amount", *_PLAIN[1:], "target"])
+_ON_LONG += "".join(f" UNION ALL SELECT k, 'lab_{t}', lab_{t}::DOUBLE FROM whole WHERE (SELECT avg((lab_{t} IS NULL)::INT) FROM whole) <= 0.5" for t in _TESTS)
+_ON_LONG += " UNION ALL SELECT k, 'inside', inside::INT::DOUBLE FROM whole UNION ALL " + _hot("b", "code_") + " UNION ALL " + _hot("t", "type_")
+
+
+@query("cohort_on_treatment_final", f"{_ON_WHOLE}, {_tops('codes', 'b', 4)}, {_tops('types', 't', 4)} SELECT * FROM ({_ON_LONG}) WHERE value IS NOT NULL")
+def cohort_on_treatment_final(spark, d):
+    """The on-treatment cohort as models take it, one row for each key and column, with the commonest codes of both families."""
+    index, money, _, labs, stays_ = _parts(spark, d)
+    rows = cohorts.on_treatment(index, money, wash_out_days=10, codes=_families(spark, d), labs=labs, stays=stays_, tests=_TESTS, first_only=True)
+    rows = rows.withColumn("abnormal_share", r("abnormal_share", 6))
+    return _long(cohorts.refined(rows, codes={"codes": "code_", "types": "type_"}, width=8, top=4, target="target", unused=("id", "s", "e", "day", "tie")))
+
+
+_IN_WHOLE = _INITIATION.replace("whole AS (SELECT", "whole0 AS (SELECT") + f", {_TYPES}, whole AS (SELECT w.*, ct.types FROM whole0 w LEFT JOIN ct ON ct.k = w.k AND ct.cs <= w.s QUALIFY row_number() OVER (PARTITION BY w.k ORDER BY ct.cs DESC) = 1)"
+
+
+@query("cohort_initiation_families", f"{_IN_WHOLE}, {_tops('codes', 'b', 4)}, {_tops('types', 't', 4)} {_hot('b', 'code_')} UNION ALL {_hot('t', 'type_')}")
+def cohort_initiation_families(spark, d):
+    """The codes of both families at the first exposure: each known by its own as-of, each with its own commonest ones."""
+    index, money, _, labs, stays_ = _parts(spark, d)
+    rows = cohorts.initiation(index, money, _families(spark, d), labs, stays_, tests=_TESTS)
+    out = cohorts.refined(rows, codes={"codes": "code_", "types": "type_"}, width=8, top=4)
+    return _long(out.select("k", *[c for c in out.columns if c.startswith(("code_", "type_"))]))
+
+
 def _first_exposures(spark, d):
     return exposures(spark, d).where("code = 'PROMO' AND dose > 60000").groupBy("k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 

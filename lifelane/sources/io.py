@@ -64,6 +64,15 @@ def write_table(df: DataFrame, path: str, partitions: int | None = None, key: st
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Writes a table of the catalog in buckets of key, sorted by it: stages that join or group by key need no exchange.
+
+    Tables that meet each other need the same number of buckets. A table of that name is replaced.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Small result tables as CSV with a header; quotes within a cell are doubled."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

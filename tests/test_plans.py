@@ -10,8 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lifelane.operators import disclosure, evaluation, history, modelling, stats
+from lifelane.functions import ranks
+from lifelane.operators import disclosure, encoding, evaluation, history, modelling, stats
 from lifelane.plans import experiment
+from lifelane.sources import io
 
 
 class Counting:
@@ -196,3 +198,40 @@ def test_outliers_lose_their_pull(spark):
     assert abs(got["m", 37.0] - 18.5) < 1 < abs(once[37.0] - 18.5)
     with pytest.raises(ValueError):
         stats.lowess(df, "x", "y", ("g",), most=39)
+
+
+def test_quantiles_by_narrowing(spark):
+    """Groups far larger than their brackets, with ties, nulls and a null key, against plain quantiles."""
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(0, 1, 3000), "b": rng.integers(0, 9, 2500).astype(float), None: rng.exponential(1, 1000), "few": np.array([3.0, 1.0]), "one": np.array([5.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"lo": 0.0, "q1": 0.25, "q": 0.617, "hi": 1.0}
+    got = {r.g: r for r in ranks.quantiles(df, "v", shares, ("g",), "n", accuracy=50).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g].n == len(vs) and all(abs(got[g][k] - np.quantile(vs, q)) < 1e-9 for k, q in shares.items())
+    whole = ranks.quantiles(df, "v", shares, accuracy=50).first()
+    everything = np.concatenate(list(groups.values()))
+    assert all(abs(whole[k] - np.quantile(everything, q)) < 1e-9 for k, q in shares.items())
+    # Only what lies within the brackets is sorted.
+    assert ranks.quantiles(df.where("false"), "v", shares, ("g",)).count() == 0
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark):
+    a = io.write_bucketed(spark.range(1000).select((F.col("id") % 50).alias("k"), F.col("id").alias("v")), "lifelane_test_a", "k", 4)
+    b = io.write_bucketed(spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")), "lifelane_test_b", "k", 4)
+    out = a.join(b.hint("merge"), "k").groupBy("k").agg(F.sum("v").alias("v"), F.max("w").alias("w"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert {(r.k, r.v, r.w) for r in out.collect()} == {(k, sum(range(k, 1000, 50)), 2 * k) for k in range(50)}
+    for name in ("a", "b"):
+        spark.sql(f"DROP TABLE lifelane_test_{name}")
+
+
+def test_codes_as_a_vector(spark):
+    df = spark.createDataFrame([(1, "b,a,new"), (2, None), (3, ""), (4, "a,a")], "k int, codes string")
+    out = encoding.multi_hot_vector(df, "codes", ["a", "b", "c"], "hot")
+    assert modelling.feature_names(out, "hot") == ["a", "b", "c"] and out.columns == ["k", "codes", "hot"]
+    got = {r.k: r.hot for r in out.collect()}
+    assert [*got[1].indices] == [0, 1] and got[2].numNonzeros() == got[3].numNonzeros() == 0 and [*got[4].toArray()] == [1.0, 0.0, 0.0]
