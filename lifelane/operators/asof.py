@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import micros
+from .blocks import carry_in, in_blocks
 
 
 @dataclass
@@ -39,9 +40,12 @@ class Source:
         return {self.prefix + name: c for name, c in given.items()}
 
 
-def asof_many(left: DataFrame, *, by: str, left_ts: str, sources: list[Source], keyed: bool = False) -> DataFrame:
+def asof_many(left: DataFrame, *, by: str, left_ts: str, sources: list[Source], keyed: bool = False, block: int | None = None) -> DataFrame:
     """left with what each of the sources has at the row's instant, by one shuffle of all of them.
 
+    block: keys of more rows than this, of all tables together, are dealt over tasks by time, and what earlier (or, for
+    forward sources, later) blocks end with is carried in; the result is the same. It takes a count of the keys first.
+
     Left rows without key or instant stay, unmatched, dealt over the tasks by a hash; with keyed they are dropped, and
     the result stays partitioned by the key. Source rows without key or instant never match.
     """
@@ -66,16 +70,22 @@ def asof_many(left: DataFrame, *, by: str, left_ts: str, sources: list[Source],
     if not keyed and isinstance(left.schema[by].dataType, (T.IntegralType, T.StringType)):
         # No payload comes from a left row, so those without a key may be dealt among the others.
         group = F.coalesce("_k", F.xxhash64("_l").cast(left.schema[by].dataType) if isinstance(left.schema[by].dataType, T.StringType) else F.pmod(F.xxhash64("_l"), F.lit(32_768)).cast(left.schema[by].dataType))
-    found = {}
+    rows, blocks = in_blocks(rows, ["_k"], "_t", block)
     for back in (True, False):
         mine = [i for i, s in enumerate(sources) if (s.direction == "backward") == back]
         if not mine:
             continue
         way = (lambda c: F.col(c).asc()) if back else (lambda c: F.col(c).desc())
         order = [way("_t"), F.col("_side"), *[way(f"_tie{i}") for i in mine if sources[i].ties]]
-        w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found |= {p: F.last(p, ignorenulls=True).over(w) for i in mine for p in payloads[i]}
-    rows = rows.withColumns(found).where(F.col("_l").isNotNull())
+        w = Window.partitionBy(group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow) if blocks else Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        mine = [p for i in mine for p in payloads[i]]
+        if blocks:
+            rows = rows.withColumn("_at", F.row_number().over(w))
+            ends = {f"_c{p}": F.max_by(p, F.when(F.col(p).isNotNull(), F.col("_at"))) for p in mine}
+            rows = carry_in(rows, ["_k"], blocks, ends, lambda c: F.last(c, ignorenulls=True), back)
+        local = {p: F.last(p, ignorenulls=True).over(w) for p in mine}
+        rows = rows.withColumns({p: F.coalesce(c, F.col(f"_c{p}")) if blocks else c for p, c in local.items()})
+    rows = rows.where(F.col("_l").isNotNull())
     out = [F.col("_k").alias(by) if c == by else F.col(f"_l.`{c}`").alias(c) for c in left.columns]
     for i, s in enumerate(sources):
         for j, name in enumerate(s.named()):
@@ -90,7 +100,7 @@ def asof_many(left: DataFrame, *, by: str, left_ts: str, sources: list[Source],
     return rows.select(*out)
 
 
-def asof(left: DataFrame, right: DataFrame, *, by: str, left_ts: str, right_ts: str, take: list[str], direction: str = "backward", exact: bool = True, tolerance: int | None = None, ties: list[str] | None = None, prefix: str = "", gap: str | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, *, by: str, left_ts: str, right_ts: str, take: list[str], direction: str = "backward", exact: bool = True, tolerance: int | None = None, ties: list[str] | None = None, prefix: str = "", gap: str | None = None, block: int | None = None) -> DataFrame:
     """left with the columns `take` of the nearest earlier (backward) or later (forward) row of right with its key; see Source."""
     source = Source(right, right_ts, take, direction, exact, tolerance, ties or [], prefix, gap)
-    return asof_many(left, by=by, left_ts=left_ts, sources=[source])
+    return asof_many(left, by=by, left_ts=left_ts, sources=[source], block=block)

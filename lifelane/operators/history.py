@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import floor_days, micros
+from .blocks import in_blocks
 
 
 #: Stands for the end of an interval without one.
@@ -108,20 +109,6 @@ def carried(rows: DataFrame, key: str, code: str) -> DataFrame:
     return later.groupBy(key, "_block", code).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_until").alias("_until"), F.sum("_rows").alias("_rows"))
 
 
-def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with _block and _blocks (the last one): 0, or for keys of more than size rows the place of _s among its quantiles."""
-    long = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
-    # At most one key in size rows: a short list.
-    found = long.collect()
-    if not found:
-        return rows.withColumns({"_block": F.lit(0), "_blocks": F.lit(0)})
-    most = max(-(-r._n // size) for r in found)
-    cuts = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(r[0],) for r in found], long.select(key).schema)), key, "left_semi").groupBy(key).agg(F.array_distinct(F.percentile_approx("_s", [i / most for i in range(1, most)], 10_000)).alias("_cuts"))
-    both = rows.join(F.broadcast(cuts), key, "left")
-    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_s"))), F.lit(0))
-    return both.withColumns({"_block": block, "_blocks": F.coalesce(F.size("_cuts"), F.lit(0))}).drop("_cuts")
-
-
 SWEPT = "_active string, _n_active long, _past string, _n_past long, _times long"
 
 
@@ -133,7 +120,7 @@ def swept(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclu
     """
     flags = prefixes or {}
     rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(code).isNotNull()).withColumns({"_s": micros(start), "_e": micros(end)})
-    rows = in_blocks(rows, key, BLOCK if block is None else block)
+    rows, _ = in_blocks(rows, [key], "_s", BLOCK if block is None else block)
     stream = rows.drop("_blocks").withColumns({"_kind": F.lit(1), "_first": F.lit(None).cast("long"), "_last": F.lit(None).cast("long"), "_until": F.lit(None).cast("long"), "_rows": F.lit(None).cast("long")})
     stream = stream.unionByName(carried(rows.where(F.col("_blocks") > 0), key, code).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     stream = stream.repartition(key, "_block").sortWithinPartitions(key, "_block", "_kind", "_s")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, instant, micros
+from .blocks import carry_in, in_blocks
 from .history import swept
 
 HOURS_48 = 2 * DAY
@@ -33,27 +34,36 @@ def repaired(df: DataFrame, start: str, end: str, administered: str, *, lo: str,
     return out.where(inside(start) & inside(end))
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = HOURS_48) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = HOURS_48, block: int | None = None) -> DataFrame:
     """df with island: the number, within keys, of the run of intervals that lie within gap microseconds of one another.
 
     One pass: an interval begins an island if it starts more than gap after the latest end before it. Open ends reach
-    nobody, so what follows only open intervals begins anew.
+    nobody, so what follows only open intervals begins anew. block: keys of more rows than this are dealt over tasks by
+    start; the latest end and the number of islands of earlier blocks are carried in. It takes a count of the keys first.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col("_s"), F.col("_e").asc_nulls_last())
+    rows, blocks = in_blocks(df.withColumns({"_s": micros(start), "_e": micros(end)}), keys, "_s", block)
+    w = Window.partitionBy(*keys, *(["_block"] if blocks else [])).orderBy(F.col("_s"), F.col("_e").asc_nulls_last())
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumns({"_s": micros(start), "_e": micros(end)})
-    joined = F.coalesce(F.col("_s") <= F.max("_e").over(before) + gap, F.lit(False))
+    latest = F.max("_e").over(before)
+    if blocks:
+        rows = carry_in(rows, keys, blocks, {"_reach": F.max("_e")}, F.max)
+        latest = F.greatest(latest, "_reach")
+    joined = F.coalesce(F.col("_s") <= latest + gap, F.lit(False))
     rows = rows.withColumn("_new", (~joined).cast("int"))
-    return rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if blocks:
+        rows = carry_in(rows, keys, blocks, {"_before": F.sum("_new")}, F.sum)
+        island += F.coalesce("_before", F.lit(0))
+    return rows.withColumn("island", island).select(*df.columns, "_s", "_e", "island")
 
 
-def collapse(df: DataFrame, keys: list[str], start: str, end: str, *, gap: int = HOURS_48, aggs: dict[str, Column] | None = None, distinct: bool = True) -> DataFrame:
+def collapse(df: DataFrame, keys: list[str], start: str, end: str, *, gap: int = HOURS_48, aggs: dict[str, Column] | None = None, distinct: bool = True, block: int | None = None) -> DataFrame:
     """One row per island of keys: its start, end, days and the given aggregates.
 
     distinct: duplicate rows count once; that takes a shuffle of whole rows, so say False where no aggregate minds them.
-    days: 1 where the island is shorter than a day but not empty, the span in days else; null for open islands.
+    block: see islands(). days: 1 where the island is shorter than a day but not empty, the span in days else; null for open islands.
     """
-    rows = islands(df.dropDuplicates() if distinct else df, keys, start, end, gap)
+    rows = islands(df.dropDuplicates() if distinct else df, keys, start, end, gap, block)
     out = rows.groupBy(*keys, "island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), *[a.alias(k) for k, a in (aggs or {}).items()])
     span = (F.col("_e") - F.col("_s")) / float(DAY)
     return out.select(*keys, instant("_s").alias(start), instant("_e").alias(end), F.when((span > 0) & (span < 1), F.lit(1.0)).otherwise(span).alias("days"), *(aggs or {}))

@@ -40,6 +40,21 @@ for _name, _args in {"asof_backward_tolerance": ("backward", True, 24), "asof_fo
     query(_name, _asof_sql(*_args))(_asof(*_args))
 
 
+def _hot(sql: str) -> str:
+    """The as-of SQL with half of all users as one."""
+    return sql.replace("WITH l AS (SELECT * FROM events WHERE", "WITH ev AS (SELECT * REPLACE (CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END AS user_id) FROM events), l AS (SELECT * FROM ev WHERE").replace("v AS (SELECT * FROM events", "v AS (SELECT * FROM ev")
+
+
+@query("asof_hot_key", f"SELECT b.event_id, b.viewed AS before, b.view_id AS before_id, f.viewed AS after, f.view_id AS after_id FROM ({_hot(_asof_sql('backward', True, 24))}) b JOIN ({_hot(_asof_sql('forward', False, None))}) f USING (event_id)")
+def asof_hot_key(spark, d):
+    """Half of all rows have one key: it is dealt over tasks by time, in both directions at once."""
+    left, right = (x.withColumn("user_id", F.when(F.col("user_id") % 2 == 0, 0).otherwise(F.col("user_id"))) for x in _purchases(spark, d))
+    back = asof.Source(right, "seen", {"before": F.col("viewed"), "before_id": F.col("view_id")}, tolerance=24 * HOUR, ties=["view_id"])
+    ahead = asof.Source(right, "seen", {"after": F.col("viewed"), "after_id": F.col("view_id")}, direction="forward", exact=False, ties=["view_id"])
+    rows = asof.asof_many(left, by="user_id", left_ts="ts", sources=[back, ahead], block=500)
+    return rows.select("event_id", "before", "before_id", "after", "after_id")
+
+
 @query("asof_washout", f"""WITH x AS ({_asof_sql("forward", False, None)}) SELECT x.event_id, x.view_id, epoch_us(v.ts) - epoch_us(l.ts) AS away FROM x JOIN events l ON l.event_id = x.event_id JOIN events v ON v.event_id = x.view_id
 WHERE epoch_us(v.ts) - epoch_us(l.ts) BETWEEN {6 * HOUR} AND {72 * HOUR}""")
 def asof_washout(spark, d):
@@ -75,6 +90,14 @@ def interval_collapse(spark, d):
     return intervals.collapse(rows, ["k", "code"], "s", "e", aggs={"brands": F.array_join(F.array_sort(codes), ","), "n_brands": F.size(codes).cast("long")}, distinct=False)
 
 
+@query("interval_collapse_hot_key", f"""WITH {EXPO.replace("o_custkey AS k", "CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_custkey END AS k")}, {_islands_sql("k", "e")}
+SELECT k, min(s) AS s, max(e) AS e, {_DAYS}::DOUBLE AS days, count(*) AS n FROM isl GROUP BY k, island""")
+def interval_collapse_hot_key(spark, d):
+    """Half of all intervals have one key, which is dealt over tasks by start."""
+    rows = exposures(spark, d).withColumn("k", F.when(F.col("k") % 2 == 0, 0).otherwise(F.col("k"))).drop("oe")
+    return intervals.collapse(rows, ["k"], "s", "e", gap=2 * DAY, aggs={"n": F.count("*")}, block=2000)
+
+
 @query("interval_collapse_dose", f"""WITH {EXPO}, {_islands_sql("k, code", "e")}
 SELECT k, code, min(s) AS s, max(e) AS e, {_DAYS}::DOUBLE AS days, round(avg(dose), 6) AS mean_dose, max(CASE WHEN rf = 'A' THEN 1 ELSE 0 END) AS any_administered, sum(CASE WHEN rf = 'A' THEN 1 ELSE 0 END)::BIGINT AS administrations,
 CASE WHEN bool_or(rf = 'A') AND bool_or(rf <> 'A') THEN 'both' WHEN bool_or(rf = 'A') THEN 'administration' WHEN bool_or(rf <> 'A') THEN 'prescription' ELSE 'unknown' END AS source FROM isl GROUP BY k, code, island""")

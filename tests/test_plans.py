@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lifelane.functions import ranks
-from lifelane.operators import disclosure, encoding, evaluation, history, modelling, stats
+from lifelane.functions.times import DAY
+from lifelane.operators import asof, disclosure, encoding, evaluation, history, intervals, modelling, stats
 from lifelane.plans import experiment
 from lifelane.sources import io
 
@@ -235,3 +236,23 @@ def test_codes_as_a_vector(spark):
     assert modelling.feature_names(out, "hot") == ["a", "b", "c"] and out.columns == ["k", "codes", "hot"]
     got = {r.k: r.hot for r in out.collect()}
     assert [*got[1].indices] == [0, 1] and got[2].numNonzeros() == got[3].numNonzeros() == 0 and [*got[4].toArray()] == [1.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_change_nothing(spark, seed):
+    """As-of joins and islands of long keys, in blocks and in one piece: ties, null instants and keys, open ends."""
+    rng = random.Random(seed)
+    at = lambda d: None if d is None else datetime.datetime(2020, 1, 1) + datetime.timedelta(days=d)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), at(rng.choice([None, *range(60)])), i) for i in range(150)], "k int, t timestamp_ntz, i int")
+    right = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), at(rng.choice([None, *range(60)])), i, rng.choice([None, i])) for i in range(120)], "k int, u timestamp_ntz, j int, v int")
+    sources = [
+        asof.Source(right, "u", {"a": F.col("j")}, ties=["j"], tolerance=5 * DAY),
+        asof.Source(right, "u", {"b": F.col("j")}, direction="forward", exact=False, ties=["j"], gap="g"),
+        asof.Source(right, "u", {"c": F.col("v"), "d": F.col("j")}, ties=["j"], each=True, exact=False),
+    ]
+    for keyed in (False, True):
+        one, many = (sorted(map(str, asof.asof_many(left, by="k", left_ts="t", sources=sources, keyed=keyed, block=b).collect())) for b in (None, 20))
+        assert one == many and len(one) == 150 - (0 if not keyed else left.where("k IS NULL OR t IS NULL").count())
+    spans = spark.createDataFrame([(rng.choice([1, 1, 1, 2]), s, None if rng.random() < 0.05 else s + datetime.timedelta(days=rng.choice([0, 1, 3, 20]))) for s in (at(rng.randrange(400)) for _ in range(150))], "k int, s timestamp_ntz, e timestamp_ntz")
+    whole, parts = (sorted(map(str, intervals.collapse(spans, ["k"], "s", "e", aggs={"n": F.count("*")}, block=b).collect())) for b in (None, 12))
+    assert whole == parts and len(whole) > 10
