@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_counts(df: DataFrame, value: str, group: tuple[str, ...] = (), sums: dict | None = None, buckets: int = 32, weight: str | None = None, place: Column | None = None) -> DataFrame:
+def value_counts(df: DataFrame, value: str, group: tuple[str, ...] = (), sums: dict | None = None, buckets: int = 32, place: Column | None = None, few: bool = False) -> DataFrame:
     """One row per (group, value): n, below (rows of the group with smaller values), total; null values are left out.
 
     sums: further aggregates by name; each also gets <name>_below, its sum over smaller values, and <name>_total.
-    weight: a column that says how many rows a row stands for. place: the value as a double that is never out of order,
-    where it is no number itself. Values are dealt over buckets by approximate quantiles,
-    one small row that is broadcast; sums run within a bucket, and the buckets' totals, a few rows for each group, are
-    added. Ties come for free, as a value is one row. Nothing runs before the result is asked for.
+    place: the value as a double that is never out of order, where it is no number itself. Values are dealt over buckets
+    by approximate quantiles, one small row that is broadcast (few: a row for each group, where groups are few, as
+    columns are); sums run within a bucket, and the buckets' totals, a few rows for each group, are added. Ties come for
+    free, as a value is one row. Nothing runs before the result is asked for.
     """
     held = df.where(F.col(value).isNotNull())
-    counts = held.groupBy(*group, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"), *[a.alias(k) for k, a in (sums or {}).items()])
+    counts = held.groupBy(*group, value).agg(F.count("*").alias("n"), *[a.alias(k) for k, a in (sums or {}).items()])
     shares = [i / buckets for i in range(1, buckets)]
     at = F.col(value).cast("double") if place is None else place
-    cuts = held.agg(F.percentile_approx(at, shares, 1000).alias("_cuts"))
-    counts = counts.crossJoin(F.broadcast(cuts))
+    cuts = held.groupBy(*(group if few else ())).agg(F.percentile_approx(at, shares, 1000).alias("_cuts"))
+    counts = counts.join(F.broadcast(cuts), [*group]) if few else counts.crossJoin(F.broadcast(cuts))
     bucket = F.size(F.filter(F.array_distinct("_cuts"), lambda e: e < at))
     names = ["n", *(sums or {})]
     inner = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -79,19 +79,3 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: tuple[
         aggs += [nth(F.floor(p)).alias(f"_{k}_lo"), nth(F.ceil(p)).alias(f"_{k}_hi"), F.max(p - F.floor(p)).alias(f"_{k}_w")]
     wide = cells.groupBy(*group).agg(*aggs)
     return wide.select(*group, *([size] if size else []), *[(F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_w")).alias(k) for k in shares])
-
-
-def rank_correlation(df: DataFrame, x: str, y: str, group: tuple[str, ...]) -> DataFrame:
-    """group, rho, n: the correlation of the ranks of x and y over the rows that have both, ties sharing their mean rank.
-
-    Rows of one pair of values are one row first, so ties of both cost nothing.
-    """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, x, y).agg(F.count("*").alias("_w"))
-    for c in (x, y):
-        rank = value_counts(pairs, c, group, weight="_w").select(*group, c, (F.col("below") + (F.col("n") + 1) / 2).alias(f"_r_{c}"))
-        pairs = pairs.join(rank, [*group, c])
-    a, b, w = F.col(f"_r_{x}"), F.col(f"_r_{y}"), F.col("_w")
-    s = pairs.groupBy(*group).agg(F.sum(w).alias("n"), *[F.sum(w * c).alias(k) for k, c in (("_a", a), ("_b", b), ("_ab", a * b), ("_aa", a * a), ("_bb", b * b))])
-    n = F.col("n").cast("double")
-    spread = (n * F.col("_aa") - F.col("_a") * F.col("_a")) * (n * F.col("_bb") - F.col("_b") * F.col("_b"))
-    return s.select(*group, F.try_divide(n * F.col("_ab") - F.col("_a") * F.col("_b"), F.sqrt(spread)).alias("rho"), "n")

@@ -85,21 +85,6 @@ def standard_differences(df: DataFrame, value: str, binary: str, first: Column)
     return m.select(((F.col("m1") - F.col("m2")) / F.sqrt((F.col("v1") + F.col("v2")) / 2)).alias("continuous"), F.try_divide(p1 - p2, F.sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / 2)).alias("binary"))
 
 
-def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """feature, rho, n: rank correlation of each column with target over the rows that have both."""
-    long = df.select(target, *columns).unpivot([target], columns, "feature", "v")
-    return ranks.rank_correlation(long, "v", target, ("feature",))
-
-
-def spearman_pairs(df: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
-    """a, b, rho, n, p of every pair of columns over the rows that have both; rho and p are null below least rows."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("e")).select("e.*")
-    out = ranks.rank_correlation(long, "x", "y", ("pair",)).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
-    t = F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))).when(F.col("rho").isNotNull(), F.lit(float("inf")))
-    return out.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "rho", "n", student.p_value(t, F.col("n") - 2).alias("p"))
-
-
 def loess(df: DataFrame, x: str, y: str, share: float = 0.3, most: int = 2000) -> DataFrame:
     """x, fit: locally linear fit at each x over the means per x, by tricube weights of the nearest share of points.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ranks
-from ..operators import disclosure, evaluation, stats
+from ..operators import correlations, disclosure, evaluation, stats
 from ..sources.io import table
 from . import Registry
 from .base import EXPO, exposures, measures, r
@@ -220,24 +220,24 @@ def _numbers(spark, d):
 
 @query("spearman_top", "SELECT a AS feature, rho, n FROM (" + _ranked([(c, "l_extendedprice") for c in _LI if c != "l_extendedprice"]) + ")")
 def spearman_top(spark, d):
-    out = stats.spearman(_numbers(spark, d), [c for c in _LI if c != "l_extendedprice"], "l_extendedprice").orderBy(F.desc("rho"), "feature").limit(25)
+    out = correlations.spearman(_numbers(spark, d), [c for c in _LI if c != "l_extendedprice"], "l_extendedprice").orderBy(F.desc("rho"), "feature").limit(25)
     return out.select("feature", r("rho", 6).alias("rho"), "n")
 
 
 @query("spearman_pairwise", _ranked([(a, b) for i, a in enumerate(_LI) for b in _LI[i + 1 :]]))
 def spearman_pairwise(spark, d):
-    return stats.spearman_pairs(_numbers(spark, d), _LI).withColumn("rho", r("rho", 6)).drop("p")
+    return correlations.spearman_pairs(_numbers(spark, d), _LI).withColumn("rho", r("rho", 6)).drop("p")
 
 
 @query("spearman_p", f"SELECT a, b, round({_TAIL.format(t='(rho * sqrt((n - 2) / (1 - rho * rho)))', df='(n - 2)::DOUBLE')}, 6) AS p FROM ({_ranked([(a, b) for i, a in enumerate(_LI) for b in _LI[i + 1 :]]).replace('round(corr(x, y), 6)', 'corr(x, y)')})")
 def spearman_p(spark, d):
-    return stats.spearman_pairs(_numbers(spark, d), _LI).select("a", "b", r("p", 6).alias("p"))
+    return correlations.spearman_pairs(_numbers(spark, d), _LI).select("a", "b", r("p", 6).alias("p"))
 
 
 @query("spearman_matrix", _ranked([(a, b) for i, a in enumerate(_LI) for b in _LI[i + 1 :]]).replace("CASE WHEN l_linenumber <> 3 THEN l_discount END", "CASE WHEN l_linenumber <> 3 THEN l_discount ELSE 0 END"))
 def spearman_matrix(spark, d):
     """Nulls count as 0 in the full matrix."""
-    return stats.spearman_pairs(_numbers(spark, d).na.fill(0.0), _LI).withColumn("rho", r("rho", 6)).drop("p")
+    return correlations.spearman_pairs(_numbers(spark, d).na.fill(0.0), _LI).withColumn("rho", r("rho", 6)).drop("p")
 
 
 @query("loess_trend", """WITH m AS (SELECT l_quantity::INT AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1), p AS (SELECT a.x AS x0, b.x, b.y, abs(b.x - a.x)::DOUBLE AS d, row_number() OVER (PARTITION BY a.x ORDER BY abs(b.x - a.x), b.x) AS r, greatest(ceil(count(*) OVER (PARTITION BY a.x) * 0.3), 2) AS k FROM m a, m b),
