@@ -11,7 +11,6 @@ from .common import stored
 
 ANCHORS = 100  # words that most documents hold, the anchors
 CHAIN = 3
-LEAST = 0.1  # likenesses below this are not told apart from 0 where set lengths alone rule more out
 
 
 def _let(value: Column, then) -> Column:
@@ -58,15 +57,17 @@ def length_part(n: Column, least: float) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1 / least) + 1e-9).cast("int")
 
 
-def jaccard(a: Column, b: Column, least: float) -> Column:
-    """Likeness of two signature sets; two empty ones are alike (1).
+def jaccard(a: Column, b: Column, least: float | None = None) -> Column:
+    """Likeness of two signature sets; two empty ones are alike (1), one empty and one not are unlike (0).
 
-    Pruned: only sets of one partition of lengths, or of two that touch, are compared, and only if the smaller length
-    over the larger, which bounds the likeness, is at least least; others count as 0.
+    Exact unless a threshold is asked for. With least, only sets of one partition of lengths, or of two that touch, are
+    compared, and only if the smaller length over the larger, which bounds the likeness, is at least least; others count as 0.
     """
     n, m = F.size(a), F.size(b)
     common = F.size(F.array_intersect(a, b))
-    full = F.when(n + m == 0, F.lit(1.0)).otherwise(_let(common, lambda c: c.cast("double") / (n + m - c)))
+    full = F.when(n + m == 0, F.lit(1.0)).when(F.least(n, m) == 0, F.lit(0.0)).otherwise(_let(common, lambda c: c.cast("double") / (n + m - c)))
+    if least is None:
+        return full
     apart = (F.abs(length_part(n, least) - length_part(m, least)) > 1) | (F.least(n, m) < least * F.greatest(n, m))
     return F.when(apart, F.lit(0.0)).otherwise(full)
 
@@ -146,8 +147,8 @@ def op2_spotsigs(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of each whole text and its edited text, and their likenesses. A fingerprint is its signatures in a row.
 
     One row per row of documents, for null and repeated ids too (see with_next() for their order); null texts count as
-    empty, extra columns are ignored. The anchors are the words that most documents hold. length_part is the partition
-    of the fingerprint's length: likenesses come from the pruned comparison.
+    empty, extra columns are ignored. The anchors are the words that most documents hold. Likenesses are exact, however far
+    the lengths of two fingerprints lie apart.
     """
     from .common import table
 
@@ -166,10 +167,9 @@ def op2_spotsigs(spark, sf_dir: str) -> DataFrame:
         "edited_sha256",
         F.array_join("own", "").alias("fingerprint"),
         F.array_join("changed", "").alias("edited_fingerprint"),
-        jaccard(F.col("own"), F.col("changed"), LEAST).alias("near_edited"),
-        jaccard(F.col("own"), F.col("after"), LEAST).alias("near_next"),
+        jaccard(F.col("own"), F.col("changed")).alias("near_edited"),
+        jaccard(F.col("own"), F.col("after")).alias("near_next"),
         F.size("own").cast("long").alias("n_signatures"),
-        length_part(F.size("own"), LEAST).alias("length_part"),
     )
 
 
@@ -187,7 +187,7 @@ o AS (SELECT a.doc_id, length(a.t) AS n, sha256(b.t) AS h, a.s AS own, b.s AS ch
 z AS (SELECT *, coalesce(lead(own) OVER (ORDER BY doc_id DESC), first(own) OVER (ORDER BY doc_id DESC)) AS nxt FROM o),
 j AS (SELECT *, len(list_intersect(own, changed)) AS ce, len(list_intersect(own, nxt)) AS cn FROM z)
 SELECT doc_id, n::BIGINT AS n_chars, h AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(changed, '') AS edited_fingerprint,
-  CASE WHEN len(own) + len(changed) = 0 THEN 1.0::DOUBLE WHEN least(len(own), len(changed)) < {LEAST}::DOUBLE * greatest(len(own), len(changed)) THEN 0.0 ELSE ce::DOUBLE / (len(own) + len(changed) - ce) END AS near_edited,
-  CASE WHEN len(own) + len(nxt) = 0 THEN 1.0::DOUBLE WHEN least(len(own), len(nxt)) < {LEAST}::DOUBLE * greatest(len(own), len(nxt)) THEN 0.0 ELSE cn::DOUBLE / (len(own) + len(nxt) - cn) END AS near_next,
-  len(own)::BIGINT AS n_signatures, floor(ln(greatest(len(own), 1)) / ln(1 / {LEAST}) + 1e-9)::INT AS length_part FROM j
+  CASE WHEN len(own) + len(changed) = 0 THEN 1.0::DOUBLE ELSE ce::DOUBLE / (len(own) + len(changed) - ce) END AS near_edited,
+  CASE WHEN len(own) + len(nxt) = 0 THEN 1.0::DOUBLE ELSE cn::DOUBLE / (len(own) + len(nxt) - cn) END AS near_next,
+  len(own)::BIGINT AS n_signatures FROM j
 """

@@ -138,8 +138,10 @@ def test_fingerprints_by_hand(spark):
     got = [r.s for r in docs.select(spotsigs.signatures(F.col("text"), ["of", "on", "the"]).alias("s")).collect()]
     assert got == [want, want, [], [], [], [], [hashlib.md5(b"on cat").hexdigest()[:16]]]
     sets = spark.createDataFrame([(["a"], ["a"] + [f"{i}" for i in range(10)], 0.0), (["a"], ["a"] + [f"{i}" for i in range(9)], 0.1), ([], [], 1.0), ([], ["a"], 0.0)], "a array<string>, b array<string>, want double")
-    for r in sets.select("want", spotsigs.jaccard(F.col("a"), F.col("b"), 0.1).alias("got"), spotsigs.jaccard(F.col("b"), F.col("a"), 0.1).alias("back")).collect():
+    for r in sets.select("a", "b", "want", spotsigs.jaccard(F.col("a"), F.col("b"), 0.1).alias("got"), spotsigs.jaccard(F.col("b"), F.col("a"), 0.1).alias("back"), spotsigs.jaccard(F.col("b"), F.col("a")).alias("exact")).collect():
         assert r.got == r.back and abs(r.got - r.want) < 1e-12
+        a, b = set(r.a), set(r.b)
+        assert abs(r.exact - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
 
 
 # 3
