@@ -134,16 +134,19 @@ class Grams:
         self.of[2][three] = place[len(x) + len(two) :]
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of the equal ranges of the key space ends in sorted keys."""
-    return np.append(np.searchsorted(keys, np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)), len(keys))
+def _slice_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The slice, one of parts (under 2**31) equal ranges of the key space, of each key, by its upper 32 bits."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _sliced(parts: int, keys: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
-    """(slice, first, end, packed keys, packed values ...) of each range of keys that has any."""
-    ends = _cuts(keys, parts)
-    for s, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-        yield (s, _pack(keys[lo:hi]), *[_pack(m[lo:hi]) for m in more])
+    """(slice, packed keys, packed values ...) of each slice that some of the sorted keys lie in, in their order."""
+    if not len(keys):
+        return
+    of = _slice_of(keys, parts)
+    first = np.nonzero(np.diff(of, prepend=of[0] - 1))[0]
+    for lo, hi in zip(first, [*first[1:], len(keys)], strict=True):
+        yield (int(of[lo]), _pack(keys[lo:hi]), *[_pack(m[lo:hi]) for m in more])
 
 
 def totals(blocks: DataFrame, parts: int) -> DataFrame:
@@ -216,9 +219,10 @@ def walked(blocks: DataFrame, totals: DataFrame, parts: int, total: int, distinc
         m2, m3 = mine(ok2, two), mine(ok3, three)
         own, place = np.unique(np.concatenate([before[m2], pair_before[m3]]), return_inverse=True)
         sums = [np.bincount(place, weights=np.concatenate(v), minlength=len(own)) for v in ([p2[m2], p3[m3]], [p1[m2], p2[m3]])]
-        asks = list(_sliced(parts, g.keys[need]))
-        gives = list(_sliced(parts, g.keys[own], *sums))
-        rows = [(key[0], s, k, *give[1:], None) for (s, k), give in zip(asks, gives, strict=True)]
+        asks = {s: (k,) for s, k in _sliced(parts, g.keys[need])}
+        gives = {s: more for s, *more in _sliced(parts, g.keys[own], *sums)}
+        no_key, no_sum = _pack(g.keys[:0]), _pack(sums[0][:0])
+        rows = [(key[0], s, *asks.get(s, (no_key,)), *gives.get(s, (no_key, no_sum, no_sum)), None) for s in sorted(asks.keys() | gives.keys())]
         edges = np.cumsum(g.sizes)[:-1]
         add = lambda v: [math.fsum(x.tolist()) for x in np.split(v, edges)]
         docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(g.docs, pa.int64()), "held_out": pa.array(g.held, pa.bool_()), "n_tokens": g.sizes, "n_known": np.add.reduceat((c[one] > 0).astype(np.int64), np.cumsum(g.sizes) - g.sizes), "base_score": pa.array(add(base)), "sure": pa.array(add(sure)), "fails": fails.astype(np.int64)})
@@ -373,7 +377,7 @@ def score(documents: DataFrame, *, mod: int = 10, least: int = LEAST, min_share:
     found = weights(walk.where("slice IS NOT NULL").select("block", "slice", "keys", "own", "p", "low"))
 
     def run(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        weight = np.concatenate([_unpack(a) for a in answers.sort_values("slice")["answer"]])
+        weight = np.concatenate([np.zeros(0), *[_unpack(a) for a in answers.sort_values("slice")["answer"]]])
         back = weight[_unpack(texts["keys"].iloc[0])]
         docs = pa.ipc.open_stream(texts["docs"].iloc[0]).read_all().to_pydict()
         failed = [math.fsum(x.tolist()) for x in np.split(back, np.cumsum(docs.pop("fails"))[:-1])]
