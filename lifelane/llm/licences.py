@@ -118,43 +118,49 @@ KNOWN = [*TEXTS, *notices()]
 # SHA-256 of canonical forms of published texts too long to state here, whole and up to the end of their
 # terms (without the advice on how to apply them). They belong to the rules below; digest_of() makes them.
 DIGESTS: dict[str, str] = {
-    "d5cce59894f81f475c7e70e66609ed533403884a070fc8cf7cbe6eb6a3a89395": "Apache-2.0",
-    "9d31076cc73e5bfc1b2ba9c264a0d64117a19d93b1cb765cfb8c56769d850380": "Apache-2.0",
-    "924e4c51183826e3676a8c3059bda7f0b3e543979f20bfd65aa90bdcd8f867e3": "Apache-2.0",
+    "7ad91d63c0c1bc0ecf15b7a85957bb6eeef1f59c3a5700da4587b9401ec8fb8e": "Apache-2.0",
+    "569702fa8eca81a9d391a35690dfcacf7919eb7c5cb8242c709f798a900febbd": "Apache-2.0",
+    "f758f6664c11d912b82de1158296e9ef1bca9ba56aad245c829f9b06cfa93e45": "Apache-2.0",
     "08b5ae7fb88d3c5f8ffbf5d82741879a9a9f91f18ca3419506b64e03454d6b32": "Artistic-1.0",
     "e8daa50c96df2ade9d116da144a66a3e46944a78c9ae7c49064074817a5d8988": "BSD-3-Clause",
     "b096badc0168abbd7a6496f3097d3b3e33b5d3d54dbc0990a1eb8341c549c075": "CC0-1.0",
-    "d98cfcb202860aae95d5403bfa950318c37036295febc70f670b77815dc77daf": "GFDL-1.2",
-    "b0d4c9a0a002ffe6e3c5510ed6324a5adeba037842173d64472cf0147bd38366": "GFDL-1.2",
-    "54910ea1c2f6620f77848db8ad1a71e9d2c3f58d5ada1d7948a671620df787ec": "GFDL-1.3",
-    "62455780ffa1820468cdab078e51f51c46ba0c4e1d3b9b28b948e110ecaa3c58": "GFDL-1.3",
-    "86d00b1724a6958a45cc6c207a477fbe576706219f68101624d0d4972fc2e3f7": "GPL-1.0",
-    "fd518a911b95e7cf4bdec79d7d22fa05b9d26edd66e908adc1ca8b47f72d0847": "GPL-1.0",
-    "35a9c73c0167f352d66b93013a4cfc77e144b24cc53779a03cdac5a1d00e4856": "GPL-1.0",
-    "04d91ed06029f7d68de9e2d71dd93b20c3090cee95513e270d7a5f20bca994f8": "GPL-2.0",
-    "a1c0b3e8d9dce63bd6ddfd85d710d7ca4f375b145bcc19d9718685ceb082a8d5": "GPL-2.0",
-    "2a8699ed46a67d8d45ec9d4eafae1b815efd14b42aeaf8ffe19ab6d10cc0648e": "GPL-2.0",
-    "2a5efb694ea2bfd0636169e4ab07f04f0f83e95ab11d803b003cf7dfc6de375e": "GPL-3.0",
+    "8ae024fa072456a9397fe0d8ceb602ee6646d27d174002b262b7cd7b694f10fc": "GFDL-1.2",
+    "5ce6d450db373dceb9291a234aadd7a9b1c01e3c139961f2aa9fb4dfc70484d1": "GFDL-1.2",
+    "06335ae6ca5d5f4d101a3efae97393105ae5e76230369dadb296f57777ab7034": "GFDL-1.3",
+    "0620c5e936aa4333a286e9e541774dc5daedf79a54a39ea60a065b692af294fd": "GFDL-1.3",
+    "3019dc36a2e8898557fd627af32eb8fa898f5e06d269e13341bfea001438b8bd": "GPL-1.0",
+    "c26c1f63ee742068fca30c0bade825cfc4c52418119573834a07e73df7587b7c": "GPL-1.0",
+    "59eb48daea0a97e9293000097f78c3f0f4c72c44b0c7944f83deb45ce67c2984": "GPL-1.0",
+    "22e372d9da4d28ee42a6823124b3873bf29be00647c0f7ff17fe3b007a34fad3": "GPL-2.0",
+    "ccae9047ad0878e9ee3719fb7dc1207f896d72a7bf2be468d7318c827e550691": "GPL-2.0",
+    "1e27531c3341a155c8d16adafb0c22122415c8b9a62905b9caa7f8673832a5f5": "GPL-2.0",
+    "4c3e25b96cfc8f568b5bcf32c98eddd8ad6b82d4b6301087756f043004f5c09c": "GPL-3.0",
     "3fd038b72db3c0f91c2cfdffad248c84aa7f4588c90d80ab7e5cc3e4111e1583": "GPL-3.0",
     "56da6eb8f7e8cda7abc65f64914a4287b4bb2fda9ec0882180115c31ff4a5b0e": "GPL-3.0",
-    "a93ff8b289456df241b7246015155227af586805c65ae078b37ada76a1bb0cee": "LGPL-2.0",
-    "2daf4048e90838b0bbd4703555df22f0caafbc63d93990f7d27f9bda421dcab8": "LGPL-2.0",
-    "2657501b8de8872f768ac8972ae7ebd34b85a767bb27f127430aecdd112777eb": "LGPL-2.0",
-    "2f94a9829117f7a4941e7d583cbc0b4781b9c9b8cf4ad442c7efacff1d4ca929": "LGPL-2.1",
-    "c8fbf2e9c3180729524f66f3c26b17ca0bc700c9434041daea6d769cc18fa52a": "LGPL-2.1",
-    "3d96763ece841bf1a50b2525345de82a4c009fc708bbbc56f213cecb80fc33b8": "LGPL-2.1",
+    "33d0ea24b891d2a24ce8500f270e9b8872c53c2f920cc94b193a03f6558dab05": "LGPL-2.0",
+    "7f1f7a59776e482bd5b83c10e93703f0209dc9ae6d6930ffa37e91f511a776a5": "LGPL-2.0",
+    "093d079382f2508c8dc2c22f31d5be749e35b78c486ee2b3c7f7265de7c4493f": "LGPL-2.0",
+    "8b4f1c94f0d27a013a951072cd12a6907b09d12f59ad47558c0355dfa7c905be": "LGPL-2.1",
+    "9fe8c3684e1aa3c849c1a6fae60ebc5d75c7a4a0241374041dfc7700709f424b": "LGPL-2.1",
+    "3d2b7e71fd1eef60339ce3dbdd19a99ce63fe5d56d640b1471318319f59310f2": "LGPL-2.1",
     "f9971a40b39b55b23a81e443f25bde5afd88dcddc5a97e859f3e234c6409bb34": "LGPL-3.0",
-    "f134986ddf23a12113dc1552eb9f4af0bd22dbca29e57c2fe5f26aacfce88c35": "MPL-1.1",
-    "1e6ee7e490a746e8af6b273608ab6ba2b583fe5e5dfd602110ef461a033a67e1": "MPL-1.1",
-    "3dee806607251996191ef1039e34bf8c46820c81895cb78b307fc47a56411e16": "MPL-2.0",
-    "b58b1f2d0a727dbb624abaf06f7a3f58d2563452d79e59e13b8f4884d1429548": "MPL-2.0",
+    "53cf2fd0c425211875c24535e3104d0c7330839f6e80ab374bf9140c649c5e0d": "MPL-1.1",
+    "9a47e727dc3de1cc062dd92cf79d6f0d281cb447da302e9588b4b8ebb80df8ea": "MPL-1.1",
+    "c642e6f5996474595040e74a4b3c4160303762ec6c8537bf183cf85fd58279ff": "MPL-2.0",
+    "45e7719ab0a4308ddfffb7d22f0b071b282c13b326bbab62056d5fe3fe2b3977": "MPL-2.0",
 }
 # Fixed values: (pattern, replacement) in turn; the same rules for known and scanned texts, so over-eager ones do no harm.
-#: A line that states a copyright: the word must be followed by a sign, a year or a place-holder, as licences use it too.
-_STATED = r"(^|\n)[ \t#*/;-]*(copyright( \(c\)| ©| [\[<0-9])|\(c\)|©)"
+#: Where a copyright statement begins: the word must be followed by a sign, a year or a place-holder, as licences use it
+#: too; a sign alone by a year, as lists have items (c).
+_STATED = r"copyright ?(\(c\)|©|[\[<{]|year |[12][0-9][0-9][0-9])|(\(c\)|©) ?(copyright|<year|[12][0-9][0-9][0-9])"
+#: What ends one, and stays; otherwise a paragraph's end, the next statement or 160 characters.
+_AFTER = "everyone is permitted|permission|redistribution|licens|licenc|released|distributed|made available| this |spdx|all rights reserved"
 RULES = [
-    (_STATED + r"[^\n]*?\. *(licens|licenc|released|distributed|made available|permission|redistribution|this |spdx)", "$1$4"),  # what follows it stays
-    (_STATED + r"[^\n]*", "$1"),
+    (r"\n[ \t\r#*/;-]*\n", "\x02"),  # the end of a paragraph; all other white space is alike from here on
+    (r"[ \t\r\n][ \t\r\n]+|[\t\r\n]", " "),
+    (_STATED, "\x01"),
+    (rf"\x01[^\x01\x02]{{0,160}}?({_AFTER})", "\x02$1"),
+    (r"\x01[^\x01\x02]{0,160}", ""),
     (r"all rights reserved", ""),
     (r"[^\p{L}\p{N}]+", " "),
     (r"licenc", "licens"),

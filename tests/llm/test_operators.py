@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import os
+import re
 import random
 import struct
 import textwrap
@@ -375,10 +376,17 @@ def test_licences_as_people_publish_them(spark):
         ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
         ("AGPL-3.0", "This project is licensed under the GNU Affero General Public Licence, version 3."),
         (None, "Copyright holders may not be liable."),
+        ("MIT", "Copyright (c) 2020 A. Person " + " ".join(named["MIT"].split())),
+        ("MIT", "# Copyright 2019 A\n# Copyright 2020 B\n#\n" + "\n".join("# " + line for line in wrap(named["MIT"], 40).split("\n"))),
+        (None, "(c) You must not use this.\n\n" + named["MIT"]),
+        (None, "Copyright 2020 A. Person\n\nYou must not use this.\n\n" + named["MIT"]),
     ]
     for root, dirs, files in os.walk("/usr/share/common-licenses"):  # where the system has them
-        names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
-        rows += [(names[f], open(os.path.join(root, f)).read()) for f in files if f in names]
+        names = {"BSD": "BSD-3-Clause", "Artistic": "Artistic-1.0"} | {f"{k}-{v}": f"{k}-{v}" if "." in v else f"{k}-{v}.0" for k, vs in (("GPL", "1 2 3"), ("LGPL", "2 2.1 3"), ("GFDL", "1.2 1.3"), ("MPL", "1.1 2.0"), ("Apache", "2.0"), ("CC0", "1.0")) for v in vs.split()}
+        for f in set(files) & names.keys():
+            text = open(os.path.join(root, f)).read()
+            parts = re.split(r"\n[ \t\r]*\n", text)
+            rows += [(names[f], text)] + [(names[f], "\n\n".join(textwrap.fill(p, n, break_on_hyphens=False, break_long_words=False) for p in parts)) for n in (10**9, 60, 100)]
     texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.licence for r in licences.scan(texts).collect()}
     assert got == {i: n for i, (n, _) in enumerate(rows)}
