@@ -149,11 +149,12 @@ def _sliced(parts: int, keys: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
         yield (int(of[lo]), _pack(keys[lo:hi]), *[_pack(m[lo:hi]) for m in more])
 
 
-def totals(blocks: DataFrame, parts: int) -> DataFrame:
+def totals(blocks: DataFrame, parts: int, least: float) -> DataFrame:
     """block, slice, answer, tokens, words: for each block, what its keys of a slice amount to over all training texts.
 
-    An answer has twice the count for each key, and one more in the one block that owns the key. tokens and words are
-    the training tokens and distinct words of a slice, once. A block names a key once, so no key makes a slice large.
+    An answer has twice the count for each key, and one more in the one block that owns the key; 0 for pairs and triples
+    seen less than least times, which are no arcs. tokens and words are the training tokens and distinct words of a
+    slice, once. A block names a key once, so no key makes a slice large.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +167,18 @@ def totals(blocks: DataFrame, parts: int) -> DataFrame:
     def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         keys = [_unpack(k) for k in pdf["keys"]]
-        n = np.concatenate([_unpack(n).astype(np.int64) for n in pdf["n"]])
-        found, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(place, weights=n, minlength=len(found)).astype(np.int64)
-        out = 2 * total[place]
-        out[first] += 1
-        words = total[(found & np.uint64(3)) == 1]
-        once = lambda v: [int(v)] + [0] * (len(keys) - 1)
-        packed = [_pack(_small(a)) for a in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
+        ends = np.cumsum([len(k) for k in keys])
+        keys = np.concatenate(keys)
+        found, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
+        total = np.bincount(place, weights=np.concatenate([_unpack(n).astype(np.int64) for n in pdf["n"]]), minlength=len(found)).astype(np.int64)
+        single = (found & np.uint64(3)) == 1
+        said = np.where(single | (total >= least), 2 * total, 0)
+        out = said[place]
+        out[first] += single | (total >= least)
+        words = total[single]
+        once = lambda v: [int(v)] + [0] * (len(ends) - 1)
+        packed = [_pack(_small(a)) for a in np.split(out, ends[:-1])]
         return pd.DataFrame({"block": pdf["block"].to_numpy(), "slice": np.int32(key[0]), "answer": packed, "tokens": once(words.sum()), "words": once((words > 0).sum())})
 
     asked = blocks.mapInArrow(ask, "block long, slice int, keys binary, n binary")
@@ -361,16 +366,19 @@ def score(documents: DataFrame, *, mod: int = 10, least: int = LEAST, min_share:
     the automaton (see Automaton), of any words and at every size. min_share and word_share, shares of all training
     tokens that n-grams and their words must have, are off unless asked for. Blocks of texts ask slices of the key space
     for the counts, then for the failure arcs' weights, of what they hold, so no task holds more than its block's states.
+    The traversal is unrolled over a block's tokens: the state before each is the longest suffix that is a state, so arcs
+    taken and failure arcs on the way are found for all tokens at once.
     Null and empty texts are the end token alone; rows are scored one by one, so repeated ids stay apart. Extra columns
     are ignored. No training text: all counts are 0.
     """
     blocks = in_blocks(documents, mod)
     parts = max(8, math.ceil((blocks.agg(F.sum("bytes").alias("n")).collect()[0].n or 0) / SLICE_BYTES))
-    answers = stored(totals(blocks, parts), "totals")
+    least = max(2.0, least)
+    answers = stored(totals(blocks, parts, least), "totals")
     _let_go(answers)
     facts = answers.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).collect()[0]
     total, distinct = facts.n or 0, facts.v or 0
-    walk = walked(blocks.select("block", "rows"), answers.select("block", "slice", "answer"), parts, total, distinct, max(2.0, least, min_share * total), max(1.0, word_share * total))
+    walk = walked(blocks.select("block", "rows"), answers.select("block", "slice", "answer"), parts, total, distinct, max(least, min_share * total), max(1.0, word_share * total))
     walk = stored(walk, "walked")
     drop(blocks, answers)
     _let_go(walk)
