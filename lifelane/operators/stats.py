@@ -109,8 +109,10 @@ def lowess(df: DataFrame, x: str, y: str, group: tuple[str, ...] = (), share: fl
 
     Each fit takes the share of the points nearest to x, by tricube weights; each of `passes` more fits weighs points by
     the bisquare of their residual over six median residuals as well, so that outliers lose their pull. x has few values
-    (ages): a group's means are one small table, joined with itself. A group of more than most values raises. Means
-    and residual weights are written between the passes, so that no pass computes an earlier one again.
+    (ages): a group's means are one small table, joined with itself. A group of more than most values raises. A point
+    that no line fits, because its near points lost their weights or all but one did, has a residual above all others;
+    after the last pass its fit is their mean, or y. Means and residual weights are written between the passes, so that
+    no pass computes an earlier one again.
     """
     point = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*group, F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("y"))
     means = written(point.withColumn("rw", F.lit(1.0)), "lowess")
@@ -120,16 +122,18 @@ def lowess(df: DataFrame, x: str, y: str, group: tuple[str, ...] = (), share: fl
         fitted = _local_fit(means, group, share)
         if not left:
             break
-        fitted = fitted.withColumn("r", F.abs(F.col("y") - F.col("fit")))
+        far = F.lit(float("inf"))
+        fitted = fitted.withColumn("r", F.when(F.col("lined"), F.abs(F.col("y") - F.col("fit"))).otherwise(far))
         middle = ranks.quantiles(fitted, "r", {"m": 0.5}, group)
         both = fitted.join(middle, [*group]) if group else fitted.crossJoin(middle)  # one row
-        u = F.when(F.col("m") == 0, F.when(F.col("r") > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.try_divide(F.col("r"), 6 * F.col("m")), F.lit(1.0)))
+        u = F.when((F.col("r") == far) | (F.col("m") >= far), (F.col("r") == far).cast("double"))  # NaN lies above all else
+        u = u.when(F.col("m") == 0, F.when(F.col("r") > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.try_divide(F.col("r"), 6 * F.col("m")), F.lit(1.0)))
         means = written(both.select(*group, "x", "y", F.pow(1 - u * u, F.lit(2)).alias("rw")), "lowess")
     return fitted.select(*group, "x", "y", "fit")
 
 
 def _local_fit(means: DataFrame, group: tuple[str, ...], share: float) -> DataFrame:
-    """means (group, x, y, rw) with fit."""
+    """means (group, x, y, rw) with fit, and lined: whether a line fits."""
     own = means.select(*group, F.col("x").alias("x0"), F.col("y").alias("y0"))
     pairs = (own.join(means, [*group]) if group else own.crossJoin(means)).withColumn("d", F.abs(F.col("x") - F.col("x0")))
     at = Window.partitionBy(*group, "x0")
@@ -142,8 +146,9 @@ def _local_fit(means: DataFrame, group: tuple[str, ...], share: float) -> DataFr
     w, c, v = F.col("w"), F.col("c"), F.col("y")
     s = near.groupBy(*group, "x0", "y0").agg(F.sum(w).alias("s"), F.sum(w * c).alias("sx"), F.sum(w * v).alias("sy"), F.sum(w * c * c).alias("xx"), F.sum(w * c * v).alias("xy"))
     det = F.col("s") * F.col("xx") - F.col("sx") * F.col("sx")
-    line = F.when(det > 1e-12, (F.col("xx") * F.col("sy") - F.col("sx") * F.col("xy")) / det).otherwise(F.col("sy") / F.col("s"))
-    return s.select(*group, F.col("x0").alias("x"), F.col("y0").alias("y"), F.when(F.col("s") > 1e-12, line).otherwise(F.col("y0")).alias("fit"))
+    lined = (F.col("s") > 1e-12) & (det > 1e-12 * F.col("s") * F.col("xx"))  # what rounding leaves of 0 is no spread
+    line = F.when(F.col("lined"), (F.col("xx") * F.col("sy") - F.col("sx") * F.col("xy")) / det).otherwise(F.col("sy") / F.col("s"))
+    return s.withColumn("lined", lined).select(*group, F.col("x0").alias("x"), F.col("y0").alias("y"), F.when(F.col("s") > 1e-12, line).otherwise(F.col("y0")).alias("fit"), "lined")
 
 
 def _relative(df: DataFrame, ts: str, anchor: str, offset_days: int) -> DataFrame:
