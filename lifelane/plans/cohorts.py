@@ -9,6 +9,7 @@ from ..functions import coding
 from ..functions.times import DAY, days
 from ..operators import cleaning, encoding, history, series
 from ..operators.asof import Source, asof, asof_many
+from ..sources.io import written
 
 
 def without_columns(df: DataFrame, names=(), prefixes=(), suffixes=()) -> DataFrame:
@@ -26,6 +27,7 @@ def known_at(codes: DataFrame | dict[str, DataFrame] | None, labs: DataFrame | N
     for name, rows in families.items():
         out.append(Source(rows, "s", {name: F.col("codes")}, ties=["codes"]))
     if labs is not None:
+        labs = labs.repartition("k")  # also for what groups by key and instant
         flag = coding.recode("flag", coding.FLAG_ORDER)
         out.append(Source(labs, "h", {f"lab_{t}": F.when(F.col("test") == t, flag) for t in tests}, ties=["tie"], each=True))
         past = history.test_history(labs.withColumn("abnormal", flag != 2), "k", "h", "abnormal")
@@ -60,8 +62,10 @@ def refined(rows: DataFrame, *, codes: str | dict[str, str] = "codes", width: in
     values and their words 1 and 0; categories get a 0/1 column for each level; codes, cut to width, get one for each of
     the top commonest of the cohort (codes: their column, or several columns with the prefix that each family's columns
     get, every family with a top of its own); columns of 0 and 1 become bytes. target comes last; unused columns and those with
-    the suffixes are dropped. Three bounded queries find the columns, levels and codes.
+    the suffixes are dropped. Three bounded queries find the columns, levels and codes; the rows are written first, so
+    that none of these makes the cohort again.
     """
+    rows = written(rows, "cohort")
     doubtful = [c for c in rows.columns if c.startswith(sparse)]
     rows = encoding.retyped(cleaning.drop_sparse(rows, doubtful, most_missing) if doubtful else rows)
     for c in categories:
@@ -83,9 +87,9 @@ def on_treatment(exposures: DataFrame, series_: DataFrame, *, wash_out_days: int
     0 if censored_as_negative. codes, labs and stays, if given (see known_at()), are those known at the measurement;
     inside: whether the last stay had not ended by then. first_only keeps each key's earliest measurement.
     """
-    steps = series.steps(series_, "k", "day", "amount", "tie", rise)
+    steps = series.steps(series_.repartition("k"), "k", "day", "amount", "tie", rise)
     steps = steps.select("k", "day", "amount", "tie", "share_to_next", F.when(F.col("days_to_next").isNotNull(), F.col("rises_next").cast("int")).alias("target"))
-    rows = asof(exposures, steps, by="k", left_ts="s", right_ts="day", take=["day", "amount", "tie", "target"], direction="forward", exact=False, ties=["tie"], gap="away")
+    rows = asof(exposures, steps, by="k", left_ts="s", right_ts="day", take=["day", "amount", "tie", "target"], direction="forward", exact=False, ties=["tie"], gap="away", keyed=True)
     rows = rows.where((F.col("away") >= wash_out_days * DAY) & (F.col("e").isNull() | (F.col("day") <= F.col("e")))).drop("away")
     rows = rows.withColumn("target", F.coalesce("target", F.lit(0))) if censored_as_negative else rows.where("target IS NOT NULL")
     sources = known_at(codes, labs, stays, tests or [])

@@ -19,3 +19,26 @@ def larger():
 def test_points_without_a_line_lose_their_weight(spark, larger, same):
     """Here the neighbours of some points have lost all weights but one after the first pass."""
     same(catalog.queries()["lowess_robust"](spark, LARGER), larger.sql(catalog.oracle_sql()["lowess_robust"]))
+
+
+def test_a_refined_cohort_is_made_once(spark):
+    from lifelane.plans import cohorts
+
+    rows = spark.createDataFrame([(1, "a1,b2", None, True), (2, "a1", 2, False)], "k int, codes string, lab_x int, rose boolean")
+    out = cohorts.refined(rows, width=2, top=2)
+    assert out.inputFiles() and all("lifelane-cohort" in f for f in out.inputFiles())
+    assert sorted(map(tuple, out.select("k", "code_a1", "code_b2", "target").collect())) == [(1, 1, 1, 1), (2, 1, 0, 0)]
+
+
+def test_keyed_tables_are_shuffled_once(spark):
+    from pyspark.sql import functions as F
+
+    from lifelane.operators.asof import Source, asof_many
+
+    at = F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("t")
+    rows = spark.range(100).select((F.col("id") % 7).alias("k"), at, "id")
+    seen = rows.repartition("k").groupBy("k", "t").agg(F.max("id").alias("v"))
+    out = asof_many(rows, by="k", left_ts="t", sources=[Source(seen, "t", ["v"]), Source(rows, "t", {"w": F.col("id")})], keyed=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Union")[0] and plan.count("Exchange hashpartitioning") == 3
+    assert out.where("v = id AND w = id").count() == 100
