@@ -47,9 +47,12 @@ def asof_many(left: DataFrame, *, by: str, left_ts: str, sources: list[Source],
     forward sources, later) blocks end with is carried in; the result is the same. It takes a count of the keys first.
 
     Left rows without key or instant stay, unmatched, dealt over the tasks by a hash; with keyed they are dropped, and
-    the result stays partitioned by the key. Source rows without key or instant never match.
+    the result stays partitioned by the key: each table is dealt by it before it gets the others' columns (not at all if
+    it is so already), and the union of tables dealt alike is shuffled no more. Source rows without key or instant never
+    match.
     """
-    own = left.select(F.struct(*left.columns).alias("_l"), F.col(by).alias("_k"), micros(left_ts).alias("_t"), F.lit(1).alias("_side"))
+    dealt = (lambda df: df.where(F.col(by).isNotNull()).repartition(by)) if keyed else (lambda df: df)
+    own = dealt(left).select(F.struct(*left.columns).alias("_l"), F.col(by).alias("_k"), micros(left_ts).alias("_t"), F.lit(1).alias("_side"))
     if keyed:
         own = own.where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
     parts, payloads = [own], []
@@ -63,7 +66,7 @@ def asof_many(left: DataFrame, *, by: str, left_ts: str, sources: list[Source],
         # At one instant, a source's rows come first in the reading direction if equal instants match, else last.
         side = F.lit(0 if s.exact else 2).alias("_side")
         r = s.rows.where(F.col(by).isNotNull() & F.col(s.ts).isNotNull())
-        parts.append(r.select(F.col(by).alias("_k"), micros(s.ts).alias("_t"), side, *held, *tie))
+        parts.append(dealt(r).select(F.col(by).alias("_k"), micros(s.ts).alias("_t"), side, *held, *tie))
         payloads.append([f"_p{i}_{j}" for j in range(len(held))])
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     group = "_k"
@@ -100,7 +103,7 @@ def asof_many(left: DataFrame, *, by: str, left_ts: str, sources: list[Source],
     return rows.select(*out)
 
 
-def asof(left: DataFrame, right: DataFrame, *, by: str, left_ts: str, right_ts: str, take: list[str], direction: str = "backward", exact: bool = True, tolerance: int | None = None, ties: list[str] | None = None, prefix: str = "", gap: str | None = None, block: int | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, *, by: str, left_ts: str, right_ts: str, take: list[str], direction: str = "backward", exact: bool = True, tolerance: int | None = None, ties: list[str] | None = None, prefix: str = "", gap: str | None = None, keyed: bool = False, block: int | None = None) -> DataFrame:
     """left with the columns `take` of the nearest earlier (backward) or later (forward) row of right with its key; see Source."""
     source = Source(right, right_ts, take, direction, exact, tolerance, ties or [], prefix, gap)
-    return asof_many(left, by=by, left_ts=left_ts, sources=[source], block=block)
+    return asof_many(left, by=by, left_ts=left_ts, sources=[source], keyed=keyed, block=block)

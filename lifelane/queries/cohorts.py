@@ -16,7 +16,7 @@ _DAYS = lambda a, b: f"(epoch_us({a}) - epoch_us({b})) / 86400000000.0"  # noqa:
 
 
 def _parts(spark, d):
-    rows = exposures(spark, d)
+    rows = exposures(spark, d).repartition("k")  # what is grouped by key and instant is dealt by the key alone
     index = rows.where("code = 'PROMO'").groupBy("k", F.col("okey").alias("id")).agg(F.min("s").alias("s"), F.max("e").alias("e"))
     money = spending(spark, d).select("k", "day", "amount", F.col("o_orderkey").alias("tie"))
     codes = rows.groupBy("k", "s").agg(F.array_join(F.array_sort(F.collect_set("brand")), ",").alias("codes"))
@@ -117,7 +117,7 @@ _TYPES = "ct AS (SELECT k, s AS cs, string_agg(DISTINCT code, ',' ORDER BY code)
 
 def _families(spark, d):
     """Two families of codes, each known by its own as-of: brands and types."""
-    rows, codes = exposures(spark, d), _parts(spark, d)[2]
+    rows, codes = exposures(spark, d).repartition("k"), _parts(spark, d)[2]
     return {"codes": codes, "types": rows.groupBy("k", "s").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))}
 
 
