@@ -42,3 +42,22 @@ def test_keyed_tables_are_shuffled_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("Union")[0] and plan.count("Exchange hashpartitioning") == 3
     assert out.where("v = id AND w = id").count() == 100
+
+
+def test_a_row_looks_at_few_cuts(spark):
+    """Blocks of long keys, dense in some places, against counts of the cuts; no row meets all cuts of its key."""
+    from pyspark.sql import functions as F
+
+    from lifelane.operators import blocks
+
+    at = F.when(F.col("id") % 3 == 0, F.col("id") * 1000).otherwise(F.col("id")).alias("at")
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 10 < 9, None).otherwise(2).alias("k"), at)
+    out, n = blocks.in_blocks(rows, ["k"], "at", 100)
+    got = out.groupBy("k", "_block").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"), F.max("_blocks").alias("last")).orderBy("k", "_block").collect()
+    assert n >= 60 and sum(r.n for r in got) == 6000 and max(r.n for r in got) < 250
+    for a, b in zip(got, got[1:], strict=False):
+        assert a.k != b.k or a.hi < b.lo
+    assert all(r._block <= r["last"] for r in got) and {r.k for r in got} == {None, 1, 2}
+    cuts = spark.createDataFrame([(1, [10, 20, 30, 1000], 10, 4, 248)], "k int, _cuts array<long>, _lo long, _blocks int, _width long")
+    ends = {r._bin: (r._before, sorted(r._ends)) for r in blocks.grid(cuts, ["k"]).collect()}
+    assert ends == {0: (0, [10, 20, 30]), 1: (3, []), 2: (3, []), 3: (3, [1000]), 4: (4, [])}
