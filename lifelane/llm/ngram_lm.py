@@ -78,19 +78,25 @@ def _unpacked(rows: bytes) -> tuple[list, list, list]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Compressed bytes of an array, like bytes of all values together; sorted keys as their differences."""
-    kind = values.dtype.str[1:].encode()
-    if kind == b"u8":
+    """Compressed bytes of an array, like bytes of all values together; sorted keys as their differences.
+
+    The bytes below a key's differences are noise: they stay as they are, so that one code needn't fit them and the rest.
+    """
+    kind, low = values.dtype.str[1:].encode(), 0
+    if kind == b"u8" and len(values):
         values = np.diff(values, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
-    return kind + len(values).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+        low = min(max(0, int(np.median(values)).bit_length() - 1) // 8, 7)
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    high = planes[low:].tobytes()
+    return kind + bytes([low]) + len(values).to_bytes(4, "little") + planes[:low].tobytes() + (pa.compress(high, codec="zstd", asbytes=True) if high else b"")
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    kind, n = np.dtype(data[:2].decode()), int.from_bytes(data[2:6], "little")
+    kind, low, n = np.dtype(data[:2].decode()), data[2], int.from_bytes(data[3:7], "little")
     if not n:
         return np.zeros(0, kind)
-    planes = pa.decompress(data[6:], n * kind.itemsize, codec="zstd", asbytes=True)
+    noise = 7 + low * n
+    planes = data[7:noise] + pa.decompress(data[noise:], n * (kind.itemsize - low), codec="zstd", asbytes=True)
     values = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
     return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
 
