@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the piece ids of each text, and the text that they decode to; null texts have null in both, repeated rows each."""
-    return sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    return sentencepiece_codec.encode(docs, decoded="decoded")
 
 
 STAGES = [

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +48,16 @@ class Codec:
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.longest = max(map(len, self.ids))
-        self.root: dict = {}  # the pieces as a trie; "" leads to the piece that ends at a node
-        for piece in self.ids:
+        self.root: dict = {}  # the pieces as a trie: a sign leads to the piece that ends there, or None, and to what goes on, or None
+        for piece in sorted(self.ids):
             node = self.root
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
+            for c in piece[:-1]:
+                ends, on = node.get(c, (None, None))
+                if on is None:
+                    on = {}
+                    node[c] = ends, on
+                node = on
+            node[piece[-1]] = piece, None
         # No piece has SPACE after another sign, and some white space is in no piece: all paths meet there.
         lone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.runs = re.compile(f"[{lone}]+|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+")
@@ -81,41 +86,35 @@ class Codec:
         if self.pairs > 400_000:
             self.apart.clear()
             self.pairs = 0
-        found = self.apart.setdefault(left, {})[right] = self._merged(left + right) == [left, right]
+        found = self.apart.setdefault(left, {})[right] = self._merged(left + right) == ([left, right] if left else [right])
         return found
 
     def _advance(self, window: str, last: list, lo: int, hi: int) -> None:
         """Takes the paths that end at positions lo to hi - 1 on over every piece that begins there.
 
         last has for each position the piece that ends the surviving path to it, or None; at 0 the last committed piece.
+        A position has one surviving path, so what has been reached is not tried again.
         """
-        root, apart, n = self.root, self.apart, len(window)
+        root, apart, longest = self.root, self.apart, self.longest
         for at in range(lo, hi):
             left = last[at]
             if left is None:
                 continue
-            good = apart.get(left) if left else None
-            node = root
-            for end in range(at, n):
-                node = node.get(window[end])
-                if node is None:
-                    if end > at:
-                        break
-                    node, piece = {}, window[at]  # a sign of no piece stands for itself
-                else:
-                    piece = node.get("")
-                    if piece is None:
-                        if end > at:
-                            continue
-                        piece = window[at]
-                if left:
-                    fits = good.get(piece) if good is not None else None
+            good, node, end = apart.get(left, {}), root, at
+            for sign in window[at : at + longest]:
+                piece, node = node.get(sign, (None, None))
+                if piece is None and end == at:
+                    piece = sign  # a sign of no piece stands for itself
+                end += 1
+                if piece is not None and last[end] is None:
+                    fits = good.get(piece)
                     if fits is None:
                         fits = self._may_follow(left, piece)
-                        good = apart.get(left)
-                    if not fits:
-                        continue
-                last[end + 1] = piece
+                        good = apart[left]
+                    if fits:
+                        last[end] = piece
+                if node is None:
+                    break
 
     def commits(self, chunks) -> Iterator[bytes]:
         """Packed ids of a text that comes in chunks of any size, as they are settled; spaces must already be SPACE.
@@ -160,6 +159,11 @@ class Codec:
             at -= len(last[at])
         return out[::-1]
 
+    def settled(self, window: str, last: list, done: int) -> bytes:
+        """The packed ids of a window at the end of a run, whose positions before done are final."""
+        self._advance(window, last, done, len(window))
+        return self._packed(self._trace(last, len(window)))
+
     def _ids(self, piece: str) -> list[int]:
         i = self.ids.get(piece)
         if i is not None:
@@ -171,7 +175,7 @@ class Codec:
         for piece in pieces:
             i = ids.get(piece)
             out += [i] if i is not None else self._ids(piece)
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def pack(self, text: str) -> bytes:
         """The ids of a whole text as 32-bit integers."""
@@ -240,8 +244,7 @@ class _Window:
         return self.codec.packed[self.text] if self.fresh and not self.done else self.settle()
 
     def settle(self) -> bytes:
-        self.codec._advance(self.text, self.last, self.done, len(self.text))
-        return self.codec._packed(self.codec._trace(self.last, len(self.text)))
+        return self.codec.settled(self.text, self.last, self.done)
 
 
 class _Runs(dict):
@@ -255,7 +258,9 @@ class _Runs(dict):
 
     def __missing__(self, run: str) -> bytes:
         packed = self.old.get(run)
-        if packed is None:
+        if packed is None and len(run) <= self.LONGEST:
+            packed = self.codec.settled(run, [""] + [None] * len(run), 0)
+        elif packed is None:
             window = _Window(self.codec)
             packed = window.feed(run) + window.settle()
         if len(run) <= self.LONGEST:
@@ -280,23 +285,27 @@ def _codec(path: str, name: str) -> Codec:
     return worker_cache(("codec", path), opened)
 
 
-def encode(documents: DataFrame, model: str | None = None, *, text: str = "text") -> DataFrame:
+def encode(documents: DataFrame, model: str | None = None, *, text: str = "text", decoded: str | None = None) -> DataFrame:
     """documents with ids (array<int>): the pieces of each whole text. Null text: null ids; empty text: no ids.
 
-    A column named ids is replaced; all other columns and all rows stay as they are.
+    decoded: a further column, what decode() makes of the ids, by the same worker. Columns of these names are replaced;
+    all other columns and all rows stay as they are.
     """
     path = model or default_model()
-    kept = [c for c in documents.columns if c != "ids"]
+    new = ["ids"] if decoded is None else ["ids", decoded]
+    kept = [c for c in documents.columns if c not in new]
     at = kept.index(text)
     rows = documents.select(*kept)
-    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, t) for c, t in zip(new, [T.ArrayType(T.IntegerType()), T.StringType()], strict=False)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, os.path.basename(path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, codec.encode_all(part.column(at).to_pylist())], names=[*kept, "ids"])
+                ids = codec.encode_all(part.column(at).to_pylist())
+                more = [] if decoded is None else [pa.array(codec.decode_all(ids), pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *more], names=[*kept, *new])
 
     return rows.mapInArrow(run, schema)
 
@@ -322,6 +331,5 @@ def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids, decoded_sha256 and lossless (the decoded text is the text) for every document."""
     from .common import table
 
-    rows = encode(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = decode(rows)
+    rows = encode(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), decoded="decoded")
     return rows.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))

@@ -627,3 +627,17 @@ def test_packed_keys_take_few_bits():
         back = ngram_lm._unpack(ngram_lm._pack(k))
         assert back.dtype == k.dtype and (back == k).all()
     assert len(ngram_lm._pack(keys)) * 8 / len(keys) < 52.2
+
+
+def test_pieces_and_their_text_come_from_one_worker(spark):
+    rows = spark.createDataFrame([(1, "Zebras  graze\n\nquietly é世"), (2, ""), (3, None)], "doc_id long, text string")
+    out = sentencepiece_codec.encode(rows, decoded="back")
+    assert out.columns == ["doc_id", "text", "ids", "back"] and out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, out.collect())) == sorted(map(str, sentencepiece_codec.decode(sentencepiece_codec.encode(rows), out="back").collect()))
+
+
+def test_a_reached_position_is_not_tried_again():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    words = ["international", "responsibilities", "unquestionable", "straightforwardness", "xqzzyvorpal"]
+    ids = [codec.encode(w) for w in words]
+    assert codec.pairs < 150 and [codec.decode(i) for i in ids] == words
