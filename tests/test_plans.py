@@ -256,3 +256,13 @@ def test_blocks_change_nothing(spark, seed):
     spans = spark.createDataFrame([(rng.choice([1, 1, 1, 2]), s, None if rng.random() < 0.05 else s + datetime.timedelta(days=rng.choice([0, 1, 3, 20]))) for s in (at(rng.randrange(400)) for _ in range(150))], "k int, s timestamp_ntz, e timestamp_ntz")
     whole, parts = (sorted(map(str, intervals.collapse(spans, ["k"], "s", "e", aggs={"n": F.count("*")}, block=b).collect())) for b in (None, 12))
     assert whole == parts and len(whole) > 10
+
+
+def test_a_split_is_joined_and_prepared_once(spark):
+    rows = spark.range(400).selectExpr("id % 80 AS k", "id", "cast(id % 3 = 0 AS int) AS y", "cast(id * 7 % 31 AS double) AS v", "if(id % 2 = 0, 'a', 'b') AS c")
+    train, test, prep = experiment.split_rows(experiment.Table(rows, "k", "id"), {"numeric": ["v"], "binary": [], "category": ["c"]}, {"c": ["a", "b"]}, 7, 0.2, 2)
+    assert all("lifelane-train" in f for f in train.inputFiles()) and all("lifelane-test" in f for f in test.inputFiles())
+    assert set(train.columns) == {*rows.columns, "features", "w", "fold"} and set(test.columns) == {*rows.columns, "features"}
+    assert train.inputFiles() and test.inputFiles() and train.count() + test.count() == 400
+    again = prep.transform(rows).select("id", F.col("features").alias("f"))
+    assert train.select("id", "features").unionByName(test.select("id", "features")).join(again, "id").where("features = f").count() == 400
