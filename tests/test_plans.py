@@ -266,3 +266,22 @@ def test_a_split_is_joined_and_prepared_once(spark):
     assert train.inputFiles() and test.inputFiles() and train.count() + test.count() == 400
     again = prep.transform(rows).select("id", F.col("features").alias("f"))
     assert train.select("id", "features").unionByName(test.select("id", "features")).join(again, "id").where("features = f").count() == 400
+
+
+def test_models_are_fitted_side_by_side(spark, monkeypatch):
+    from threading import Barrier
+
+    from lifelane.queries import modelling as queries
+
+    meet = Barrier(2, timeout=60)
+
+    class Waiting:
+        def fit(self, train, parameters):
+            meet.wait()  # breaks unless the other fit runs too
+            return self
+
+    rows = spark.createDataFrame([(0, 0.1), (1, 0.9), (0, 0.4), (1, 0.3)], "y int, p double")
+    monkeypatch.setattr(queries, "_prepared", lambda spark, d: (None, rows, rows))
+    monkeypatch.setattr(modelling, "models", lambda **_: {"a": (Waiting(), [{}]), "b": (Waiting(), [{}])})
+    monkeypatch.setattr(modelling, "with_probability", lambda model, df: df)
+    assert sorted((r.model, r.auc) for r in queries.ml_train_models(spark, "").collect()) == [("a", 0.75), ("b", 0.75)]
