@@ -641,3 +641,14 @@ def test_a_reached_position_is_not_tried_again():
     words = ["international", "responsibilities", "unquestionable", "straightforwardness", "xqzzyvorpal"]
     ids = [codec.encode(w) for w in words]
     assert codec.pairs < 150 and [codec.decode(i) for i in ids] == words
+
+
+def test_plain_rules_need_no_pattern(spark):
+    texts = ["Non commercial non infringing, non  non-Commercial; copyright owners, Copyright proprietor. licenc licencc", "All rights reserved all all rights reserved rights reserved", "whilst https://a HTTPS x acknowledgements sub-licence sub licensed nonnon infring", "", None, "organised colour\n\nlicencing © 2020 x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = F.lower(F.coalesce("t", F.lit("")))
+    for pattern, to in licences.RULES:
+        out = F.regexp_replace(out, pattern, to)
+    assert rows.where(licences.canonical(F.col("t")) != F.trim(out)).count() == 0
+    plan = rows.select(licences.canonical(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == sum(not licences.literals(*r) for r in licences.RULES) == 8
