@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,7 +140,7 @@ def plan(rows: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, seed: int = 7
     it computes is computed once. One row for each source passes through the driver; lengths are fitted by one task
     for each source, documents are chosen on the executors.
     """
-    from .common import stored
+    from .common import let_go, stored
 
     rows = stored(rows.withColumn("_source", F.coalesce("source", F.lit(NO_SOURCE))).withColumn("_key", F.xxhash64(*rows.columns)), "sized")
     lengths = stored(rows.where("size > 0").groupBy("_source", "size").agg(F.count("*").alias("n")), "lengths")
@@ -149,13 +149,16 @@ def plan(rows: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, seed: int = 7
     found = targets([k[2] for k, _ in totals], [weights[i % len(weights)] for i in range(len(totals))])
     goal = {name: (k[2], t) for (k, name), t in zip(totals, found, strict=True)}
 
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, target = goal[pdf["_source"].iloc[0]]
+    def fitted(lengths: pa.Table) -> pa.Table:
+        let_go()
+        name = lengths.column("_source")[0].as_py()
+        total, target = goal[name]
         rest = int(round(target)) - rounds(total, target) * total
-        chosen = fit_counts(list(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), rest)
-        return pd.DataFrame({"_source": pdf["_source"].iloc[0], "size": list(chosen), "n": list(chosen.values())}).astype({"size": "int64", "n": "int64"})
+        chosen = fit_counts(list(zip(lengths.column("size").to_pylist(), lengths.column("n").to_pylist(), strict=True)), rest)
+        columns = [pa.array([name] * len(chosen), pa.string()), pa.array(list(chosen), pa.int64()), pa.array(list(chosen.values()), pa.int64())]
+        return pa.Table.from_arrays(columns, ["_source", "size", "n"])
 
-    want = stored(lengths.groupBy("_source").applyInPandas(fitted, "_source string, size long, n long"), "chosen")
+    want = stored(lengths.groupBy("_source").applyInArrow(fitted, "_source string, size long, n long"), "chosen")
     row = ["doc_id", "_source", "size", "_key"]
     extra = pick(rows.select(*row).where("size > 0"), ["_source", "size"], want, seed)
     extra = extra.groupBy(*row).agg(F.count("*").alias("_n"))
@@ -189,11 +192,13 @@ def mix(documents: DataFrame) -> DataFrame:
     row = F.xxhash64(*documents.columns)
     taken = plan(sized(documents.select("doc_id", "source", "text", row.alias("_row"))).drop("text")).where("times > 0")
     taken = taken.groupBy("doc_id", "_row").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
+    # The window and the join have the same keys without nulls, so the texts are shuffled and sorted once for both.
+    keys = {"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
+    same = ["_row", *keys]
     # Equal rows share what they take: each the same, and the first ones one more each.
-    again = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_row")) - 1
-    rows = documents.withColumn("_id", F.col("doc_id")).withColumn("_row", row).withColumn("_again", again)
-    same = F.col("r._id").eqNullSafe(F.col("t.doc_id")) & (F.col("r._row") == F.col("t._row"))
-    both = rows.alias("r").join(taken.alias("t"), same).select(*[F.col(f"r.`{c}`") for c in documents.columns], "r._again", "t._times", "t._rows")
+    again = F.row_number().over(Window.partitionBy(*same).orderBy(*same)) - 1
+    rows = documents.withColumns({**keys, "_row": row}).withColumn("_again", again)
+    both = rows.join(taken.withColumns(keys).drop("doc_id"), same)
     times = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_again") < F.col("_times") % F.col("_rows")).cast("int")
     both = both.withColumn("_copies", times.cast("int")).where("_copies > 0")
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*documents.columns)

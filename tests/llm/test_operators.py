@@ -560,6 +560,15 @@ def test_mixture(docs, none):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.times for r in out if r.size) and mixing.mix(none).count() == 0
 
 
+def test_mixture_shuffles_and_sorts_the_texts_once(spark, capsys):
+    rows = [(i % 7 or None, f"w{i % 3} x", "ab"[i % 2]) for i in range(60)]
+    mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).explain("formatted")
+    nodes = [n.splitlines() for n in capsys.readouterr().out.split("\n\n")]
+    for kind in ("Exchange", "Sort"):
+        wide = [n for n in nodes if re.match(rf"\(\d+\) {kind}\b", n[0]) and any(line.startswith("Input") and " text#" in line for line in n)]
+        assert len(wide) == 1, wide
+
+
 def test_mixture_takes_the_same_of_tied_rows(spark):
     rows = [(1, f"{w} {w}", "a") for w in "pqrstu"] + [(None, "x y", "a")] * 3 + [(2, "z z z z z z z", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
