@@ -130,6 +130,17 @@ def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each set of rows that are equal in columns; nulls equal nulls.
+
+    Equal rows lie side by side in one sort by columns, so a task holds that sort's rows, not two hash tables of them
+    (before and after a shuffle, or one on the other where no shuffle is needed). A sort spills in order, too.
+    """
+    w = Window.partitionBy(*columns).orderBy(columns[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A rank would be cut before the shuffle too, by one more sort.
+    return df.withColumn("_nth", F.count(F.lit(1)).over(w)).where("_nth = 1").drop("_nth")
+
+
 def binary_columns(df: DataFrame) -> list[str]:
     """Numeric columns that hold 0 and 1 only (and some value), found in one pass."""
     columns = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

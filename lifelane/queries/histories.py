@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY
-from ..operators import asof, history, intervals, series
+from ..operators import asof, cleaning, history, intervals, series
 from . import Registry
 from .base import EXPO, LABS, SPEND, STAYS, exposures, flags, measures, r, spending, stays
 
@@ -67,7 +67,8 @@ def asof_washout(spark, d):
 @query("interval_membership", f"""WITH {STAYS}, {EXPO}, m AS (SELECT x.okey, x.ln, x.pk, x.s AS day, t.s, t.e, t.okey AS stay FROM expo x LEFT JOIN stays t ON t.k = x.k AND t.s <= x.s QUALIFY row_number() OVER (PARTITION BY x.okey, x.ln, x.pk, x.s ORDER BY t.s DESC, t.okey DESC) = 1)
 SELECT okey, ln, pk, day, coalesce(day <= e, false) AS inside, coalesce(s <= e, false) AS inside_legacy FROM m""")
 def interval_membership(spark, d):
-    left = exposures(spark, d).select("k", "okey", "ln", "pk", F.col("s").alias("day")).dropDuplicates()
+    left = exposures(spark, d).select("k", "okey", "ln", "pk", F.col("s").alias("day"))
+    left = cleaning.once(left, ["pk", "okey", "ln", "k", "day"])
     right = stays(spark, d).select("k", "s", "e", F.col("okey").alias("stay"))
     rows = asof.asof(left, right, by="k", left_ts="day", right_ts="s", take=["s", "e"], ties=["stay"])
     return rows.select("okey", "ln", "pk", "day", F.coalesce(F.col("day") <= F.col("e"), F.lit(False)).alias("inside"), F.coalesce(F.col("s") <= F.col("e"), F.lit(False)).alias("inside_legacy"))
