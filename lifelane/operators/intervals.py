@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import DAY, instant, micros
 from .blocks import carry_in, in_blocks
+from .cleaning import once
 from .history import swept
 
 HOURS_48 = 2 * DAY
@@ -60,10 +61,10 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = HOU
 def collapse(df: DataFrame, keys: list[str], start: str, end: str, *, gap: int = HOURS_48, aggs: dict[str, Column] | None = None, distinct: bool = True, block: int | None = None) -> DataFrame:
     """One row per island of keys: its start, end, days and the given aggregates.
 
-    distinct: duplicate rows count once; that takes a shuffle of whole rows, so say False where no aggregate minds them.
+    distinct: duplicate rows count once; that takes a sort of whole rows, so say False where no aggregate minds them.
     block: see islands(). days: 1 where the island is shorter than a day but not empty, the span in days else; null for open islands.
     """
-    rows = islands(df.dropDuplicates() if distinct else df, keys, start, end, gap, block)
+    rows = islands(once(df, df.columns) if distinct else df, keys, start, end, gap, block)
     out = rows.groupBy(*keys, "island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), *[a.alias(k) for k, a in (aggs or {}).items()])
     span = (F.col("_e") - F.col("_s")) / float(DAY)
     return out.select(*keys, instant("_s").alias(start), instant("_e").alias(end), F.when((span > 0) & (span < 1), F.lit(1.0)).otherwise(span).alias("days"), *(aggs or {}))

@@ -1,7 +1,10 @@
 """What only larger or odder tables than the smallest ones show."""
 
+import re
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lifelane import catalog
 
@@ -61,3 +64,17 @@ def test_a_row_looks_at_few_cuts(spark):
     cuts = spark.createDataFrame([(1, [10, 20, 30, 1000], 10, 4, 248)], "k int, _cuts array<long>, _lo long, _blocks int, _width long")
     ends = {r._bin: (r._before, sorted(r._ends)) for r in blocks.grid(cuts, ["k"]).collect()}
     assert ends == {0: (0, [10, 20, 30]), 1: (3, []), 2: (3, []), 3: (3, [1000]), 4: (4, [])}
+
+
+def test_equal_rows_count_once_without_tables_of_rows(spark):
+    """Rows are found equal by a sort: no hash aggregate has whole rows as its keys."""
+    from lifelane.operators import cleaning
+
+    rows = [(1, None, 0.5), (1, None, 0.5), (1, "a", 0.5), (1, "a", None), (1, "a", None), (None, None, None), (None, None, None), (2, "a", -0.0), (2, "a", 0.0), (2, "a", float("nan")), (2, "a", float("nan"))]
+    df = spark.createDataFrame(rows, "k long, c string, v double")
+    assert sorted(map(str, cleaning.once(df, df.columns).select("k", "c", F.abs("v")).collect())) == sorted(map(str, df.dropDuplicates().select("k", "c", F.abs("v")).collect()))
+    assert cleaning.once(df, ["k"]).count() == 3
+    for name in ("weighted_dose", "interval_collapse_dose", "interval_membership"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        keys = re.findall(r"HashAggregate\(keys=\[([^]]*)\]", plan)
+        assert keys and all("l_partkey" not in k and "pk#" not in k for k in keys), name
