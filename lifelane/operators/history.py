@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import floor_days, micros
+from ..sources.io import written
 from .blocks import in_blocks
 
 
@@ -30,8 +32,8 @@ class Sweep:
     end.
     """
 
-    def __init__(self, inclusive: bool, starting: bool, prefixes: dict[str, tuple[str, ...]]):
-        self.inclusive, self.starting, self.prefixes = inclusive, starting, prefixes
+    def __init__(self, inclusive: bool, starting: bool, prefixes: dict[str, tuple[str, ...]], texts: bool = True):
+        self.inclusive, self.starting, self.prefixes, self.texts = inclusive, starting, prefixes, texts
         self.first, self.last, self.until, self.rows = {}, {}, {}, {}
         self.active, self.past, self.began, self.ends, self.short = [], [], "", [], []
         self.flagged = dict.fromkeys(prefixes, 0)
@@ -93,7 +95,7 @@ class Sweep:
         return at == len(self.active) or self.active[at] != code
 
     def _joined(self) -> str:
-        if not self.began:
+        if self.texts and not self.began:
             self.began = ",".join(self.past)
         return self.began
 
@@ -112,14 +114,16 @@ def carried(rows: DataFrame, key: str, code: str) -> DataFrame:
 SWEPT = "_active string, _n_active long, _past string, _n_past long, _times long"
 
 
-def swept(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclusive: bool, past_inclusive: bool, exclude_own: bool, starting: bool = True, prefixes: dict[str, tuple[str, ...]] | None = None, block: int | None = None) -> DataFrame:
+def swept(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclusive: bool, past_inclusive: bool, exclude_own: bool, starting: bool = True, prefixes: dict[str, tuple[str, ...]] | None = None, block: int | None = None, texts: bool = True) -> DataFrame:
     """df with SWEPT and a truth value for each of prefixes: one shuffle by key, one sweep through each key's starts.
 
     A task holds a Sweep and the rows of one instant. A key of more than `block` rows is dealt over tasks by time; what
-    its earlier blocks leave behind is sent ahead of each block's rows.
+    its earlier blocks leave behind is sent ahead of each block's rows. The rows are written before their keys are counted,
+    so what makes them is done once. texts: where only flags and numbers are wanted, False leaves both texts empty.
     """
     flags = prefixes or {}
-    rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(code).isNotNull()).withColumns({"_s": micros(start), "_e": micros(end)})
+    rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(code).isNotNull())
+    rows = written(rows, "swept").withColumns({"_s": micros(start), "_e": micros(end)})
     rows, _ = in_blocks(rows, [key], "_s", BLOCK if block is None else block)
     stream = rows.drop("_blocks").withColumns({"_kind": F.lit(1), "_first": F.lit(None).cast("long"), "_last": F.lit(None).cast("long"), "_until": F.lit(None).cast("long"), "_rows": F.lit(None).cast("long")})
     stream = stream.unionByName(carried(rows.where(F.col("_blocks") > 0), key, code).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
@@ -133,35 +137,41 @@ def swept(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclu
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             nonlocal now, sweep
-            columns = {c: table.column(i).to_pylist() for c, i in places.items()}
-            codes, kinds, at, out, keep = table.column(own).to_pylist(), columns["_kind"], columns["_s"], [], []
-            n, i = table.num_rows, 0
+            keys, blocks, kinds, at = (table.column(places[c]).to_pylist() for c in (key, "_block", "_kind", "_s"))
+            ends = pc.fill_null(table.column(places["_e"]), OPEN).to_pylist()
+            codes, n, i, keep = table.column(own).to_pylist(), table.num_rows, 0, []
+            ahead = [table.column(places[c]).to_pylist() for c in ("_first", "_last", "_until", "_rows")] if 0 in kinds else []
+            lists, counts, pasts, past_counts, before, flagged = [], [], [], [], [], {f: [] for f in flags}
             while i < n:
-                here = (columns[key][i], columns["_block"][i])
+                here = (keys[i], blocks[i])
                 if here != now:
-                    now, sweep = here, Sweep(end_inclusive, starting, flags)
+                    now, sweep = here, Sweep(end_inclusive, starting, flags, texts)
                 if kinds[i] == 0:
-                    sweep.carry(codes[i], columns["_first"][i], columns["_last"][i], columns["_until"][i], columns["_rows"][i])
+                    sweep.carry(codes[i], *[c[i] for c in ahead])
                     i += 1
                     continue
-                j = i
-                while j < n and at[j] == at[i] and (columns[key][j], columns["_block"][j]) == here:
+                t, j = at[i], i + 1
+                while j < n and at[j] == t and (keys[j], blocks[j]) == here:
                     j += 1
-                starts = [(codes[r], OPEN if columns["_e"][r] is None else columns["_e"][r]) for r in range(i, j)]
-                active, past, n_past, times = sweep.at(at[i], starts, past_inclusive)
+                active, past, n_past, times = sweep.at(t, list(zip(codes[i:j], ends[i:j])), past_inclusive)
                 known = set(active) if exclude_own else ()
-                joined = ",".join(active)
+                joined = ",".join(active) if texts else ""
                 for r in range(i, j):
                     c = codes[r]
                     mine = c in known
-                    text = ",".join(a for a in active if a != c) if mine else joined
-                    out.append((text, len(active) - mine, past, n_past, times[c], *[sweep.flagged[f] - (mine and c.startswith(p)) > 0 for f, p in flags.items()]))
-                    keep.append(r)
+                    lists.append(",".join(a for a in active if a != c) if mine and texts else joined)
+                    counts.append(len(active) - mine)
+                    before.append(times[c])
+                    for f, p in flags.items():
+                        flagged[f].append(sweep.flagged[f] - (mine and c.startswith(p)) > 0)
+                pasts.extend([past] * (j - i))
+                past_counts.extend([n_past] * (j - i))
+                keep.extend(range(i, j))
                 i = j
             if keep:
-                kept = table.take(pa.array(keep)).select(range(len(names)))
+                kept = (table if len(keep) == n else table.take(pa.array(keep))).select(range(len(names)))
                 types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.bool_() for _ in flags]]
-                new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                new = [pa.array(c, t) for c, t in zip([lists, counts, pasts, past_counts, before, *flagged.values()], types, strict=True)]
                 fields = [*kept.schema, *[pa.field(f.split()[0], t) for f, t in zip([*SWEPT.split(", "), *flags], types, strict=True)]]
                 yield from pa.Table.from_arrays([*kept.columns, *new], schema=pa.schema(fields)).combine_chunks().to_batches()
 
@@ -183,15 +193,15 @@ def swept(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclu
     return stream.mapInArrow(run, schema)
 
 
-def code_history(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclusive: bool, past_inclusive: bool, exclude_own: bool, prefixes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def code_history(df: DataFrame, key: str, code: str, start: str, end: str, *, end_inclusive: bool, past_inclusive: bool, exclude_own: bool, prefixes: dict[str, tuple[str, ...]] | None = None, texts: bool = True) -> DataFrame:
     """df with active_codes and past_codes (sorted, joined by commas), n_active, n_past, times_before and a flag for each of prefixes.
 
     At a row's start t: active are codes that start at t, or started before and have no end or end after t (at t too,
     if end_inclusive), without the row's own code if exclude_own; past are codes that started before t (or at t, if
     past_inclusive); times_before counts rows of the row's own code that started before t. A flag tells whether an
-    active code begins with one of its prefixes. Rows without key, start or code are dropped. See swept() for long keys.
+    active code begins with one of its prefixes. Rows without key, start or code are dropped. See swept() for long keys and texts.
     """
-    rows = swept(df, key, code, start, end, end_inclusive=end_inclusive, past_inclusive=past_inclusive, exclude_own=exclude_own, prefixes=prefixes)
+    rows = swept(df, key, code, start, end, end_inclusive=end_inclusive, past_inclusive=past_inclusive, exclude_own=exclude_own, prefixes=prefixes, texts=texts)
     out = {"active_codes": F.col("_active"), "n_active": F.col("_n_active"), "past_codes": F.col("_past"), "n_past": F.col("_n_past")}
     return rows.select(*df.columns, F.col("_times").alias("times_before"), *[c.alias(n) for n, c in out.items()], *(prefixes or {}))
 

@@ -170,7 +170,7 @@ _PREFIXES = {"active_s": ("S",), "active_pe": ("PROMO", "ECO"), "active_none": (
 @query("history_prefix_flags", "SELECT k, code, s, e, " + ", ".join(f"({' OR '.join(f'len(list_filter(l, lambda x: starts_with(x, {chr(39)}{x}{chr(39)}))) > 0' for x in v)}) AS {n}" for n, v in _PREFIXES.items()) + f" FROM (SELECT *, string_split(active_codes, ',') AS l FROM ({_history_sql(True)}))")
 def history_prefix_flags(spark, d):
     rows = exposures(spark, d).select("k", "code", "s", F.col("oe").alias("e")).dropDuplicates()
-    return history.code_history(rows, "k", "code", "s", "e", end_inclusive=True, past_inclusive=True, exclude_own=False, prefixes=_PREFIXES).select("k", "code", "s", "e", *_PREFIXES)
+    return history.code_history(rows, "k", "code", "s", "e", end_inclusive=True, past_inclusive=True, exclude_own=False, prefixes=_PREFIXES, texts=False).select("k", "code", "s", "e", *_PREFIXES)
 
 
 @query("history_set_counts", f"""WITH {EXPO}, x AS (SELECT DISTINCT k, code, s FROM expo) SELECT x.k, x.code, x.s, count(y.k) FILTER (y.code LIKE 'S%') AS s_before, count(y.k) FILTER (y.code IN ('PROMO', 'LARGE')) AS pl_before FROM x LEFT JOIN x y ON y.k = x.k AND y.s < x.s GROUP BY ALL""")

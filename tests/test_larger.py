@@ -78,3 +78,26 @@ def test_equal_rows_count_once_without_tables_of_rows(spark):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         keys = re.findall(r"HashAggregate\(keys=\[([^]]*)\]", plan)
         assert keys and all("l_partkey" not in k and "pk#" not in k for k in keys), name
+
+
+def test_flags_need_no_texts_and_rows_are_made_once(spark):
+    """What makes the rows runs once, though keys are counted before the sweep; without texts, flags and numbers are the same."""
+    from lifelane.operators import history
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    at = F.timestamp_micros(F.col("id") * 3_600_000_000).cast("timestamp_ntz")
+    rows = spark.range(400).select((F.col("id") % 7).alias("k"), F.concat(F.lit("AB"), F.col("id") % 5).alias("code"), at.alias("s"), (at + F.expr("make_dt_interval(1)")).alias("e"))
+    rows = rows.mapInArrow(counted, rows.schema)
+    ask = dict(end_inclusive=True, past_inclusive=True, exclude_own=True, prefixes={"zero": ("AB0",), "any": ("A",)})
+    plain = history.code_history(rows, "k", "code", "s", "e", texts=False, **ask).collect()
+    assert len(plain) == 400 and made.value == 400
+    full = history.code_history(rows, "k", "code", "s", "e", **ask).collect()
+    own = lambda r: (r.k, r.code, r.s, r.e, r.times_before, r.n_active, r.n_past, r.zero, r.any)
+    assert sorted(map(own, plain)) == sorted(map(own, full))
+    assert not any(r.active_codes or r.past_codes for r in plain) and any(r.active_codes for r in full)
