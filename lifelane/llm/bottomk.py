@@ -77,7 +77,8 @@ def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """id, elements (the whole set) of the wanted documents, read again from their texts; each text of a repeated id.
 
     A bit set of the wanted ids' hashes, of fixed size and so broadcast, keeps most other texts out of the shuffle that
-    finds the wanted ones; where very many are wanted it lets more pass, and the join decides all the same.
+    finds the wanted ones; where very many are wanted it lets more pass, and the join decides all the same. Wanted ids
+    are distinct: an inner join keeps its place behind the bit set, while a semi join would be moved before it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
     words = wanted.select(F.shiftright(mark, 6).alias("_word"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(id), 64) AS INT))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("_word", F.shiftright(mark, 6))
-    rows = rows.join(F.broadcast(words), "_word").where(F.getbit("_bits", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")) == 1).select("id", "text").join(wanted, "id", "left_semi")
+    rows = rows.join(F.broadcast(words), "_word").where(F.getbit("_bits", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")) == 1).select("id", "text").join(wanted, "id")
     return stored(rows.mapInArrow(run, "id long, elements array<long>"), "sets")
 
 
@@ -160,17 +161,17 @@ def _alike(x: str, y: str, num: int, den: int):
     return den * F.least(x, y) >= num * F.greatest(x, y)
 
 
-def _lists(reps: DataFrame) -> DataFrame:
+def _lists(reps: DataFrame, least: float) -> DataFrame:
     """v, id, n_shingles, n, pivot, n_pivot: the inverted lists of retained values, with their length and most central member.
 
-    Of s values two linked sketches share s // 2 at least, so the s - s // 2 + 1 rarest of each hold a common one:
-    passages that very many documents share drop out.
+    Of s values two sketches that pass the estimate share least * s, so all but so many of the rarest of each, and one
+    more, hold a common one: passages that very many documents share drop out.
     """
     values = reps.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     per_rep = values.join(often, "v").groupBy("id").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # Values without a partner come first in the order, and take their places of the prefix.
-    left = F.greatest(F.col("s") - F.greatest(F.floor(F.col("s") / 2), F.lit(1)) + 1 - (F.col("s") - F.size("vs")), F.lit(0)).cast("int")
+    left = F.greatest(F.col("s") - F.greatest(F.ceil(least * F.col("s")), F.lit(1)) + 1 - (F.col("s") - F.size("vs")), F.lit(0)).cast("int")
     central = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
     lists = (
         per_rep.select("id", central.alias("weight"), F.explode(F.slice("vs", F.lit(1), left)).alias("x"))
@@ -193,7 +194,7 @@ def links(documents: DataFrame, found: DataFrame, *, width: int, num: int, den:
     """
     least = num / den - MARGIN
     reps = stored(found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")).where("id IS NOT NULL").select("id", "n_shingles", "set_hash", "sketch"), "reps")
-    lists = _lists(reps)
+    lists = _lists(reps, least)
     star = lists.where((F.col("id") != F.col("pivot")) & _alike("n_shingles", "n_pivot", num, den)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     edges = _confirm(documents, _estimate(star, reps, least, k), width, num, den)
     parts = _stars(edges)
@@ -235,11 +236,14 @@ def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: in
     A group's center is what most of a sample of its members hold; any center gives right results. D(x) is what x and
     the center do not share. With q = den + num and r = den - num, x and y link when q * |x ^ y| <= r * (|x| + |y|), and
     x ^ y = D(x) ^ D(y). Let E(x) = q * |D(x)| - r * |x|, and z the member of the least E. Where E(x) + E(z) <= 0, x
-    links to z for sure: these are the core. For any others, x outside and y anywhere, |D(x) & D(y)| must be at least
-    (E(x) + E(y)) / 2q, so at least (E(x) + E(z)) / 2q > 0, and, if y is of the core, (E(y) - E(z)) / 2q. As many of the
-    rarest elements of each D as that leaves out, and one more, hold a common one: their lists give the candidates.
-    No element of D is held by most of the group, so lists of more than `most` members are smaller groups, to be settled
-    around centers of their own; of lists with the same members one is.
+    links to z for sure: these are the core, whose E are below all others. Any other pair is met by its member of the
+    larger E, y, which is outside the core: x and y link when |D(x) & D(y)| is at least (E(x) + E(y)) / 2q. That can't
+    be more than |D(x)|, so E(y) <= E(x) + 2r|x|. For x, E(y) is at least E(x) and the least E outside the core; for y,
+    E(x) is at least E(z) and E(y) - 2r|x|, where |x| <= |y| * den / num. As many of the rarest elements of each D as
+    these bounds leave out, and one more, hold a common one: their lists give the candidates, each of which must have
+    room for the elements that it needs behind the first common one. No element of D is held by most of the group, so
+    lists of more than `most` members are smaller groups, to be settled around centers of their own; of lists with the
+    same members one is.
     """
     q, r = den + num, den - num
     sets = _sets(documents, groups.select("id").distinct(), width)
@@ -254,33 +258,39 @@ def _around_centers(documents: DataFrame, groups: DataFrame, width: int, num: in
     apart = F.concat(F.array_except("elements", "center"), F.transform(F.array_except("center", "elements"), lambda v: F.bitwise_not(v)))
     found = both.select("g", "id", "c", F.size("elements").cast("long").alias("n"), apart.alias("apart")).withColumn("d", F.size("apart").cast("long"))
     found = stored(found.withColumn("e", q * F.col("d") - r * F.col("n")), "apart")
-    least = found.groupBy("g").agg(F.min(F.struct("e", "id")).alias("z"), F.max("e").alias("most"))
-    rows = found.join(least.select("g", F.col("z.e").alias("ez"), F.col("z.id").alias("z"), "most"), "g").withColumn("core", F.col("e") + F.col("ez") <= 0)
+    least = found.groupBy("g").agg(F.min(F.struct("e", "id")).alias("z"))
+    rows = found.join(least.select("g", F.col("z.e").alias("ez"), F.col("z.id").alias("z")), "g").withColumn("core", F.col("e") + F.col("ez") <= 0)
     sure = stored(rows.where(F.col("core") & (F.col("id") != F.col("z"))).select(F.col("z").alias("a"), F.col("id").alias("b")), "sure")
 
-    rows = rows.where(F.col("most") + F.col("ez") > 0)  # of groups with members outside the core
-    need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.when(F.col("core"), -F.col("ez")).otherwise(F.col("ez"))) / (2 * q)))
-    rows = rows.withColumn("prefix", F.col("d") - need + 1).drop("e", "ez", "z", "most")
-    elements = rows.select("g", "id", "core", F.explode("apart").alias("v"))
+    rows = rows.join(rows.where("NOT core").groupBy("g").agg(F.min("e").alias("outer")), "g")  # groups with members outside the core
+    # The longest prefixes in which a row meets those of a larger E (low) and, outside the core, those of a smaller E (high).
+    prefix = lambda other: F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("e") + other) / (2 * q)))
+    above = F.greatest("e", "outer")
+    below = F.greatest(F.col("ez"), F.col("e") - 2 * r * F.floor(F.col("n") * den / num))
+    rows = rows.withColumn("low", F.when(above <= F.col("e") + 2 * r * F.col("n"), prefix(above)).otherwise(0))
+    rows = rows.withColumn("high", F.when(~F.col("core"), prefix(below)).otherwise(0)).where(F.greatest("low", "high") > 0).drop("ez", "z", "outer")
+    elements = stored(rows.select("g", "id", "core", F.explode("apart").alias("v")), "elements")
     often = elements.groupBy("g", "v").agg(F.count("*").alias("df"), F.count_if(~F.col("core")).alias("outside")).where("df > 1 AND outside > 0").drop("outside")
     per = elements.join(often, ["g", "v"]).groupBy("g", "id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    per = rows.drop("apart").join(per, ["g", "id"])
     # Elements that nobody shares come first in the order and take their places.
-    own = F.greatest(F.col("prefix") - (F.col("d") - F.size("vs")), F.lit(0)).cast("int")
-    lists = stored(per.select("g", "id", "c", "n", "d", "core", F.explode(F.slice("vs", F.lit(1), own)).alias("x")).select("g", F.col("x.v").alias("v"), "id", "c", "n", "d", "core"), "lists")
-    counts = lists.groupBy("g", "v").agg(F.count("*").alias("members"), F.count_if(~F.col("core")).alias("outside"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_sum")).where("members > 1 AND outside > 0")
+    per = rows.drop("apart", "core").join(per, ["g", "id"]).withColumn("alone", F.col("d") - F.size("vs"))
+    own = F.greatest(F.greatest("low", "high") - F.col("alone"), F.lit(0)).cast("int")
+    lists = per.select("*", F.posexplode(F.slice("vs", F.lit(1), own)).alias("pos", "x")).withColumn("place", F.col("alone") + F.col("pos") + 1)
+    lists = stored(lists.select("g", F.col("x.v").alias("v"), "id", "c", "n", "d", "e", (F.col("d") - F.col("place")).alias("behind"), (F.col("place") <= F.col("low")).alias("low"), (F.col("place") <= F.col("high")).alias("high")), "lists")
+    counts = lists.groupBy("g", "v").agg(F.count("*").alias("members"), F.count_if("low").alias("lows"), F.count_if("high").alias("highs"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_sum")).where("members > 1 AND lows > 0 AND highs > 0")
     # Of long lists with the same members one is enough.
     one = F.when(F.col("members") <= most, F.col("v")).otherwise(F.lit(0))
     counts = counts.groupBy("g", "members", "_sum", one.alias("_one")).agg(F.min("v").alias("v")).select("g", "v", "members")
     every, lists = lists, stored(lists.join(counts, ["g", "v"]), "lists")
-    drop(every)
+    drop(every, elements)
     short = lists.where(F.col("members") <= most)
-    x = short.where("NOT core").select("g", "v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-    y = short.select("g", "v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"), "core")
+    of = lambda side: [F.col("id").alias(side), *(F.col(k).alias(f"{k}{side}") for k in ("n", "d", "c", "e", "behind"))]
+    x, y = short.where("low").select("g", "v", *of("x")), short.where("high").select("g", "v", *of("y"))
     # What two sets don't share is at least the difference of what each does not share with the center.
     reach = q * F.abs(F.col("dx") - F.col("dy")) <= r * (F.col("nx") + F.col("ny"))
-    once = (F.col("cx") != F.col("cy")) & ((F.col("core") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y")))
-    pairs = stored(x.join(y, ["g", "v"]).where(once & reach & _alike("nx", "ny", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    room = 2 * q * (1 + F.least("behindx", "behindy")) >= F.col("ex") + F.col("ey")
+    once = (F.col("cx") != F.col("cy")) & ((F.col("ex") < F.col("ey")) | ((F.col("ex") == F.col("ey")) & (F.col("x") < F.col("y"))))
+    pairs = stored(x.join(y, ["g", "v"]).where(once & reach & room & _alike("nx", "ny", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
     rest = stored(lists.where(F.col("members") > most).select(F.xxhash64("g", "v").alias("g"), "id").distinct(), "groups")
     drop(sets, sample, center, found, lists)
     return sure, pairs, rest

@@ -207,6 +207,47 @@ def test_large_groups_of_near_copies(spark, hot):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
 
 
+def test_a_cloud_of_far_members_makes_few_candidates(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:95] + [f"n{i}"])) for i in range(10)]  # the core
+    for i in range(10, 210):  # each a tenth or more from the others, at most a few linked by chance
+        w = list(base)
+        for k in rng.sample(range(100), rng.randint(5, 12)):
+            w[k] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    candidates, around = [], bottomk._around_centers
+
+    def counted(*args):
+        sure, more, rest = around(*args)
+        candidates.append(more.count())
+        return sure, more, rest
+
+    monkeypatch.setattr(bottomk, "_around_centers", counted)
+    out = bottomk.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 3, 85, 100)
+    assert candidates and sum(candidates) < len(rows)  # of 21,945 pairs
+
+
+def test_texts_that_nobody_wants_are_not_shuffled(spark, monkeypatch):
+    """The bit set stands below the join with the wanted ids, also where these are too many to be broadcast."""
+    plans, stored = [], bottomk.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(bottomk, "stored", seen)
+    docs = spark.createDataFrame([(i, f"a b c {i}") for i in range(50)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sets = bottomk._sets(docs, docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id")).distinct(), 3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.id for r in sets.collect()) == [0, 10, 20, 30, 40]
+    assert 0 <= plans[0].index("SortMergeJoin") < plans[0].index("BroadcastHashJoin")
+
+
 def test_near_copies_of_repeated_ids(spark):
     a, b = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
     rows = [(5, a), (5, b), (7, a + " end"), (3, b + " end"), (9, b), (None, a), (None, "alone here now"), (11, None), (11, "")]
