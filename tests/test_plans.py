@@ -285,3 +285,30 @@ def test_models_are_fitted_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(modelling, "models", lambda **_: {"a": (Waiting(), [{}]), "b": (Waiting(), [{}])})
     monkeypatch.setattr(modelling, "with_probability", lambda model, df: df)
     assert sorted((r.model, r.auc) for r in queries.ml_train_models(spark, "").collect()) == [("a", 0.75), ("b", 0.75)]
+
+
+class Noting:
+    """An estimator that notes the points and folds that it is fitted on."""
+
+    def __init__(self):
+        self.fits = []
+
+    def fit(self, train, parameters):
+        self.fits.append((*parameters.values(), *sorted(r.fold for r in train.select("fold").distinct().collect())))
+        return self
+
+
+def test_the_set_of_models_is_searched_whole(spark, monkeypatch):
+    from lifelane.queries import modelling as queries
+
+    penalty = modelling.models()["logistic"][0].regParam
+    rows = spark.range(40).selectExpr("cast(id % 2 AS int) AS y", "cast(id % 10 / 10 AS double) AS p", "cast(id % 5 AS int) AS fold")
+    noted, asked = {"a": Noting(), "b": Noting()}, []
+    monkeypatch.setattr(queries, "_prepared", lambda spark, d: (None, rows, rows))
+    monkeypatch.setattr(modelling, "models", lambda **given: asked.append(given) or {n: (e, [{penalty: v} for v in (0.1, 0.2, 0.3)]) for n, e in noted.items()})
+    monkeypatch.setattr(modelling, "with_probability", lambda model, df: df)
+    assert {r.model for r in queries.ml_train_models(spark, "").collect()} == {"a", "b"}
+    assert asked == [{}]  # full rounds and steps
+    folds = [tuple(i for i in range(5) if i != left) for left in range(5)]
+    for e in noted.values():
+        assert sorted(e.fits) == sorted([(v, *f) for v in (0.1, 0.2, 0.3) for f in folds] + [(0.1, *range(5))])
