@@ -312,3 +312,22 @@ def test_the_set_of_models_is_searched_whole(spark, monkeypatch):
     folds = [tuple(i for i in range(5) if i != left) for left in range(5)]
     for e in noted.values():
         assert sorted(e.fits) == sorted([(v, *f) for v in (0.1, 0.2, 0.3) for f in folds] + [(0.1, *range(5))])
+
+
+def test_the_experiment_is_run_whole(spark, monkeypatch):
+    from lifelane.queries import modelling as queries
+
+    class Begun(Exception):
+        pass
+
+    def begun(spark, tables, models, folder, *, splits=5, folds=5, background=100, **_):
+        raise Begun(models, splits, folds, background)
+
+    monkeypatch.setattr(experiment, "run", begun)
+    with pytest.raises(Begun) as e:
+        queries.ml_experiment(spark, "/root/testdata/sf0.001")
+    models, *counts = e.value.args
+    assert counts == [5, 5, 100] and {n: len(g) for n, (_, g) in models.items()} == {"logistic": 3, "boosted": 6, "boosted_slow": 4, "forest": 4}
+    assert [models[n][0].getMaxIter() for n in ("logistic", "boosted", "boosted_slow")] == [1000, 100, 100]
+    trees = models["forest"][0].numTrees
+    assert {point[trees] for point in models["forest"][1]} == {50, 100}
